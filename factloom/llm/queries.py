@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, mixing, quality, secrets, simhash
+from . import licenses, media, mixing, neighbours, quality, secrets, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,10 @@ def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_features(_table(spark, sf_dir, "documents"))
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(_table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["kind"] != "entropy")
@@ -46,6 +50,10 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(text(base), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"))
 
 
+def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(_table(spark, sf_dir, "embeddings"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -54,7 +62,9 @@ QUERIES = {
     "op2_mixing": op2_mixing,
     "op3_quality": op3_quality,
     "op4_licenses": op4_licenses,
+    "op7_media": op7_media,
     "op8_secrets": op8_secrets,
+    "op9_neighbours": op9_neighbours,
     "op10_simhash": op10_simhash,
 }
 
