@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, media, mixing, neighbours, quality, secrets, simhash
+from . import licenses, media, mixing, neighbours, quality, scratch, secrets, simhash, tokenfile
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +41,13 @@ def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_token_file(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    path = f"{scratch.shared_folder(spark)}/factloom-tokens-{uuid.uuid4().hex}"
+    scratch.keep_until_release(spark, path)
+    tokenfile.write(_table(spark, sf_dir, "documents"), path, tokenizer or public_tokenizers.path("byte_bpe_50k.json"))
+    return tokenfile.read_checksums(spark, path)
+
+
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_features(_table(spark, sf_dir, "documents"))
 
@@ -62,6 +72,7 @@ QUERIES = {
     "op2_mixing": op2_mixing,
     "op3_quality": op3_quality,
     "op4_licenses": op4_licenses,
+    "op6_token_file": op6_token_file,
     "op7_media": op7_media,
     "op8_secrets": op8_secrets,
     "op9_neighbours": op9_neighbours,

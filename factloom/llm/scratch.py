@@ -31,11 +31,16 @@ def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Write df as Parquet to the shared folder and return the table read back."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/factloom-{name}-{uuid.uuid4().hex}"
+    keep_until_release(spark, path)
     df.write.option("compression", codec).parquet(path)
-    _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+def keep_until_release(spark: SparkSession, path: str) -> None:
+    """Delete path, too, when the process ends or `release` is called."""
+    _written.append((spark, path))
+
+
 def drop(spark: SparkSession, df: DataFrame) -> None:
     """Delete the table that ``materialize`` returned, when nothing reads it any more."""
     for entry in [e for e in _written if any(e[1] in f for f in df.inputFiles())]:
