@@ -8,13 +8,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, media, mixing, neighbours, quality, scratch, secrets, simhash, tokenfile
+from . import licenses, media, mixing, neighbours, pieces, quality, scratch, secrets, simhash, suffixdedup, tokenfile
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixdedup.deduplicate(_table(spark, sf_dir, "documents"))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     planned = mixing.plan(_table(spark, sf_dir, "documents"))
     return planned.select("doc_id", "size", "source_size", "target", mixing.taken_words().alias("taken"))
@@ -41,6 +45,14 @@ def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_pieces(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFrame:
+    """doc_id, n_pieces, ids, and whether decoding the ids restores the text."""
+    path = model or public_tokenizers.path("piece_bpe_32k.model")
+    encoded = pieces.encode(_table(spark, sf_dir, "documents"), path, keep=("doc_id", "text"))
+    both = pieces.decode(encoded.withColumnRenamed("text", "given"), path, keep=("doc_id", "given", "n_pieces", "ids"))
+    return both.select("doc_id", "n_pieces", "ids", (F.col("text") == F.coalesce("given", F.lit(""))).alias("restored"))
+
+
 def op6_token_file(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     path = f"{scratch.shared_folder(spark)}/factloom-tokens-{uuid.uuid4().hex}"
     scratch.keep_until_release(spark, path)
@@ -69,9 +81,11 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_mixing": op2_mixing,
     "op3_quality": op3_quality,
     "op4_licenses": op4_licenses,
+    "op5_pieces": op5_pieces,
     "op6_token_file": op6_token_file,
     "op7_media": op7_media,
     "op8_secrets": op8_secrets,
