@@ -314,7 +314,7 @@ def encode(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) -> D
             ids = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(found).astype(np.int32)))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(counts), ids], [*keep, "n_pieces", "ids"])
 
-    kept = docs.select(*keep, "text")
+    kept = docs.select(*dict.fromkeys([*keep, "text"]))
     shape = ", ".join(f"`{c}` {dict(kept.dtypes)[c]}" for c in keep)
     return kept.mapInArrow(run, f"{shape}, n_pieces long, ids array<int>")
 
