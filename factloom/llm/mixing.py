@@ -130,19 +130,21 @@ def taken_words() -> Column:
 def apply_plan(docs: DataFrame, planned: DataFrame) -> DataFrame:
     """The mix itself: each document once for every pass, and its pieces as documents of their own.
 
-    Documents with equal doc_id and equal size share their plan in a seeded, repeatable order.
+    Documents with equal doc_id and equal size share their plans in a repeatable order.
     """
-    order = Window.partitionBy("doc_id", "size").orderBy("passes", F.col("pieces").cast("string"))
-    planned = planned.withColumn("_nth", F.row_number().over(order)).select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), "_nth", "passes", "pieces")
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    numbered = docs.withColumn("_words", size)
-    numbered = numbered.withColumn("_row", F.row_number().over(Window.partitionBy("doc_id", "_words").orderBy("text", "source")))
-    both = numbered.join(planned, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_words") == F.col("_size")) & (F.col("_row") == F.col("_nth")))
+    planned = materialize(planned.select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), "passes", "pieces"), "mix-plan")
+    docs_sized = docs.withColumn("_words", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_words") == F.col("_size"))
+    if planned.groupBy("_id", "_size").count().filter("count > 1").isEmpty():
+        both = docs_sized.join(planned, same)
+    else:
+        planned = planned.withColumn("_nth", F.row_number().over(Window.partitionBy("_id", "_size").orderBy("passes", F.col("pieces").cast("string"))))
+        numbered = docs_sized.withColumn("_row", F.row_number().over(Window.partitionBy("doc_id", "_words").orderBy("text", "source")))
+        both = numbered.join(planned, same & (F.col("_row") == F.col("_nth")))
     whole = F.array_repeat(F.col("text"), F.col("passes").cast("int"))
     words = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), 0)
     part = F.transform("pieces", lambda p: F.array_join(F.slice(words, (p["from"] + 1).cast("int"), (p["to"] - p["from"]).cast("int")), ""))
-    texts = F.when(F.size("pieces") > 0, F.concat(whole, part)).otherwise(whole)
-    mixed = both.withColumn("text", F.explode(texts))
+    mixed = both.withColumn("text", F.explode(F.when(F.size("pieces") > 0, F.concat(whole, part)).otherwise(whole)))
     if "n_chars" in docs.columns:
         mixed = mixed.withColumn("n_chars", F.length("text").cast("long"))
     return mixed.select(*docs.columns)

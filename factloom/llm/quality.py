@@ -83,8 +83,8 @@ def log_ratios(target: np.ndarray, raw: np.ndarray, prior: float = PRIOR) -> np.
     return np.log((target + prior) / (expected + prior))
 
 
-def scores(docs: DataFrame, ratios: np.ndarray) -> DataFrame:
-    """doc_id, log_ratio (mean over the n-grams), n_grams of each whole text."""
+def scores(docs: DataFrame, ratios: np.ndarray, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns `keep`, log_ratio (mean over the n-grams), n_grams of each whole text."""
     shared = docs.sparkSession.sparkContext.broadcast(ratios)  # `buckets` doubles
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,10 +92,12 @@ def scores(docs: DataFrame, ratios: np.ndarray) -> DataFrame:
             bucket, row = ngrams(*texts(batch), len(shared.value))
             n = np.bincount(row, minlength=batch.num_rows)
             total = np.bincount(row, shared.value[bucket], minlength=batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(total / np.maximum(n, 1)), pa.array(n.astype(np.int64))], ["doc_id", "log_ratio", "n_grams"])
+            mean = pa.array(total / np.maximum(n, 1))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), mean, pa.array(n.astype(np.int64))], [*keep, "log_ratio", "n_grams"])
 
-    kept = docs.select("doc_id", "text")
-    return kept.mapInArrow(run, f"doc_id {dict(kept.dtypes)['doc_id']}, log_ratio double, n_grams long")
+    kept = docs.select(*dict.fromkeys([*keep, "text"]))
+    shape = ", ".join(f"`{c}` {dict(kept.dtypes)[c]}" for c in keep)
+    return kept.mapInArrow(run, f"{shape}, log_ratio double, n_grams long")
 
 
 def best_cut(good: np.ndarray, bad: np.ndarray, cost: float = 4.0) -> float:
@@ -161,17 +163,36 @@ def kth_largest(keys: DataFrame, k: int) -> int | None:
     return low
 
 
+def _weighted(scored: DataFrame, cut: float, seed: int) -> DataFrame:
+    """scored with log_weight and its Gumbel key, in millionths; both depend on the row alone."""
+    uniform = (F.xxhash64("doc_id", "log_ratio", "n_grams", F.lit(seed)).bitwiseAND(F.lit((1 << 52) - 1)) + 0.5) / float(1 << 52)
+    weight = F.when(F.col("n_grams") == 0, 0.0).otherwise(F.least(F.lit(0.0), (F.col("log_ratio") - cut) * STEEP)) if np.isfinite(cut) else F.lit(0.0)
+    gumbel = F.greatest(F.lit(-1e9), F.col("log_weight")) - F.log(-F.log(uniform))
+    return scored.withColumn("log_weight", weight).withColumn("key", F.floor(gumbel * 1e6).cast("long"))
+
+
+def _threshold(keyed: DataFrame) -> int | None:
+    """The key of the last document that the expected number of good ones takes in."""
+    return kth_largest(keyed.select("key"), int(keyed.agg(F.round(F.sum(F.exp("log_weight")))).first()[0] or 0))
+
+
 def resample(docs: DataFrame, labels: DataFrame, seed: int = 42, **how) -> DataFrame:
     """doc_id, log_ratio, n_grams, log_weight, key, kept of every document."""
     model = fit(docs, labels, seed=seed, **how)
     none = docs.select("doc_id", F.lit(0.0).alias("log_ratio"), F.lit(0).cast("long").alias("n_grams"))
-    scored = none if model is None else scores(docs, model[0])
-    cut = -float("inf") if model is None else model[1]
-    weight = F.when(F.col("n_grams") == 0, 0.0).otherwise(F.least(F.lit(0.0), (F.col("log_ratio") - cut) * STEEP)) if np.isfinite(cut) else F.lit(0.0)
-    uniform = (F.xxhash64("doc_id", "log_ratio", "n_grams", F.lit(seed)).bitwiseAND(F.lit((1 << 52) - 1)) + 0.5) / float(1 << 52)
-    gumbel = F.greatest(F.lit(-1e9), F.col("log_weight")) - F.log(-F.log(uniform))
-    keyed = scored.withColumn("log_weight", weight).withColumn("key", F.floor(gumbel * 1e6).cast("long"))
-    keyed = materialize(keyed, "quality-keys")
-    k = int(keyed.agg(F.round(F.sum(F.exp("log_weight")))).first()[0] or 0)
-    least = kth_largest(keyed.select("key"), k)
+    ratios, cut = model or (None, -np.inf)
+    keyed = materialize(_weighted(none if ratios is None else scores(docs, ratios), cut, seed), "quality-keys")
+    least = _threshold(keyed)
     return keyed.withColumn("kept", F.lit(False) if least is None else F.col("key") >= least)
+
+
+def keep(docs: DataFrame, labels: DataFrame, seed: int = 42, **how) -> DataFrame:
+    """The documents that `resample` keeps, with all their columns; texts are scored twice, not shuffled."""
+    model = fit(docs, labels, seed=seed, **how)
+    if model is None:
+        return docs
+    least = _threshold(materialize(_weighted(scores(docs, model[0]), model[1], seed), "quality-keys"))
+    if least is None:
+        return docs.limit(0)
+    both = _weighted(scores(docs, model[0], keep=tuple(docs.columns)), model[1], seed)
+    return both.filter(F.col("key") >= least).select(*docs.columns)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 import public_tokenizers
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -93,4 +94,6 @@ QUERIES = {
     "op10_simhash": op10_simhash,
 }
 
+QUERIES["pipeline"] = corpus_pipeline.run
+
 ORACLE_SQL: dict[str, str] = {}

@@ -19,7 +19,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import materialize, shared_folder
@@ -66,16 +66,17 @@ def fingerprints_of(data: np.ndarray, offsets: np.ndarray, shingle: int = 3, see
     return out
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame:
-    """doc_id, fingerprint (long with the fingerprint's bits) of every document."""
+def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42, hashed: bool = False) -> DataFrame:
+    """doc_id, fingerprint (long with the fingerprint's bits) of every document; text_hash too, if asked."""
+    more = ["text_hash"] if hashed else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             found = fingerprints_of(*texts(batch), shingle, seed)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found.view(np.int64))], ["doc_id", "fingerprint"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found.view(np.int64)), *(batch.column(c) for c in more)], ["doc_id", "fingerprint", *more])
 
-    kept = docs.select("doc_id", "text")
-    return kept.mapInArrow(run, f"doc_id {dict(kept.dtypes)['doc_id']}, fingerprint long")
+    kept = docs.select("doc_id", "text", *[F.xxhash64("text").alias(c) for c in more])
+    return kept.mapInArrow(run, f"doc_id {dict(kept.dtypes)['doc_id']}, fingerprint long" + ", text_hash long" * hashed)
 
 
 def planes(values: np.ndarray) -> np.ndarray:
@@ -221,12 +222,37 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return linked.union(roots)
 
 
+def _roots(marked: DataFrame, radius: int) -> DataFrame:
+    """fingerprint, root: the component that each distinct fingerprint is in."""
+    distinct = marked.select("fingerprint").distinct()
+    found = components(links(distinct, radius))
+    return distinct.join(found, distinct["fingerprint"] == found["node"], "left").select("fingerprint", F.coalesce("root", "fingerprint").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3, seed: int = 42) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id reachable)."""
     marked = materialize(fingerprints(docs, shingle, seed), "simhash")
-    distinct = marked.groupBy("fingerprint").agg(F.min("doc_id").alias("least"))
-    found = components(links(distinct.select("fingerprint"), radius))
-    joined = distinct.join(found, distinct["fingerprint"] == found["node"], "left").select("fingerprint", "least", F.coalesce("root", "fingerprint").alias("root"))
+    least = marked.groupBy("fingerprint").agg(F.min("doc_id").alias("least"))
+    joined = _roots(marked, radius).join(least, "fingerprint")
     names = joined.groupBy("root").agg(F.min("least").alias("component_id"))
     named = joined.join(names, "root").select("fingerprint", "component_id")
     return marked.join(named, "fingerprint").select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, shingle: int = 3, radius: int = 3, seed: int = 42) -> DataFrame:
+    """One document of each component, with all its columns: the one of the smallest doc_id.
+
+    Among equal ids (null last) the smallest hash of the text decides; of rows that repeat id and
+    text, one stays.
+    """
+    marked = materialize(fingerprints(docs, shingle, seed, hashed=True), "simhash")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")
+    least = marked.groupBy("fingerprint").agg(F.min(order).alias("least"))
+    chosen = _roots(marked, radius).join(least, "fingerprint").groupBy("root").agg(F.min("least").alias("least"))
+    chosen = chosen.select(F.col("least.doc_id").alias("_id"), F.col("least.text_hash").alias("_hash"))
+    rows = docs.withColumn("_text_hash", F.xxhash64("text"))
+    kept = rows.join(chosen, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left_semi")
+    repeats = marked.groupBy("doc_id", "text_hash").count().filter("count > 1")
+    if not repeats.isEmpty():
+        kept = kept.dropDuplicates(["doc_id", "_text_hash"])
+    return kept.select(*docs.columns)
