@@ -1,4 +1,428 @@
-"""Queries over the driver's tables, with the SQL each must equal."""
+"""Queries that apply the operators to the driver's tables, with the SQL each must equal.
 
-QUERIES: dict = {}
+The tables hold no source code, so keys of its shape are composed from their columns: `part` gives
+symbols, `events` positions and changes, `pages` paths, `orders` and `lineitem` occurrences.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import symbols as S
+from ..functions import text as X
+from ..operators import ignore, lookup, merge
+from ..streaming import debounce
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str):
+    def add(f):
+        QUERIES[f.__name__] = f
+        ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# Composed keys ------------------------------------------------------------------------------
+
+
+def _owner() -> Column:
+    return F.concat(F.lit("shop/"), F.replace("p_brand", F.lit("#"), F.lit("_")), F.lit("/"), F.replace("p_type", F.lit(" "), F.lit("_")), F.lit("#"))
+
+
+def part_symbols(spark, sf_dir) -> DataFrame:
+    """p_partkey, symbol, short: `shop/<brand>/<type>#<name>.`, names with spaces in backticks."""
+    return table(spark, sf_dir, "part").select("p_partkey", S.term_symbol(_owner(), F.col("p_name")).alias("symbol"), F.col("p_name").alias("short"))
+
+
+PART_SQL = """part_symbols AS (SELECT p_partkey, p_name AS short,
+  'shop/' || replace(p_brand, '#', '_') || '/' || replace(p_type, ' ', '_') || '#' ||
+  CASE WHEN regexp_matches(p_name, '^[A-Za-z_$][A-Za-z0-9_$]*$') THEN p_name ELSE '`' || p_name || '`' END || '.' AS symbol FROM part)"""
+
+
+def clock(spark, sf_dir) -> DataFrame:
+    """events with the day (line), second of the day (ch) and second (sec) of ts."""
+    ts, day = F.col("ts"), F.datediff(F.to_date("ts"), F.lit("1970-01-01").cast("date"))
+    second = F.hour(ts) * 3600 + F.minute(ts) * 60 + F.floor(F.second(ts)).cast("int")
+    return table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value", "props", day.alias("line"), second.cast("int").alias("ch"), (day.cast("long") * 86400 + second).alias("sec"))
+
+
+CLOCK_SQL = """clock AS (SELECT event_id, ts, user_id, event_type, value, props, CAST(date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) AS INTEGER) AS line,
+  CAST(hour(ts) * 3600 + minute(ts) * 60 + CAST(second(ts) AS INTEGER) AS INTEGER) AS ch,
+  CAST(date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) AS BIGINT) * 86400 + hour(ts) * 3600 + minute(ts) * 60 + CAST(second(ts) AS INTEGER) AS sec FROM events)"""
+
+
+def event_ranges(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Cursors at every event; of each user, ranges from an event to the third one after it."""
+    events = clock(spark, sf_dir).withColumn("path", F.col("user_id").cast("string"))
+    w = Window.partitionBy("path").orderBy("ts", "event_id")
+    ranges = events.select("path", F.concat("event_type", F.lit("."), "event_id").alias("symbol"), F.col("line").alias("start_line"), F.col("ch").alias("start_char"), F.lead("line", 3).over(w).alias("end_line"), F.lead("ch", 3).over(w).alias("end_char"))
+    return events.select(F.col("event_id").alias("query_id"), "path", "line", "ch"), ranges.filter("end_line is not null")
+
+
+STAB_SQL = f"""WITH {CLOCK_SQL}, ranges AS (SELECT * FROM (SELECT user_id, event_type || '.' || event_id AS symbol, line AS sl, ch AS sc,
+  lead(line, 3) OVER w AS el, lead(ch, 3) OVER w AS ec FROM clock WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE el IS NOT NULL),
+ hits AS (SELECT c.event_id AS query_id, r.symbol, CAST(r.el - r.sl AS BIGINT) * 100000 + (r.ec - r.sc) AS length FROM clock c JOIN ranges r ON c.user_id = r.user_id
+  AND (r.sl < c.line OR (r.sl = c.line AND r.sc <= c.ch)) AND (r.el > c.line OR (r.el = c.line AND r.ec > c.ch)))"""
+
+
+# Symbols -------------------------------------------------------------------------------------
+
+
+@query(f"WITH {PART_SQL} SELECT p_partkey, regexp_extract(symbol, '^((?:`[^`]*`|[^`])*/)', 1) AS owner FROM part_symbols")
+def sym_owner(spark, sf_dir):
+    return part_symbols(spark, sf_dir).select("p_partkey", S.owner_prefix("symbol").alias("owner"))
+
+
+@query(f"WITH {PART_SQL} SELECT p_partkey, replace(regexp_replace(regexp_extract(symbol, '^((?:`[^`]*`|[^`])*/)', 1), '/$', ''), '/', '.') AS package FROM part_symbols")
+def sym_package(spark, sf_dir):
+    return part_symbols(spark, sf_dir).select("p_partkey", S.package_of("symbol").alias("package"))
+
+
+@query(f"WITH {PART_SQL} SELECT p_partkey, CASE WHEN symbol LIKE '%`.' THEN '`' || short || '`' ELSE short END AS short_name FROM part_symbols")
+def sym_short(spark, sf_dir):
+    return part_symbols(spark, sf_dir).select("p_partkey", S.short_name("symbol").alias("short_name"))
+
+
+@query("""SELECT p_partkey, 'shop/T' || p_size || '#' AS type_symbol, 'shop/T' || p_size || '#run' || CASE WHEN p_size % 3 = 0 THEN '().' ELSE '(+' || (p_size % 3) || ').' END AS method_symbol,
+  'shop/T' || p_size || '#`<init>`' || CASE WHEN p_size % 2 = 0 THEN '().' ELSE '(+' || (p_size % 2) || ').' END AS constructor_symbol,
+  'shop/T' || p_size || '#run().(x)' AS parameter_symbol, 'shop/T' || p_size || '#[T]' AS type_parameter_symbol, 'local' || p_size AS local_symbol FROM part""")
+def sym_build(spark, sf_dir):
+    owner, run = F.lit("shop/"), F.lit("run")
+    kind = S.type_symbol(owner, F.concat(F.lit("T"), "p_size"))
+    return table(spark, sf_dir, "part").select(
+        "p_partkey",
+        kind.alias("type_symbol"),
+        S.method_symbol(kind, run, F.col("p_size") % 3).alias("method_symbol"),
+        S.constructor_symbol(kind, F.col("p_size") % 2).alias("constructor_symbol"),
+        S.parameter_symbol(S.method_symbol(kind, run, F.lit(0)), F.lit("x")).alias("parameter_symbol"),
+        S.type_parameter_symbol(kind, F.lit("T")).alias("type_parameter_symbol"),
+        S.local_symbol("p_size").alias("local_symbol"),
+    )
+
+
+@query("SELECT p_partkey, CASE WHEN regexp_matches(p_name, '^[A-Za-z_$][A-Za-z0-9_$]*$') THEN p_name ELSE '`' || p_name || '`' END AS name, CASE WHEN regexp_matches(p_type, '^[A-Za-z_$][A-Za-z0-9_$]*$') THEN p_type ELSE '`' || p_type || '`' END AS kind FROM part")
+def sym_escape(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", S.escaped_name("p_name").alias("name"), S.escaped_name("p_type").alias("kind"))
+
+
+@query("SELECT l_orderkey, l_linenumber, CAST(row_number() OVER (PARTITION BY l_suppkey, l_partkey ORDER BY l_orderkey, l_linenumber) - 1 AS INTEGER) AS overload FROM lineitem")
+def overload_index(spark, sf_dir):
+    rows = merge.numbered(table(spark, sf_dir, "lineitem"), ["l_suppkey", "l_partkey"], ["l_orderkey", "l_linenumber"], "overload")
+    return rows.select("l_orderkey", "l_linenumber", F.col("overload").cast("int").alias("overload"))
+
+
+def methods(spark, sf_dir) -> DataFrame:
+    """symbol: overloads of a method of each supplier and part size, numbered from a hole that differs."""
+    rows = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    index = F.col("l_linenumber") + F.col("l_suppkey").cast("int") % 9
+    return rows.select(S.method_symbol(F.concat(F.lit("shop/S"), "l_suppkey", F.lit("#")), F.concat(F.lit("size"), "p_size"), index).alias("symbol")).distinct()
+
+
+METHODS_SQL = """methods AS (SELECT DISTINCT 'shop/S' || l_suppkey || '#size' || p_size || '(' AS owner_name, CAST(l_linenumber + l_suppkey % 9 AS INTEGER) AS "index",
+  'shop/S' || l_suppkey || '#size' || p_size || CASE WHEN l_linenumber + l_suppkey % 9 = 0 THEN '().' ELSE '(+' || (l_linenumber + l_suppkey % 9) || ').' END AS symbol FROM lineitem JOIN part ON l_partkey = p_partkey)"""
+
+
+@query(f"""WITH {METHODS_SQL} SELECT owner_name, min("index") AS "index", arg_min(symbol, "index") AS symbol FROM methods WHERE "index" <= 9 GROUP BY owner_name""")
+def overload_first(spark, sf_dir):
+    return lookup.first_overload(methods(spark, sf_dir))
+
+
+@query(f"""WITH {METHODS_SQL}, wanted AS (SELECT p_partkey AS query_id, 'shop/S' || (p_partkey % 10 + 1) || '#size' || p_size || CASE WHEN p_partkey % 4 = 0 THEN '().' ELSE '(+' || (p_partkey % 4) || ').' END AS symbol FROM part)
+SELECT w.query_id, w.symbol, coalesce(m.symbol, CASE WHEN w.symbol LIKE '%(+%' THEN f.first END) AS found FROM wanted w LEFT JOIN methods m ON m.symbol = w.symbol
+LEFT JOIN (SELECT owner_name, min(symbol) AS first FROM methods GROUP BY owner_name) f ON f.owner_name = regexp_extract(w.symbol, '^(.*[(])', 1)""")
+def overload_fallback(spark, sf_dir):
+    symbol = S.method_symbol(F.concat(F.lit("shop/S"), F.col("p_partkey") % 10 + 1, F.lit("#")), F.concat(F.lit("size"), "p_size"), (F.col("p_partkey") % 4).cast("int"))
+    wanted = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("query_id"), symbol.alias("symbol"))
+    return lookup.with_overload_fallback(wanted, methods(spark, sf_dir))
+
+
+# Point, prefix and secondary-key lookups ------------------------------------------------------
+
+
+@query(f"WITH {PART_SQL}, counted AS (SELECT symbol, count(*) AS hits, min(p_partkey) AS first_part FROM part_symbols GROUP BY symbol) SELECT l_orderkey, l_linenumber, hits, first_part FROM lineitem JOIN part_symbols ON l_partkey = p_partkey JOIN counted USING (symbol)")
+def point_lookup(spark, sf_dir):
+    symbols = part_symbols(spark, sf_dir)
+    per_symbol = symbols.groupBy("symbol").agg(F.count(F.lit(1)).alias("hits"), F.min("p_partkey").alias("first_part"))
+    wanted = table(spark, sf_dir, "lineitem").join(symbols, F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", "l_linenumber", "symbol")
+    return wanted.join(per_symbol, "symbol").select("l_orderkey", "l_linenumber", "hits", "first_part")
+
+
+@query(f"WITH {PART_SQL} SELECT symbol FROM (SELECT DISTINCT symbol FROM part_symbols WHERE starts_with(symbol, 'shop/Brand_1')) ORDER BY symbol LIMIT 32")
+def prefix_scan(spark, sf_dir):
+    return lookup.prefix_scan(part_symbols(spark, sf_dir).select("symbol").distinct(), "shop/Brand_1")
+
+
+@query(f"WITH {PART_SQL}, keys AS (SELECT DISTINCT left(symbol, 14) AS prefix FROM part_symbols), hits AS (SELECT prefix, symbol, CAST(row_number() OVER (PARTITION BY prefix ORDER BY symbol) AS INTEGER) AS rank FROM keys JOIN (SELECT DISTINCT symbol FROM part_symbols) ON starts_with(symbol, prefix)) SELECT * FROM hits WHERE rank <= 32")
+def prefix_scans(spark, sf_dir):
+    symbols = part_symbols(spark, sf_dir).select("symbol").distinct()
+    prefixes = symbols.select(F.left("symbol", F.lit(14)).alias("prefix")).distinct().withColumn("query_id", F.col("prefix"))
+    return lookup.prefix_scans(prefixes, symbols, 12).select("prefix", "symbol", "rank")
+
+
+@query(f"WITH {PART_SQL} SELECT a.p_partkey AS query_id, count(DISTINCT b.symbol) AS same_name, min(b.symbol) AS first_symbol FROM part_symbols a JOIN part_symbols b ON regexp_extract(a.symbol, '^((?:`[^`]*`|[^`])*/)', 1) = regexp_extract(b.symbol, '^((?:`[^`]*`|[^`])*/)', 1) AND a.short = b.short GROUP BY ALL")
+def owner_name_lookup(spark, sf_dir):
+    rows = part_symbols(spark, sf_dir)
+    wanted = rows.select(F.col("p_partkey").alias("query_id"), S.owner_prefix("symbol").alias("owner"), F.col("short").alias("short_name"))
+    hits = lookup.by_owner_and_name(wanted, rows.select("symbol", F.col("short").alias("short_name")).distinct())
+    return hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("same_name"), F.min("symbol").alias("first_symbol"))
+
+
+# Positions --------------------------------------------------------------------------------------
+
+
+@query(f"{STAB_SQL} SELECT query_id, symbol FROM hits")
+def stab(spark, sf_dir):
+    return lookup.stab(*event_ranges(spark, sf_dir)).select("query_id", "symbol")
+
+
+@query(f"{STAB_SQL} SELECT query_id, symbol, length FROM (SELECT *, rank() OVER (PARTITION BY query_id ORDER BY length) AS r FROM hits) WHERE r = 1")
+def stab_narrowest(spark, sf_dir):
+    return lookup.narrowest(lookup.stab(*event_ranges(spark, sf_dir))).select("query_id", "symbol", lookup.range_length().alias("length"))
+
+
+# Fallbacks -----------------------------------------------------------------------------------------
+
+
+@query("""WITH wanted AS (SELECT o_orderkey AS query_id, o_custkey % 25 AS path, o_orderpriority AS symbol FROM orders),
+ local AS (SELECT DISTINCT c_nationkey AS path, CASE c_mktsegment WHEN 'BUILDING' THEN '1-URGENT' WHEN 'MACHINERY' THEN '2-HIGH' ELSE '5-LOW' END AS symbol, c_mktsegment AS found FROM customer WHERE c_acctbal > 9000),
+ everywhere AS (SELECT DISTINCT o_orderpriority AS symbol, o_orderstatus AS found FROM orders),
+ hits AS (SELECT query_id, found, 0 AS tier FROM wanted JOIN local USING (path, symbol) UNION ALL SELECT query_id, found, 1 FROM wanted JOIN everywhere USING (symbol))
+SELECT DISTINCT query_id, found FROM (SELECT *, min(tier) OVER (PARTITION BY query_id) AS best FROM hits) WHERE tier = best""")
+def local_then_global(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders")
+    wanted = orders.select(F.col("o_orderkey").alias("query_id"), (F.col("o_custkey") % 25).cast("string").alias("path"), F.col("o_orderpriority").alias("symbol"))
+    symbol = F.when(F.col("c_mktsegment") == "BUILDING", "1-URGENT").when(F.col("c_mktsegment") == "MACHINERY", "2-HIGH").otherwise("5-LOW")
+    local = table(spark, sf_dir, "customer").filter("c_acctbal > 9000").select(F.col("c_nationkey").cast("string").alias("path"), symbol.alias("symbol"), F.col("c_mktsegment").alias("found")).distinct()
+    everywhere = orders.select(F.col("o_orderpriority").alias("symbol"), F.col("o_orderstatus").alias("found")).distinct()
+    return lookup.local_then_global(wanted, local, everywhere)
+
+
+@query("""WITH known AS (SELECT DISTINCT l_suppkey, l_partkey, p_name FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey WHERE s_acctbal >= p_retailprice),
+ hits AS (SELECT w.l_orderkey || '/' || w.l_partkey AS query_id, b.l_linenumber AS ord, CAST(b.l_suppkey AS VARCHAR) AS fingerprint, p_name AS path
+  FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) w JOIN lineitem b ON w.l_orderkey = b.l_orderkey JOIN known k ON k.l_suppkey = b.l_suppkey AND k.l_partkey = w.l_partkey)
+SELECT query_id, min(ord) AS ord, arg_min(fingerprint, {'o': ord, 'f': fingerprint}) AS fingerprint, arg_min(path, {'o': ord, 'f': fingerprint}) AS path FROM hits GROUP BY query_id""")
+def first_hit(spark, sf_dir):
+    line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", F.col("l_suppkey").cast("string").alias("fingerprint"))
+    supplier = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("fingerprint"), "s_acctbal")
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name", "p_retailprice")
+    symbol = F.col("l_partkey").cast("string").alias("symbol")
+    known = line.join(supplier, "fingerprint").join(part, "l_partkey").filter("s_acctbal >= p_retailprice").select("fingerprint", symbol, F.col("p_name").alias("path")).distinct()
+    wanted = line.select(F.concat_ws("/", "l_orderkey", "l_partkey").alias("query_id"), F.col("l_orderkey").alias("target_id"), symbol, F.lit("shop").alias("package")).distinct()
+    bridge = line.select(F.col("l_orderkey").alias("target_id"), F.col("l_linenumber").alias("ord"), "fingerprint", F.lit(None).cast("array<string>").alias("packages"))
+    return lookup.first_candidate(wanted, bridge, known)
+
+
+@query("""SELECT DISTINCT query_id, path FROM (SELECT p_partkey AS query_id, CAST(l_orderkey AS VARCHAR) AS path FROM part JOIN lineitem ON p_partkey = l_partkey
+ UNION ALL SELECT p_partkey, p_brand FROM part WHERE p_size > 25)""")
+def references_union(spark, sf_dir):
+    part, line = table(spark, sf_dir, "part"), table(spark, sf_dir, "lineitem")
+    place = [F.lit(0).alias(c) for c in ("start_line", "start_char", "end_line", "end_char")]
+    wanted = part.select(F.col("p_partkey").alias("query_id"), F.col("p_partkey").cast("string").alias("symbol"), (F.col("p_size") > 25).alias("include_decl"))
+    uses = line.select(F.col("l_partkey").cast("string").alias("symbol"), F.col("l_orderkey").cast("string").alias("path"), *place)
+    declared = part.select(F.col("p_partkey").cast("string").alias("symbol"), F.col("p_brand").alias("path"), *place)
+    return lookup.references(wanted, uses, declared).select("query_id", "path")
+
+
+@query("SELECT doc_id, 'label' AS origin, quality AS value FROM labels UNION ALL SELECT doc_id, 'text', CAST(n_chars AS INTEGER) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def gap_merge(spark, sf_dir):
+    known = table(spark, sf_dir, "labels").select("doc_id", F.lit("label").alias("origin"), F.col("quality").alias("value"))
+    rest = table(spark, sf_dir, "documents").select("doc_id", F.lit("text").alias("origin"), F.col("n_chars").cast("int").alias("value"))
+    return lookup.gap_merge(known, rest, ("doc_id",))
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+def shadow_anti(spark, sf_dir):
+    bound = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    return lookup.unshadowed(table(spark, sf_dir, "customer"), bound, ("c_custkey",)).select("c_custkey", "c_name")
+
+
+# Paths ------------------------------------------------------------------------------------------------
+
+
+def page_paths(spark, sf_dir) -> DataFrame:
+    """page_id, path: the url without its scheme."""
+    return table(spark, sf_dir, "pages").select("page_id", F.regexp_replace("url", "^[a-z]+://", "").alias("path"))
+
+
+PATHS_SQL = "paths AS (SELECT page_id, regexp_replace(url, '^[a-z]+://', '') AS path FROM pages)"
+STEPS_SQL = f"{PATHS_SQL}, parts AS (SELECT path, string_split(path, '/') AS p FROM paths), steps AS (SELECT DISTINCT path, n AS depth, array_to_string(p[1:n], '/') AS prefix FROM parts, unnest(range(1, len(p) + 1)) AS t(n))"
+
+
+def page_folders(spark, sf_dir) -> DataFrame:
+    """prefix, id: the folders that hold two pages or more; ids from a hash, with ties between folders of a host."""
+    steps = page_paths(spark, sf_dir).select("path", F.inline(lookup.path_ancestors(F.col("path")))).filter(F.col("prefix") != F.col("path"))
+    return steps.groupBy("prefix").agg(F.countDistinct("path").alias("n")).filter("n > 1").select("prefix", F.substring(F.sha1("prefix"), 1, 2).alias("id"))
+
+
+FOLDERS_SQL = "folders AS (SELECT prefix, left(sha1(prefix), 2) AS id FROM steps WHERE prefix <> path GROUP BY prefix HAVING count(DISTINCT path) > 1)"
+
+
+@query(f"WITH {STEPS_SQL}, {FOLDERS_SQL} SELECT path, arg_max(id, depth) AS id, arg_max(prefix, depth) AS prefix FROM steps JOIN folders USING (prefix) GROUP BY path")
+def longest_prefix(spark, sf_dir):
+    return lookup.nearest_ancestor(page_paths(spark, sf_dir), page_folders(spark, sf_dir))
+
+
+@query(f"WITH {STEPS_SQL}, {FOLDERS_SQL} SELECT path, prefix, CAST(depth AS INTEGER) AS depth FROM steps JOIN folders USING (prefix)")
+def ancestor_climb(spark, sf_dir):
+    return lookup.all_ancestors(page_paths(spark, sf_dir), page_folders(spark, sf_dir)).select("path", "prefix", "depth")
+
+
+@query(f"WITH {STEPS_SQL}, {FOLDERS_SQL}, nested AS (SELECT DISTINCT a.prefix FROM folders a JOIN folders b ON starts_with(a.prefix, b.prefix || '/')) SELECT prefix FROM folders WHERE prefix NOT IN (SELECT prefix FROM nested)")
+def top_level_only(spark, sf_dir):
+    return merge.top_level_only(page_folders(spark, sf_dir).select("prefix"))
+
+
+RULES = ignore.parse(["# folders and pages that no index needs", "*1", "!*21", "/*/a*", "docs/", "**/p?3*", "!**/p33"])
+_RULE_CASES = "CASE " + " ".join(f"WHEN regexp_matches({{0}}, '{r.regex}') THEN {str(not r.negated).lower()}" for r in reversed(RULES) if not r.folders_only) + " ELSE false END"
+_FOLDER_CASES = "CASE " + " ".join(f"WHEN regexp_matches({{0}} || '/', '{r.regex}') THEN {str(not r.negated).lower()}" for r in reversed(RULES)) + " ELSE false END"
+
+
+@query(f"WITH {STEPS_SQL}, above AS (SELECT DISTINCT path FROM steps WHERE prefix <> path AND {_FOLDER_CASES.format('prefix')}) SELECT page_id, path, {_RULE_CASES.format('path')} OR path IN (SELECT path FROM above) AS ignored FROM paths")
+def ignore_last_match(spark, sf_dir):
+    return page_paths(spark, sf_dir).select("page_id", "path", ignore.ignored(F.col("path"), False, RULES).alias("ignored"))
+
+
+@query("""WITH bridge AS (SELECT l_orderkey AS target_id, l_linenumber AS ord, l_suppkey AS fingerprint FROM lineitem), archives AS (SELECT s_suppkey AS fingerprint FROM supplier),
+ pairs AS (SELECT DISTINCT a.fingerprint, b.target_id FROM archives a JOIN bridge b USING (fingerprint)), members AS (SELECT p.fingerprint, o.fingerprint AS member, min({'t': o.target_id, 'o': o.ord}) AS place FROM pairs p JOIN bridge o USING (target_id) GROUP BY ALL)
+SELECT fingerprint, CAST(row_number() OVER (PARTITION BY fingerprint ORDER BY CAST(member <> fingerprint AS INTEGER), place, member) AS INTEGER) AS pos, member FROM members""")
+def classpath_union(spark, sf_dir):
+    bridge = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("target_id"), F.col("l_linenumber").alias("ord"), F.col("l_suppkey").alias("fingerprint"))
+    return lookup.archive_classpath(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("fingerprint")), bridge)
+
+
+# Ordered merges ------------------------------------------------------------------------------------------
+
+
+@query("SELECT user_id, arg_max(event_type, {'t': ts, 'e': event_id}) AS event_type, arg_max(event_id, {'t': ts, 'e': event_id}) AS last_event FROM events GROUP BY user_id")
+def last_write_wins(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").withColumn("last_event", F.col("event_id"))
+    return merge.last_write(rows, ["user_id"], ["ts", "event_id"], ["event_type", "last_event"])
+
+
+@query("SELECT user_id, event_type, arg_min(event_id, {'t': ts, 'e': event_id}) AS first_event FROM events GROUP BY user_id, event_type")
+def first_wins(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").withColumn("first_event", F.col("event_id"))
+    return merge.first_write(rows, ["user_id", "event_type"], ["ts", "event_id"], ["first_event"])
+
+
+@query("SELECT user_id, arg_max(props, {'t': ts, 'e': event_id}) AS props FROM (SELECT *, CASE WHEN event_type = 'error' THEN '' WHEN event_type <> 'click' THEN props END AS p FROM events) WHERE p IS NOT NULL AND p <> '' GROUP BY user_id")
+def never_empty(spark, sf_dir):
+    props = F.when(F.col("event_type") == "error", "").when(F.col("event_type") != "click", F.col("props"))
+    return merge.never_empty(table(spark, sf_dir, "events").withColumn("props", props), ["user_id"], ["ts", "event_id"], "props")
+
+
+@query("""SELECT e.user_id, count(*) AS n, min(e.event_id) AS first_event, max(e.event_id) AS last_event FROM events e LEFT JOIN (SELECT user_id, max({'t': ts, 'e': event_id}) AS reset FROM events WHERE event_type = 'error' GROUP BY user_id) r USING (user_id)
+WHERE r.reset IS NULL OR {'t': e.ts, 'e': e.event_id} >= r.reset GROUP BY e.user_id""")
+def diag_reset_union(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").withColumn("reset", F.col("event_type") == "error")
+    return merge.after_last_reset(rows, ["user_id"], ["ts", "event_id"], "reset").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first_event"), F.max("event_id").alias("last_event"))
+
+
+@query(f"WITH {CLOCK_SQL} SELECT p.event_id, (SELECT arg_max(c.event_id, {{'a': c.sec, 'e': c.event_id}}) FROM clock c WHERE c.user_id = p.user_id AND c.event_type <> 'purchase' AND c.sec <= p.sec AND c.sec >= p.sec - 200000) AS before FROM clock p WHERE p.event_type = 'purchase'")
+def asof_bounded(spark, sf_dir):
+    events = clock(spark, sf_dir)
+    asked = events.filter("event_type = 'purchase'").select("event_id", "user_id", "sec")
+    held = events.filter("event_type <> 'purchase'").select("user_id", F.col("sec").alias("end"), F.col("event_id").alias("before"))
+    return lookup.bounded_asof(asked, held, ["user_id"], "sec", "end", 200_000, "before").select("event_id", "before")
+
+
+@query("SELECT user_id, arg_min(value, {'t': ts, 'e': event_id}) AS value FROM events WHERE event_type = 'purchase' GROUP BY user_id")
+def first_success(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").withColumn("value", F.when(F.col("event_type") == "purchase", F.col("value"))).withColumn("ord", F.struct("ts", "event_id"))
+    return lookup.first_success(rows, "value", "user_id", "ord")
+
+
+@query("SELECT source, bool_and(lang = 'en' OR n_chars < 20000) AS complete FROM documents GROUP BY source")
+def completeness(spark, sf_dir):
+    return merge.complete(table(spark, sf_dir, "documents"), ["source"], (F.col("lang") == "en") | (F.col("n_chars") < 20000))
+
+
+@query("SELECT regexp_extract(url, '([^./]*)$', 1) AS ext, count(*) AS n FROM pages GROUP BY 1")
+def ext_count(spark, sf_dir):
+    return table(spark, sf_dir, "pages").groupBy(F.regexp_extract("url", "([^./]*)$", 1).alias("ext")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT count(*) FILTER (l.doc_id IS NOT NULL) AS paired, count(*) AS total, count(*) FILTER (l.doc_id IS NOT NULL) * 100 // count(*) AS percent FROM documents d LEFT JOIN labels l USING (doc_id)")
+def pair_counts(spark, sf_dir):
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.lit(True).alias("labelled"))
+    counts = table(spark, sf_dir, "documents").join(labels, "doc_id", "left").agg(F.count_if("labelled").alias("paired"), F.count(F.lit(1)).alias("total"))
+    return counts.withColumn("percent", X.percent("paired", "total").cast("long"))
+
+
+SLICES_SQL = """old AS (SELECT user_id, max(event_id) AS stamp FROM events WHERE event_type <> 'purchase' AND day(ts) <= 15 GROUP BY user_id),
+ new AS (SELECT user_id, max(event_id) AS stamp FROM events WHERE event_type <> 'purchase' AND day(ts) <= 25 AND hour(ts) >= 6 GROUP BY user_id)"""
+
+
+def event_slices(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    events = table(spark, sf_dir, "events").filter("event_type <> 'purchase'")
+    stamp = lambda rows: rows.groupBy("user_id").agg(F.max("event_id").alias("stamp"))
+    return stamp(events.filter(F.dayofmonth("ts") <= 15)), stamp(events.filter((F.dayofmonth("ts") <= 25) & (F.hour("ts") >= 6)))
+
+
+@query(f"WITH {SLICES_SQL} SELECT user_id, CASE WHEN old.stamp IS NULL THEN 'new' WHEN new.stamp IS NULL THEN 'deleted' ELSE 'modified' END AS change FROM old FULL JOIN new USING (user_id) WHERE old.stamp IS DISTINCT FROM new.stamp")
+def change_classify(spark, sf_dir):
+    return merge.classify_changes(*event_slices(spark, sf_dir), "user_id", "stamp")
+
+
+@query(f"WITH {SLICES_SQL} SELECT user_id, new.stamp FROM new LEFT JOIN old USING (user_id) WHERE old.stamp IS DISTINCT FROM new.stamp")
+def stamp_skip(spark, sf_dir):
+    return merge.stale(*event_slices(spark, sf_dir), ["user_id"], ["stamp"])
+
+
+# Debounce ---------------------------------------------------------------------------------------------------
+
+GAP = 21_600
+
+
+@query(f"WITH {CLOCK_SQL}, marked AS (SELECT user_id, sec, event_id, coalesce(sec - lag(sec) OVER w >= {GAP}, true) AS fresh FROM clock WINDOW w AS (PARTITION BY user_id ORDER BY sec, event_id)), bursts AS (SELECT user_id, sec, sum(CAST(fresh AS INTEGER)) OVER (PARTITION BY user_id ORDER BY sec, event_id) AS b FROM marked) SELECT user_id, max(sec) + {GAP} AS fired_at, count(*) AS n FROM bursts GROUP BY user_id, b")
+def debounce_trailing(spark, sf_dir):
+    return debounce.trailing(clock(spark, sf_dir), "user_id", "sec", GAP, "event_id")
+
+
+LEADING_SQL = f"""WITH RECURSIVE {CLOCK_SQL}, times AS (SELECT user_id, sec, count(*) AS n FROM clock GROUP BY ALL),
+ opened AS (SELECT user_id, min(sec) AS sec FROM times GROUP BY user_id UNION ALL SELECT user_id, sec FROM (SELECT o.user_id, (SELECT min(t.sec) FROM times t WHERE t.user_id = o.user_id AND t.sec >= o.sec + {GAP}) AS sec FROM opened o) WHERE sec IS NOT NULL)"""
+
+
+@query(f"{LEADING_SQL} SELECT o.user_id, o.sec + {GAP} AS fired_at, CAST(sum(t.n) AS BIGINT) AS n FROM opened o JOIN times t ON t.user_id = o.user_id AND t.sec >= o.sec AND t.sec < o.sec + {GAP} GROUP BY ALL")
+def debounce_leading(spark, sf_dir):
+    return debounce.leading(clock(spark, sf_dir), "user_id", "sec", GAP)
+
+
+@query(f"{LEADING_SQL} SELECT user_id, sec FROM opened UNION SELECT user_id, max(sec) FROM times GROUP BY user_id")
+def throttle(spark, sf_dir):
+    return debounce.throttled(clock(spark, sf_dir), "user_id", "sec", GAP)
+
+
+# Texts ----------------------------------------------------------------------------------------------------------
+
+
+@query(r"SELECT page_id, regexp_replace(regexp_replace(html, '<[^>]+>', '', 'g'), '\n{3,}', E'\n\n', 'g') AS text FROM pages")
+def html_strip(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", X.collapse_blank_lines(X.strip_html("html")).alias("text"))
+
+
+@query(r"SELECT conv_id, turn, trim(regexp_replace('/** ' || text || ' {@code x} */', '^/\*\*|\{@code x\} \*/$', '', 'g'), E' \t\n\r') || ' x' AS doc FROM conversations")
+def doc_clean(spark, sf_dir):
+    raw = F.concat(F.lit("/** "), "text", F.lit(" {@code x} */"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", X.clean_doc(raw).alias("doc"))
+
+
+@query("SELECT page_id, left(sha1(url), 8) AS sha1_8, left(sha256(url), 8) AS sha2_8 FROM pages")
+def fingerprint(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", X.first_hex("url").alias("sha1_8"), X.first_hex("url", algorithm="sha2").alias("sha2_8"))
+
+
+@query("SELECT event_id, CASE length(event_type) % 6 WHEN 1 THEN 'Error' WHEN 2 THEN 'Warning' WHEN 3 THEN 'Information' WHEN 4 THEN 'Hint' ELSE 'Error' END AS severity FROM events")
+def severity_map(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", X.severity(F.length("event_type") % 6).alias("severity"))
