@@ -303,20 +303,27 @@ def model(path: str) -> Model:
     return _models[path]
 
 
-def encode(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns `keep`, n_pieces and ids (array of int) of each whole text."""
+def encode(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",), check: bool = False) -> DataFrame:
+    """The columns `keep`, n_pieces and ids (array of int) of each whole text.
+
+    check: decode the ids at once, in the same worker, and add `restored`: whether the text comes back.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, most=1 << 22):
-            found = model(path).encode(*texts(batch))
+        coder = model(path)
+        for batch in slices(batches):
+            data, offsets = texts(batch)
+            found = coder.encode(data, offsets)
             counts = np.array([len(x) for x in found], np.int64)
-            offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
-            ids = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(found).astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(counts), ids], [*keep, "n_pieces", "ids"])
+            ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(np.concatenate(found).astype(np.int32)))
+            columns = [*(batch.column(c) for c in keep), pa.array(counts), ids]
+            if check:
+                columns.append(pa.array([coder.decode(x).encode() == data[a:b].tobytes() for x, a, b in zip(found, offsets, offsets[1:])]))
+            yield pa.RecordBatch.from_arrays(columns, [*keep, "n_pieces", "ids", "restored"][: len(columns)])
 
     kept = docs.select(*dict.fromkeys([*keep, "text"]))
     shape = ", ".join(f"`{c}` {dict(kept.dtypes)[c]}" for c in keep)
-    return kept.mapInArrow(run, f"{shape}, n_pieces long, ids array<int>")
+    return kept.mapInArrow(run, f"{shape}, n_pieces long, ids array<int>" + ", restored boolean" * check)
 
 
 def decode(encoded: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -48,10 +48,7 @@ def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_pieces(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFrame:
     """doc_id, n_pieces, ids, and whether decoding the ids restores the text."""
-    path = model or public_tokenizers.path("piece_bpe_32k.model")
-    encoded = pieces.encode(_table(spark, sf_dir, "documents"), path, keep=("doc_id", "text"))
-    both = pieces.decode(encoded.withColumnRenamed("text", "given"), path, keep=("doc_id", "given", "n_pieces", "ids"))
-    return both.select("doc_id", "n_pieces", "ids", (F.col("text") == F.coalesce("given", F.lit(""))).alias("restored"))
+    return pieces.encode(_table(spark, sf_dir, "documents"), model or public_tokenizers.path("piece_bpe_32k.model"), check=True)
 
 
 def op6_token_file(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
