@@ -40,7 +40,7 @@ from .textarrays import mix, powers, prefix_sums, slices, span_hashes, texts
 
 WIDTH = 400
 GRAM = 128
-SYMBOL = 40
+SYMBOL = 80
 #: Bytes of segments in a bucket (about) and in a shard (at most, unless one segment is longer).
 BUCKET, SHARD = 1 << 20, 1 << 19
 #: Distinct segments of one anchor that share a bucket.
