@@ -9,7 +9,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, media, mixing, neighbours, pieces, quality, scratch, secrets, simhash, suffixdedup, tokenfile
+from . import licenses, media, mixing, neighbours, oracles, pieces, quality, scratch, secrets, simhash, suffixdedup, tokenfile
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -93,4 +93,5 @@ QUERIES = {
 
 QUERIES["pipeline"] = corpus_pipeline.run
 
-ORACLE_SQL: dict[str, str] = {}
+#: Where SQL can express the query; the others are tested against brute force in tests/llm.
+ORACLE_SQL: dict[str, str] = {"op2_mixing": oracles.OP2_MIXING}

@@ -1,11 +1,13 @@
 import re
 from collections import defaultdict
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from factloom.llm import mixing
+from factloom.llm import mixing, queries
 
+from ..oracle import differences
 from . import cases
 
 
@@ -82,3 +84,19 @@ def test_applied_mix_has_the_words_of_the_plan(spark):
 
 def test_empty_table(spark):
     assert plan(spark, cases.empty(spark)) == []
+
+
+@pytest.mark.parametrize("shards", [1 << 18, 1000])
+def test_query_equals_its_sql(spark, tmp_path, monkeypatch, shards):
+    data = [(i, *r[1:]) for i, r in enumerate(cases.rows())]
+    cases.docs(spark, data).write.parquet(f"{tmp_path}/documents.parquet")
+    sql = queries.ORACLE_SQL["op2_mixing"].replace("262144", str(shards))
+    query = lambda spark, sf_dir: mixing.plan(spark.read.parquet(f"{sf_dir}/documents.parquet"), shard_words=shards).select("doc_id", "size", "source_size", "target", mixing.taken_words().alias("taken"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = sorted((r[0], r[1], r[2], round(r[3], 6), r[4]) for r in con.execute(sql).fetchall())
+    assert sorted((r.doc_id, r.size, r.source_size, round(r.target, 6), r.taken) for r in query(spark, str(tmp_path)).collect()) == want
+
+
+def test_query_equals_its_sql_on_the_tables(spark):
+    assert differences(spark, "/root/testdata/sf0.001", queries.QUERIES["op2_mixing"], queries.ORACLE_SQL["op2_mixing"]) == ""
