@@ -353,7 +353,8 @@ def repeated_runs(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, symbol:
     whole = distinct.filter("places > 1").select("anchor", "segment", F.array(F.struct(F.lit(0).alias("from"), F.col("windows").alias("to"))).alias("runs"))
     runs = materialize(runs.union(whole), "suffix-runs")
     _free_shuffles(spark)
-    placed = segments.join(runs.groupBy("anchor", "segment").agg(F.flatten(F.collect_list("runs")).alias("runs")), ["anchor", "segment"])
+    # both sides are plain exchanges here, so a segment that stands very often is split as a skewed join
+    placed = segments.join(runs, ["anchor", "segment"])
     covered = F.transform("runs", lambda r: F.struct((F.col("first") + r["from"]).alias("from"), (F.col("first") + r["to"] + (width - 1)).alias("to")))
     placed = placed.select("text", F.explode(covered).alias("run")).groupBy("text").agg(F.collect_set("run").alias("runs"))
     return placed
