@@ -6,6 +6,10 @@ bit planes stand vertically, one 64-bit word holds a bit of 64 fingerprints, and
 counters add up many distances at once; rows and words whose distances all exceed the radius
 are abandoned. Links become components by large-star and small-star rounds on checkpoints.
 
+`near_duplicates` links 64-bit fingerprints of three-word shingles within three bits. `keep_one`
+takes five words and a similarity of 0.8: wider fingerprints, within the distance that this
+similarity allows, among texts that share a least hash.
+
 Defined results: null and empty texts have fingerprint zero and link like any other; identical
 texts share a fingerprint; a null doc_id never names a component unless no other id is there;
 an empty table gives an empty result; other columns are ignored.
@@ -23,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import materialize, shared_folder
-from .textarrays import LOWER, NOT_SPACE, runs, slices, texts
+from .textarrays import LOWER, NOT_SPACE, mix, runs, slices, texts
 
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 TILE = 1024
@@ -31,13 +35,11 @@ TILE = 1024
 CELL = 4096
 
 
-def fingerprints_of(data: np.ndarray, offsets: np.ndarray, shingle: int = 3, seed: int = 42) -> np.ndarray:
-    """A 64-bit SimHash (uint64) for each text."""
-    n = len(offsets) - 1
-    out = np.zeros(n, np.uint64)
+def shingle_hashes(data: np.ndarray, offsets: np.ndarray, shingle: int = 3, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
+    """XXH64 of every shingle of every text, and the row it is in; fewer words than a shingle are one."""
     starts, ends, row = runs(data, offsets, NOT_SPACE)
     if not len(starts):
-        return out
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     keep = NOT_SPACE[data]
     keep[ends[ends < len(data)]] = True
     lower = LOWER[data]
@@ -45,82 +47,112 @@ def fingerprints_of(data: np.ndarray, offsets: np.ndarray, shingle: int = 3, see
     place = np.cumsum(keep)
     normal = memoryview(lower[keep])
     starts, ends = place[starts] - 1, place[ends - 1]
-    counts = np.bincount(row, minlength=n)
+    counts = np.bincount(row, minlength=len(offsets) - 1)
     first = np.cumsum(counts) - counts
     index = np.arange(len(starts)) - first[row]
     leads = np.flatnonzero((index == 0) | (index <= counts[row] - shingle))
     tails = np.minimum(leads + shingle - 1, (first + counts - 1)[row[leads]])
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(normal[a:b], seed) for a, b in zip(starts[leads].tolist(), ends[tails].tolist())), np.uint64, len(leads))
-    row = row[leads]
-    owners, at, amount = np.unique(row, return_index=True, return_counts=True)
+    return np.fromiter((digest(normal[a:b], seed) for a, b in zip(starts[leads].tolist(), ends[tails].tolist())), np.uint64, len(leads)), row[leads]
+
+
+def majority(hashes: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
+    """For each of n rows, the bits set in over half of its hashes; zero without any."""
+    out = np.zeros(n, np.uint64)
+    if not len(hashes):
+        return out
+    owners, amount = np.unique(row, return_counts=True)
     set_bits = np.zeros((len(owners), 64), np.int64)
     step = 1 << 16
     for k in range(0, len(hashes), step):  # bounded: 64 bytes a shingle
         bits = np.unpackbits(hashes[k : k + step].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        here = np.searchsorted(owners, row[k : k + step])
-        own, first_at = np.unique(here, return_index=True)
+        own, first_at = np.unique(np.searchsorted(owners, row[k : k + step]), return_index=True)
         set_bits[own] += np.add.reduceat(bits, first_at, axis=0, dtype=np.int32)
-    packed = np.packbits(2 * set_bits > amount[:, None], axis=1, bitorder="little")
-    out[owners] = packed.view(np.uint64).ravel()
+    out[owners] = np.packbits(2 * set_bits > amount[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
     return out
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42, hashed: bool = False) -> DataFrame:
-    """doc_id, fingerprint (long with the fingerprint's bits) of every document; text_hash too, if asked."""
-    more = ["text_hash"] if hashed else []
+def fingerprints_of(data: np.ndarray, offsets: np.ndarray, shingle: int = 3, seed: int = 42) -> np.ndarray:
+    """A 64-bit SimHash (uint64) for each text."""
+    return majority(*shingle_hashes(data, offsets, shingle, seed), len(offsets) - 1)
+
+
+def sketches_of(data: np.ndarray, offsets: np.ndarray, shingle: int, words: int, keys: int, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
+    """(n x words: a SimHash of 64 x words bits, n x keys: least hashes of the shingles) of each text."""
+    n = len(offsets) - 1
+    hashes, row = shingle_hashes(data, offsets, shingle, seed)
+    salt = mix(np.arange(1, words + keys + 1, dtype=np.uint64))
+    prints = np.stack([majority(hashes if k == 0 else mix(hashes ^ salt[k]), row, n) for k in range(words)], axis=1)
+    least = np.zeros((n, keys), np.uint64)
+    if len(row):
+        owners, first = np.unique(row, return_index=True)
+        for k in range(keys):
+            least[owners, k] = np.minimum.reduceat(mix(hashes ^ salt[words + k]), first)
+    return prints, least
+
+
+def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame:
+    """doc_id, fingerprint (long with the fingerprint's bits) of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             found = fingerprints_of(*texts(batch), shingle, seed)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found.view(np.int64)), *(batch.column(c) for c in more)], ["doc_id", "fingerprint", *more])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found.view(np.int64))], ["doc_id", "fingerprint"])
 
-    kept = docs.select("doc_id", "text", *[F.xxhash64("text").alias(c) for c in more])
-    return kept.mapInArrow(run, f"doc_id {dict(kept.dtypes)['doc_id']}, fingerprint long" + ", text_hash long" * hashed)
+    kept = docs.select("doc_id", "text")
+    return kept.mapInArrow(run, f"doc_id {dict(kept.dtypes)['doc_id']}, fingerprint long")
 
 
 def planes(values: np.ndarray) -> np.ndarray:
-    """64 x words: bit p of 64 values in each word of row p, the last word padded with copies."""
-    padded = np.concatenate([values, np.repeat(values[-1:], -len(values) % 64)])
-    bits = np.unpackbits(padded.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    """(64 x words) x lanes: bit p of 64 fingerprints in each lane word of row p; the last lane is padded with copies."""
+    padded = np.concatenate([values, np.repeat(values[-1:], -len(values) % 64, axis=0)])
+    bits = np.unpackbits(np.ascontiguousarray(padded).view(np.uint8).reshape(len(padded), -1), axis=1, bitorder="little")
     return np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little").view(np.uint64)
 
 
+def exceeds(counters: list[np.ndarray], over: np.ndarray, radius: int) -> np.ndarray:
+    """Lanes whose bit-sliced count (low bit first; over: it ran over) is above the radius."""
+    above, equal = over.copy(), ~over
+    for k in reversed(range(len(counters))):
+        if radius >> k & 1:
+            equal &= counters[k]
+        else:
+            above |= equal & counters[k]
+            equal &= ~counters[k]
+    return above
+
+
 def close_pairs(left: np.ndarray, right: np.ndarray, radius: int = 3) -> tuple[np.ndarray, np.ndarray]:
-    """Indices (i, j) of all values at most radius (0 to 3) bits apart."""
+    """Indices (i, j) of all fingerprints at most radius bits apart. Rows are fingerprints of one or more 64-bit words."""
     if not len(left) or not len(right):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    left, right = (x.reshape(len(x), -1) for x in (left, right))
     stand = planes(right)
-    words = np.arange(stand.shape[1])
-    rows = np.arange(len(left))
-    shape = (len(rows), len(words))
-    ones, twos, over = (np.zeros(shape, np.uint64) for _ in range(3))
-    asked = np.zeros((64, len(left)), np.uint64)
-    for p in range(64):
-        asked[p] = np.uint64(0) - (left >> np.uint64(p) & np.uint64(1))
-    for p in range(64):
-        differ = asked[p, rows][:, None] ^ stand[p, words][None, :]
-        carry = ones & differ
-        ones ^= differ
-        over |= twos & carry
-        twos ^= carry
-        if p % 8 == 7 and p >= 15:
-            alive = over != np.uint64(0xFFFFFFFFFFFFFFFF)
-            live_rows, live_words = alive.any(1), alive.any(0)
+    lanes, rows = np.arange(stand.shape[1]), np.arange(len(left))
+    counters = [np.zeros((len(rows), len(lanes)), np.uint64) for _ in range(max(1, radius.bit_length()))]
+    over = np.zeros((len(rows), len(lanes)), np.uint64)
+    n_planes = len(stand)
+    for p in range(n_planes):
+        asked = np.uint64(0) - (left[rows, p // 64] >> np.uint64(p % 64) & np.uint64(1))
+        carry = asked[:, None] ^ stand[p, lanes][None, :]
+        for c in counters:  # carry-save: each counter keeps its bit and hands the carry on
+            c ^= carry
+            carry &= ~c
+        over |= carry
+        if p % 8 == 7 and radius < p < n_planes - 1 and (p % 16 == 15 or n_planes == 64):
+            alive = exceeds(counters, over, radius) != np.uint64(0xFFFFFFFFFFFFFFFF)
+            live_rows, live_lanes = alive.any(1), alive.any(0)
             if not live_rows.any():
                 return np.zeros(0, np.int64), np.zeros(0, np.int64)
-            if live_rows.mean() < 0.75 or live_words.mean() < 0.75:
-                rows, words = rows[live_rows], words[live_words]
-                cut = np.ix_(live_rows, live_words)
-                ones, twos, over = ones[cut], twos[cut], over[cut]
-    near = ~over
-    if radius < 3:
-        for k in range(radius + 1, 4):
-            near &= ~((ones if k & 1 else ~ones) & (twos if k & 2 else ~twos))
-    hit_row, hit_word = np.nonzero(near)
-    bits = np.unpackbits(near[hit_row, hit_word].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            if live_rows.mean() < 0.75 or live_lanes.mean() < 0.75:
+                rows, lanes = rows[live_rows], lanes[live_lanes]
+                cut = np.ix_(live_rows, live_lanes)
+                counters, over = [c[cut] for c in counters], over[cut]
+    near = ~exceeds(counters, over, radius)
+    hit_row, hit_lane = np.nonzero(near)
+    bits = np.unpackbits(near[hit_row, hit_lane].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     pair, lane = np.nonzero(bits)
-    i, j = rows[hit_row[pair]], words[hit_word[pair]] * 64 + lane
+    i, j = rows[hit_row[pair]], lanes[hit_lane[pair]] * 64 + lane
     return i[j < len(right)], j[j < len(right)]
 
 
@@ -140,36 +172,54 @@ def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         label = new
 
 
-def _compare_sorted(radius: int):
+def _compare_sorted(radius: int, words: int = 1):
+    columns = ["fingerprint", *(f"f{k}" for k in range(1, words))]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by key; the tiles that share the last key stay for comparison."""
-        kept: list[tuple[np.ndarray, np.ndarray]] = []  # tiles whose last key may go on
+        """Rows (key, node, fingerprint words) come sorted by key; tiles that share the last key stay for comparison."""
+        kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # tiles whose last key may go on
         for batch in batches:
-            keys, values = (batch.column(c).to_numpy() for c in ("key", "fingerprint"))
-            values = values.view(np.uint64)
+            keys, nodes = (batch.column(c).to_numpy() for c in ("key", "node"))
+            values = np.stack([batch.column(c).to_numpy() for c in columns], axis=1).view(np.uint64)
             for k in range(0, len(keys), TILE):
-                key, value = keys[k : k + TILE], values[k : k + TILE]
-                kept = [t for t in kept if t[0][-1] == key[0]]
-                for other_key, other in [*kept, (key, value)]:
-                    if other is value:
-                        ask, stand = value, value
+                tile = keys[k : k + TILE], nodes[k : k + TILE], values[k : k + TILE]
+                kept = [t for t in kept if t[0][-1] == tile[0][0]]
+                for other in [*kept, tile]:
+                    if other is tile:
+                        names = tile[1]
+                        u, v = close_pairs(tile[2], tile[2], radius)
+                        u, v = u[u < v], v[u < v]
                     else:  # only rows of the key that both tiles hold
-                        ask, stand = value[key == key[0]], other[other_key == key[0]]
-                    i, j = close_pairs(ask, stand, radius)
-                    if other is value:
-                        i, j = i[i < j], j[i < j]
-                        nodes, u, v = value, i, j
-                    else:
-                        nodes, u, v = np.concatenate([ask, stand]), i, j + len(ask)
+                        ask, stand = (t[0] == tile[0][0] for t in (tile, other))
+                        names = np.concatenate([tile[1][ask], other[1][stand]])
+                        u, v = close_pairs(tile[2][ask], other[2][stand], radius)
+                        v = v + int(ask.sum())
                     if len(u):
-                        label = forest(len(nodes), u, v)
+                        label = forest(len(names), u, v)
                         moved = np.flatnonzero(label != np.arange(len(label)))
-                        yield pa.RecordBatch.from_arrays([pa.array(nodes[moved].view(np.int64)), pa.array(nodes[label[moved]].view(np.int64))], ["u", "v"])
-                kept.append((key, value))
+                        yield pa.RecordBatch.from_arrays([pa.array(names[moved]), pa.array(names[label[moved]])], ["u", "v"])
+                kept.append(tile)
 
     return run
 
 
+def _dealt(keyed: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows of keys that two or more share, dealt to tasks and sorted by key.
+
+    A key of more than CELL rows is cut in parts, and every pair of parts is a cell of its own,
+    so no task compares more rows of a key than two parts have.
+    """
+    sizes = keyed.groupBy("table_key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    keyed = keyed.join(sizes, "table_key")
+    parts = F.ceil(F.col("n") / CELL).cast("int")
+    own = F.pmod(F.xxhash64("node"), parts).cast("int")
+    cells = F.when(F.col("n") <= CELL, F.array(F.lit(0))).otherwise(
+        F.transform(F.sequence(F.lit(0), parts - 1), lambda other: F.least(other, own) * 100_000 + F.greatest(other, own))
+    )
+    dealt = keyed.select("node", *columns, "table_key", F.explode(cells).alias("cell")).select("node", *columns, F.xxhash64("table_key", "cell").alias("key"))
+    return dealt.repartition("key").sortWithinPartitions("key")
+
+
 def links(distinct: DataFrame, radius: int = 3) -> DataFrame:
     """u, v: links between distinct fingerprints that leave exactly the components of all links."""
     assert 0 <= radius <= 3
@@ -179,18 +229,16 @@ def links(distinct: DataFrame, radius: int = 3) -> DataFrame:
         F.shiftleft(F.lit(t).cast("long"), 32).bitwiseOR(F.shiftleft(bit[a], 13)).bitwiseOR(bit[b]).alias(f"k{t}")
         for t, (a, b) in enumerate(combinations(range(len(BLOCKS)), 2))
     ]
-    keyed = distinct.select("fingerprint", F.explode(F.array(*tables)).alias("table_key"))
-    sizes = keyed.groupBy("table_key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    keyed = keyed.join(sizes, "table_key")
-    parts = F.ceil(F.col("n") / CELL).cast("int")
-    own = F.pmod(F.xxhash64("fingerprint"), parts).cast("int")
-    # a key over CELL is cut in parts, and every pair of parts is a cell: no row meets another twice in a task
-    cells = F.when(F.col("n") <= CELL, F.array(F.lit(0))).otherwise(
-        F.transform(F.sequence(F.lit(0), parts - 1), lambda other: F.least(other, own) * 100_000 + F.greatest(other, own))
-    )
-    dealt = keyed.select("fingerprint", "table_key", F.explode(cells).alias("cell")).select("fingerprint", F.xxhash64("table_key", "cell").alias("key"))
-    tiles = dealt.repartition("key").sortWithinPartitions("key")
-    return tiles.mapInArrow(_compare_sorted(radius), "u long, v long").distinct()
+    keyed = distinct.select(value.alias("node"), "fingerprint", F.explode(F.array(*tables)).alias("table_key"))
+    return _dealt(keyed, ["fingerprint"]).mapInArrow(_compare_sorted(radius), "u long, v long").distinct()
+
+
+def similar_links(distinct: DataFrame, words: int, keys: int, radius: int) -> DataFrame:
+    """u, v: links of nodes whose wide fingerprints are near, among those that share a least hash."""
+    columns = ["fingerprint", *(f"f{k}" for k in range(1, words))]
+    table_keys = F.array(*[F.xxhash64(F.lit(k), F.col(f"m{k}")) for k in range(keys)])
+    keyed = distinct.select("node", *columns, F.explode(table_keys).alias("table_key"))
+    return _dealt(keyed, columns).mapInArrow(_compare_sorted(radius, words), "u long, v long").distinct()
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -239,16 +287,46 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3, seed: in
     return marked.join(named, "fingerprint").select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, shingle: int = 3, radius: int = 3, seed: int = 42) -> DataFrame:
-    """One document of each component, with all its columns: the one of the smallest doc_id.
+def sketches(docs: DataFrame, shingle: int, words: int, keys: int, seed: int = 42) -> DataFrame:
+    """doc_id, text_hash, fingerprint, f1.., m0.., node (a hash of the sketch) of every document."""
+    names = ["fingerprint", *(f"f{k}" for k in range(1, words)), *(f"m{k}" for k in range(keys))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            prints, least = sketches_of(*texts(batch), shingle, words, keys, seed)
+            values = [pa.array(np.ascontiguousarray(c).view(np.int64)) for c in (*prints.T, *least.T)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), *values], ["doc_id", "text_hash", *names])
+
+    kept = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    shape = f"doc_id {dict(kept.dtypes)['doc_id']}, text_hash long, " + ", ".join(f"{c} long" for c in names)
+    return kept.mapInArrow(run, shape).withColumn("node", F.xxhash64(*names))
+
+
+def radius_of(similarity: float, bits: int, deviations: float = 1.5) -> int:
+    """Differing bits that texts of a Jaccard similarity have at most, but for a share of them in the tail.
+
+    A share s = 2J / (1 + J) of the shingles is common, and a bit differs with probability acos(s) / pi.
+    """
+    differ = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(bits * differ + deviations * np.sqrt(bits * differ * (1 - differ)))
+
+
+def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, words: int = 4, keys: int = 6, seed: int = 42) -> DataFrame:
+    """One document of each group of near duplicates, with all its columns: the one of the smallest doc_id.
 
+    Near duplicates share `similarity` of their word shingles. They are looked for among texts
+    that share one of `keys` least hashes (all but (1 - similarity) ** keys of them do), and told by
+    the bit-sliced distance of fingerprints of 64 x words bits. Groups are components of links.
     Among equal ids (null last) the smallest hash of the text decides; of rows that repeat id and
     text, one stays.
     """
-    marked = materialize(fingerprints(docs, shingle, seed, hashed=True), "simhash")
+    marked = materialize(sketches(docs, shingle, words, keys, seed), "simhash-sketches")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")
-    least = marked.groupBy("fingerprint").agg(F.min(order).alias("least"))
-    chosen = _roots(marked, radius).join(least, "fingerprint").groupBy("root").agg(F.min("least").alias("least"))
+    sketch = ["fingerprint", *(f"f{k}" for k in range(1, words)), *(f"m{k}" for k in range(keys))]
+    distinct = marked.select("node", *sketch).distinct()
+    found = components(similar_links(distinct, words, keys, radius_of(similarity, 64 * words)))
+    least = marked.groupBy("node").agg(F.min(order).alias("least"))
+    chosen = least.join(found, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("least").alias("least"))
     chosen = chosen.select(F.col("least.doc_id").alias("_id"), F.col("least.text_hash").alias("_hash"))
     rows = docs.withColumn("_text_hash", F.xxhash64("text"))
     kept = rows.join(chosen, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left_semi")

@@ -11,7 +11,7 @@ from factloom.llm import mixing
 
 from . import cases
 from .test_mixing import brute_targets, size
-from .test_simhash import brute_components, brute_fingerprint
+from .test_simhash import brute_groups
 
 
 @pytest.fixture(scope="module")
@@ -50,7 +50,7 @@ def test_every_stage_equals_brute_force(spark, folder):
     one = corpus_pipeline.near_duplicates(spark, kept, folder)
     given, got = kept.collect(), rows(one)
     groups = defaultdict(list)
-    for r, root in zip(given, brute_components([brute_fingerprint(r.text) for r in given])):
+    for r, root in zip(given, brute_groups([r.text for r in given])):
         groups[root].append(r)
     assert one.columns == columns and sum(got.values()) == len(groups)
     for members in groups.values():

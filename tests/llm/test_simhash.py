@@ -38,6 +38,63 @@ def brute_components(prints):
     return [root(i) for i in range(len(prints))]
 
 
+def brute_groups(texts, shingle=5, similarity=0.8, words=4, keys=6):
+    """index -> smallest index reachable, over all pairs that share a least hash and are near enough."""
+    sketch = []
+    for t in texts:
+        raw = np.frombuffer((t or "").encode(), np.uint8)
+        prints, least = simhash.sketches_of(raw, np.array([0, len(raw)]), shingle, words, keys)
+        sketch.append((int.from_bytes(prints[0].tobytes(), "little"), least[0].tolist()))
+    label = list(range(len(texts)))
+
+    def root(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    radius = simhash.radius_of(similarity, 64 * words)
+    for i in range(len(texts)):
+        for j in range(i):
+            if (sketch[i][0] ^ sketch[j][0]).bit_count() <= radius and any(a == b for a, b in zip(sketch[i][1], sketch[j][1])):
+                a, b = root(i), root(j)
+                label[max(a, b)] = min(a, b)
+    return [root(i) for i in range(len(texts))]
+
+
+def jaccard(a, b):
+    a, b = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (a.lower().split(), b.lower().split()))
+    return len(a & b) / len(a | b)
+
+
+def test_similar_texts_are_grouped_and_others_stay(spark):
+    rng = random.Random(17)
+    texts, pairs = [], []
+    shared = cases.prose(rng, 60)
+    for _ in range(60):
+        base = cases.prose(rng, rng.randint(80, 300)).split()
+        near = list(base)
+        for k in rng.sample(range(len(near)), max(1, len(near) // 150)):
+            near[k] = "changed"
+        pairs.append((len(texts), len(texts) + 1))
+        texts += [" ".join(base), " ".join(near)]
+    texts += [shared + " " + cases.prose(rng, 150) for _ in range(40)]  # one passage in many documents
+    docs = cases.docs(spark, [(i, t, "en", "s", 1) for i, t in enumerate(texts)])
+    kept = {r.doc_id for r in simhash.keep_one(docs).collect()}
+    near = [p for p in pairs if jaccard(texts[p[0]], texts[p[1]]) >= 0.8]
+    assert len(near) > 50 and sum(b not in kept for _, b in near) >= 0.95 * len(near)
+    assert all(a in kept for a, _ in pairs) and set(range(120, 160)) <= kept
+
+
+def test_wide_fingerprints_and_larger_radii():
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 63, (40, 4), dtype=np.uint64)
+    values = np.concatenate([base, base ^ (np.uint64(1) << rng.integers(0, 64, (40, 4), dtype=np.uint64)), base ^ rng.integers(0, 1 << 14, (40, 4), dtype=np.uint64)])
+    whole = [int.from_bytes(v.tobytes(), "little") for v in values]
+    for radius in (0, 4, 5, 30, 48, 100):
+        i, j = simhash.close_pairs(values[:70], values, radius)
+        assert set(zip(i.tolist(), j.tolist())) == {(a, b) for a in range(70) for b in range(120) if (whole[a] ^ whole[b]).bit_count() <= radius}
+
+
 def test_close_pairs_is_every_pair_within_the_radius():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 1 << 63, 150, dtype=np.uint64)
