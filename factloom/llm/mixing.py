@@ -3,7 +3,8 @@
 A source's words are laid out as shards: seeded, ordered streams of its documents. Targets say
 how many equal-token blocks the mix takes in all; blocks go to sources, and within a source to
 its shards, by the highest quotients weight / (2k + 1). A shard takes its quota as whole passes
-over its blocks plus blocks in seeded order, so a document is taken at most `limit` times.
+over its blocks plus a run of blocks from a seeded one on, so a document is taken at most `limit`
+times, and all but a few documents are taken whole.
 
 Defined results: null text counts as empty (size 0, taken 0); a null source is a source and
 sorts last; identical rows are separate documents and share results as a multiset; an empty
@@ -76,7 +77,7 @@ def seeded(seed: int, *parts: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
 
 
-def plan(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), limit: int = 3, block: int = 256, shard_words: int = 1 << 18, seed: int = 42) -> DataFrame:
+def plan(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), limit: int = 3, block: int = 16, shard_words: int = 1 << 18, seed: int = 42) -> DataFrame:
     """doc_id, source, size, source_size, target, passes, pieces: what the mix takes of each document.
 
     passes: whole repeats; pieces: word ranges [from, to) taken once more. block: words in a
@@ -104,22 +105,24 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), limit: int = 3,
     # whole passes, and the words that blocks chosen by seed add to them
     shards = shards.withColumn("passes", F.when(F.col("words") > 0, F.expr("quota_words div words")).otherwise(F.lit(0).cast("long")))
     shards = shards.withColumn("extra", F.round((F.col("quota_words") - F.col("passes") * F.col("words")) / block).cast("long"))
-    n_blocks = F.ceil(F.col("words") / block).cast("long")
-    blocks = shards.filter("extra > 0 and words > 0").withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), n_blocks - 1)))
-    by_seed = Window.partitionBy("_source", "shard").orderBy(seeded(seed + 1, F.col("_source"), F.col("shard"), F.col("_block")), "_block")
-    chosen = blocks.withColumn("_turn", F.row_number().over(by_seed)).filter("_turn <= extra")
-    chosen = chosen.groupBy("_source", "shard").agg(F.sort_array(F.collect_list("_block")).alias("blocks"))
-    shards = shards.join(chosen, ["_source", "shard"], "left").select("_source", "shard", "passes", "blocks")
+    # the extra blocks stand next to each other from a seeded one on, round the stream's end: so few documents are cut
+    n_blocks = F.greatest(F.lit(1), F.ceil(F.col("words") / block)).cast("long")
+    begin = seeded(seed + 1, F.col("_source"), F.col("shard")) % n_blocks
+    shards = shards.withColumn("_begin", begin * block).withColumn("_end", (begin + F.col("extra")) * block).withColumn("_round", n_blocks * block)
+    shards = shards.select("_source", "shard", "passes", "_begin", "_end", "_round")
     stream = Window.partitionBy("_source", "shard").orderBy("_at", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     laid = placed.withColumn("_to", F.sum("size").over(stream)).join(shards, ["_source", "shard"])
     start = F.col("_to") - F.col("size")
-    first, last = F.floor(start / block).cast("long"), F.floor((F.col("_to") - 1) / block).cast("long")
-    own = F.when(
-        F.col("size") > 0,
-        F.filter(F.coalesce(F.col("blocks"), F.array().cast("array<bigint>")), lambda b: (b >= first) & (b <= last)),
-    ).otherwise(F.array().cast("array<bigint>"))
-    pieces = F.transform(own, lambda b: F.struct((F.greatest(b * block, start) - start).alias("from"), (F.least((b + 1) * block, F.col("_to")) - start).alias("to")))
-    return laid.select("doc_id", "source", "size", "source_size", "target", "passes", pieces.alias("pieces"))
+
+    def within(low: Column, high: Column) -> Column:
+        return F.struct((F.greatest(low, start) - start).alias("from"), (F.least(high, F.col("_to")) - start).alias("to"))
+
+    both = F.array(within(F.lit(0).cast("long"), F.col("_end") - F.col("_round")), within(F.col("_begin"), F.least(F.col("_end"), F.col("_round"))))
+    pieces = F.filter(both, lambda p: p["to"] > p["from"])
+    whole = F.exists("pieces", lambda p: p["to"] - p["from"] == F.col("size"))
+    cut = laid.withColumn("pieces", pieces)
+    cut = cut.withColumn("passes", F.when(whole, F.col("passes") + 1).otherwise(F.col("passes"))).withColumn("pieces", F.when(whole, F.slice("pieces", 1, 0)).otherwise(F.col("pieces")))
+    return cut.select("doc_id", "source", "size", "source_size", "target", "passes", "pieces")
 
 
 def taken_words() -> Column:

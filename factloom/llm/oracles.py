@@ -12,18 +12,19 @@ targets AS (SELECT source, coalesce('s' || source, 'n') AS s, source_size, least
 placed AS (SELECT z.doc_id, z.size, t.s, t.source_size, t.target, CAST('0x' || left(md5('42:' || coalesce(CAST(z.doc_id AS VARCHAR), '') || ':' || z.size), 8) AS BIGINT) AS place,
   greatest(1, CAST(ceil(t.source_size / 262144) AS BIGINT)) AS shards FROM sizes z JOIN targets t ON z.source IS NOT DISTINCT FROM t.source),
 dealt AS (SELECT *, place % shards AS shard FROM placed),
-seats AS (SELECT CAST(round(sum(target) / 256) AS BIGINT) AS n FROM targets),
+seats AS (SELECT CAST(round(sum(target) / 16) AS BIGINT) AS n FROM targets),
 source_quota AS (SELECT s, count(*) AS quota FROM (SELECT s, row_number() OVER (ORDER BY target / (2 * k + 1) DESC, s, k) AS r FROM targets, seats, unnest(range(0, seats.n)) AS q(k) WHERE target > 0), seats WHERE r <= seats.n GROUP BY s),
 shard_sizes AS (SELECT s, shard, CAST(sum(size) AS BIGINT) AS words FROM dealt GROUP BY s, shard),
 shard_quota AS (SELECT s, shard, count(*) AS quota FROM (SELECT z.s, z.shard, g.quota, row_number() OVER (PARTITION BY z.s ORDER BY z.words / (2 * k + 1) DESC, z.shard, k) AS r
   FROM shard_sizes z JOIN source_quota g ON z.s = g.s, unnest(range(0, g.quota)) AS q(k) WHERE z.words > 0) WHERE r <= quota GROUP BY s, shard),
-shard_plan AS (SELECT z.s, z.shard, z.words, least(coalesce(g.quota, 0) * 256, 3 * z.words) AS wanted FROM shard_sizes z LEFT JOIN shard_quota g ON z.s = g.s AND z.shard = g.shard),
+shard_plan AS (SELECT z.s, z.shard, z.words, least(coalesce(g.quota, 0) * 16, 3 * z.words) AS wanted FROM shard_sizes z LEFT JOIN shard_quota g ON z.s = g.s AND z.shard = g.shard),
 passes AS (SELECT *, CASE WHEN words > 0 THEN wanted // words ELSE 0 END AS passes FROM shard_plan),
-extras AS (SELECT *, CAST(round((wanted - passes * words) / 256) AS BIGINT) AS extra FROM passes),
-blocks AS (SELECT s, shard, b FROM (SELECT s, shard, extra, b, row_number() OVER (PARTITION BY s, shard ORDER BY CAST('0x' || left(md5('43:' || s || ':' || shard || ':' || b), 8) AS BIGINT), b) AS r
-  FROM extras, unnest(range(0, CAST(ceil(words / 256) AS BIGINT))) AS q(b) WHERE words > 0) WHERE r <= extra),
+extras AS (SELECT *, CAST(round((wanted - passes * words) / 16) AS BIGINT) AS extra FROM passes),
+counted AS (SELECT *, greatest(1, CAST(ceil(words / 16) AS BIGINT)) AS n FROM extras),
+begun AS (SELECT *, CAST('0x' || left(md5('43:' || s || ':' || shard), 8) AS BIGINT) % n AS first FROM counted),
+blocks AS (SELECT s, shard, b FROM begun, unnest(range(0, n)) AS q(b) WHERE (b - first + n) % n < extra),
 laid AS (SELECT d.doc_id, d.size, d.source_size, d.target, d.s, d.shard, row_number() OVER () AS n, CAST(sum(d.size) OVER (PARTITION BY d.s, d.shard ORDER BY d.place, d.doc_id NULLS FIRST, d.size ROWS UNBOUNDED PRECEDING) AS BIGINT) AS upto FROM dealt d),
-pieces AS (SELECT l.n, CAST(sum(least((b + 1) * 256, upto) - greatest(b * 256, upto - size)) AS BIGINT) AS words FROM laid l JOIN blocks k ON k.s = l.s AND k.shard = l.shard AND k.b * 256 < l.upto AND (k.b + 1) * 256 > l.upto - l.size WHERE l.size > 0 GROUP BY l.n)
+pieces AS (SELECT l.n, CAST(sum(least((b + 1) * 16, upto) - greatest(b * 16, upto - size)) AS BIGINT) AS words FROM laid l JOIN blocks k ON k.s = l.s AND k.shard = l.shard AND k.b * 16 < l.upto AND (k.b + 1) * 16 > l.upto - l.size WHERE l.size > 0 GROUP BY l.n)
 SELECT l.doc_id, l.size, l.source_size, l.target, CAST(e.passes * l.size + coalesce(p.words, 0) AS BIGINT) AS taken
 FROM laid l JOIN extras e ON e.s = l.s AND e.shard = l.shard LEFT JOIN pieces p ON p.n = l.n
 """
