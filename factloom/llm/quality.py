@@ -117,7 +117,8 @@ def _labelled(docs: DataFrame, labels: DataFrame, most: int, seed: int) -> DataF
     for q in (0, 1):
         part = clean.filter(F.col("quality") == q).orderBy(by_hash, "doc_id").limit(most)
         chosen = part if chosen is None else chosen.union(part)
-    return docs.select("doc_id", "text").join(chosen, "doc_id")
+    # at most 2 x most ids, whatever the input: small enough to broadcast, and texts are not shuffled
+    return docs.select("doc_id", "text").join(F.broadcast(chosen) if most <= 100_000 else chosen, "doc_id")
 
 
 def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, most_labels: int = 20_000, seed: int = 42) -> tuple[np.ndarray, float] | None:
