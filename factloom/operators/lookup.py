@@ -211,3 +211,15 @@ def overridden(rows: DataFrame, overrides: DataFrame, key: str, columns: list[st
     renamed = overrides.select(key, F.col("disabled").alias("_off"), *[F.col(c).alias(f"_{c}") for c in columns])
     out = rows.join(renamed, key, "left").filter(~F.coalesce("_off", F.lit(False)))
     return out.withColumns({c: F.coalesce(f"_{c}", c) for c in columns}).drop("_off", *[f"_{c}" for c in columns])
+
+
+def declaration_at(wanted: DataFrame, declared: DataFrame) -> DataFrame:
+    """query_id, symbol: of the declarations on the wanted line, the one of the name, else the one at the column.
+
+    wanted: query_id, path, line, ch, name; declared: path, symbol, short_name and ranges.
+    """
+    same = wanted.join(declared, (wanted["path"] == declared["path"]) & (wanted["line"] == declared["start_line"]))
+    inside = (F.col("start_char") <= F.col("ch")) & ((F.col("end_line") > F.col("start_line")) | (F.col("ch") < F.col("end_char")))
+    tier = F.when(F.col("short_name") == F.col("name"), 0).when(inside, 1)
+    hits = same.withColumn("tier", tier).filter("tier is not null")
+    return hits.groupBy("query_id").agg(F.min(F.struct("tier", "start_char", "symbol")).alias("m")).select("query_id", "m.symbol")

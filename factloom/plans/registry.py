@@ -426,3 +426,108 @@ def fingerprint(spark, sf_dir):
 @query("SELECT event_id, CASE length(event_type) % 6 WHEN 1 THEN 'Error' WHEN 2 THEN 'Warning' WHEN 3 THEN 'Information' WHEN 4 THEN 'Hint' ELSE 'Error' END AS severity FROM events")
 def severity_map(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", X.severity(F.length("event_type") % 6).alias("severity"))
+
+
+@query("SELECT page_id, CASE WHEN length(url) > 120 THEN left(url, 117) || '...' ELSE url END AS short, CASE WHEN length(html) > 120 THEN left(html, 117) || '...' ELSE html END AS text FROM pages")
+def signature_truncation(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", X.signature_text("url").alias("short"), X.signature_text("html").alias("text"))
+
+
+@query("SELECT page_id, regexp_replace(regexp_replace('jar:file:/c/' || page_id || '.jar!/p/A.java', '^jar:', ''), '!/.*$', '') AS given, 'file:///c/' || page_id || '.jar' AS uri, '/c/' || page_id || ' x+y.jar' AS path FROM pages")
+def uri_normalization(spark, sf_dir):
+    uri = F.concat(F.lit("jar:file:/c/"), "page_id", F.lit(".jar!/p/A.java"))
+    given = F.regexp_replace(F.regexp_replace(uri, "^jar:", ""), "!/.*$", "")
+    encoded = F.concat(F.lit("file:///c/"), "page_id", F.lit("%20x+y.jar"))
+    return table(spark, sf_dir, "pages").select("page_id", given.alias("given"), X.normalize_uri(uri).alias("uri"), X.uri_path(encoded).alias("path"))
+
+
+@query("SELECT l_orderkey, l_linenumber, CAST(l_linenumber - 1 AS INTEGER) AS start_line, CAST(l_suppkey - 1 AS INTEGER) AS start_char, CAST(l_linenumber AS INTEGER) AS end_line, CAST(l_partkey AS INTEGER) AS end_char FROM lineitem")
+def exclusive_ranges(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *X.exclusive_range(F.col("l_linenumber"), "l_suppkey", F.col("l_linenumber") + 1, "l_partkey"))
+
+
+OPTIONS_SQL = """options AS (SELECT p_partkey, CASE p_size % 5 WHEN 0 THEN ['-root', '/s' || p_size] WHEN 1 THEN ['-x', '-root:/c' || p_size, '-root', '-y'] WHEN 2 THEN ['-P:root:/p' || p_size, '-root:/c']
+ WHEN 3 THEN ['-P:root:/p' || p_size] ELSE ['-root'] END AS o FROM part)"""
+
+
+@query(f"""WITH {OPTIONS_SQL}, spread AS (SELECT p_partkey, n, o[n] AS v, o[n + 1] AS next FROM options, unnest(range(1, len(o) + 1)) AS t(n)),
+ found AS (SELECT p_partkey, 0 AS tier, n, next AS v FROM spread WHERE v = '-root' AND next IS NOT NULL AND NOT starts_with(next, '-') UNION ALL SELECT p_partkey, 1, n, substr(v, 7) FROM spread WHERE starts_with(v, '-root:') UNION ALL SELECT p_partkey, 2, n, substr(v, 9) FROM spread WHERE starts_with(v, '-P:root:'))
+SELECT o.p_partkey, arg_min(f.v, {{'t': tier, 'n': n}}) AS value FROM options o LEFT JOIN found f USING (p_partkey) GROUP BY o.p_partkey""")
+def option_scan(spark, sf_dir):
+    size = F.col("p_size").cast("string")
+    lists = [
+        F.array(F.lit("-root"), F.concat(F.lit("/s"), size)),
+        F.array(F.lit("-x"), F.concat(F.lit("-root:/c"), size), F.lit("-root"), F.lit("-y")),
+        F.array(F.concat(F.lit("-P:root:/p"), size), F.lit("-root:/c")),
+        F.array(F.concat(F.lit("-P:root:/p"), size)),
+        F.array(F.lit("-root")),
+    ]
+    chosen = lists[4]
+    for k in range(4):
+        chosen = F.when(F.col("p_size") % 5 == k, lists[k]).otherwise(chosen)
+    return table(spark, sf_dir, "part").select("p_partkey", X.option_value(chosen, "-root", "-P:root").alias("value"))
+
+
+@query("SELECT p_partkey, regexp_extract(n, '^(.+)-([0-9].*)$', 1) AS artifact, regexp_extract(n, '^(.+)-([0-9].*)$', 2) AS version, regexp_replace(n, '^(.+)-([0-9].*)$', '\\1_\\2') || '_' || left(sha1('/c/' || n || '-sources.jar'), 8) AS folder FROM (SELECT p_partkey, replace(p_name, ' ', '-') || '-' || p_size || '.1-' || CASE WHEN p_size % 2 = 0 THEN 'M1' ELSE '2' END AS n FROM part)")
+def maven_names(spark, sf_dir):
+    name = F.concat(F.replace("p_name", F.lit(" "), F.lit("-")), F.lit("-"), "p_size", F.lit(".1-"), F.when(F.col("p_size") % 2 == 0, "M1").otherwise("2"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", name.alias("n"))
+    return rows.select("p_partkey", *X.maven_parts("n"), X.fingerprint(F.concat(F.lit("/c/"), "n", F.lit("-sources.jar"))).alias("folder"))
+
+
+@query("""WITH defined AS (SELECT DISTINCT p_brand || '/' || p_type AS symbol FROM part WHERE p_size > 10),
+ candidates AS (SELECT p_partkey, 0 AS rank, p_brand || '/' || p_type AS symbol FROM part UNION ALL SELECT a.p_partkey, 1, b.p_brand || '/' || a.p_type FROM part a JOIN (SELECT DISTINCT p_brand FROM part) b ON b.p_brand <> a.p_brand)
+SELECT p_partkey AS query_id, arg_min(symbol, {'r': rank, 's': symbol}) AS symbol FROM candidates JOIN defined USING (symbol) GROUP BY p_partkey""")
+def scope_resolution(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    symbol = lambda brand: F.concat(brand, F.lit("/"), F.col("p_type")).alias("symbol")
+    others = part.join(part.select("p_type", F.col("p_brand").alias("brand")).distinct(), "p_type").filter("brand <> p_brand")
+    candidates = part.select(F.col("p_partkey").alias("query_id"), F.lit(0).alias("rank"), symbol(F.col("p_brand"))).union(others.select("p_partkey", F.lit(1), symbol(F.col("brand"))))
+    return lookup.resolve_scopes(candidates, part.filter("p_size > 10").select(symbol(F.col("p_brand"))))
+
+
+@query("""WITH requests AS (SELECT user_id, event_id, event_type = 'error' AS failed, lag(event_type = 'error') OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events) SELECT user_id, event_id FROM requests WHERE before IS NULL OR before""")
+def single_flight(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").withColumn("failed", F.col("event_type") == "error")
+    return debounce.single_flight(rows, "user_id", "event_id", "failed").select("user_id", "event_id")
+
+
+@query("""WITH phases AS (SELECT user_id, event_id, CASE event_type WHEN 'click' THEN 'begin' WHEN 'purchase' THEN 'end' ELSE 'report' END AS phase FROM events),
+ rounds AS (SELECT *, sum(CAST(phase = 'begin' AS INTEGER)) OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM phases),
+ ends AS (SELECT user_id, r, min(event_id) AS ended FROM rounds WHERE phase = 'end' GROUP BY ALL)
+SELECT user_id, event_id, phase FROM rounds LEFT JOIN ends USING (user_id, r) WHERE r > 0 AND (ended IS NULL OR event_id <= ended)""")
+def balanced_reports(spark, sf_dir):
+    phase = F.when(F.col("event_type") == "click", "begin").when(F.col("event_type") == "purchase", "end").otherwise("report")
+    return debounce.balanced(table(spark, sf_dir, "events").select("user_id", "event_id", phase.alias("phase")), "user_id", "event_id", "phase")
+
+
+@query("""SELECT s.s_suppkey, coalesce(CASE WHEN c.c_acctbal > 0 THEN c.c_name END, s.s_name) AS name FROM supplier s LEFT JOIN customer c ON c.c_custkey = s.s_suppkey WHERE NOT coalesce(c.c_mktsegment = 'BUILDING', false)""")
+def override_join(spark, sf_dir):
+    over = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("s_suppkey"), (F.col("c_mktsegment") == "BUILDING").alias("disabled"), F.when(F.col("c_acctbal") > 0, F.col("c_name")).alias("name"))
+    base = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_name").alias("name"))
+    return lookup.overridden(base, over, "s_suppkey", ["name"])
+
+
+@query("""WITH first AS (SELECT c_nationkey AS n, c_mktsegment AS v FROM customer WHERE c_acctbal > 9800), second AS (SELECT s_nationkey AS n, s_name AS v FROM supplier),
+ a AS (SELECT n, array_to_string(list_sort(list_distinct(list(v))), ',') AS v FROM first GROUP BY n), b AS (SELECT n, array_to_string(list_sort(list_distinct(list(v))), ',') AS v FROM second GROUP BY n)
+SELECT n_nationkey, coalesce(a.v, b.v) AS vs FROM nation LEFT JOIN a ON a.n = n_nationkey LEFT JOIN b ON b.n = n_nationkey""")
+def tiered_values(spark, sf_dir):
+    first = table(spark, sf_dir, "customer").filter("c_acctbal > 9800").select(F.col("c_nationkey").alias("n_nationkey"), F.col("c_mktsegment").alias("v"))
+    second = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("n_nationkey"), F.col("s_name").alias("v"))
+    found = lookup.tiered(table(spark, sf_dir, "nation").select("n_nationkey"), [first, second], "n_nationkey", "v")
+    return found.select("n_nationkey", F.array_join("vs", ",").alias("vs"))
+
+
+@query(f"""WITH {PART_SQL} SELECT w.p_partkey AS query_id, p.symbol || '(' || 'size' || ')' AS symbol FROM part w JOIN part_symbols p ON w.p_partkey = p.p_partkey WHERE w.p_size IN (SELECT p_size FROM part GROUP BY p_size HAVING count(*) > 1) AND p.symbol IN (SELECT symbol FROM part_symbols GROUP BY symbol HAVING count(*) > 1)""")
+def named_argument(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    rows = part_symbols(spark, sf_dir).join(part.select("p_partkey", "p_size"), "p_partkey")
+    known = part_symbols(spark, sf_dir).groupBy("symbol").count().filter("count > 1").select(S.parameter_symbol(F.col("symbol"), F.lit("size")).alias("symbol"))
+    common = part.groupBy("p_size").count().filter("count > 1").select("p_size")
+    asked = rows.join(common, "p_size", "left_semi").select(F.col("p_partkey").alias("query_id"), F.col("symbol").alias("method"), F.lit("size").alias("name"))
+    return lookup.parameter_of(asked, known)
+
+
+@query(f"WITH {STEPS_SQL} SELECT page_id, path, path NOT IN (SELECT path FROM steps WHERE prefix <> path AND ({_FOLDER_CASES.format('prefix')})) AND NOT ({_RULE_CASES.format('path')}) AND NOT list_contains(string_split(path, '/'), '.git') AS watched FROM paths")
+def watch_filter(spark, sf_dir):
+    return page_paths(spark, sf_dir).select("page_id", "path", ignore.watched(F.col("path"), RULES).alias("watched"))

@@ -69,6 +69,7 @@ class Tokens:
                     self.close[stack.pop()] = i
                 if stack:
                     self.close[stack.pop()] = i
+        self.open_brackets = len(stack)
         for i in stack:
             self.close[i] = len(self.tokens)
 

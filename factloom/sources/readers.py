@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..operators.ignore import SOURCE_SUFFIXES
 from . import java, scala
+from .lexer import Tokens
 
 #: Bytes of an archive that one task may unpack; entries stream, so this bounds the archive alone.
 ENTRY = "archive string, entry string, content string, error string"
@@ -42,6 +43,24 @@ def extract_definitions(sources: DataFrame) -> DataFrame:
     return sources.select("path", "content").mapInPandas(run, schemas.DEFINITIONS)
 
 
+def extraction_errors(sources: DataFrame) -> DataFrame:
+    """path, error of texts that the extractors see only in part: brackets stay open, or a scan fails."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for path, content in zip(batch["path"], batch["content"]):
+                try:
+                    left_open = Tokens(content, java=path.endswith(".java")).open_brackets if content is not None else 0
+                    if left_open:
+                        rows.append((path, f"{left_open} brackets stay open"))
+                except Exception as e:
+                    rows.append((path, str(e)))
+            yield pd.DataFrame(rows, columns=["path", "error"])
+
+    return sources.select("path", "content").mapInPandas(run, "path string, error string")
+
+
 def archive_entries(archives: DataFrame, suffixes: tuple[str, ...] = SOURCE_SUFFIXES, contents: bool = True) -> DataFrame:
     """archive, entry, content, error of the entries with the suffixes in zip archives (path, content as bytes).
 

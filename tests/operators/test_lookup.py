@@ -93,3 +93,9 @@ def test_nested_folders_and_changes(spark):
     new = spark.createDataFrame([("y", 2), ("w", 1), ("z", None)], "path string, stamp int")
     assert rows(merge.classify_changes(old, new, "path", "stamp")) == [("w", "new"), ("x", "deleted"), ("y", "modified")]
     assert rows(merge.stale(old, new, ["path"], ["stamp"]).select("path")) == [("w",), ("y",)]
+
+
+def test_declarations_by_name_then_column(spark):
+    declared = spark.createDataFrame([("p/A#", "A", True, 1, 6, 1, 7, "f"), ("p/A#b.", "b", False, 1, 10, 1, 11, "f"), ("p/C#", "C", True, 2, 0, 2, 1, "f")], schemas.DEFINITIONS)
+    wanted = spark.createDataFrame([(1, "f", 1, 6, "b"), (2, "f", 1, 6, "x"), (3, "f", 1, 8, "x"), (4, "g", 1, 6, "A")], "query_id long, path string, line int, ch int, name string")
+    assert rows(lookup.declaration_at(wanted, declared)) == [(1, "p/A#b."), (2, "p/A#")]

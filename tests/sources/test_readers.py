@@ -100,3 +100,9 @@ def test_trees_pairs_and_index(spark, tmp_path):
     assert rows(spark.read.parquet(index).select("fingerprint", "symbol")) == [("f1", "p/A#"), ("f1", "p/B#"), ("f2", "q/C#")]
     readers.save_index(spark.createDataFrame([("f1", "p/Z#")], "fingerprint string, symbol string"), index)
     assert rows(spark.read.parquet(index).select("symbol")) == [("p/Z#",), ("q/C#",)]
+
+
+def test_texts_that_are_cut_short_are_told(spark):
+    sources = spark.createDataFrame([("A.java", "class A { void m() {"), ("B.scala", "object B { }"), ("C.scala", None)], "path string, content string")
+    assert rows(readers.extraction_errors(sources)) == [("A.java", "2 brackets stay open")]
+    assert {r.symbol for r in readers.extract_definitions(sources).collect()} == {"_empty_/A#", "_empty_/A#`<init>`().", "_empty_/A#m().", "_empty_/B."}
