@@ -17,7 +17,6 @@ from __future__ import annotations
 import bz2
 import hashlib
 import zlib
-from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,13 +25,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import materialize
-from .textarrays import mix, slices
+from .textarrays import Recent, mix, slices
 
 FRAME = 576
 #: Bytes of a chunk: least, most, and the bits that a cut's hash has zero (8 KiB more on average).
 LEAST, MOST, BITS = 2048, 65536, 13
-#: Payload ids that a task remembers, so that most copies are encoded once; the join finds the rest.
-REMEMBER = 100_000
 
 _GEAR = (mix(np.arange(1, 257, dtype=np.uint64)) >> np.uint64(16)).astype(np.uint16)
 
@@ -66,24 +63,9 @@ def digest(chunk: bytes) -> bytes:
     return hashlib.blake2b(chunk, digest_size=16).digest()
 
 
-class _Seen:
-    """The last REMEMBER keys."""
-
-    def __init__(self):
-        self.keys: OrderedDict[bytes, None] = OrderedDict()
-
-    def add(self, key: bytes) -> bool:
-        new = key not in self.keys
-        self.keys[key] = None
-        self.keys.move_to_end(key)
-        if len(self.keys) > REMEMBER:
-            self.keys.popitem(last=False)
-        return new
-
-
 def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bytes, int, bytes, list[int]]]:
     """(id, bytes, payload, chunk ends) of the texts that this task has not just had."""
-    seen = _Seen()
+    seen = Recent()
     for batch in slices(batches):
         for text in batch.column("text").to_pylist():
             raw = (text or "").encode()

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scratch import materialize
+from .textarrays import set_aside
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -136,6 +137,7 @@ def apply_plan(docs: DataFrame, planned: DataFrame) -> DataFrame:
     Documents with equal doc_id and equal size share their plans in a repeatable order.
     """
     planned = materialize(planned.select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), "passes", "pieces"), "mix-plan")
+    docs, restored = set_aside(docs, "doc_id", "text", "source", "n_chars")
     docs_sized = docs.withColumn("_words", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_words") == F.col("_size"))
     if planned.groupBy("_id", "_size").count().filter("count > 1").isEmpty():
@@ -150,4 +152,4 @@ def apply_plan(docs: DataFrame, planned: DataFrame) -> DataFrame:
     mixed = both.withColumn("text", F.explode(F.when(F.size("pieces") > 0, F.concat(whole, part)).otherwise(whole)))
     if "n_chars" in docs.columns:
         mixed = mixed.withColumn("n_chars", F.length("text").cast("long"))
-    return mixed.select(*docs.columns)
+    return restored(mixed)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import materialize
-from .textarrays import mix, prefix_sums, runs, slices, span_hashes, texts
+from .textarrays import mix, prefix_sums, runs, set_aside, slices, span_hashes, texts
 
 BUCKETS = 1 << 16
 #: Pseudo-count of a bucket: what rare n-grams say counts little.
@@ -195,5 +195,6 @@ def keep(docs: DataFrame, labels: DataFrame, seed: int = 42, **how) -> DataFrame
     least = _threshold(materialize(_weighted(scores(docs, model[0]), model[1], seed), "quality-keys"))
     if least is None:
         return docs.limit(0)
-    both = _weighted(scores(docs, model[0], keep=tuple(docs.columns)), model[1], seed)
-    return both.filter(F.col("key") >= least).select(*docs.columns)
+    renamed, restored = set_aside(docs, "doc_id", "text")
+    both = _weighted(scores(renamed, model[0], keep=tuple(renamed.columns)), model[1], seed)
+    return restored(both.filter(F.col("key") >= least))

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import materialize, shared_folder
-from .textarrays import LOWER, NOT_SPACE, mix, runs, slices, texts
+from .textarrays import LOWER, NOT_SPACE, mix, runs, set_aside, slices, texts
 
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 TILE = 1024
@@ -328,9 +328,10 @@ def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, words:
     least = marked.groupBy("node").agg(F.min(order).alias("least"))
     chosen = least.join(found, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("least").alias("least"))
     chosen = chosen.select(F.col("least.doc_id").alias("_id"), F.col("least.text_hash").alias("_hash"))
-    rows = docs.withColumn("_text_hash", F.xxhash64("text"))
+    rows, restored = set_aside(docs, "doc_id", "text")
+    rows = rows.withColumn("_text_hash", F.xxhash64("text"))
     kept = rows.join(chosen, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left_semi")
     repeats = marked.groupBy("doc_id", "text_hash").count().filter("count > 1")
     if not repeats.isEmpty():
         kept = kept.dropDuplicates(["doc_id", "_text_hash"])
-    return kept.select(*docs.columns)
+    return restored(kept)

@@ -35,8 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import materialize
-from .media import _Seen
-from .textarrays import mix, powers, prefix_sums, slices, span_hashes, texts
+from .textarrays import Recent, mix, powers, prefix_sums, slices, span_hashes, texts
 
 WIDTH = 400
 GRAM = 128
@@ -111,7 +110,7 @@ def _segment_rows(width: int, gram: int):
 
 def _distinct_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(text, body) of the texts that this task has not just had."""
-    seen = _Seen()
+    seen = Recent()
     for batch in slices(batches):
         raw = [(x or "").encode() for x in batch.column("text").to_pylist()]
         new = [(k, x) for x in raw if seen.add(k := text_key(x))]

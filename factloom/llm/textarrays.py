@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import OrderedDict
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Bytes of text handled at once; a longer single text is handled alone and whole.
 SLICE_BYTES = 1 << 21
@@ -114,3 +117,25 @@ def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     """64-bit hashes of the byte strings [start, end), wherever they stand."""
     inverse = powers(len(sums))[1]
     return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+
+
+class Recent:
+    """The keys that a task had last, so that it handles most copies of a text once; a join or aggregation finds the rest."""
+
+    def __init__(self, most: int = 100_000):
+        self.most, self.keys = most, OrderedDict()
+
+    def add(self, key: bytes) -> bool:
+        """Whether the key is new, or was forgotten."""
+        new = key not in self.keys
+        self.keys[key] = None
+        self.keys.move_to_end(key)
+        if len(self.keys) > self.most:
+            self.keys.popitem(last=False)
+        return new
+
+
+def set_aside(docs: DataFrame, *used: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """docs with all columns but those used renamed, so that none clashes with an operator's own; and what undoes it."""
+    names = {c: c if c in used else f"_aside_{k}" for k, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), lambda out: out.select(*[F.col(v).alias(c) for c, v in names.items()])

@@ -87,6 +87,17 @@ def test_run_is_the_stages_in_order(spark, folder):
     assert rows(first.withColumn("ids", F.col("ids").cast("string"))) == rows(again.withColumn("ids", F.col("ids").cast("string")))
 
 
+def test_other_columns_pass_and_may_have_any_name(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    names = ["key", "log_ratio", "n_grams", "passes", "pieces", "_words", "_id", "_hash", "fingerprint", "node", "root", "spans", "n_words", "_aside_9", "size", "target", "shard"]
+    clashing = docs.withColumns({n: F.concat(F.lit(n), "doc_id") for n in names})
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, clashing, folder)
+        assert out.columns == clashing.columns
+        assert all(r[n] is None or r[n] == f"{n}{r.doc_id}" for r in out.collect() for n in names)
+    assert corpus_pipeline.piece_ids(spark, clashing, folder).columns == ["doc_id", "source", "n_pieces", "ids"]
+
+
 def test_empty_tables(spark, tmp_path):
     cases.empty(spark).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
