@@ -141,11 +141,11 @@ def apply_plan(docs: DataFrame, planned: DataFrame) -> DataFrame:
     docs_sized = docs.withColumn("_words", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_words") == F.col("_size"))
     if planned.groupBy("_id", "_size").count().filter("count > 1").isEmpty():
-        both = docs_sized.join(planned, same)
+        both = docs_sized.join(planned.hint("shuffle_hash"), same)
     else:
         planned = planned.withColumn("_nth", F.row_number().over(Window.partitionBy("_id", "_size").orderBy("passes", F.col("pieces").cast("string"))))
         numbered = docs_sized.withColumn("_row", F.row_number().over(Window.partitionBy("doc_id", "_words").orderBy("text", "source")))
-        both = numbered.join(planned, same & (F.col("_row") == F.col("_nth")))
+        both = numbered.join(planned.hint("shuffle_hash"), same & (F.col("_row") == F.col("_nth")))
     whole = F.array_repeat(F.col("text"), F.col("passes").cast("int"))
     words = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), 0)
     part = F.transform("pieces", lambda p: F.array_join(F.slice(words, (p["from"] + 1).cast("int"), (p["to"] - p["from"]).cast("int")), ""))
