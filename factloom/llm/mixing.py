@@ -2,7 +2,7 @@
 
 A source's words are laid out as shards: seeded, ordered streams of its documents. Targets say
 how many equal-token blocks the mix takes in all; blocks go to sources, and within a source to
-its shards, by the highest quotients weight / (2k + 1). A shard takes its quota as whole passes
+its shards (by way of bundles of them), by the highest quotients weight / (2k + 1). A shard takes its quota as whole passes
 over its blocks plus a run of blocks from a seeded one on, so a document is taken at most `limit`
 times, and all but a few documents are taken whole.
 
@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from .scratch import materialize
 from .textarrays import set_aside
 
+#: Shards of a source that share their quota out among themselves.
+BUNDLE = 1024
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -99,8 +101,14 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), limit: int = 3,
     sources = shard_sizes.groupBy("_source").agg(F.first("target").alias("target"))
     total = F.sum("target").over(Window.partitionBy())
     sources = apportion(sources, [], "target", F.round(total / block).cast("long"), [F.col("_source")])
-    shards = shard_sizes.drop("target").join(sources.select("_source", F.col("quota").alias("source_quota")), "_source")
-    shards = apportion(shards, [F.col("_source")], "words", F.col("source_quota"), [F.col("shard")])
+    # by way of bundles of shards, so that no window holds more parts than a bundle or a source has
+    source, bundle = F.col("_source"), F.col("bundle")
+    sized = shard_sizes.drop("target").withColumn("bundle", F.floor(F.col("shard") / BUNDLE).cast("long"))
+    bundles = sized.groupBy("_source", "bundle").agg(F.sum("words").alias("words"))
+    bundles = bundles.join(sources.select("_source", F.col("quota").alias("source_quota")), "_source")
+    bundles = apportion(bundles, [source], "words", F.col("source_quota"), [bundle])
+    shards = sized.join(bundles.select("_source", "bundle", F.col("quota").alias("bundle_quota")), ["_source", "bundle"])
+    shards = apportion(shards, [source, bundle], "words", F.col("bundle_quota"), [F.col("shard")])
     taken_words = F.least(F.col("quota") * block, F.col("words") * limit)
     shards = shards.select("_source", "shard", "words", taken_words.alias("quota_words"))
     # whole passes, and the words that blocks chosen by seed add to them

@@ -100,3 +100,16 @@ def test_query_equals_its_sql(spark, tmp_path, monkeypatch, shards):
 
 def test_query_equals_its_sql_on_the_tables(spark):
     assert differences(spark, "/root/testdata/sf0.001", queries.QUERIES["op2_mixing"], queries.ORACLE_SQL["op2_mixing"]) == ""
+
+
+def test_bundles_share_their_quota_out(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BUNDLE", 2)
+    data = cases.rows()
+    got = mixing.plan(cases.docs(spark, data), shard_words=500).withColumn("taken", mixing.taken_words()).collect()
+    taken, target, shards = defaultdict(int), {}, defaultdict(int)
+    for r in got:
+        assert 0 <= r.taken <= 3 * r.size
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+        shards[r.source] = -(-r.source_size // 500)
+    assert all(abs(taken[s] - target[s]) <= 16 * shards[s] + 16 for s in target)
