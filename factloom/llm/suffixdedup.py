@@ -365,6 +365,7 @@ def deduplicate(docs: DataFrame, **how) -> DataFrame:
     _free_shuffles(docs.sparkSession)
     bodies = docs.select("text").mapInArrow(_distinct_rows, "text binary, body binary")
     kept = bodies.join(runs.hint("shuffle_hash"), "text").mapInArrow(_kept_rows, "text binary, n_removed long, n_spans long, kept_sha256 string").dropDuplicates(["text"])
+    kept = materialize(kept, "suffix-kept")  # so that the join below has plain exchanges, and a text with very many copies splits
     text = F.coalesce("text", F.lit(""))
     given = docs.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("whole"))
     given = given.withColumn("text", F.substring(F.unhex("whole"), 1, 16))
