@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import uuid
 
-import public_tokenizers
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +15,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _vocabulary(name: str) -> str:
+    """Where a public tokenizer's file is; only the two queries that use one need the package."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixdedup.deduplicate(_table(spark, sf_dir, "documents"))
 
@@ -48,13 +54,13 @@ def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_pieces(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFrame:
     """doc_id, n_pieces, ids, and whether decoding the ids restores the text."""
-    return pieces.encode(_table(spark, sf_dir, "documents"), model or public_tokenizers.path("piece_bpe_32k.model"), check=True)
+    return pieces.encode(_table(spark, sf_dir, "documents"), model or _vocabulary("piece_bpe_32k.model"), check=True)
 
 
 def op6_token_file(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     path = f"{scratch.shared_folder(spark)}/factloom-tokens-{uuid.uuid4().hex}"
     scratch.keep_until_release(spark, path)
-    tokenfile.write(_table(spark, sf_dir, "documents"), path, tokenizer or public_tokenizers.path("byte_bpe_50k.json"))
+    tokenfile.write(_table(spark, sf_dir, "documents"), path, tokenizer or _vocabulary("byte_bpe_50k.json"))
     return tokenfile.read_checksums(spark, path)
 
 
