@@ -125,8 +125,9 @@ def overload_index(spark, sf_dir):
 def methods(spark, sf_dir) -> DataFrame:
     """symbol: overloads of a method of each supplier and part size, numbered from a hole that differs."""
     rows = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    index = F.col("l_linenumber") + F.col("l_suppkey").cast("int") % 9
-    return rows.select(S.method_symbol(F.concat(F.lit("shop/S"), "l_suppkey", F.lit("#")), F.concat(F.lit("size"), "p_size"), index).alias("symbol")).distinct()
+    index = (F.col("l_linenumber") + F.col("l_suppkey").cast("int") % 9).alias("index")
+    rows = rows.select("l_suppkey", "p_size", index).distinct()  # numbers are cheaper to tell apart than the symbols made of them
+    return rows.select(S.method_symbol(F.concat(F.lit("shop/S"), "l_suppkey", F.lit("#")), F.concat(F.lit("size"), "p_size"), F.col("index")).alias("symbol"))
 
 
 METHODS_SQL = """methods AS (SELECT DISTINCT 'shop/S' || l_suppkey || '#size' || p_size || '(' AS owner_name, CAST(l_linenumber + l_suppkey % 9 AS INTEGER) AS "index",
