@@ -7,8 +7,9 @@ counters add up many distances at once; rows and words whose distances all excee
 are abandoned. Links become components by large-star and small-star rounds on checkpoints.
 
 `near_duplicates` links 64-bit fingerprints of three-word shingles within three bits. `keep_one`
-takes five words and a similarity of 0.8: wider fingerprints, within the distance that this
-similarity allows, among texts that share a least hash.
+takes five words and a similarity of 0.8: wider fingerprints, in which each distinct shingle votes
+once, find candidates among texts that share a least hash; a candidate is a link if the texts' sets
+of shingles have that similarity.
 
 Defined results: null and empty texts have fingerprint zero and link like any other; identical
 texts share a fingerprint; a null doc_id never names a component unless no other id is there;
@@ -77,10 +78,22 @@ def fingerprints_of(data: np.ndarray, offsets: np.ndarray, shingle: int = 3, see
     return majority(*shingle_hashes(data, offsets, shingle, seed), len(offsets) - 1)
 
 
-def sketches_of(data: np.ndarray, offsets: np.ndarray, shingle: int, words: int, keys: int, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
-    """(n x words: a SimHash of 64 x words bits, n x keys: least hashes of the shingles) of each text."""
-    n = len(offsets) - 1
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, shingle: int, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
+    """As `shingle_hashes`, but each distinct shingle of a text once, ascending within the text."""
     hashes, row = shingle_hashes(data, offsets, shingle, seed)
+    order = np.lexsort((hashes, row))
+    hashes, row = hashes[order], row[order]
+    fresh = np.ones(len(row), bool)
+    fresh[1:] = (hashes[1:] != hashes[:-1]) | (row[1:] != row[:-1])
+    return hashes[fresh], row[fresh]
+
+
+def sketches_of(data: np.ndarray, offsets: np.ndarray, shingle: int, words: int, keys: int, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
+    """(n x words: a SimHash of 64 x words bits, n x keys: least hashes) of the set of shingles of each text."""
+    return _sketches_of_sets(*shingle_sets(data, offsets, shingle, seed), len(offsets) - 1, words, keys)
+
+
+def _sketches_of_sets(hashes: np.ndarray, row: np.ndarray, n: int, words: int, keys: int) -> tuple[np.ndarray, np.ndarray]:
     salt = mix(np.arange(1, words + keys + 1, dtype=np.uint64))
     prints = np.stack([majority(hashes if k == 0 else mix(hashes ^ salt[k]), row, n) for k in range(words)], axis=1)
     least = np.zeros((n, keys), np.uint64)
@@ -288,18 +301,140 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3, seed: in
 
 
 def sketches(docs: DataFrame, shingle: int, words: int, keys: int, seed: int = 42) -> DataFrame:
-    """doc_id, text_hash, fingerprint, f1.., m0.., node (a hash of the sketch) of every document."""
-    names = ["fingerprint", *(f"f{k}" for k in range(1, words)), *(f"m{k}" for k in range(keys))]
+    """doc_id, text_hash, fingerprint, f1.., m0.., n (distinct shingles), node (a hash of their set) of every document."""
+    names = ["fingerprint", *(f"f{k}" for k in range(1, words)), *(f"m{k}" for k in range(keys)), "n", "node"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            prints, least = sketches_of(*texts(batch), shingle, words, keys, seed)
-            values = [pa.array(np.ascontiguousarray(c).view(np.int64)) for c in (*prints.T, *least.T)]
+            hashes, row = shingle_sets(*texts(batch), shingle, seed)
+            prints, least = _sketches_of_sets(hashes, row, batch.num_rows, words, keys)
+            node = np.zeros(batch.num_rows, np.uint64)
+            if len(row):
+                owners, first = np.unique(row, return_index=True)
+                node[owners] = mix(np.add.reduceat(mix(hashes), first))
+            n = np.bincount(row, minlength=batch.num_rows).astype(np.int64)
+            values = [pa.array(np.ascontiguousarray(c).view(np.int64)) for c in (*prints.T, *least.T, n, node)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), *values], ["doc_id", "text_hash", *names])
 
     kept = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     shape = f"doc_id {dict(kept.dtypes)['doc_id']}, text_hash long, " + ", ".join(f"{c} long" for c in names)
-    return kept.mapInArrow(run, shape).withColumn("node", F.xxhash64(*names))
+    return kept.mapInArrow(run, shape)
+
+
+def linked_rows(sets: list[np.ndarray], prints: np.ndarray, least: np.ndarray, radius: int, similarity: float) -> list[tuple[int, int]]:
+    """Links (i, j) that leave exactly the components of all links.
+
+    Rows link that share a least hash, have fingerprints within the radius, and sets (ascending)
+    of the similarity. Of candidates that other links already join, no more are compared.
+    """
+    found: list[tuple[int, int]] = []
+    sizes = np.array([len(x) for x in sets])
+    label = np.arange(len(sets))
+
+    def root(x: int) -> int:
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    def similar(i: int, j: int) -> bool:
+        a, b = (sets[i], sets[j]) if sizes[i] >= sizes[j] else (sets[j], sets[i])
+        common = int((a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b).sum()) if len(b) else 0
+        return common >= similarity * (len(a) + len(b) - common) - 1e-9
+
+    def settle(i: np.ndarray, j: np.ndarray) -> None:
+        nonlocal label
+        may = np.minimum(sizes[i], sizes[j]) >= similarity * np.maximum(sizes[i], sizes[j]) - 1e-9
+        i, j = i[may], j[may]
+        while True:
+            apart = label[i] != label[j]
+            i, j = i[apart], j[apart]
+            if not len(i):
+                return
+            first = np.unique(i, return_index=True)[1]  # a candidate of each row at a time
+            for a, b in zip(i[first].tolist(), j[first].tolist()):
+                x, y = root(a), root(b)
+                if x != y and similar(a, b):
+                    label[max(x, y)] = min(x, y)
+                    found.append((a, b))
+            while (label[label] != label).any():
+                label = label[label]
+            i, j = np.delete(i, first), np.delete(j, first)
+
+    if len(sets) <= 64:
+        i, j = np.triu_indices(len(sets), 1)
+        near = (least[i] == least[j]).any(1)
+        i, j = i[near], j[near]
+        near = np.bitwise_count(prints[i] ^ prints[j]).sum(1, dtype=np.int64) <= radius
+        settle(i[near], j[near])
+        return found
+    for k in range(least.shape[1]):
+        order = np.argsort(least[:, k], kind="stable")
+        cuts = np.flatnonzero(np.diff(least[order, k])) + 1
+        for rows in np.split(order, cuts):
+            for x in range(0, len(rows) if len(rows) > 1 else 0, TILE):
+                for y in range(0, x + 1, TILE):
+                    left, right = rows[x : x + TILE], rows[y : y + TILE]
+                    if (label[left] == label[left[0]]).all() and (label[right] == label[left[0]]).all():
+                        continue
+                    i, j = close_pairs(prints[left], prints[right], radius)
+                    once = i > j if x == y else slice(None)
+                    settle(left[i[once]], right[j[once]])
+    return found
+
+
+def true_links(docs: DataFrame, least: DataFrame, candidates: DataFrame, shingle: int, words: int, keys: int, radius: int, similarity: float, seed: int = 42) -> DataFrame:
+    """u, v: the candidates whose texts have the similarity, or what leaves the same components.
+
+    least: node, n, sketch, and (doc_id, text_hash) of a text of the node. The texts of a component
+    of candidates meet in a task; of a large one, in parts as in `_dealt`, each pair a cell.
+    """
+    linked = materialize(least.join(components(candidates), "node"), "simhash-candidates")
+    weight = F.col("n") + 1024  # a part has at most about CELL texts, and CELL x 1024 shingles
+    sizes = linked.groupBy("root").agg(F.ceil(F.sum(weight) / (CELL * 1024)).cast("int").alias("_parts"))
+    dealt = linked.join(sizes, "root").withColumn("_own", F.pmod(F.xxhash64("node"), F.col("_parts")).cast("int"))
+    columns = ["node", "fingerprint", *(f"f{k}" for k in range(1, words)), *(f"m{k}" for k in range(keys))]
+    given = docs.select("doc_id", "text", F.xxhash64("text").alias("_text_hash"))
+    same = F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("_text_hash") == F.col("least.text_hash"))
+    joined = given.join(dealt, same)
+    cells = F.when(F.col("_parts") <= 1, F.array(F.lit(0))).otherwise(
+        F.transform(F.sequence(F.lit(0), F.col("_parts") - 1), lambda other: F.least(other, F.col("_own")) * 100_000 + F.greatest(other, F.col("_own")))
+    )
+    celled = joined.select("text", "root", *columns, F.explode(cells).alias("cell")).select("text", *columns, F.xxhash64("root", "cell").alias("key"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, sets, rows = None, [], []
+        u: list[int] = []
+        v: list[int] = []
+
+        def settle() -> None:
+            if len(sets) > 1:
+                whole = np.concatenate(rows)
+                once = np.unique(whole[:, 0], return_index=True)[1]  # rows that repeat id and text
+                whole = whole[once]
+                for i, j in linked_rows([sets[k] for k in once], whole[:, 1 : 1 + words], whole[:, 1 + words :], radius, similarity):
+                    u.append(int(whole[i, 0].view(np.int64)))
+                    v.append(int(whole[j, 0].view(np.int64)))
+
+        for batch in slices(batches):
+            hashes, row = shingle_sets(*texts(batch), shingle, seed)
+            own = np.split(hashes, np.searchsorted(row, np.arange(1, batch.num_rows)))
+            values = np.stack([batch.column(c).to_numpy() for c in columns], axis=1).view(np.uint64)
+            names = batch.column("key").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(names)) + 1).tolist(), len(names)]
+            for a, b in zip(cuts, cuts[1:]):
+                if key != names[a]:
+                    settle()
+                    key, sets, rows = names[a], [], []
+                sets += own[a:b]
+                rows.append(values[a:b])
+            if len(u) > 4096:
+                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+                u.clear()
+                v.clear()
+        settle()
+        yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+    return celled.repartition("key").sortWithinPartitions("key").mapInArrow(run, "u long, v long").distinct()
 
 
 def radius_of(similarity: float, bits: int, deviations: float = 1.5) -> int:
@@ -314,18 +449,19 @@ def radius_of(similarity: float, bits: int, deviations: float = 1.5) -> int:
 def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, words: int = 4, keys: int = 6, seed: int = 42) -> DataFrame:
     """One document of each group of near duplicates, with all its columns: the one of the smallest doc_id.
 
-    Near duplicates share `similarity` of their word shingles. They are looked for among texts
-    that share one of `keys` least hashes (all but (1 - similarity) ** keys of them do), and told by
-    the bit-sliced distance of fingerprints of 64 x words bits. Groups are components of links.
-    Among equal ids (null last) the smallest hash of the text decides; of rows that repeat id and
-    text, one stays.
+    Near duplicates share `similarity` of their distinct word shingles. They are looked for among
+    texts that share one of `keys` least hashes (all but (1 - similarity) ** keys of them do) and
+    whose fingerprints of 64 x words bits are within a radius, and told by the shingles themselves.
+    Groups are components of links. Among equal ids (null last) the smallest hash of the text
+    decides; of rows that repeat id and text, one stays.
     """
     marked = materialize(sketches(docs, shingle, words, keys, seed), "simhash-sketches")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")
     sketch = ["fingerprint", *(f"f{k}" for k in range(1, words)), *(f"m{k}" for k in range(keys))]
-    distinct = marked.select("node", *sketch).distinct()
-    found = components(similar_links(distinct, words, keys, radius_of(similarity, 64 * words)))
-    least = marked.groupBy("node").agg(F.min(order).alias("least"))
+    least = marked.groupBy("node", "n", *sketch).agg(F.min(order).alias("least"))
+    radius = radius_of(similarity, 64 * words)
+    candidates = similar_links(least.select("node", *sketch), words, keys, radius)
+    found = components(true_links(docs, least, candidates, shingle, words, keys, radius, similarity, seed))
     chosen = least.join(found, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("least").alias("least"))
     chosen = chosen.select(F.col("least.doc_id").alias("_id"), F.col("least.text_hash").alias("_hash"))
     rows, restored = set_aside(docs, "doc_id", "text")

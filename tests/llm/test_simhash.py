@@ -147,3 +147,46 @@ def test_chains_and_hot_keys_join_up(spark, monkeypatch):
 
 def test_empty_table(spark):
     assert simhash.near_duplicates(cases.empty(spark)).collect() == []
+
+
+def test_repeats_of_a_line_do_not_make_texts_alike_or_unlike(spark):
+    rng = random.Random(23)
+    line = cases.prose(rng, 20)
+    apart = [cases.prose(rng, 200) + (" " + line) * rng.choice([20, 50]) for _ in range(60)]
+    body = cases.prose(rng, 200)
+    alike = [body + (" " + line) * n for n in (2, 50)]
+    assert jaccard(*alike) == 1 and jaccard(*apart[:2]) < 0.1
+    docs = cases.docs(spark, [(i, t, "en", "s", 1) for i, t in enumerate(apart + alike)])
+    assert {r.doc_id for r in simhash.keep_one(docs).collect()} == set(range(61))
+
+
+def test_large_groups_are_compared_in_cells(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "CELL", 2)
+    rng = random.Random(29)
+    base = cases.prose(rng, 300)
+    texts = [base + f" end{i}" for i in range(40)] + [" ".join(base.split()[:200]) + " " + cases.prose(rng, 100) for _ in range(10)]
+    docs = cases.docs(spark, [(i, t, "en", "s", 1) for i, t in enumerate(texts)])
+    assert {r.doc_id for r in simhash.keep_one(docs).collect()} == {0, *range(40, 50)}
+
+
+def test_linked_rows_leave_the_components_of_all_links():
+    rng = np.random.default_rng(8)
+    bases = [rng.choice(1 << 40, 60, replace=False).astype(np.uint64) for _ in range(4)]
+    sets = []
+    for k in range(150):
+        own = bases[k % 4].copy()
+        at = rng.choice(60, rng.integers(0, 16), replace=False)
+        own[at] = rng.integers(1 << 41, 1 << 42, len(at))
+        sets.append(np.unique(own))
+    prints, least = np.zeros((150, 4), np.uint64), np.stack([[s[0] for s in sets], [s[-1] for s in sets]], axis=1)
+    for n in (50, 150):
+        got = simhash.linked_rows(sets[:n], prints[:n], least[:n], 10, 0.8)
+        want = []
+        for i in range(n):
+            for j in range(i):
+                common = len(np.intersect1d(sets[i], sets[j]))
+                if (least[i] == least[j]).any() and common >= 0.8 * (len(sets[i]) + len(sets[j]) - common):
+                    want.append((i, j))
+        assert set(map(frozenset, got)) <= set(map(frozenset, want)) and len(got) < n
+        a, b = (simhash.forest(n, *np.array(x).T) for x in (got, want))
+        assert (a == b).all() and 4 < len(set(a.tolist())) < n
