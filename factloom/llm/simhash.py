@@ -437,10 +437,12 @@ def true_links(docs: DataFrame, least: DataFrame, candidates: DataFrame, shingle
     return celled.repartition("key").sortWithinPartitions("key").mapInArrow(run, "u long, v long").distinct()
 
 
-def radius_of(similarity: float, bits: int, deviations: float = 1.5) -> int:
-    """Differing bits that texts of a Jaccard similarity have at most, but for a share of them in the tail.
+def radius_of(similarity: float, bits: int, deviations: float = 5.0) -> int:
+    """Differing bits that texts of a Jaccard similarity have at most, but for less than one in a million in the tail.
 
-    A share s = 2J / (1 + J) of the shingles is common, and a bit differs with probability acos(s) / pi.
+    A share s = 2J / (1 + J) of the shingles is common, and a bit differs with probability acos(s) / pi
+    (in sets of less than ten, up to 0.19 at a similarity of 0.8, so that one in a thousand is lost). The radius
+    finds candidates only, so a wide one costs comparisons but links nothing.
     """
     differ = np.arccos(2 * similarity / (1 + similarity)) / np.pi
     return int(bits * differ + deviations * np.sqrt(bits * differ * (1 - differ)))

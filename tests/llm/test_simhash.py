@@ -190,3 +190,20 @@ def test_linked_rows_leave_the_components_of_all_links():
         assert set(map(frozenset, got)) <= set(map(frozenset, want)) and len(got) < n
         a, b = (simhash.forest(n, *np.array(x).T) for x in (got, want))
         assert (a == b).all() and 4 < len(set(a.tolist())) < n
+
+
+def test_the_border_of_the_similarity_is_sharp(spark):
+    rng = random.Random(37)
+    texts, alike = [], []
+    while len(texts) < 400:
+        shared, own = cases.prose(rng, 300), rng.randint(25, 45)
+        pair = [shared + " " + cases.prose(rng, own) for _ in range(2)]
+        value = jaccard(*pair)
+        if 0.74 <= value < 0.84:
+            texts += pair
+            alike.append(value >= 0.8)
+    assert 50 < sum(alike) < 150
+    docs = cases.docs(spark, [(i, t, "en", "s", 1) for i, t in enumerate(texts)])
+    kept = {r.doc_id for r in simhash.keep_one(docs).collect()}
+    assert all(i in kept for i in range(0, 400, 2))
+    assert [2 * k + 1 in kept for k in range(200)] == [not a for a in alike]
