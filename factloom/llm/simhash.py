@@ -185,11 +185,14 @@ def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         label = new
 
 
-def _compare_sorted(radius: int, words: int = 1):
+def _compare_sorted(radius: int, words: int = 1, same_key: bool = False):
     columns = ["fingerprint", *(f"f{k}" for k in range(1, words))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (key, node, fingerprint words) come sorted by key; tiles that share the last key stay for comparison."""
+        """Rows (key, node, fingerprint words) come sorted by key; tiles that share the last key stay for comparison.
+
+        With `same_key`, only rows of one key link; else neighbours in a tile do as well.
+        """
         kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # tiles whose last key may go on
         for batch in batches:
             keys, nodes = (batch.column(c).to_numpy() for c in ("key", "node"))
@@ -201,7 +204,10 @@ def _compare_sorted(radius: int, words: int = 1):
                     if other is tile:
                         names = tile[1]
                         u, v = close_pairs(tile[2], tile[2], radius)
-                        u, v = u[u < v], v[u < v]
+                        once = u < v
+                        if same_key:
+                            once &= tile[0][u] == tile[0][v]
+                        u, v = u[once], v[once]
                     else:  # only rows of the key that both tiles hold
                         ask, stand = (t[0] == tile[0][0] for t in (tile, other))
                         names = np.concatenate([tile[1][ask], other[1][stand]])
@@ -251,7 +257,7 @@ def similar_links(distinct: DataFrame, words: int, keys: int, radius: int) -> Da
     columns = ["fingerprint", *(f"f{k}" for k in range(1, words))]
     table_keys = F.array(*[F.xxhash64(F.lit(k), F.col(f"m{k}")) for k in range(keys)])
     keyed = distinct.select("node", *columns, F.explode(table_keys).alias("table_key"))
-    return _dealt(keyed, columns).mapInArrow(_compare_sorted(radius, words), "u long, v long").distinct()
+    return _dealt(keyed, columns).mapInArrow(_compare_sorted(radius, words, same_key=True), "u long, v long").distinct()
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:

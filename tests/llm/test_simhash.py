@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 from factloom.llm import simhash
@@ -207,3 +208,10 @@ def test_the_border_of_the_similarity_is_sharp(spark):
     kept = {r.doc_id for r in simhash.keep_one(docs).collect()}
     assert all(i in kept for i in range(0, 400, 2))
     assert [2 * k + 1 in kept for k in range(200)] == [not a for a in alike]
+
+
+def test_links_of_wide_fingerprints_need_a_common_key():
+    columns = {"key": [1, 1, 2, 2, 3], "node": [10, 11, 12, 13, 14], "fingerprint": [5] * 5, "f1": [6] * 5}
+    batch = pa.RecordBatch.from_pydict({c: pa.array(v, pa.int64()) for c, v in columns.items()})
+    found = [r for b in simhash._compare_sorted(10, 2, same_key=True)(iter([batch])) for r in b.to_pylist()]
+    assert {frozenset(r.values()) for r in found} == {frozenset({10, 11}), frozenset({12, 13})}
