@@ -98,7 +98,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # special strings in a text are ordinary text
+        #: Strings with ids of their own; texts that hold one go whole to the library.
+        self.added = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
         if self.library.get_vocab_size() > 1 << 16:
             raise ValueError("ids must fit in 16 bits")
         self.table = _classes()
@@ -115,9 +116,9 @@ class Encoder:
         points = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
         at = np.searchsorted(lead, offsets)
         odd = np.flatnonzero(points >= PLAIN)
-        if not len(odd):
+        rows = np.union1d(np.searchsorted(at, odd, "right") - 1, self._with_added(data, offsets))
+        if not len(rows):
             return self._plain(data, lead, points, at)
-        rows = np.unique(np.searchsorted(at, odd, "right") - 1)
         out: list[np.ndarray] = [np.zeros(0, np.uint16)] * (len(offsets) - 1)
         ids, counts = self._library_ids([data[offsets[r] : offsets[r + 1]].tobytes().decode() for r in rows])
         for r, part in zip(rows, np.split(ids, np.cumsum(counts)[:-1])):
@@ -130,6 +131,19 @@ class Encoder:
                 out[r] = part
         return out
 
+    def _with_added(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Numbers of the texts that hold an added token's string."""
+        raw, rows = data.tobytes(), []
+        for needle in self.added:
+            at = raw.find(needle)
+            while at >= 0:
+                row = int(np.searchsorted(offsets, at, "right")) - 1
+                inside = at + len(needle) <= offsets[row + 1]
+                if inside:
+                    rows.append(row)
+                at = raw.find(needle, int(offsets[row + 1]) if inside else at + 1)
+        return np.array(rows, np.int64)
+
     def _plain(self, data, lead, points, at) -> list[np.ndarray]:
         if not len(points):
             return [np.zeros(0, np.uint16)] * (len(at) - 1)

@@ -84,3 +84,12 @@ def test_query_equals_brute_force(spark, tmp_path):
 def test_empty_table(spark, tmp_path):
     cases.empty(spark).write.parquet(f"{tmp_path}/documents.parquet")
     assert queries.op6_token_file(spark, str(tmp_path)).collect() == []
+
+
+def test_added_tokens_are_single_ids_as_in_a_fresh_library():
+    from tokenizers import Tokenizer
+
+    strings = ["<|endoftext|>", "plain words", "a <|endoftext|><|endoftext|> b", "cut <|endof", "text|> here", "", "中 <|endoftext|>", "<|endoftext", "|>"]
+    want = [e.ids for e in Tokenizer.from_file(PATH).encode_batch(strings, add_special_tokens=False)]
+    assert want[0] == [50256]
+    assert [x.tolist() for x in tokenfile.encoder(PATH)(*arrays(strings))] == want
