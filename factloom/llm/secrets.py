@@ -2,8 +2,9 @@
 
 Candidates are maximal runs of key-like characters. In each, every character class has a window
 that slides by one character; the window's entropy follows from counts of which only two change
-at a step. Windows over the class's threshold unite into a span, unless the allow-list knows the
-candidate. Offsets are code points, ends exclusive.
+at a step. Dates and parts that name an example are cut out of a candidate; in the stretches that
+are left, windows over the class's threshold unite into a span, unless the allow-list knows the
+whole stretch. Offsets are code points, ends exclusive.
 
 Defined results: null and empty texts have no spans; rows are independent, so repeated rows and
 ids repeat their results; an empty table gives an empty result; other columns are ignored.
@@ -34,13 +35,16 @@ CLASSES = (
     ("alnum", frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), 20, 3.7),
     ("base64", frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"), 24, 4.0),
 )
-#: Candidates that are no secrets: documentation examples, identifiers in UUID form, dates, word chains.
+#: Parts that are no secrets, whatever stands beside them: documentation examples, dates.
+CUTS = (
+    r"(?<![^-_/=])[^-_/=]*EXAMPLE[^-_/=]*",
+    r"(?<![^-_/=])[0-9]{4}[-/][0-9]{2}[-/][0-9]{2}(?![^-_/=])",
+)
+#: Stretches that are no secrets as a whole: identifiers in UUID form, chains of words shorter than a window, repeats.
 ALLOW = (
-    r".*EXAMPLE.*",
     r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}",
-    r"[0-9]{4}[-/][0-9]{2}[-/][0-9]{2}.*",
-    r"([A-Za-z]+[-_/=]+)+[A-Za-z]*[0-9]{0,4}",
-    r"(.)\1*",
+    r"[-_/=]*([A-Za-z]{1,19}[-_/=]+)+([A-Za-z]{0,19})[0-9]{0,4}",
+    r"(?P<one>.)(?P=one)*",
 )
 
 
@@ -52,8 +56,6 @@ def _table(chars: str) -> np.ndarray:
 
 _HEX = _table("0123456789abcdef")
 _CANDIDATE = _table("".join(sorted(CLASSES[2][1])))
-_DIGIT = _table("0123456789")
-_LETTER = _table("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
 
 
 def entropy_spans(candidate: str, classes=CLASSES) -> list[tuple[int, int]]:
@@ -109,7 +111,17 @@ def _holding(data: np.ndarray, offsets: np.ndarray, needles: tuple[bytes, ...],
             at = raw.find(needle, int(offsets[row + 1]))
 
 
-def scan_texts(data: np.ndarray, offsets: np.ndarray, classes=CLASSES, allow=ALLOW) -> list[list[tuple[int, int, str]]]:
+def stretches(candidate: str, cuts: re.Pattern | None, least: int) -> list[tuple[int, str]]:
+    """(start, stretch) of what the cuts leave of a candidate, as far as a window fits."""
+    at, out = 0, []
+    for a, b in [m.span() for m in cuts.finditer(candidate)] if cuts else []:
+        out.append((at, candidate[at:a]))
+        at = b
+    out.append((at, candidate[at:]))
+    return [(k, x) for k, x in out if len(x) >= least]
+
+
+def scan_texts(data: np.ndarray, offsets: np.ndarray, classes=CLASSES, allow=ALLOW, cuts=CUTS) -> list[list[tuple[int, int, str]]]:
     """The spans of each text, by start, then kind in the order of KINDS."""
     found: list[list[tuple[int, int, str]]] = [[] for _ in range(len(offsets) - 1)]
     wanted: set[int] = set()
@@ -118,15 +130,11 @@ def scan_texts(data: np.ndarray, offsets: np.ndarray, classes=CLASSES, allow=ALL
     for row in wanted:
         text = data[offsets[row] : offsets[row + 1]].tobytes().decode()
         found[row] += base_spans(text)
-    allowed = re.compile("|".join(f"(?:{p})" for p in allow)) if allow else None
+    allowed, cut = (re.compile("|".join(f"(?:{p})" for p in x)) if x else None for x in (allow, cuts))
     hexes, candidates = runs(data, offsets, _HEX), runs(data, offsets, _CANDIDATE)
     long = hexes[1] - hexes[0] >= LEAST["hex"]
     least = min(window for _, _, window, _ in classes) if classes else 1 << 60
     wide = candidates[1] - candidates[0] >= least
-    digits, letters = (np.concatenate([[0], np.cumsum(t[data])]) for t in (_DIGIT, _LETTER))
-    a, b = candidates[0], candidates[1]
-    if len(a):
-        wide &= (digits[b] > digits[a]) & (letters[b] > letters[a])  # words and numbers are no candidates
     chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])  # code points before each byte
     for start, end, row in zip(*(x[long].tolist() for x in hexes)):
         shift = int(chars[offsets[row]])
@@ -134,12 +142,13 @@ def scan_texts(data: np.ndarray, offsets: np.ndarray, classes=CLASSES, allow=ALL
     base = [list(x) for x in found]
     for start, end, row in zip(*(x[wide].tolist() for x in candidates)):
         candidate = data[start:end].tobytes().decode()
-        if allowed and allowed.fullmatch(candidate):
-            continue
-        at = int(chars[start] - chars[offsets[row]])
-        for a, b in entropy_spans(candidate, classes):
-            if not any(x <= at + a and at + b <= y for x, y, _ in base[row]):
-                found[row].append((at + a, at + b, "entropy"))
+        for skipped, stretch in stretches(candidate, cut, least):
+            if allowed and allowed.fullmatch(stretch):
+                continue
+            at = int(chars[start] - chars[offsets[row]]) + skipped
+            for a, b in entropy_spans(stretch, classes):
+                if not any(x <= at + a and at + b <= y for x, y, _ in base[row]):
+                    found[row].append((at + a, at + b, "entropy"))
     for spans in found:
         spans.sort(key=lambda s: (s[0], KINDS.index(s[2])))
     return found
