@@ -4,6 +4,7 @@ The automaton holds all template texts and base phrases as strings of word ids.
 stream through it and give matching statistics: at each word, the longest run ending there that
 some template contains. Long maximal matches are chained, in text order and template order with
 bounded gaps, into covered template spans; a chain that covers enough of a template labels it.
+Notices are short names of licenses; they label where they stand whole.
 
 Words are runs of [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F] after A-Z are lower-cased.
 Defined results: null and empty texts have no words and no labels; rows are independent; an
@@ -59,7 +60,50 @@ TEMPLATES = (
         "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation "
         "and/or other materials provided with the distribution.",
     ),
+    (
+        "bsd",
+        "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, "
+        "THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS "
+        "BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE "
+        "GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT "
+        "LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    ),
+    (
+        "bsd-3-clause",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software "
+        "without specific prior written permission.",
+    ),
+    (
+        "mpl",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, "
+        "You can obtain one at https://mozilla.org/MPL/2.0/.",
+    ),
+    (
+        "unlicense",
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute "
+        "this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    ),
+)
+_CC = (("by", "attribution"), ("by nc", "attribution noncommercial"), ("by sa", "attribution sharealike"), ("by nd", "attribution noderivatives"))
+_CC += (("by nc sa", "attribution noncommercial sharealike"), ("by nc nd", "attribution noncommercial noderivatives"))
+#: Names and clauses that tell licenses of alike texts apart: (label, words that stand whole).
+NOTICES = (
+    *((f"cc-{short.replace(' ', '-')}", f"{name} {version}") for short, long in _CC for version in ("1.0", "2.0", "2.5", "3.0", "4.0") for name in (f"cc {short}", f"creative commons {long}", f"creative commons {long.replace('noncommercial', 'non commercial')}")),
+    ("cc0", "CC0 1.0"),
+    ("cc0", "creative commons zero"),
+    ("lgpl", "Lesser General Public License"),
+    ("lgpl", "Library General Public License"),
+    ("agpl", "Affero General Public License"),
+    ("mpl", "Mozilla Public License"),
+    ("isc", "ISC License"),
+    ("isc", "is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"),
+    ("bsd-2-clause", "BSD 2-Clause"),
+    ("bsd-3-clause", "BSD 3-Clause"),
+    ("unlicense", "the Unlicense"),
+    # its warranty: with these words it is not the like clause of the Unlicense
+    ("mit", "NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY"),
 )
+NOTICES = tuple(dict.fromkeys(NOTICES))
 
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _MEMBER = np.array([b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 for b in range(256)])
@@ -131,9 +175,11 @@ class SuffixAutomaton:
 class Scanner:
     """The automaton with its vocabulary; least: words of a long match; gap: words a chain may skip."""
 
-    def __init__(self, base=BASE, templates=TEMPLATES, least: int = 4, gap: int = 12, cover: float = 0.5):
+    def __init__(self, base=BASE, templates=TEMPLATES, least: int = 4, gap: int = 12, cover: float = 0.5, notices=NOTICES):
         self.base, self.templates, self.least, self.gap, self.cover = base, templates, least, gap, cover
-        strings = [words_of(t) for t, _ in base] + [words_of(t) for _, t in templates]
+        self.notices = notices
+        strings = [words_of(t) for t, _ in base] + [words_of(t) for _, t in (*templates, *notices)]
+        self.first_notice = len(base) + len(templates)
         self.sizes = [len(s) for s in strings]
         vocabulary = sorted({w for s in strings for w in s})
         ids = {w: i for i, w in enumerate(vocabulary)}
@@ -144,12 +190,12 @@ class Scanner:
         hashes = span_hashes(prefix_sums(data), ends - [len(w) for w in raw], ends)
         self.order = np.argsort(hashes)
         self.hashes = hashes[self.order]
-        # base phrases that end where a state ends: all of its suffixes' phrases
+        # base phrases and notices that end where a state ends: all of its suffixes' phrases
         self.phrases: list[tuple[tuple[int, int], ...]] = []
         for state in range(len(self.automaton.next)):
             up, found = state, []
             while up > 0:
-                found += [(self.sizes[k], k) for k, end in self.automaton.ends[up].items() if k < len(base) and end == self.sizes[k] == self.automaton.length[up]]
+                found += [(self.sizes[k], k) for k, end in self.automaton.ends[up].items() if not len(base) <= k < self.first_notice and end == self.sizes[k] == self.automaton.length[up]]
                 up = self.automaton.link[up]
             self.phrases.append(tuple(found))
 
@@ -163,7 +209,7 @@ class Scanner:
         lower = LOWER[data]
         starts, ends, row = runs(lower, offsets, _MEMBER)
         counts = np.bincount(row, minlength=len(offsets) - 1)
-        out = [{"n_words": int(n), "base": [], "matches": []} for n in counts]
+        out = [{"n_words": int(n), "base": [], "matches": [], "notices": []} for n in counts]
         if len(starts):
             ids = self.word_ids(lower, starts, ends)
             first = np.cumsum(counts) - counts
@@ -188,14 +234,14 @@ class Scanner:
                 out["matches"].append((at + i, *before))
             for n, phrase in self.phrases[state]:
                 if n <= length:
-                    out["base"].append((at + i + 1 - n, phrase))
+                    out["base" if phrase < len(self.base) else "notices"].append((at + i + 1 - n, phrase))
         if length >= self.least:
             out["matches"].append((at + len(ids), state, length))
 
     def _label(self, out: dict) -> None:
         """Chains of matches for each template; the share of the template that the best one covers."""
         spans, score = [], 0.0
-        for k in range(len(self.base), len(self.sizes)):
+        for k in range(len(self.base), self.first_notice):
             best, words, text_end, template_end, start = 0, 0, 0, 0, 0
             for end, state, length in out["matches"]:
                 place = self.automaton.ends[state].get(k)
@@ -212,6 +258,9 @@ class Scanner:
                 score = max(score, share)
                 if share >= self.cover:
                     spans.append({"label": self.templates[k - len(self.base)][0], "start": span[0], "end": span[1], "share": share})
+        for at, k in out["notices"]:
+            score = 1.0
+            spans.append({"label": self.notices[k - self.first_notice][0], "start": at, "end": at + self.sizes[k], "share": 1.0})
         out |= {"spans": spans, "score": score}
 
 

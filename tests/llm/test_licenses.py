@@ -65,3 +65,28 @@ def test_matching_statistics_equal_brute_force():
 def test_empty_table(spark):
     assert licenses.scan(cases.empty(spark)).collect() == []
     assert licenses.Scanner().scan(np.zeros(0, np.uint8), np.zeros(1, np.int64)) == []
+
+
+def test_licenses_in_use_have_labels_of_their_own():
+    wanted = {
+        "Licensed under CC BY-NC 4.0.": {"cc-by-nc"},
+        "Licensed under CC BY 4.0": {"cc-by"},
+        "text CC-BY-NC-SA-3.0 text": {"cc-by-nc-sa"},
+        "under the Creative Commons Attribution-ShareAlike 4.0 International License": {"cc-by-sa"},
+        "CC0 1.0 Universal": {"cc0"},
+        "the GNU Lesser General Public License as published by": {"lgpl"},
+        "the GNU Affero General Public License": {"agpl"},
+        "the Mozilla Public License, v. 2.0.": {"mpl"},
+        "with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.": {"isc"},
+        "BSD 2-Clause License": {"bsd-2-clause"},
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form": {"unlicense"},
+        "FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY": {"mit"},
+        "NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY": set(),
+        "the GNU General Public License": set(),
+        "cc by hand": set(),
+        licenses.TEMPLATES[6][1]: {"bsd"},
+        licenses.TEMPLATES[4][1]: {"gpl"},
+    }
+    raw = [t.encode() for t in wanted]
+    found = licenses.Scanner().scan(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]))
+    assert [{s["label"] for s in x["spans"]} for x in found] == list(wanted.values())
