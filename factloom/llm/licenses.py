@@ -2,8 +2,9 @@
 
 The automaton holds all template texts and base phrases as strings of word ids. A file's words
 stream through it and give matching statistics: at each word, the longest run ending there that
-some template contains. Long maximal matches are chained, in text order and template order with
-bounded gaps, into covered template spans; a chain that covers enough of a template labels it.
+some template contains. Long maximal matches, at every place that they have in a template, are
+chained in text order and template order with bounded gaps in the text; the chains that cover
+most words of a template are its spans, and those that cover enough of it label it.
 Notices are short names of licenses; they label where they stand whole.
 
 Words are runs of [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F] after A-Z are lower-cased.
@@ -14,6 +15,7 @@ empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -114,7 +116,7 @@ def words_of(text: str) -> list[str]:
 
 
 class SuffixAutomaton:
-    """All substrings of several word-id strings; every state knows where in which string it ends first."""
+    """All substrings of several word-id strings; ends: where in which string each state's substrings end, ascending."""
 
     def __init__(self, strings: list[list[int]]):
         self.next: list[dict[int, int]] = [{}]
@@ -123,14 +125,13 @@ class SuffixAutomaton:
             last = 0
             for c in string:
                 last = self._extend(last, c)
-        self.ends: list[dict[int, int]] = [{} for _ in self.next]
+        self.ends: list[dict[int, list[int]]] = [{} for _ in self.next]
         for k, string in enumerate(strings):
             state = 0
             for i, c in enumerate(string):
-                state = self.next[state][c]
-                up = state
-                while up > 0 and k not in self.ends[up]:
-                    self.ends[up][k] = i + 1
+                state = up = self.next[state][c]
+                while up > 0:
+                    self.ends[up].setdefault(k, []).append(i + 1)
                     up = self.link[up]
 
     def _state(self, length: int, step: dict[int, int], link: int) -> int:
@@ -195,7 +196,7 @@ class Scanner:
         for state in range(len(self.automaton.next)):
             up, found = state, []
             while up > 0:
-                found += [(self.sizes[k], k) for k, end in self.automaton.ends[up].items() if not len(base) <= k < self.first_notice and end == self.sizes[k] == self.automaton.length[up]]
+                found += [(self.sizes[k], k) for k, ends in self.automaton.ends[up].items() if not len(base) <= k < self.first_notice and ends[0] == self.sizes[k] == self.automaton.length[up]]
                 up = self.automaton.link[up]
             self.phrases.append(tuple(found))
 
@@ -239,30 +240,49 @@ class Scanner:
             out["matches"].append((at + len(ids), state, length))
 
     def _label(self, out: dict) -> None:
-        """Chains of matches for each template; the share of the template that the best one covers."""
+        """Spans of each template that chains of matches cover; the share of a template that the best one covers."""
         spans, score = [], 0.0
-        for k in range(len(self.base), self.first_notice):
-            best, words, text_end, template_end, start = 0, 0, 0, 0, 0
-            for end, state, length in out["matches"]:
-                place = self.automaton.ends[state].get(k)
-                if place is None:
-                    continue
-                if not words or end - length - text_end > self.gap or place <= template_end:
-                    words, start, template_end, text_end = 0, end - length, place - length, end - length
-                words += min(length, place - template_end, end - text_end)
-                text_end, template_end = end, place
-                if words > best:
-                    best, span = words, (start, end)
-            if best:
-                share = min(1.0, best / self.sizes[k])
+        found: dict[int, list[tuple[int, int, int, int]]] = {}
+        for end, state, length in out["matches"]:
+            for k, places in self.automaton.ends[state].items():
+                if len(self.base) <= k < self.first_notice:
+                    found.setdefault(k, []).extend((end, place, end - length, length) for place in places)
+        for k, matches in sorted(found.items()):
+            for words, start, end in self._chains(sorted(matches)):
+                share = words / self.sizes[k]
                 score = max(score, share)
-                if share >= self.cover:
-                    spans.append({"label": self.templates[k - len(self.base)][0], "start": span[0], "end": span[1], "share": share})
+                if share < self.cover:
+                    break
+                spans.append({"label": self.templates[k - len(self.base)][0], "start": start, "end": end, "share": share})
         for at, k in out["notices"]:
             score = 1.0
             spans.append({"label": self.notices[k - self.first_notice][0], "start": at, "end": at + self.sizes[k], "share": 1.0})
         out |= {"spans": spans, "score": score}
 
+    def _chains(self, matches: list[tuple[int, int, int, int]]) -> Iterator[tuple[int, int, int]]:
+        """(template words, text start, text end) of chains that share no text, those with most words first.
+
+        matches: (text end, template end, text start, length), ascending. A match carries on the
+        chain that gives most words among those that end before it in the text and in the
+        template, at most `gap` words back; what overlaps counts once.
+        """
+        held: list[tuple[int, int]] = []  # (words, text start) of the best chain that ends with each match
+        for j, (end, place, start, length) in enumerate(matches):
+            best = (length, -start)
+            for i in range(j - 1, -1, -1):
+                if matches[i][0] < start - self.gap:
+                    break
+                more = min(length, place - matches[i][1], end - matches[i][0])
+                if more > 0:
+                    best = max(best, (held[i][0] + more, -held[i][1]))
+            held.append((best[0], -best[1]))
+        taken: list[tuple[int, int]] = []
+        for words, start, end in sorted(((n, at, m[0]) for (n, at), m in zip(held, matches)), key=lambda c: (-c[0], c[1], c[2])):
+            k = bisect_left(taken, (start, end))
+            if (k == 0 or taken[k - 1][1] <= start) and (k == len(taken) or end <= taken[k][0]):
+                insort(taken, (start, end))
+                yield words, start, end
+
 
 def scan(docs: DataFrame, scanner: Scanner | None = None) -> DataFrame:
     """doc_id, n_words, base (label, word) of all places, spans of templates, score of the best cover."""

@@ -7,8 +7,9 @@ over its blocks plus a run of blocks from a seeded one on, so a document is take
 times, and all but a few documents are taken whole.
 
 Defined results: null text counts as empty (size 0, taken 0); a null source is a source and
-sorts last; identical rows are separate documents and share results as a multiset; an empty
-table gives an empty result. Columns beside those named in `mix` are ignored.
+sorts last; a source without a word has target 0 and gets no block, and so have all sources of
+a table without words; identical rows are separate documents, share a seat and share results as
+a multiset; an empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,19 +25,19 @@ BUNDLE = 1024
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def token_counts(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size: the number of words of each whole text."""
+def token_counts(docs: DataFrame, seed: int = 42) -> DataFrame:
+    """doc_id, source, size: the number of words of each whole text; _at: its seeded place, which texts of one id don't share."""
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    return docs.select("doc_id", "source", size.alias("size"))
+    return docs.select("doc_id", "source", size.alias("size"), seeded(seed, F.col("doc_id"), size, F.col("text")).alias("_at"))
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), limit: int = 3) -> DataFrame:
-    """source, source_size, target: the total shared by weight, no target over limit x its size.
+    """source, source_size, source_rows, target: the total shared by weight, no target over limit x its size.
 
     The shares at which sources reach their limits are found in closed form: in the order of
     limit / weight, running sums tell the common share per weight that is left after each.
     """
-    per_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
+    per_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("source_rows"))
     in_order = Window.orderBy(F.col("source").asc_nulls_last())
     turn = (F.row_number().over(in_order) - 1) % len(weights)
     weighted = per_source.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), turn + 1).cast("double"))
@@ -50,7 +51,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), limit
     # the first source, in filling order, that stays below its limit fixes the share of the rest
     free = F.min(F.when(F.col("share") * F.col("weight") <= F.col("cap"), F.struct(F.col("cap") / F.col("weight"), "share"))).over(everything)
     target = F.least(F.col("cap").cast("double"), F.col("weight") * free["share"])
-    return filled.select("source", "source_size", target.alias("target"))
+    return filled.select("source", "source_size", "source_rows", target.alias("target"))
 
 
 def apportion(parts: DataFrame, group: list[Column], weight: str, seats: Column, ties: list[Column]) -> DataFrame:
@@ -61,7 +62,7 @@ def apportion(parts: DataFrame, group: list[Column], weight: str, seats: Column,
     few quotients around the margin are ranked: about four a part.
     """
     whole = Window.partitionBy(*group)
-    fraction = F.col(weight) / F.sum(weight).over(whole)
+    fraction = F.coalesce(F.try_divide(F.col(weight), F.sum(weight).over(whole)), F.lit(0.0))  # 0: no part has any weight
     slack = F.ceil(fraction * F.count(F.lit(1)).over(whole) / 2 + 1)
     sure = F.greatest(F.lit(0).cast("long"), F.floor(fraction * seats - slack).cast("long"))
     based = parts.withColumn("_seats", seats).withColumn("_sure", F.when(F.col(weight) > 0, sure).otherwise(F.lit(0).cast("long"))).withColumn("_slack", slack)
@@ -80,20 +81,19 @@ def seeded(seed: int, *parts: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
 
 
-def plan(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), limit: int = 3, block: int = 16, shard_words: int = 1 << 18, seed: int = 42) -> DataFrame:
+def plan(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), limit: int = 3, block: int = 16, shard_words: int = 1 << 18, shard_rows: int = 1 << 16, seed: int = 42) -> DataFrame:
     """doc_id, source, size, source_size, target, passes, pieces: what the mix takes of each document.
 
     passes: whole repeats; pieces: word ranges [from, to) taken once more. block: words in a
-    block; shard_words: about how many words a shard of a source has, which bounds the rows that
-    one task sorts; both count words, not rows, so shards stay alike at every input size.
+    block; shard_words and shard_rows: about how many words and rows a shard of a source has at
+    most, which bounds what one task sorts, of texts without words, too.
     """
-    sizes = materialize(token_counts(docs), "mix-sizes")
+    sizes = materialize(token_counts(docs, seed), "mix-sizes")
     targets = source_targets(sizes, weights, limit)
-    shards_of = F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words)).cast("long")
+    shards_of = F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words), F.ceil(F.col("source_rows") / shard_rows)).cast("long")
     placed = (
         sizes.withColumn("_source", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")))
-        .join(targets.select(F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias("_source"), "source_size", "target"), "_source")
-        .withColumn("_at", seeded(seed, F.col("doc_id"), F.col("size")))
+        .join(targets.select(F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias("_source"), "source_size", "source_rows", "target"), "_source")
         .withColumn("shard", F.col("_at") % shards_of)
     )
     shard_sizes = placed.groupBy("_source", "shard").agg(F.sum("size").alias("words"), F.first("target").alias("target"), F.first("source_size").alias("source_size"))

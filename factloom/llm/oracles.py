@@ -1,16 +1,18 @@
 """DuckDB SQL for the queries that SQL can express."""
 
-#: Every quotient of every source and shard is ranked here; the operator ranks only those near the margin.
+#: Every quotient of every source and shard is ranked here; the operator ranks only those near the margin. Equal
+#: while a source has at most `mixing.BUNDLE` shards; beyond, the operator's bundles may move a block between shards.
 OP2_MIXING = r"""
-WITH sizes AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
-per_source AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sizes GROUP BY source),
+WITH sizes AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+  CAST('0x' || left(md5('42:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) || ':' || coalesce(text, '')), 8) AS BIGINT) AS place FROM documents),
+per_source AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, count(*) AS source_rows FROM sizes GROUP BY source),
 weighted AS (SELECT *, CAST(3 * source_size AS DOUBLE) AS cap, CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS DOUBLE) AS w FROM per_source),
 filled AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER before, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER before, 0)) AS share FROM weighted
   WINDOW before AS (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 level AS (SELECT arg_min(share, cap / w) AS share FROM filled WHERE share * w <= cap),
-targets AS (SELECT source, coalesce('s' || source, 'n') AS s, source_size, least(cap, w * (SELECT share FROM level)) AS target FROM filled),
-placed AS (SELECT z.doc_id, z.size, t.s, t.source_size, t.target, CAST('0x' || left(md5('42:' || coalesce(CAST(z.doc_id AS VARCHAR), '') || ':' || z.size), 8) AS BIGINT) AS place,
-  greatest(1, CAST(ceil(t.source_size / 262144) AS BIGINT)) AS shards FROM sizes z JOIN targets t ON z.source IS NOT DISTINCT FROM t.source),
+targets AS (SELECT source, coalesce('s' || source, 'n') AS s, source_size, source_rows, least(cap, w * (SELECT share FROM level)) AS target FROM filled),
+placed AS (SELECT z.doc_id, z.size, z.place, t.s, t.source_size, t.target,
+  greatest(1, CAST(ceil(t.source_size / 262144) AS BIGINT), CAST(ceil(t.source_rows / 65536) AS BIGINT)) AS shards FROM sizes z JOIN targets t ON z.source IS NOT DISTINCT FROM t.source),
 dealt AS (SELECT *, place % shards AS shard FROM placed),
 seats AS (SELECT CAST(round(sum(target) / 16) AS BIGINT) AS n FROM targets),
 source_quota AS (SELECT s, count(*) AS quota FROM (SELECT s, row_number() OVER (ORDER BY target / (2 * k + 1) DESC, s, k) AS r FROM targets, seats, unnest(range(0, seats.n)) AS q(k) WHERE target > 0), seats WHERE r <= seats.n GROUP BY s),

@@ -1,19 +1,22 @@
 """Quality classifier by importance resampling over hashed n-grams.
 
 Two generative models share one hashed n-gram space (words and punctuation runs, and pairs of
-them; all repeats of a word are one pair): the target model counts documents labelled good, the raw model counts every document. A
-document's importance is the log ratio of the two, averaged over its n-grams; a cut fitted on
-the labelled rows turns it into a log weight, which is flat for all documents above the cut and
-falls steeply below. Gumbel top-k then samples as many documents as the weights expect to be
-good, so documents above the cut stay and rejected ones go.
-
-Labels: at most `most_labels` labelled rows of each class are fitted, those with the smallest
-seeded hash (a documented bound; every count of the raw text covers all documents).
-
-Defined results: null and empty texts have no n-grams, log ratio 0, and stay; where no document
-of either class is labelled, nothing is rejected; documents without a label are scored like
-others; ties at the k-th key all stay; identical rows share a key; an empty table gives an empty
-result; other columns are ignored.
+them; all repeats of a word are one pair): the target model counts documents labelled good, the raw
+model counts every document. A document's log ratio of the two, averaged over its n-grams, times
+SCALE, is its log importance weight: as if every document gave the evidence of SCALE n-grams, so
+that length doesn't decide. Gumbel top-k draws k documents without replacement, with chances in
+proportion to the weights: its key is the log weight plus seeded Gumbel noise. k comes from the
+data: a cut fitted on held-out labelled rows tells how many documents are likely to be good. The
+cut does nothing else; documents near it go in or out by their weights and the draw.
+
+Labels: at most `most_labels` labelled ids of each class are fitted, those with the smallest
+seeded hash (a documented bound; every count of the raw text covers all documents); of several
+rows with one labelled id the smallest text counts.
+
+Defined results: null and empty texts have no n-grams and log weight 0; where no document of
+either class is labelled, all weights are 0 and all documents are drawn; documents without a label
+are scored like others; ties at the k-th key all stay; identical rows share a key; an empty table
+gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import materialize
@@ -31,8 +34,10 @@ from .textarrays import mix, prefix_sums, runs, set_aside, slices, span_hashes,
 BUCKETS = 1 << 16
 #: Pseudo-count of a bucket: what rare n-grams say counts little.
 PRIOR = 2.0
-#: Log weight that a document loses for each unit of log ratio below the cut.
-STEEP = 1000.0
+#: N-grams that a document's log weight counts for; n-grams that a short text is taken to have besides its own.
+SCALE, SHORT = 10.0, 8.0
+#: Bins of a log weight's unit, in which labelled rows are counted to fit the cut.
+BINS = 64
 
 _PUNCTUATION = np.array([33 <= b <= 47 or 58 <= b <= 64 or 91 <= b <= 96 or 123 <= b <= 126 for b in range(256)])
 _WORDS = np.array([b > 32 for b in range(256)]) & ~_PUNCTUATION & (np.arange(256) != 127)
@@ -84,7 +89,7 @@ def log_ratios(target: np.ndarray, raw: np.ndarray, prior: float = PRIOR) -> np.
 
 
 def scores(docs: DataFrame, ratios: np.ndarray, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns `keep`, log_ratio (mean over the n-grams), n_grams of each whole text."""
+    """The columns `keep`, log_ratio (mean over the n-grams; of a short text, drawn towards 0), n_grams of each whole text."""
     shared = docs.sparkSession.sparkContext.broadcast(ratios)  # `buckets` doubles
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,7 +97,7 @@ def scores(docs: DataFrame, ratios: np.ndarray, keep: tuple[str, ...] = ("doc_id
             bucket, row = ngrams(*texts(batch), len(shared.value))
             n = np.bincount(row, minlength=batch.num_rows)
             total = np.bincount(row, shared.value[bucket], minlength=batch.num_rows)
-            mean = pa.array(total / np.maximum(n, 1))
+            mean = pa.array(total / (n + SHORT))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), mean, pa.array(n.astype(np.int64))], [*keep, "log_ratio", "n_grams"])
 
     kept = docs.select(*dict.fromkeys([*keep, "text"]))
@@ -100,49 +105,54 @@ def scores(docs: DataFrame, ratios: np.ndarray, keep: tuple[str, ...] = ("doc_id
     return kept.mapInArrow(run, f"{shape}, log_ratio double, n_grams long")
 
 
-def best_cut(good: np.ndarray, bad: np.ndarray, cost: float = 4.0) -> float:
-    """The cut with the least cost; a good document below it costs `cost`, a bad one above it 1."""
-    good, bad = np.sort(good), np.sort(bad)
-    edges = np.unique(np.concatenate([good, bad]))
-    cuts = np.concatenate([[edges[0] - 1.0], (edges[1:] + edges[:-1]) / 2])
-    lost = cost * np.searchsorted(good, cuts) + (len(bad) - np.searchsorted(bad, cuts))
-    return float(cuts[np.argmin(lost)])
+def best_cut(good: dict[int, int], bad: dict[int, int], cost: float = 4.0) -> int:
+    """The bin from which documents count as good, at the least cost; a good one below it costs `cost`, a bad one above it 1."""
+    lost = sum(bad.values())
+    best, cut = lost, min([*good, *bad])
+    for at in sorted({*good, *bad}):
+        lost += cost * good.get(at, 0) - bad.get(at, 0)
+        if lost < best:
+            best, cut = lost, at + 1
+    return cut
 
 
 def _labelled(docs: DataFrame, labels: DataFrame, most: int, seed: int) -> DataFrame:
-    """doc_id, text, quality of at most `most` labelled rows a class."""
+    """doc_id, text, quality, half of at most `most` labelled ids a class."""
     clean = labels.filter("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     by_hash = F.xxhash64("doc_id", F.lit(seed))
     chosen = None
     for q in (0, 1):
         part = clean.filter(F.col("quality") == q).orderBy(by_hash, "doc_id").limit(most)
         chosen = part if chosen is None else chosen.union(part)
-    # at most 2 x most ids, whatever the input: small enough to broadcast, and texts are not shuffled
-    return docs.select("doc_id", "text").join(F.broadcast(chosen) if most <= 100_000 else chosen, "doc_id")
+    half = F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.lit(2)).cast("string")
+    # at most 2 x most ids, whatever the input: small enough to broadcast, and other texts are not shuffled
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen) if most <= 100_000 else chosen, "doc_id")
+    return found.groupBy("doc_id", "quality").agg(F.min("text").alias("text")).withColumn("half", half)
 
 
-def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, most_labels: int = 20_000, seed: int = 42) -> tuple[np.ndarray, float] | None:
-    """Log ratios and cut; None where a class has no labelled document.
+def _bin(log_ratio: Column) -> Column:
+    return F.floor(log_ratio * SCALE * BINS).cast("long")
+
+
+def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, most_labels: int = 20_000, seed: int = 42) -> tuple[np.ndarray, int] | None:
+    """Log ratios and the cut (a bin of log weights); None where a class has no labelled document.
 
     The cut comes from rows that the target model for them has not seen: two halves of the
-    labelled rows score each other.
+    labelled rows score each other, and only counts by class and bin leave the executors.
     """
-    labelled = _labelled(docs, labels, most_labels, seed).withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.lit(2)))
-    labelled = materialize(labelled, "quality-labelled")
-    seen = {r.quality: r["count"] for r in labelled.groupBy("quality").count().collect()}
-    if not seen.get(0) or not seen.get(1):
+    labelled = materialize(_labelled(docs, labels, most_labels, seed), "quality-labelled")
+    if labelled.filter("quality = 0").isEmpty() or labelled.filter("quality = 1").isEmpty():
         return None
     raw = _bucket_counts(docs.select("text", F.lit("raw").alias("part")), buckets).get("raw", np.zeros(buckets, np.int64))
-    halves = _bucket_counts(labelled.filter("quality = 1").select("text", F.col("half").cast("string").alias("part")), buckets)
+    halves = _bucket_counts(labelled.filter("quality = 1").select("text", F.col("half").alias("part")), buckets)
     none = np.zeros(buckets, np.int64)
-    held: dict[int, list[np.ndarray]] = {0: [], 1: []}
-    for half in (0, 1):
-        ratios = log_ratios(halves.get(str(1 - half), none), raw)
-        scored = scores(labelled.filter(F.col("half") == half), ratios).join(labelled.select("doc_id", "quality"), "doc_id").select("quality", "log_ratio").toPandas()
-        for q in (0, 1):
-            held[q].append(scored.loc[scored.quality == q, "log_ratio"].to_numpy())
-    cut = best_cut(np.concatenate(held[1]), np.concatenate(held[0])) if all(sum(map(len, h)) for h in held.values()) else -np.inf
-    return log_ratios(halves.get("0", none) + halves.get("1", none), raw), cut
+    held: dict[int, dict[int, int]] = {0: {}, 1: {}}
+    for half in ("0", "1"):
+        unseen = log_ratios(halves.get("1" if half == "0" else "0", none), raw)
+        binned = scores(labelled.filter(F.col("half") == half), unseen, keep=("quality",)).groupBy("quality", _bin(F.col("log_ratio")).alias("bin")).count()
+        for r in binned.collect():  # log ratios are bounded by the counts' logarithm, so bins are few
+            held[r.quality][r.bin] = held[r.quality].get(r.bin, 0) + r["count"]
+    return log_ratios(halves.get("0", none) + halves.get("1", none), raw), best_cut(held[1], held[0])
 
 
 def kth_largest(keys: DataFrame, k: int) -> int | None:
@@ -164,26 +174,25 @@ def kth_largest(keys: DataFrame, k: int) -> int | None:
     return low
 
 
-def _weighted(scored: DataFrame, cut: float, seed: int) -> DataFrame:
+def _weighted(scored: DataFrame, seed: int) -> DataFrame:
     """scored with log_weight and its Gumbel key, in millionths; both depend on the row alone."""
     uniform = (F.xxhash64("doc_id", "log_ratio", "n_grams", F.lit(seed)).bitwiseAND(F.lit((1 << 52) - 1)) + 0.5) / float(1 << 52)
-    weight = F.when(F.col("n_grams") == 0, 0.0).otherwise(F.least(F.lit(0.0), (F.col("log_ratio") - cut) * STEEP)) if np.isfinite(cut) else F.lit(0.0)
-    gumbel = F.greatest(F.lit(-1e9), F.col("log_weight")) - F.log(-F.log(uniform))
-    return scored.withColumn("log_weight", weight).withColumn("key", F.floor(gumbel * 1e6).cast("long"))
+    key = F.col("log_weight") - F.log(-F.log(uniform))
+    return scored.withColumn("log_weight", F.col("log_ratio") * SCALE).withColumn("key", F.floor(key * 1e6).cast("long"))
 
 
-def _threshold(keyed: DataFrame) -> int | None:
-    """The key of the last document that the expected number of good ones takes in."""
-    return kth_largest(keyed.select("key"), int(keyed.agg(F.round(F.sum(F.exp("log_weight")))).first()[0] or 0))
+def _threshold(keyed: DataFrame, cut: int, size: int | None) -> int | None:
+    """The key of the last document drawn: of `size`, or of as many as are likely to be good."""
+    return kth_largest(keyed.select("key"), keyed.filter(_bin(F.col("log_ratio")) >= cut).count() if size is None else size)
 
 
-def resample(docs: DataFrame, labels: DataFrame, seed: int = 42, **how) -> DataFrame:
-    """doc_id, log_ratio, n_grams, log_weight, key, kept of every document."""
+def resample(docs: DataFrame, labels: DataFrame, seed: int = 42, size: int | None = None, **how) -> DataFrame:
+    """doc_id, log_ratio, n_grams, log_weight, key, kept of every document. size: how many are drawn, else as many as are likely to be good."""
     model = fit(docs, labels, seed=seed, **how)
     none = docs.select("doc_id", F.lit(0.0).alias("log_ratio"), F.lit(0).cast("long").alias("n_grams"))
-    ratios, cut = model or (None, -np.inf)
-    keyed = materialize(_weighted(none if ratios is None else scores(docs, ratios), cut, seed), "quality-keys")
-    least = _threshold(keyed)
+    ratios, cut = model or (None, 0)
+    keyed = materialize(_weighted(none if ratios is None else scores(docs, ratios), seed), "quality-keys")
+    least = _threshold(keyed, cut, size)
     return keyed.withColumn("kept", F.lit(False) if least is None else F.col("key") >= least)
 
 
@@ -192,9 +201,9 @@ def keep(docs: DataFrame, labels: DataFrame, seed: int = 42, **how) -> DataFrame
     model = fit(docs, labels, seed=seed, **how)
     if model is None:
         return docs
-    least = _threshold(materialize(_weighted(scores(docs, model[0]), model[1], seed), "quality-keys"))
+    least = _threshold(materialize(_weighted(scores(docs, model[0]), seed), "quality-keys"), model[1], None)
     if least is None:
         return docs.limit(0)
     renamed, restored = set_aside(docs, "doc_id", "text")
-    both = _weighted(scores(renamed, model[0], keep=tuple(renamed.columns)), model[1], seed)
+    both = _weighted(scores(renamed, model[0], keep=tuple(renamed.columns)), seed)
     return restored(both.filter(F.col("key") >= least))

@@ -301,6 +301,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int = END, block: int
         docs_held: list = []
         counts_held: list[int] = []
         raw: list[bytes] = []
+        held = 0
 
         def closed() -> pa.RecordBatch:
             whole = np.frombuffer(b"".join(raw), "<u2")
@@ -313,17 +314,19 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int = END, block: int
                 docs_held.append(doc_id)
                 counts_held.append(n)
                 raw.append(x)
-                if sum(counts_held) >= block:
+                held += n
+                if held >= block:
                     yield closed()
                     number += 1
-                    docs_held, counts_held, raw = [], [], []
+                    docs_held, counts_held, raw, held = [], [], [], 0
         if raw:
             yield closed()
 
-    tie = F.xxhash64("ids")
+    # equal rows can stand in any order, so their places in the table spread them over ranges
+    tie, salt = F.xxhash64("ids"), F.monotonically_increasing_id()
     parts = max(spark.sparkContext.defaultParallelism, -(-int(counts.sum()) // shard))
-    keyed = ids.withColumn("tie", tie)
-    ordered = keyed.repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), "tie").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie")
+    keyed = ids.withColumn("tie", tie).withColumn("salt", salt)
+    ordered = keyed.repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), "tie", "salt").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie")
     blocks = ordered.select("doc_id", "n_tokens", "ids").mapInArrow(run, f"shard int, block int, n_tokens long, doc_ids array<{kind}>, counts array<long>, marks binary, bits binary")
     blocks.write.option("compression", "none").parquet(f"{path}/blocks")
     spark.createDataFrame([(bytearray(lengths.tobytes()),)], "lengths binary").coalesce(1).write.parquet(f"{path}/code")

@@ -58,8 +58,8 @@ def test_matching_statistics_equal_brute_force():
             assert length == want
             if length:
                 match = text[i + 1 - length : i + 1]
-                ends = {k: next(e for e in range(length, len(s) + 1) if s[e - length : e] == match) for k, s in enumerate(strings) if any(s[e - length : e] == match for e in range(length, len(s) + 1))}
-                assert automaton.ends[state] == ends
+                ends = {k: [e for e in range(length, len(s) + 1) if s[e - length : e] == match] for k, s in enumerate(strings)}
+                assert automaton.ends[state] == {k: e for k, e in ends.items() if e}
 
 
 def test_empty_table(spark):
@@ -90,3 +90,48 @@ def test_licenses_in_use_have_labels_of_their_own():
     raw = [t.encode() for t in wanted]
     found = licenses.Scanner().scan(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]))
     assert [{s["label"] for s in x["spans"]} for x in found] == list(wanted.values())
+
+
+def scanned(*texts):
+    raw = [t.encode() for t in texts]
+    return licenses.Scanner().scan(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]))
+
+
+def test_edited_texts_are_covered():
+    mit, apache, bsd = licenses.TEMPLATES[0][1], licenses.TEMPLATES[3][1], licenses.TEMPLATES[5][1]
+    phrase = "you may not use this file except in compliance"
+    edited = [
+        apache.replace(phrase, f"{phrase} {phrase}"),
+        mit.replace("without restriction", "without restriction in the Software without restriction"),
+        bsd.replace("with or without modification", "with or without any modification").replace("this list of conditions", "that list of terms", 1),
+        f"before {apache} between {apache} after",
+    ]
+    for text, label in zip(edited, ["apache", "mit", "bsd", "apache"]):
+        (found,) = scanned(text)
+        assert found["score"] >= 0.9 and {s["label"] for s in found["spans"]} == {label}, text
+    n = len(words_of(apache))
+    assert [(s["start"], s["end"]) for s in sorted(scanned(edited[3])[0]["spans"], key=lambda s: s["start"])] == [(1, 1 + n), (2 + n, 2 + 2 * n)]
+
+
+def test_chains_equal_brute_force():
+    rng = random.Random(8)
+    scanner = licenses.Scanner(gap=3)
+    for _ in range(60):
+        matches = sorted({(e := rng.randint(2, 30), rng.randint(2, 14), e - (n := rng.randint(1, 2)), n) for _ in range(rng.randint(1, 9))})
+
+        def best(j):
+            end, place, start, length = matches[j]
+            gains = [best(i) + min(length, place - p, end - e) for i, (e, p, _, _) in enumerate(matches) if e < end and p < place and e >= start - 3]
+            return max([length, *gains])
+
+        chains = list(scanner._chains(matches))
+        assert chains[0][0] == max(best(j) for j in range(len(matches)))
+        covered = sorted((a, b) for _, a, b in chains)
+        assert all(x[1] <= y[0] for x, y in zip(covered, covered[1:]))
+
+
+def test_query_with_clashing_columns(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    cases.docs(spark).withColumns({"score": F.lit("x"), "base": F.lit(1), "labels": F.lit(2)}).write.parquet(f"{tmp_path}/documents.parquet")
+    assert queries.op4_licenses(spark, str(tmp_path)).count() == len(cases.rows())

@@ -113,3 +113,26 @@ def test_bundles_share_their_quota_out(spark, monkeypatch):
         target[r.source] = r.target
         shards[r.source] = -(-r.source_size // 500)
     assert all(abs(taken[s] - target[s]) <= 16 * shards[s] + 16 for s in target)
+
+
+WORDLESS = {
+    "one source without words": [(1, "one two three", "en", "a", 0), (2, None, "en", "b", 0), (3, " ", "en", "b", 0), (4, "", "en", None, 0)],
+    "a table without words": [(1, None, "en", "a", 0), (2, "", "en", "b", 0), (3, None, "en", None, 0)],
+    "many rows, few words": [(i, "word" if i % 50 == 0 else None, "en", "a" if i % 3 else "b", 0) for i in range(600)],
+    "one id, many texts": [(7, f"word {i} and more", "en", "a", 0) for i in range(300)],
+}
+
+
+@pytest.mark.parametrize("name", WORDLESS)
+def test_sources_without_words_take_nothing(spark, tmp_path, name):
+    cases.docs(spark, WORDLESS[name]).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    sql = queries.ORACLE_SQL["op2_mixing"].replace("65536", "100")
+    want = sorted((r[0], r[1], r[2], round(r[3], 6), r[4]) for r in con.execute(sql).fetchall())
+    planned = mixing.plan(docs, shard_rows=100)
+    got = planned.withColumn("taken", mixing.taken_words()).collect()
+    assert sorted((r.doc_id, r["size"], r.source_size, round(r.target, 6), r.taken) for r in got) == want
+    assert all(r.taken == 0 for r in got if r["size"] == 0)
+    assert mixing.apply_plan(docs, planned).count() >= 0
