@@ -1,27 +1,31 @@
 """Exact substring deduplication: merged Burrows-Wheeler transforms of candidate windows.
 
-A byte goes if a string of `width` bytes that covers it also starts somewhere else. Three steps:
-
-1. Every window of `width` bytes has a leading anchor, the k-byte gram in it with the least hash
-   (leftmost among equals). Consecutive windows with one anchor form a segment. Equal windows
-   have equal anchors at equal offsets, so only segments that share an anchor's hash can share a
-   window. Segments that stand twice as a whole are repeats at once; counts of anchors and
-   segments are pre-aggregated, so copies, however many, are one row.
+A byte goes if a string of `width` bytes that covers it also starts somewhere else. The same
+transforms tell the shorter repeats that make a passage: runs of more than `words` words whose
+every string of `passage` bytes also stands in another document. Three steps:
+
+1. Every window of `passage` bytes has an anchor, the k-byte gram in it with the least hash.
+   Consecutive windows with one anchor form a segment, which reaches far enough to hold the
+   strings of `width` bytes that begin in it. Equal windows have equal anchors, so only segments
+   with one anchor's hash can share a window of either length. Texts that stand on several rows
+   are repeats at once; counts of anchors and segments are pre-aggregated, so copies, however
+   many, are one row.
 2. Distinct segments that share an anchor are dealt to buckets by the anchor. A bucket forms
    shards of bounded size; each shard's Burrows-Wheeler transform is built over symbols of
    SYMBOL bytes (all phases of the segments), to the depth of `width` bytes. Two transforms are
    merged by refining their interleave: each round sorts the merged column stably by the symbol
    before, which orders suffixes one symbol deeper, and the round in which two neighbours part
-   is their common prefix. After width / SYMBOL rounds, neighbours that have not parted are
-   repeated intervals. No suffix is sorted again in a merge.
+   is their common prefix. Neighbours that have not parted after width / SYMBOL rounds are
+   repeated intervals of `width`, those of passage / SYMBOL rounds of `passage` bytes. No suffix
+   is sorted again in a merge.
 3. Repeats go back to all places of their segments and unite to the runs that documents lose.
 
 Anchors with more than HOT distinct segments (a passage in very many documents) would make one
 bucket large; their windows are instead counted by a 128-bit hash, with partial aggregation.
 
-Defined results: null and empty texts have no bytes; texts shorter than `width` lose nothing;
-repeated rows (of any doc_id) repeat each other; an empty table gives an empty result; other
-columns are ignored.
+Defined results: null and empty texts have no bytes; texts shorter than a window have no repeats
+of its length; repeated rows (of any doc_id) repeat each other; an empty table gives an empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,41 +38,43 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import materialize
+from .scratch import drop, materialize
 from .textarrays import Recent, mix, powers, prefix_sums, slices, span_hashes, texts
 
 WIDTH = 400
-GRAM = 128
+#: Bytes of a window of passages, and words that a passage has at least one more of.
+PASSAGE, WORDS = 240, 50
+GRAM = 48
 SYMBOL = 80
+#: Windows that a segment has at most.
+MOST = 4096
 #: Bytes of segments in a bucket (about) and in a shard (at most, unless one segment is longer).
 BUCKET, SHARD = 1 << 20, 1 << 19
 #: Distinct segments of one anchor that share a bucket.
 HOT = 4096
 
 
-def leading(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH, gram: int = GRAM):
-    """For the windows of all texts: (text, first window start, number of windows, anchor place, anchor hash) of each segment."""
+def leading(data: np.ndarray, offsets: np.ndarray, window: int, gram: int, most: int = MOST):
+    """(text, first window start, number of windows, anchor hash, whether the anchor stands more than once) of each segment of all texts."""
     sums = prefix_sums(data)
     n = len(data) - gram + 1
     none = np.zeros(0, np.int64)
-    if n <= 0:
-        return none, none, none, none, none.view(np.uint64)
-    inverse = powers(len(data) + 1)[1]
-    value = mix((sums[gram:] - sums[:n]) * inverse[:n])
-    span = width - gram + 1  # grams in a window
-    rows, firsts, counts, places = [], [], [], []
-    for row in np.flatnonzero(np.diff(offsets) >= width):
+    found: list[tuple] = [(none, none, none, none.view(np.uint64), none.astype(bool))]
+    if n > 0:
+        value = mix((sums[gram:] - sums[:n]) * powers(len(data) + 1)[1][:n])
+    for row in np.flatnonzero(np.diff(offsets) >= window):
         a, b = int(offsets[row]), int(offsets[row + 1])
-        place = sliding_least(value[a : b - gram + 1], span) + a
-        change = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
-        rows.append(np.full(len(change), row))
-        firsts.append(change)
-        counts.append(np.diff(np.append(change, len(place))))
-        places.append(place[change])
-    if not rows:
-        return none, none, none, none, none.view(np.uint64)
-    places = np.concatenate(places)
-    return np.concatenate(rows), np.concatenate(firsts), np.concatenate(counts), places, value[places]
+        place = sliding_least(value[a : b - gram + 1], window - gram + 1) + a
+        least = value[place]
+        fresh = np.append(True, least[1:] != least[:-1])
+        moved = np.append(False, place[1:] != place[:-1]) & ~fresh
+        begin = np.flatnonzero(fresh)
+        count = np.diff(np.append(begin, len(place)))
+        if count.max() > most:  # periodic texts keep an anchor for long
+            begin = np.concatenate([np.arange(c, c + m, most) for c, m in zip(begin, count)])
+            count = np.diff(np.append(begin, len(place)))
+        found.append((np.full(len(begin), row), begin, count, least[begin], np.add.reduceat(moved.view(np.int8), begin, dtype=np.int64) > 0))
+    return tuple(map(np.concatenate, zip(*found)))
 
 
 def sliding_least(value: np.ndarray, span: int) -> np.ndarray:
@@ -89,33 +95,43 @@ def text_key(raw: bytes) -> bytes:
     return hashlib.sha256(raw).digest()[:16]
 
 
-_SEGMENT = pa.schema([("text", pa.binary()), ("first", pa.int32()), ("windows", pa.int32()), ("anchor", pa.int64()), ("segment", pa.int64())])
+_SEGMENT = pa.schema([("text", pa.binary()), ("first", pa.int32()), ("windows", pa.int32()), ("length", pa.int32()), ("anchor", pa.int64()), ("segment", pa.int64()), ("inner", pa.bool_())])
+_SEGMENT_SQL = "text binary, first int, windows int, length int, anchor long, segment long, inner boolean"
+
+
+def _new_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], list[bytes]]]:
+    """(keys, texts) of slices of the batches, without those that this task has just had."""
+    seen = Recent()
+    for batch in slices(batches):
+        raw = [x or b"" for x in batch.column("text").cast(pa.binary()).to_pylist()]
+        new = [(k, x) for x in raw if seen.add(k := text_key(x))]
+        if new:
+            yield tuple(map(list, zip(*new)))
+
 
+def _segment_rows(width: int, window: int, gram: int):
+    """Segments of the texts that this task has not just had: copies of a text are counted apart."""
 
-def _segment_rows(width: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            data, offsets = texts(batch)
-            row, first, windows, _, anchor = leading(data, offsets, width, gram)
+        for keys, raw in _new_texts(batches):
+            data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64)
+            row, first, windows, anchor, inner = leading(data, offsets, window, gram)
             if not len(row):
                 continue
             start = offsets[row] + first
-            whole = span_hashes(prefix_sums(data), start, start + windows + width - 1)
-            keys = pa.array([text_key(data[offsets[r] : offsets[r + 1]].tobytes()) for r in np.unique(row)], pa.binary())
-            keys = keys.take(pa.array(np.unique(row, return_inverse=True)[1]))
-            yield pa.RecordBatch.from_arrays([keys, pa.array(first.astype(np.int32)), pa.array(windows.astype(np.int32)), pa.array(anchor.view(np.int64)), pa.array(whole.view(np.int64))], schema=_SEGMENT)
+            end = np.minimum(start + windows - 1 + width, offsets[row + 1])
+            whole = span_hashes(prefix_sums(data), start, end)
+            numbers = [pa.array(c.astype(np.int32)) for c in (first, windows, end - start)]
+            hashes = [pa.array(c.view(np.int64)) for c in (anchor, whole)]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()).take(pa.array(row)), *numbers, *hashes, pa.array(inner)], schema=_SEGMENT)
 
     return run
 
 
 def _distinct_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(text, body) of the texts that this task has not just had."""
-    seen = Recent()
-    for batch in slices(batches):
-        raw = [(x or "").encode() for x in batch.column("text").to_pylist()]
-        new = [(k, x) for x in raw if seen.add(k := text_key(x))]
-        if new:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*new)], ["text", "body"])
+    for keys, raw in _new_texts(batches):
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(raw, pa.binary())], ["text", "body"])
 
 
 # Burrows-Wheeler transforms over symbols --------------------------------------------------
@@ -198,9 +214,13 @@ def merge(a: Transform, b: Transform, depth: int) -> tuple[Transform, np.ndarray
     return Transform(last, origin, strings), shared
 
 
-def repeated_windows(segments: list[bytes], windows: list[int], width: int = WIDTH, symbol: int = SYMBOL, shard: int = SHARD) -> list[np.ndarray]:
-    """For each segment, which of its first `windows` places start a string of `width` bytes that another place starts, too."""
-    depth = width // symbol
+def repeated_windows(segments: list[bytes], windows: list[int], widths: tuple[int, ...] = (WIDTH, PASSAGE), symbol: int = SYMBOL, shard: int = SHARD, owners: np.ndarray | None = None) -> list[list[np.ndarray]]:
+    """For each width, for each segment, which of its first `windows` places start a string of so many bytes that another place starts, too.
+
+    owners: for each segment, the least and greatest of the texts that hold it; given these, for
+    the widths after the first the other place must be in another text.
+    """
+    depth = max(widths) // symbol
     raw = np.frombuffer(b"".join(segments), np.uint8)
     begins = np.concatenate([[0], np.cumsum([len(s) for s in segments])]).astype(np.int64)
     at = np.arange(len(raw) - symbol + 1)
@@ -225,12 +245,21 @@ def repeated_windows(segments: list[bytes], windows: list[int], width: int = WID
     starts = np.zeros(len(raw) + 1, bool)
     for begin, n in zip(begins, windows):
         starts[begin : begin + n] = True
-    wanted = (place >= 0) & starts[place]
-    interval = np.cumsum(shared < depth)
-    alike = np.bincount(interval[wanted], minlength=interval[-1] + 1)
-    again = np.zeros(len(raw) + 1, bool)
-    again[place[wanted & (alike[interval] > 1)]] = True
-    return [again[begin : begin + n] for begin, n in zip(begins, windows)]
+    wanted = np.flatnonzero((place >= 0) & starts[place])
+    place = place[wanted]
+    segment = np.searchsorted(begins, place, "right") - 1
+    out = []
+    for k, width in enumerate(widths):
+        interval = np.cumsum(shared < width // symbol)[wanted]
+        first = np.flatnonzero(np.append(True, interval[1:] != interval[:-1]))
+        size = np.diff(np.append(first, len(interval)))
+        alike = size > 1
+        if k and owners is not None:
+            alike = np.minimum.reduceat(owners[segment, 0], first) != np.maximum.reduceat(owners[segment, 1], first)
+        again = np.zeros(len(raw) + 1, bool)
+        again[place[np.repeat(alike, size)]] = True
+        out.append([again[begin : begin + n] for begin, n in zip(begins, windows)])
+    return out
 
 
 def spans_of(marks: np.ndarray) -> list[tuple[int, int]]:
@@ -239,137 +268,192 @@ def spans_of(marks: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[0::2].tolist(), edge[1::2].tolist()))
 
 
-_RUNS = pa.schema([("anchor", pa.int64()), ("segment", pa.int64()), ("runs", pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32())])))])
-_RUNS_SQL = "anchor long, segment long, runs array<struct<from:int,to:int>>"
+#: part 0: starts of repeats that are removed; part 1: of repeats that make passages.
+_RUNS = pa.schema([("anchor", pa.int64()), ("segment", pa.int64()), ("runs", pa.list_(pa.struct([("part", pa.int32()), ("from", pa.int32()), ("to", pa.int32())])))])
+_RUNS_SQL = "anchor long, segment long, runs array<struct<part:int,from:int,to:int>>"
 
 
-def _bucket_rows(width: int, symbol: int, shard: int):
+def _bucket_rows(widths: tuple[int, int], symbol: int, shard: int):
     def run(bucket: pa.Table) -> pa.Table:
-        found = repeated_windows(bucket.column("body").to_pylist(), bucket.column("windows").to_pylist(), width, symbol, shard)
-        rows = [(a, s, [{"from": x, "to": y} for x, y in spans_of(m)]) for a, s, m in zip(bucket.column("anchor").to_pylist(), bucket.column("segment").to_pylist(), found) if m.any()]
+        owners = np.stack([bucket.column(c).to_numpy() for c in ("low", "high")], axis=1)
+        found = repeated_windows(bucket.column("body").to_pylist(), bucket.column("windows").to_pylist(), widths, symbol, shard, owners)
+        rows = []
+        for anchor, segment, *marks in zip(bucket.column("anchor").to_pylist(), bucket.column("segment").to_pylist(), *found):
+            runs = [{"part": part, "from": x, "to": y} for part, m in enumerate(marks) for x, y in spans_of(m)]
+            if runs:
+                rows.append((anchor, segment, runs))
         return pa.Table.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(_RUNS)], schema=_RUNS)
 
     return run
 
 
-def _window_rows(width: int):
-    """Every window of hot segments with a 128-bit hash."""
+def _window_rows(widths: tuple[int, int]):
+    """Every window of hot segments, of either width, with a 128-bit hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 512):
-                part = batch.slice(k, 512)
-                bodies, windows = part.column("body").to_pylist(), part.column("windows").to_numpy()
+                rows = batch.slice(k, 512)
+                bodies, windows = rows.column("body").to_pylist(), rows.column("windows").to_numpy()
                 raw = np.frombuffer(b"".join(bodies), np.uint8)
-                begins = np.cumsum([0] + [len(b) for b in bodies[:-1]])
-                which = np.repeat(np.arange(len(bodies)), windows)
-                at = np.arange(len(which)) - np.repeat(np.cumsum(windows) - windows, windows)
-                start = begins[which] + at
-                one = span_hashes(prefix_sums(raw), start, start + width)
-                two = span_hashes(prefix_sums(raw ^ np.uint8(0xA5)), start, start + width)
-                ids = [part.column(c).to_numpy()[which] for c in ("anchor", "segment")]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, ids), pa.array(at.astype(np.int32)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))], ["anchor", "segment", "at", "one", "two"])
+                lengths = np.array([len(b) for b in bodies])
+                begins = np.cumsum(lengths) - lengths
+                sums = prefix_sums(raw), prefix_sums(raw ^ np.uint8(0xA5))
+                for part, width in enumerate(widths):
+                    count = np.clip(lengths - width + 1, 0, windows)
+                    which = np.repeat(np.arange(len(bodies)), count)
+                    at = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
+                    start = begins[which] + at
+                    hashes = [pa.array(span_hashes(x, start, start + width).view(np.int64)) for x in sums]
+                    given = [pa.array(rows.column(c).to_numpy()[which]) for c in ("anchor", "segment", "low", "high")]
+                    yield pa.RecordBatch.from_arrays([*given, pa.array(np.full(len(at), part, np.int32)), pa.array(at.astype(np.int32)), *hashes], ["anchor", "segment", "low", "high", "part", "at", "one", "two"])
 
     return run
 
 
-def _hot_runs(hot: DataFrame, width: int) -> DataFrame:
-    windows = hot.select("anchor", "segment", "windows", "body").mapInArrow(_window_rows(width), "anchor long, segment long, at int, one long, two long")
-    twice = windows.groupBy("one", "two").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("one", "two")
-    again = windows.join(twice, ["one", "two"]).groupBy("anchor", "segment").agg(F.collect_set("at").alias("at"))  # at most a segment's windows
-    return again.select("anchor", "segment", F.transform("at", lambda x: F.struct(x.alias("from"), (x + 1).alias("to"))).alias("runs"))
+def _hot_runs(hot: DataFrame, widths: tuple[int, int]) -> DataFrame:
+    windows = hot.select("anchor", "segment", "low", "high", "windows", "body").mapInArrow(_window_rows(widths), "anchor long, segment long, low long, high long, part int, at int, one long, two long")
+    key = ["part", "one", "two"]
+    twice = windows.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+    twice = materialize(twice.filter("if(part = 0, n > 1, low <> high)").select(*key), "suffix-hot")  # written, so that a window in very many segments splits in the join
+    again = windows.select("anchor", "segment", *key, "at").join(twice, key).groupBy("anchor", "segment").agg(F.collect_set(F.struct("part", "at")).alias("at"))  # at most a segment's windows
+    return again.select("anchor", "segment", F.transform("at", lambda x: F.struct(x["part"].alias("part"), x["at"].alias("from"), (x["at"] + 1).alias("to"))).alias("runs"))
+
+
+_CUT = pa.schema([("anchor", pa.int64()), ("segment", pa.int64()), ("n", pa.int64()), ("low", pa.int64()), ("high", pa.int64()), ("windows", pa.int32()), ("length", pa.int32()), ("body", pa.binary())])
+_CUT_SQL = "anchor long, segment long, n long, low long, high long, windows int, length int, body binary"
 
 
 def _cut_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("anchor", pa.int64()), ("segment", pa.int64()), ("windows", pa.int32()), ("body", pa.binary())])
     for batch in batches:
         for k in range(0, batch.num_rows, 64):
             rows = [
-                (c["anchor"], c["segment"], c["windows"], body[c["first"] : c["first"] + c["length"]])
+                (*(c[f] for f in _CUT.names[:-1]), body[c["first"] : c["first"] + c["length"]])
                 for body, cuts in zip(batch.column("body").slice(k, 64).to_pylist(), batch.column("cuts").slice(k, 64).to_pylist())
                 for c in cuts
             ]
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _CUT)], schema=_CUT)
 
 
-def _kept_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """What is left of each text without the union of its runs."""
-    names = ["text", "n_removed", "n_spans", "kept_sha256"]
-    for batch in batches:
-        for k in range(0, batch.num_rows, 64):
-            part = batch.slice(k, 64)
-            rows = []
-            for key, body, runs in zip(*(part.column(c).to_pylist() for c in ("text", "body", "runs"))):
-                kept, at, removed, spans, end = hashlib.sha256(), 0, 0, 0, -1
-                for r in sorted(((r["from"], r["to"]) for r in runs or ())):
-                    if r[0] > end:
-                        kept.update(body[at : r[0]])
-                        spans += 1
-                        at = r[0]
-                    if r[1] > at:
-                        removed += r[1] - at
-                        at = r[1]
-                    end = max(end, r[1])
-                kept.update(body[at:])
-                rows.append((key, removed, spans, kept.hexdigest()))
-            kinds = [pa.binary(), pa.int64(), pa.int64(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
-
-
-def _free_shuffles(spark) -> None:
-    """Let Spark's cleaner drop the shuffle files of finished jobs: what they made is written."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
-def repeated_runs(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, symbol: int = SYMBOL, bucket: int = BUCKET, hot: int = HOT) -> DataFrame:
-    """text (a key of the whole text), runs: array of byte ranges (from, to) that also stand elsewhere; they may overlap."""
-    if width % symbol or not 0 < gram <= width:
-        raise ValueError("width must be a multiple of symbol, and gram at most width")
-    spark = docs.sparkSession
-    segments = docs.select("text").mapInArrow(_segment_rows(width, gram), "text binary, first int, windows int, anchor long, segment long")
+def united(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The maximal runs of bytes that (from, to) cover; runs that touch are one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(runs):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+_SPACE = frozenset(b"\x20\x09\x0a\x0b\x0c\x0d")
+
+
+def whole_words(body: bytes, start: int, end: int) -> int:
+    """Words of body that lie in [start, end) from first to last byte."""
+    n = len(body[start:end].split())
+    if n and start and body[start - 1] not in _SPACE and body[start] not in _SPACE:
+        n -= 1
+    if n and end < len(body) and body[end - 1] not in _SPACE and body[end] not in _SPACE:
+        n -= 1
+    return n
+
+
+_KEPT = pa.schema([("text", pa.binary()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("n_passages", pa.int64()), ("n_passage_words", pa.int64()), ("kept", pa.binary())])
+_KEPT_SQL = "text binary, n_removed long, n_spans long, kept_sha256 string, n_passages long, n_passage_words long, kept binary"
+
+
+def _kept_rows(words: int, bytes_too: bool):
+    """What is left of each text without its repeats, and its passages."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 64):
+                part = batch.slice(k, 64)
+                rows = []
+                for key, body, runs in zip(*(part.column(c).to_pylist() for c in ("text", "body", "runs"))):
+                    gone, passages = (united([(r["from"], r["to"]) for r in runs if r["part"] == p]) for p in (0, 1))
+                    ends = [0, *(b for _, b in gone)]
+                    kept = b"".join(body[a:b] for a, b in zip(ends, [*(a for a, _ in gone), len(body)]))
+                    long = [n for a, b in passages if (n := whole_words(body, a, b)) > words]
+                    rows.append((key, len(body) - len(kept), len(gone), hashlib.sha256(kept).hexdigest(), len(long), sum(long), kept if bytes_too else None))
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _KEPT)], schema=_KEPT)
+
+    return run
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    """doc_id, text (a key of the whole text), n_bytes, whole (its SHA-256 in hex)."""
+    text = F.coalesce("text", F.lit(""))
+    given = docs.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("whole"))
+    return given.withColumn("text", F.substring(F.unhex("whole"), 1, 16))
+
+
+def repeated_runs(docs: DataFrame, width: int = WIDTH, passage: int = PASSAGE, gram: int = GRAM, symbol: int = SYMBOL, bucket: int = BUCKET, hot: int = HOT) -> DataFrame:
+    """text (a key of the whole text), runs: array of byte ranges (part, from, to), which may overlap.
+
+    part 0: bytes that repeats of `width` bytes cover; part 1: bytes that repeats of `passage` bytes in other documents cover.
+    """
+    if width % symbol or passage % symbol or not 0 < gram <= passage <= width:
+        raise ValueError("width and passage must be multiples of symbol, and gram at most passage")
+    spark, widths = docs.sparkSession, (width, passage)
+    segments = docs.select("text").mapInArrow(_segment_rows(width, passage, gram), _SEGMENT_SQL)
     segments = materialize(segments, "suffix-segments")
-    place = F.struct("text", "first", "windows")
-    distinct = segments.groupBy("anchor", "segment").agg(F.count(F.lit(1)).alias("places"), F.min(place).alias("place"))
+    place, owner = F.struct("text", "first", "windows", "length"), F.xxhash64("text")
+    distinct = segments.groupBy("anchor", "segment").agg(F.count(F.lit(1)).alias("places"), F.min(place).alias("place"), F.min(owner).alias("low"), F.max(owner).alias("high"), F.bool_or("inner").alias("inner"))
     crowds = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    distinct = distinct.join(crowds, "anchor", "left").withColumn("n", F.coalesce("n", F.lit(1).cast("long"))).filter("n > 1 or places > 1")
-    distinct = materialize(distinct.select("anchor", "segment", "places", "n", "place.*"), "suffix-distinct")
-    _free_shuffles(spark)
-    shared = distinct.filter("n > 1").withColumn("length", F.col("windows") + width - 1)
-    cuts = shared.groupBy("text").agg(F.collect_list(F.struct("anchor", "segment", "first", "windows", "length")).alias("cuts"))
+    distinct = distinct.join(crowds, "anchor", "left").withColumn("n", F.coalesce("n", F.lit(1).cast("long"))).filter("n > 1 or places > 1 or inner")
+    distinct = materialize(distinct.select("anchor", "segment", "places", "n", "low", "high", "inner", "place.*"), "suffix-distinct")
+    shared = distinct.filter("n > 1 or inner")
+    cuts = shared.groupBy("text").agg(F.collect_list(F.struct("first", *_CUT.names[:-1])).alias("cuts"))
     bodies = docs.select("text").mapInArrow(_distinct_rows, "text binary, body binary")
-    cut = bodies.join(cuts.hint("shuffle_hash"), "text").mapInArrow(_cut_rows, "anchor long, segment long, windows int, body binary")
-    cut = cut.join(shared.select("anchor", "segment", "n"), ["anchor", "segment"]).dropDuplicates(["anchor", "segment"])
+    cut = bodies.join(cuts.hint("shuffle_hash"), "text").mapInArrow(_cut_rows, _CUT_SQL).dropDuplicates(["anchor", "segment"])
     cut = materialize(cut, "suffix-cut")
-    _free_shuffles(spark)
-    total = cut.agg(F.sum(F.length("body"))).first()[0] or 0
-    buckets = max(1, -(-total // bucket))
+    buckets = max(1, -(-(cut.agg(F.sum("length")).first()[0] or 0) // bucket))
     dealt = cut.filter(F.col("n") <= hot).withColumn("bucket", F.pmod(F.xxhash64("anchor"), F.lit(buckets)))
-    runs = dealt.groupBy("bucket").applyInArrow(_bucket_rows(width, symbol, max(width, bucket // 2)), _RUNS_SQL)
-    runs = runs.union(_hot_runs(cut.filter(F.col("n") > hot), width))
-    whole = distinct.filter("places > 1").select("anchor", "segment", F.array(F.struct(F.lit(0).alias("from"), F.col("windows").alias("to"))).alias("runs"))
+    runs = dealt.groupBy("bucket").applyInArrow(_bucket_rows(widths, symbol, max(width, bucket // 2)), _RUNS_SQL)
+    runs = runs.union(_hot_runs(cut.filter(F.col("n") > hot), widths))
+    zero = F.lit(0)
+    whole = F.array(
+        F.struct(zero.alias("part"), zero.alias("from"), F.least("windows", F.col("length") - (width - 1)).alias("to")),
+        F.struct(F.lit(1).alias("part"), zero.alias("from"), F.when(F.col("low") != F.col("high"), F.col("windows")).otherwise(zero).alias("to")),
+    )
+    whole = distinct.filter("places > 1").select("anchor", "segment", F.filter(whole, lambda r: r["to"] > 0).alias("runs"))
     runs = materialize(runs.union(whole), "suffix-runs")
-    _free_shuffles(spark)
+    drop(spark, distinct)
+    drop(spark, cut)
     # both sides are plain exchanges here, so a segment that stands very often is split as a skewed join
     placed = segments.join(runs, ["anchor", "segment"])
-    covered = F.transform("runs", lambda r: F.struct((F.col("first") + r["from"]).alias("from"), (F.col("first") + r["to"] + (width - 1)).alias("to")))
-    placed = placed.select("text", F.explode(covered).alias("run")).groupBy("text").agg(F.collect_set("run").alias("runs"))
-    return placed
-
-
-def deduplicate(docs: DataFrame, **how) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each document."""
-    runs = materialize(repeated_runs(docs, **how), "suffix-texts")
-    _free_shuffles(docs.sparkSession)
+    reach = F.when(F.col("run.part") == 0, width - 1).otherwise(passage - 1)
+    placed = placed.select("text", "first", F.explode("runs").alias("run"))
+    placed = placed.select("text", F.struct("run.part", (F.col("first") + F.col("run.from")).alias("from"), (F.col("first") + F.col("run.to") + reach).alias("to")).alias("run"))
+    # texts that stand on several rows are repeats from end to end
+    copies = _texts(docs).groupBy("text").agg(F.count(F.lit(1)).alias("n"), F.max("n_bytes").cast("int").alias("to")).filter("n > 1 and to > 0")
+    copied = copies.select("text", F.explode(F.array(*[F.struct(F.lit(p).alias("part"), F.lit(0).alias("from"), "to") for p in (0, 1)])).alias("run"))
+    copied = copied.filter(f"run.part = 1 or run.to >= {width}")
+    found = materialize(placed.union(copied).groupBy("text").agg(F.collect_set("run").alias("runs")), "suffix-texts")
+    drop(spark, segments)
+    drop(spark, runs)
+    return found
+
+
+def deduplicate(docs: DataFrame, words: int = WORDS, kept: bool = False, **how) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passages, n_passage_words of each document.
+
+    n_passages counts the runs of more than `words` whole words that repeats of `passage` bytes in
+    other documents cover, n_passage_words their words. kept: also the bytes that are left.
+    """
+    runs = repeated_runs(docs, **how)
     bodies = docs.select("text").mapInArrow(_distinct_rows, "text binary, body binary")
-    kept = bodies.join(runs.hint("shuffle_hash"), "text").mapInArrow(_kept_rows, "text binary, n_removed long, n_spans long, kept_sha256 string").dropDuplicates(["text"])
-    kept = materialize(kept, "suffix-kept")  # so that the join below has plain exchanges, and a text with very many copies splits
-    text = F.coalesce("text", F.lit(""))
-    given = docs.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("whole"))
-    given = given.withColumn("text", F.substring(F.unhex("whole"), 1, 16))
+    left = bodies.join(runs.hint("shuffle_hash"), "text").mapInArrow(_kept_rows(words, kept), _KEPT_SQL).dropDuplicates(["text"])
+    left = materialize(left if kept else left.drop("kept"), "suffix-kept")  # so that the join below has plain exchanges, and a text with very many copies splits
+    drop(docs.sparkSession, runs)
     zero = F.lit(0).cast("long")
-    return given.join(kept, "text", "left").select(
-        "doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept_sha256", "whole").alias("kept_sha256")
-    )
+    numbers = {c: F.coalesce(c, zero).alias(c) for c in ("n_removed", "n_spans", "n_passages", "n_passage_words")}
+    out = ["doc_id", "n_bytes", numbers["n_removed"], numbers["n_spans"], F.coalesce("kept_sha256", "whole").alias("kept_sha256"), numbers["n_passages"], numbers["n_passage_words"]]
+    given = _texts(docs)
+    if kept:
+        body = F.coalesce("text", F.lit("")).cast("binary")
+        given = docs.select("doc_id", "text", body.alias("body")).withColumns({"n_bytes": F.octet_length("body").cast("long"), "whole": F.sha2("body", 256)}).withColumn("text", F.substring(F.unhex("whole"), 1, 16))
+        out.append(F.coalesce("kept", "body").alias("kept"))
+    return given.join(left, "text", "left").select(*out)
