@@ -22,6 +22,8 @@ from .textarrays import set_aside
 
 #: Shards of a source that share their quota out among themselves.
 BUNDLE = 1024
+#: Sources (about 50 bytes each) up to which their targets are broadcast; beyond, they are joined by shuffle.
+SOURCES = 100_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -89,7 +91,8 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), limit: int = 3,
     most, which bounds what one task sorts, of texts without words, too.
     """
     sizes = materialize(token_counts(docs, seed), "mix-sizes")
-    targets = source_targets(sizes, weights, limit)
+    targets = materialize(source_targets(sizes, weights, limit), "mix-targets")
+    targets = F.broadcast(targets) if targets.count() <= SOURCES else targets  # a shuffle by source would be as uneven as the sources
     shards_of = F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words), F.ceil(F.col("source_rows") / shard_rows)).cast("long")
     placed = (
         sizes.withColumn("_source", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")))

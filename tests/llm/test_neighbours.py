@@ -1,6 +1,8 @@
 import math
 import random
 
+import numpy as np
+
 from pyspark.sql import functions as F
 
 from factloom.llm import neighbours
@@ -25,7 +27,7 @@ def test_recall_and_order(spark):
     centres = [[rng.gauss(0, 1) for _ in range(24)] for _ in range(20)]
     data = [(i, [x + rng.gauss(0, 0.6) for x in rng.choice(centres)]) for i in range(1500)]
     data += [(2000 + i, data[3][1]) for i in range(200)]  # one very common vector
-    got = neighbours.nearest(table(spark, data), every=50, block=300, ask=8).collect()
+    got = neighbours.nearest(table(spark, data), every=50, block=300).collect()
     want, hits = brute(data, 50, 10), 0
     for q, near in want.items():
         rows = sorted((r.rank, r.vec_id, r.score) for r in got if r.query_id == q)
@@ -44,3 +46,19 @@ def test_awkward_vectors_and_few_candidates(spark):
     rows = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got)
     assert [r[:3] for r in rows] == [(0, 1, 1), (0, 2, 2), (0, 3, 100), (100, 1, 0), (100, 2, 0), (100, 3, 1), (100, 4, 2)]
     assert neighbours.nearest(table(spark, [])).collect() == []
+
+
+def test_recall_over_ten_thousand_vectors(spark):
+    rng = np.random.default_rng(3)
+    vectors = rng.standard_normal((10_000, 48)) + 2.0 * rng.standard_normal((40, 48))[rng.integers(0, 40, 10_000)]
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>").repartition(4)
+    found = {}
+    for r in neighbours.nearest(frame, every=250, block=4096).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = 0
+    for q in range(0, 10_000, 250):
+        gap = ((vectors - vectors[q]) ** 2).sum(1)
+        gap[q] = np.inf
+        hits += len(found[q] & set(np.argsort(gap)[:10].tolist()))
+    assert len(found) == 40 and hits / 400 >= 0.9
+
