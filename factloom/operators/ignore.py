@@ -9,6 +9,7 @@ the compiled patterns. A path is ignored, too, if a folder above it is: no rule
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -62,7 +63,7 @@ def parse(lines: list[str], base: str = "") -> list[Rule]:
     return [Rule(x, base) for x in trimmed if x and not x.startswith("#")]
 
 
-def decided(path: Column, is_folder, rules: list[Rule]) -> Column:
+def decided(path: Column, is_folder, rules: Sequence[Rule]) -> Column:
     """What the last matching rule says of the path itself: ignored or not."""
     is_folder = F.lit(is_folder) if isinstance(is_folder, bool) else is_folder
     if len(rules) > EXPRESSION:
@@ -82,7 +83,7 @@ def decided(path: Column, is_folder, rules: list[Rule]) -> Column:
 class Patterns:
     """A rule list as alternations, last rule first, of bounded size: the first alternative that matches decides."""
 
-    def __init__(self, rules: list[Rule], exempt: tuple[str, ...], size: int = 200):
+    def __init__(self, rules: Sequence[Rule], exempt: tuple[str, ...], size: int = 200):
         self.exempt = frozenset(exempt)
         last_first = rules[::-1]
         self.negated = [[r.negated for r in last_first[k : k + size]] for k in range(0, len(rules), size)]
@@ -119,7 +120,7 @@ def _patterns(rules: tuple[Rule, ...], exempt: tuple[str, ...]) -> Patterns:
     return Patterns(list(rules), exempt)
 
 
-def _by_patterns(path: Column, is_folder: Column, rules: list[Rule], exempt: tuple[str, ...], above: bool) -> Column:
+def _by_patterns(path: Column, is_folder: Column, rules: Sequence[Rule], exempt: tuple[str, ...], above: bool) -> Column:
     held = tuple(rules)
 
     @F.pandas_udf("boolean")
@@ -138,7 +139,7 @@ def ancestors(path: Column) -> Column:
     return F.transform(F.filter(F.sequence(F.lit(0), F.size(parts) - 1), lambda n: n > 0), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
 
 
-def ignored(path: Column, is_folder, rules: list[Rule], exempt: tuple[str, ...] = ()) -> Column:
+def ignored(path: Column, is_folder, rules: Sequence[Rule], exempt: tuple[str, ...] = ()) -> Column:
     """The verdict on a path relative to the root; one that leaves the root is ignored."""
     outside = path.startswith("../") | path.startswith("/")
     if len(rules) > EXPRESSION:
@@ -167,7 +168,7 @@ def is_source(path: Column) -> Column:
     return F.lower(path).rlike(rf"\.({'|'.join(SOURCE_SUFFIXES)})$")
 
 
-def watched(path: Column, rules: list[Rule], state_folder: str | None = None) -> Column:
+def watched(path: Column, rules: Sequence[Rule], state_folder: str | None = None) -> Column:
     """Whether a changed path matters: inside the root, no repository data, no logs of the tool's state folder, not ignored."""
     unwanted = ignored(path, False, rules) | F.array_contains(F.split(path, "/"), ".git")
     if state_folder:

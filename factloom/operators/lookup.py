@@ -1,7 +1,8 @@
 """Lookups as joins: positions, keys, prefixes, candidates, ancestors, fallbacks.
 
 Every operator takes batches of questions. Equality keys come first, so that joins shuffle on
-them; range conditions are residuals. First-hit rules are explicit order columns.
+them; range conditions are residuals. First-hit rules are explicit order columns. Definitions may
+carry the columns owner_name and index (`with_overload_columns`), which are else derived.
 """
 
 from __future__ import annotations
@@ -12,6 +13,10 @@ from pyspark.sql import functions as F
 from ..functions import symbols as S
 
 
+#: Lines of a position's cells, by level; beyond the last, a whole file is a cell.
+CELLS = (64, 8192)
+
+
 def contains(line, ch) -> Column:
     """Whether (line, ch) lies in the row's half-open range."""
     after = (F.col("start_line") < line) | ((F.col("start_line") == line) & (F.col("start_char") <= ch))
@@ -29,8 +34,20 @@ def is_zero_range() -> Column:
 
 
 def stab(cursors: DataFrame, ranges: DataFrame) -> DataFrame:
-    """All ranges of the cursor's path that hold its position. cursors: query_id, path, line, ch."""
-    return cursors.join(ranges, "path").filter(contains(F.col("line"), F.col("ch")))
+    """All ranges of the cursor's path that hold its position. cursors: query_id, path, line, ch.
+
+    A range is a row of the smallest cell of lines that holds it whole, a cursor one of each cell
+    that it lies in. So a path with very many cursors and ranges is spread over its cells.
+    """
+    levels = len(CELLS)
+    whole = F.struct(F.lit(levels).alias("_level"), F.lit(0).cast("long").alias("_cell"))
+    cell = lambda k, line: F.struct(F.lit(k).alias("_level"), F.floor(line / CELLS[k]).cast("long").alias("_cell"))
+    home = whole
+    for k in reversed(range(levels)):
+        home = F.when(F.floor(F.col("start_line") / CELLS[k]) == F.floor(F.col("end_line") / CELLS[k]), cell(k, F.col("start_line"))).otherwise(home)
+    held = ranges.withColumn("_home", home).select(*ranges.columns, "_home._level", "_home._cell")
+    asked = cursors.select(*cursors.columns, F.inline(F.array(*[cell(k, F.col("line")) for k in range(levels)], whole)))
+    return asked.join(held, ["path", "_level", "_cell"]).filter(contains(F.col("line"), F.col("ch"))).drop("_level", "_cell")
 
 
 def narrowest(stabbed: DataFrame) -> DataFrame:
@@ -50,6 +67,22 @@ def local_then_global(wanted: DataFrame, local: DataFrame, everywhere: DataFrame
     return near.union(far).withColumn("_best", tier).filter("tier = _best").select("query_id", "found").distinct()
 
 
+def goto(cursors: DataFrame, occurrences: DataFrame, local: DataFrame, definitions: DataFrame) -> DataFrame:
+    """query_id and the definitions (path and range) that the references at its cursor mean.
+
+    Local definitions of the path come before all others. Left out are definitions without a place
+    (all zero) and those that the cursor stands in, so a definition does not lead to itself.
+    """
+    place = ["start_line", "start_char", "end_line", "end_char"]
+    wanted = stab(cursors, occurrences.filter("symbol is not null")).select("query_id", "path", "symbol")
+    found = F.struct("path", *place).alias("found")
+    hits = local_then_global(wanted, local.select("path", "symbol", found), definitions.select("symbol", found))
+    out = hits.select("query_id", "found.*").filter(~is_zero_range())
+    asked = cursors.select("query_id", F.col("path").alias("_path"), "line", "ch")
+    own = (F.col("path") == F.col("_path")) & contains(F.col("line"), F.col("ch"))
+    return out.join(asked, "query_id").filter(~own).select("query_id", "path", *place)
+
+
 def first_of(wanted: DataFrame, *tiers: DataFrame, key: str = "symbol") -> DataFrame:
     """wanted with found: from the first tier (key, found) that knows the key."""
     out = wanted
@@ -76,26 +109,42 @@ def prefix_scan(definitions: DataFrame, prefix: str, most: int = 32) -> DataFram
 
 
 def prefix_scans(prefixes: DataFrame, definitions: DataFrame, length: int, most: int = 32) -> DataFrame:
-    """prefix_scan for many prefixes of at least `length` characters, joined on their first ones."""
-    keyed = definitions.withColumn("_key", F.left("symbol", F.lit(length)))
-    hits = prefixes.withColumn("_key", F.left("prefix", F.lit(length))).join(keyed, "_key").filter(F.col("symbol").startswith(F.col("prefix")))
+    """prefix_scan for many prefixes, joined on their first `length` characters, or on all that they have."""
+    cut = F.least(F.length("prefix"), F.lit(length))
+    lengths = [r.k for r in prefixes.select(cut.alias("k")).filter("k is not null").distinct().collect()]  # at most `length` + 1 numbers
+    keys = F.array(*[F.struct(F.lit(k).alias("_k"), F.left("symbol", F.lit(k)).alias("_key")) for k in sorted(lengths)]) if lengths else F.expr("array_repeat(named_struct('_k', 0, '_key', ''), 0)")
+    keyed = definitions.select(*definitions.columns, F.inline(keys))
+    asked = prefixes.withColumn("_k", cut).withColumn("_key", F.left("prefix", F.col("_k")))
+    hits = asked.join(keyed, ["_k", "_key"]).filter(F.col("symbol").startswith(F.col("prefix")))
     order = Window.partitionBy("query_id").orderBy("symbol")
-    return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most).drop("_key")
+    return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most).drop("_k", "_key")
+
+
+def with_overload_columns(definitions: DataFrame) -> DataFrame:
+    """definitions with owner_name (what all overloads of a method share; null for others) and index."""
+    if {"owner_name", "index"} <= set(definitions.columns):
+        return definitions
+    return definitions.withColumns({"owner_name": F.nullif(S.method_base("symbol"), F.lit("")), "index": S.overload_index("symbol")})
 
 
 def with_overload_fallback(wanted: DataFrame, definitions: DataFrame, documented: bool = False) -> DataFrame:
-    """query_id, symbol, found: the exact definition, else for methods the first of their name."""
-    exact = definitions.select("symbol", F.col("symbol").alias("_exact"))
-    named = definitions.withColumn("_base", S.method_base("symbol")).filter("_base <> ''").groupBy("_base").agg(F.min("symbol").alias("_first"))
-    base = F.when(S.is_method("symbol", documented), S.method_base("symbol"))
-    out = wanted.withColumn("_base", base).join(exact, "symbol", "left").join(named, "_base", "left")
-    return out.select("query_id", "symbol", F.coalesce("_exact", "_first").alias("found"))
+    """query_id, symbol, found: the exact definition, else for methods the first of their name.
+
+    Both sides meet on what all overloads of a method share, or else on the symbol itself, so one
+    pass over the definitions answers both questions.
+    """
+    held = with_overload_columns(definitions).groupBy(F.coalesce("owner_name", "symbol").alias("_key"), F.col("owner_name").isNull().alias("_exact"))
+    held = held.agg(F.collect_set("symbol").alias("_all"), F.min("symbol").alias("_first"))  # a method's overloads
+    base = F.nullif(S.method_base("symbol"), F.lit(""))
+    asked = wanted.select("query_id", "symbol", F.coalesce(base, "symbol").alias("_key"), base.isNull().alias("_exact"))
+    found = F.when(F.array_contains("_all", F.col("symbol")), F.col("symbol")).when(S.is_method("symbol", documented), F.col("_first"))
+    return asked.join(held, ["_key", "_exact"], "left").select("query_id", "symbol", found.alias("found"))
 
 
 def first_overload(definitions: DataFrame, most: int = 9) -> DataFrame:
     """owner_name, index, symbol: the smallest overload index of each method, of those up to `most`."""
-    keyed = definitions.select(S.method_base("symbol").alias("owner_name"), S.overload_index("symbol").alias("index"), "symbol")
-    return keyed.filter((F.col("index") <= most) & (F.col("owner_name") != "")).groupBy("owner_name").agg(F.min(F.struct("index", "symbol")).alias("m")).select("owner_name", "m.*")
+    keyed = with_overload_columns(definitions).filter((F.col("index") <= most) & F.col("owner_name").isNotNull())
+    return keyed.groupBy("owner_name").agg(F.min(F.struct("index", "symbol")).alias("m")).select("owner_name", "m.*")
 
 
 def by_owner_and_name(wanted: DataFrame, definitions: DataFrame) -> DataFrame:
@@ -162,14 +211,31 @@ def archive_classpath(archives: DataFrame, bridge: DataFrame) -> DataFrame:
     """For each archive, itself and all archives of its targets: owning first, then by (target, ord), each once.
 
     archives: fingerprint; bridge: target_id, ord, fingerprint. Result: fingerprint, pos, member.
+    A target's archives are gathered once, with their first places, so the bridge is shuffled once.
     """
-    others = bridge.select("target_id", "ord", F.col("fingerprint").alias("member"))
-    pairs = archives.join(bridge.select("fingerprint", "target_id").distinct(), "fingerprint").join(others, "target_id")
-    first = pairs.groupBy("fingerprint", "member").agg(F.min(F.struct("target_id", "ord")).alias("at"))
+    first = bridge.groupBy("target_id", "fingerprint").agg(F.min("ord").alias("ord"))
+    per_target = first.groupBy("target_id").agg(F.collect_list(F.struct("fingerprint", "ord")).alias("members"))  # as long as a classpath
+    owners = per_target.select("target_id", "members", F.explode("members.fingerprint").alias("fingerprint")).join(archives.select("fingerprint").distinct(), "fingerprint")
+    pairs = owners.select("fingerprint", "target_id", F.explode("members").alias("m")).select("fingerprint", F.col("m.fingerprint").alias("member"), F.struct("target_id", "m.ord").alias("at"))
+    first = pairs.groupBy("fingerprint", "member").agg(F.min("at").alias("at"))
     order = Window.partitionBy("fingerprint").orderBy((F.col("member") != F.col("fingerprint")).cast("int"), "at", "member")
     return first.withColumn("pos", F.row_number().over(order)).select("fingerprint", "pos", "member")
 
 
+def resolve_uris(facts: DataFrame, files: DataFrame, root: str, stop: str) -> DataFrame:
+    """facts_path, path: the source that a facts file's uri names, of those that are there.
+
+    facts: facts_path, uri; files: path. `root` comes first, then the folders above the facts file
+    from the nearest up to `stop`.
+    """
+    folders = F.filter(path_ancestors(F.regexp_replace("facts_path", "/[^/]*$", "")), lambda a: (a["prefix"] == stop) | a["prefix"].startswith(stop + "/"))
+    climb = F.transform(folders, lambda a: F.struct((-a["depth"]).alias("rank"), a["prefix"].alias("folder")))
+    nowhere = F.struct(F.lit(-1_000_000).alias("rank"), F.lit(root).alias("folder"))
+    tried = facts.filter("uri <> ''").select("facts_path", F.regexp_replace("uri", "^/", "").alias("_uri"), F.inline(F.array_append(climb, nowhere)))
+    hits = tried.select("facts_path", "rank", F.concat_ws("/", "folder", "_uri").alias("path")).join(files.select("path").distinct(), "path")
+    return hits.groupBy("facts_path").agg(F.min_by("path", "rank").alias("path"))
+
+
 def parameter_of(arguments: DataFrame, definitions: DataFrame) -> DataFrame:
     """Named arguments (query_id, method, name) with the parameter symbols that are defined."""
     keyed = arguments.withColumn("symbol", S.parameter_symbol(F.col("method"), F.col("name")))

@@ -123,11 +123,12 @@ def overload_index(spark, sf_dir):
 
 
 def methods(spark, sf_dir) -> DataFrame:
-    """symbol: overloads of a method of each supplier and part size, numbered from a hole that differs."""
-    rows = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    """symbol, owner_name, index: overloads of a method of each supplier and part size, numbered from a hole that differs."""
+    rows = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part").select("p_partkey", "p_size"), F.col("l_partkey") == F.col("p_partkey"))
     index = (F.col("l_linenumber") + F.col("l_suppkey").cast("int") % 9).alias("index")
     rows = rows.select("l_suppkey", "p_size", index).distinct()  # numbers are cheaper to tell apart than the symbols made of them
-    return rows.select(S.method_symbol(F.concat(F.lit("shop/S"), "l_suppkey", F.lit("#")), F.concat(F.lit("size"), "p_size"), F.col("index")).alias("symbol"))
+    owner_name = F.concat(F.lit("shop/S"), "l_suppkey", F.lit("#size"), "p_size", F.lit("("))
+    return rows.select(owner_name.alias("owner_name"), "index").select(F.concat("owner_name", F.when(F.col("index") == 0, ").").otherwise(F.concat(F.lit("+"), "index", F.lit(").")))).alias("symbol"), "owner_name", "index")
 
 
 METHODS_SQL = """methods AS (SELECT DISTINCT 'shop/S' || l_suppkey || '#size' || p_size || '(' AS owner_name, CAST(l_linenumber + l_suppkey % 9 AS INTEGER) AS "index",
@@ -242,9 +243,9 @@ def gap_merge(spark, sf_dir):
     return lookup.gap_merge(known, rest, ("doc_id",))
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT')")
 def shadow_anti(spark, sf_dir):
-    bound = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    bound = table(spark, sf_dir, "orders").filter("o_orderstatus = 'F' and o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
     return lookup.unshadowed(table(spark, sf_dir, "customer"), bound, ("c_custkey",)).select("c_custkey", "c_name")
 
 

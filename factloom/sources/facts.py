@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
@@ -76,6 +76,17 @@ def decode(data: bytes) -> list[tuple[int, str, int, str, str, int, int, int, in
     return out
 
 
+def scan(spark: SparkSession, root: str) -> DataFrame:
+    """The facts of all facts files below root."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.semanticdb").load(root)
+    return read(files.select("path", "content"))
+
+
+def uris(facts: DataFrame) -> DataFrame:
+    """facts_path, uri: what the first document of each file speaks of."""
+    return facts.filter("doc_idx = 0").select("facts_path", "uri").distinct()
+
+
 def read(files: DataFrame) -> DataFrame:
     """Facts of files (path, content as bytes); damaged files give none."""
     names = [c.split()[0] for c in schemas.FACTS.split(", ")]

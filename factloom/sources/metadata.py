@@ -19,11 +19,19 @@ def save(table: DataFrame, path: str) -> None:
 
 
 def load(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """The rows saved; damaged lines are left out."""
+    """The rows saved; damaged lines are left out, and a path that is not there has none."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
+        return spark.createDataFrame([], schema)
     lines = spark.read.text(path).select(F.lit(path).alias("path"), F.col("value").alias("content"))
     return json_rows(lines, schema).drop("path")
 
 
+def save_targets(targets: DataFrame, path: str) -> None:
+    """The targets (TARGETS rows and conn_id) as JSON lines, a folder for each connection."""
+    targets.write.mode("overwrite").partitionBy("conn_id").json(path)
+
+
 def stale_archives(known: DataFrame, files: DataFrame) -> DataFrame:
     """Files (source_path, size, mtime) that are not indexed in this format with equal size and time."""
     fresh = known.filter(F.col("indexed") & (F.col("format_version") == FORMAT_VERSION)).select("source_path", "size", "mtime")

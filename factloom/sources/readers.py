@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import io
+import re
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schemas
+from ..operators import ignore, lookup
 from ..operators.ignore import SOURCE_SUFFIXES
 from . import java, scala
 from .lexer import Tokens
@@ -19,10 +21,19 @@ from .lexer import Tokens
 ENTRY = "archive string, entry string, content string, error string"
 
 
-def source_files(spark: SparkSession, root: str) -> DataFrame:
-    """path, content of all source files below root; names are filtered before contents are read."""
+def source_files(spark: SparkSession, root: str, rules: Sequence[ignore.Rule] = (), own: tuple[str, ...] = ()) -> DataFrame:
+    """path, content of the source files below root that no rule ignores and that stand in no folder that never holds sources.
+
+    Names decide while files are listed, so ignored contents are never read. own: names of the
+    calling tool's state folders; a rule list of over `ignore.EXPRESSION` rules decides after reading.
+    """
+    base = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    base = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(base).toUri().getPath().rstrip("/")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{" + ",".join(SOURCE_SUFFIXES) + "}").load(root)
-    return files.select("path", F.decode("content", "UTF-8").alias("content"))
+    name = F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B")))
+    relative = F.substring(F.regexp_replace(name, r"^[A-Za-z0-9+.-]+:(//[^/]*)?", ""), len(base) + 2, 1 << 30)
+    wanted = ~(ignore.always_skipped(relative, own) | ignore.ignored(relative, False, rules))
+    return files.filter(wanted).select("path", F.decode("content", "UTF-8").alias("content"))
 
 
 def extract_definitions(sources: DataFrame) -> DataFrame:
@@ -131,20 +142,26 @@ def json_rows(files: DataFrame, schema: str) -> DataFrame:
     return parsed.filter("j is not null and j._damage is null").select("path", "j.*").drop("_damage")
 
 
-def connection_files(paths: DataFrame, most: int = 10) -> DataFrame:
-    """path of `.bsp/*.json` files at most `most` folders down, in order."""
+def connection_files(paths: DataFrame, rules: Sequence[ignore.Rule] = (), most: int = 10) -> DataFrame:
+    """path of `.bsp/*.json` files at most `most` folders down and in no ignored folder but `.bsp`, in order."""
     depth = F.size(F.split("path", "/")) - 1
-    return paths.filter(F.col("path").rlike(r"(^|/)\.bsp/[^/]+\.json$") & (depth <= most)).orderBy("path")
+    above = F.regexp_replace("path", r"(^|/)\.bsp/[^/]+$", "")
+    open_folder = (above == "") | ~(ignore.ignored(above, True, rules, exempt=(".bsp",)) | ignore.always_skipped(above))
+    return paths.filter(F.col("path").rlike(r"(^|/)\.bsp/[^/]+\.json$") & (depth <= most) & open_folder).orderBy("path")
+
 
+def pair_by_convention(sources: DataFrame, facts: DataFrame, source_root: str, facts_root: str, stop: str) -> DataFrame:
+    """path, facts_path: sources whose facts stand at the same place below the facts' root and speak of them.
 
-def pair_by_convention(sources: DataFrame, facts: DataFrame, source_root: str, facts_root: str) -> DataFrame:
-    """path, facts_path: sources whose facts stand at the same place below the facts' root."""
+    facts: facts_path, uri; a facts file whose uri names another source, or none, is not paired.
+    """
     relative = F.substring(F.col("path"), len(source_root) + 2, 1 << 30)
     wanted = sources.filter(F.col("path").startswith(source_root + "/")).select("path", F.concat(F.lit(f"{facts_root}/META-INF/semanticdb/"), relative, F.lit(".semanticdb")).alias("facts_path"))
-    return wanted.join(facts.select("facts_path").distinct(), "facts_path").select("path", "facts_path")
+    named = lookup.resolve_uris(facts, sources, source_root, stop).select("facts_path", F.col("path").alias("_named"))
+    return wanted.join(named, "facts_path").filter("path = _named").select("path", "facts_path")
 
 
-def first_pairing(pairs: DataFrame) -> DataFrame:
+def last_pairing(pairs: DataFrame) -> DataFrame:
     """One facts file a source: of several, the one paired last (greatest seq)."""
     return pairs.groupBy("path").agg(F.max_by("facts_path", F.struct("seq", "facts_path")).alias("facts_path"))
 
@@ -154,6 +171,12 @@ def dump_pairs(pairs: DataFrame, root: str) -> DataFrame:
     return pairs.withColumn("outside", ~F.col("path").startswith(root + "/")).orderBy("outside", "path")
 
 
+def dump_symbols(definitions: DataFrame) -> DataFrame:
+    """line: the symbol, place and path of every definition, in the order of a dump."""
+    place = F.format_string("%d:%d-%d:%d", *schemas.RANGE_COLUMNS)
+    return definitions.orderBy("symbol", "path").select(F.concat_ws(" ", "symbol", place, "path").alias("line"))
+
+
 def save_index(definitions: DataFrame, path: str) -> None:
     """Definitions by archive fingerprint, sorted by symbol for point and prefix lookups; locals are not stored.
 

@@ -4,14 +4,18 @@ A structural scan finds packages, imports and enclosing types and walks all name
 themselves definitions, bodies of all kinds included. What a name means depends on other files,
 so the scan only ranks candidates: locals of the file, members of the enclosing owners from the
 inside out, explicit imports, the own package, wildcard imports, default names, the default
-package. `lookup.resolve_scopes` then takes the first candidate that is defined anywhere.
+package; members of a value come from its declared type. `occurrences` then joins: a name is
+the first candidate that is defined anywhere, a method's first overload; calls and `new` add what
+they imply, and named arguments the parameter.
 
 This covers more places than a resolver of declarations alone would: bodies of conditionals,
-loops, lambdas and constructors, parameter and result types (a documented superset).
+loops, lambdas and constructors, interpolated strings, parameter and result types (a documented
+superset).
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -21,6 +25,8 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions import defaults
+from ..functions import symbols as S
+from ..operators import lookup
 from . import java, scala
 from .lexer import Tokens, bare, escaped
 
@@ -34,7 +40,14 @@ SCALA_WORDS = frozenset(
     "abstract case catch class def do else enum export extends extension false final finally for forSome given if implicit import lazy macro match new null object override package private "
     "protected return sealed super then this throw trait true try type using val var while with yield inline opaque open transparent infix derives end as".split()
 )
-CANDIDATES = f"path string, ref int, rank int, symbol string, {schemas.RANGE}"
+#: Words before the name of what has a body of members.
+OPENS = frozenset("class object trait enum interface record given".split())
+#: kind: name, call, new; segment (of an import, nothing if unknown); argument (symbol: its name, of: the called ref); local (a definition).
+CANDIDATES = f"path string, ref int, kind string, of int, rank int, symbol string, {schemas.RANGE}"
+# What build files see without an import, least of all.
+BUILD_WILDCARDS = ("sbt/Keys.", "sbt/")
+#: Shapes of symbols by what a name stands for, the likeliest first.
+VALUE, TYPE, CALL = (".", "().", "#"), ("#", ".", "()."), ("().", ".", "#")
 
 
 @dataclass
@@ -53,9 +66,15 @@ def _owners(path: list[str]) -> list[str]:
     return ["/".join(names) + "/", f"{head}{names[-1]}.", f"{head}{names[-1]}#"]
 
 
-def _shapes(owner: str, name: str) -> list[str]:
+def _shapes(owner: str, name: str, order: tuple[str, ...] = TYPE) -> list[str]:
     """Symbols of a name in an owner: a type, a term, a method."""
-    return [f"{owner}{escaped(name)}{end}" for end in ("#", ".", "().")]
+    return [f"{owner}{escaped(name)}{end}" for end in order]
+
+
+def _ordered(symbols: list[str], order: tuple[str, ...]) -> list[str]:
+    """Symbols by shape, in the order given; equal shapes as they come."""
+    shape = lambda s: "()." if s.endswith(").") else s[-1:]
+    return sorted(symbols, key=lambda s: order.index(shape(s)) if shape(s) in order else len(order))
 
 
 def _dotted(t: Tokens, i: int, end: int) -> tuple[list[str], int]:
@@ -68,35 +87,41 @@ def _dotted(t: Tokens, i: int, end: int) -> tuple[list[str], int]:
     return names, i
 
 
-def scala_imports(t: Tokens, i: int, end: int, found: Imports) -> int:
-    """An import's clauses from token i on; the index after them. Names, renames, unimports, wildcards, givens."""
+def scala_imports(t: Tokens, i: int, end: int, found: Imports, use=lambda i, symbols: None) -> int:
+    """An import's clauses from token i on; the index after them. Names, renames, unimports, wildcards, givens.
+
+    use: is told of each imported name's token and candidates.
+    """
     while i < end:
         path, i = _dotted(t, i, end)
         if not path:
             return i + 1
-        selectors: list[tuple[str, str]] = []
+        selectors: list[tuple[str, str, int]] = []
         if t.text(i) == "{":
             for a, b in t.parts(i + 1, t.close[i]):
-                words = [t.text(k) for k in range(a, b) if t.text(k) not in ("=>", "as")]
+                words = [k for k in range(a, b) if t.text(k) not in ("=>", "as")]
+                if len(words) > 1 and t.text(words[0]) == "given":  # a given by its type
+                    words = words[1:2]
                 if words:
-                    selectors.append((words[0], words[1] if len(words) > 1 else words[0]))
+                    selectors.append((t.text(words[0]), t.text(words[1] if len(words) > 1 else words[0]), words[0]))
             i = t.after(i)
         elif t.text(i) in ("_", "*", "given") or (i < end and t.tokens[i].kind == "operator" and t.text(i).startswith("*")):
-            selectors.append((t.text(i), t.text(i)))
+            selectors.append((t.text(i), t.text(i), i))
             i += 1
         elif t.text(i) == "as" and t.is_name(i + 1):
-            selectors.append((path.pop(), t.text(i + 1)))
+            selectors.append((path.pop(), t.text(i + 1), i - 1))
             i += 2
         else:
-            selectors.append((path[-1], path.pop()))
+            selectors.append((path[-1], path.pop(), i - 1))
         owners = _owners(path) if path else [""]
-        for name, seen in selectors:
+        for name, seen, at in selectors:
             if name in ("_", "*", "given"):
                 found.wildcards += owners
             elif seen == "_":
                 found.hidden.add(bare(name))
             else:
                 symbols = [s for o in owners for s in _shapes(o, name)]
+                use(at, symbols)
                 for visible in {bare(name), bare(seen)}:  # both names become visible
                     found.explicit.setdefault(visible, []).extend(symbols)
         if t.text(i) != ",":
@@ -105,10 +130,18 @@ def scala_imports(t: Tokens, i: int, end: int, found: Imports) -> int:
     return i
 
 
-def java_imports(t: Tokens, i: int, end: int, found: Imports) -> int:
-    """An import from token i on: a type, a package or type wildcard, or a static member."""
+def java_imports(t: Tokens, i: int, end: int, found: Imports, use=lambda i, symbols, last=True: None) -> int:
+    """An import from token i on: a type, a package or type wildcard, or a static member.
+
+    use: is told of each segment's token and candidates, and whether it is the imported name.
+    """
     static = t.text(i) == "static"
-    path, i = _dotted(t, i + static, end)
+    begin = i + static
+    path, i = _dotted(t, begin, end)
+    for k in range(1, len(path)):
+        last = k == len(path) - 1 and t.text(i) != "*"
+        owners = [o for o in _owners(path[:k]) if o.endswith(("#", "/"))]
+        use(begin + 2 * k, [s for o in owners for s in _shapes(o, path[k]) if static and last or s.endswith("#")], last)
     wildcard = t.text(i) == "*"
     if wildcard:
         found.wildcards += [o for o in _owners(path) if o.endswith("#" if static else ("/", "#"))]
@@ -140,13 +173,22 @@ class Scan:
             if (language == "java") == self.java:
                 self.known.setdefault(name, []).append(symbol)
         self.imports = Imports()
-        self.rows: list[tuple[int, int, str, tuple]] = []
+        build = file_name.endswith(".sbt")
+        self.last_wildcards = BUILD_WILDCARDS if build else ()
+        self.owners = [f"_empty_/{escaped(file_name.removesuffix('.sbt'))}."] if build else []
+        self.rows: list[tuple[int, str, int | None, int, str, tuple]] = []
+        self.bound: set[tuple] = set()  # places of names that patterns bind
+        self.types: dict[str, list[str]] = {}  # symbols of values with a declared type: its path
         self.locals = 0
         self.refs = 0
 
     def run(self) -> "Scan":
         self.package = "_empty_/"
-        self._walk(0, len(self.t), [], [{}])
+        for i, token in enumerate(self.t.tokens):
+            symbol = self.defined.get(token.range[:2]) or self.parameters.get(token.range[:2])
+            if symbol and token.kind == "name":
+                self._typed(symbol, i)
+        self._walk(0, len(self.t), self.owners, [{}])
         return self
 
     def _walk(self, i: int, end: int, owners: list[str], scopes: list[dict[str, str]]) -> None:
@@ -161,7 +203,8 @@ class Scan:
                 self.package = prefix + "".join(escaped(p) + "/" for p in path)
                 continue
             if token.kind == "name" and token.text == "import":
-                i = (java_imports if self.java else scala_imports)(t, i + 1, end, self.imports)
+                use = lambda k, symbols, last=True: self._emit(k, symbols, "name" if last else "segment")
+                i = (java_imports if self.java else scala_imports)(t, i + 1, end, self.imports, use)
                 continue
             if token.text == "{" and token.kind == "mark":
                 inner = owners + [pending] if pending else owners
@@ -169,31 +212,106 @@ class Scan:
                 pending = None
                 i = t.after(i)
                 continue
-            if token.kind == "name" and not (token.text in self.words):
+            if token.text == "case" and not self.java:
+                self._pattern(i + 1, end, scopes)
+            elif token.kind == "string" and not self.java and token.text[0] != '"':
+                self._interpolated(token, owners, scopes)
+            elif token.kind == "name" and not (token.text in self.words):
                 place = token.range[:2]
                 if place in self.defined:
-                    if not self.defined[place].endswith(")."):
-                        pending = self.defined[place]
+                    pending = self.defined[place] if t.text(i - 1) in OPENS else None
                 elif place in self.parameters:  # a parameter hides others from here on
                     scopes[-1][bare(token.text)] = self.parameters[place]
-                elif not self._declares(i, scopes):
+                elif place not in self.bound and not self._declares(i, scopes):
                     i = self._use(i, end, owners, scopes)
                     continue
             elif token.text == ";":
                 pending = None
             i += 1
 
+    def _interpolated(self, token, owners: list[str], scopes: list[dict[str, str]]) -> None:
+        """Names in use in an interpolated string, at their own places in the text."""
+        whole = self.t
+        for m in re.finditer(r"\$\$|\$([^\W\d]\w*)|\$\{", token.text):
+            if m[0] == "$$":
+                continue
+            begin, end = m.end() - len(m[1] or ""), m.end()
+            if m[0] == "${":
+                depth = 1
+                while end < len(token.text) and depth:
+                    depth += {"{": 1, "}": -1}.get(token.text[end], 0)
+                    end += 1
+                end -= 1
+            before = token.text[:begin]
+            line = token.line + before.count("\n")
+            char = begin - before.rfind("\n") - 1 if "\n" in before else token.char + begin
+            self.t = Tokens("\n" * line + " " * char + token.text[begin:end])
+            self._walk(0, len(self.t), owners, [*scopes, {}])
+        self.t = whole
+
+    def _pattern(self, i: int, end: int, scopes: list[dict[str, str]]) -> None:
+        """The lower-case names of a pattern, up to its guard or arrow, are locals from here on."""
+        t, k, names, stack = self.t, i, [], []
+        while k < end and t.text(k) not in ("=>", "if"):
+            if not stack and t.text(k) in ("case", "}", ";", "{") or t.text(k) in ("class", "object"):
+                return  # a case of an enum, or a class
+            if t.text(k) in ("(", "["):
+                stack.append(k)
+            elif t.text(k) in (")", "]") and stack:
+                stack.pop()
+            elif t.is_name(k) and t.text(k)[0].islower() and t.text(k) not in self.words and t.text(k + 1) not in ("(", ".", "[") and t.text(k - 1) not in (".", ":"):
+                names.append(k)
+            k += 1
+        if k < end:
+            for n in names:
+                self.bound.add(t.tokens[n].range[:2])
+                self._local(n, scopes)
+
+    def _local(self, i: int, scopes: list[dict[str, str]]) -> None:
+        symbol = f"local{self.locals}"
+        scopes[-1][bare(self.t.text(i))] = symbol
+        self.rows.append((-1, "local", None, 0, symbol, self.t.tokens[i].range))
+        self.locals += 1
+        self._typed(symbol, i)
+
+    def _typed(self, symbol: str, i: int) -> None:
+        """Remembers the declared type of the value that token i names, or what a `new` gives it."""
+        t = self.t
+        if self.java:
+            k = i - 1
+            while t.text(k) == "]" or t.text(k) == "[":
+                k -= 1
+            depth = 0
+            while t.text(k) == ">" or depth:
+                depth += {">": 1, "<": -1}.get(t.text(k), 0)
+                k -= 1
+            path = []
+            while t.is_name(k) and (t.text(k) not in self.words):
+                path.insert(0, t.text(k))
+                if t.text(k - 1) != ".":
+                    break
+                k -= 2
+        else:
+            at = i + 2 if t.text(i + 1) == ":" else i + 3 if t.text(i + 1) == "=" and t.text(i + 2) == "new" else None
+            path = _dotted(t, at, len(t))[0] if at else []
+        if path:
+            self.types[symbol] = path
+
     def _declares(self, i: int, scopes: list) -> bool:
-        """A local value or parameter that no definition covers gets the next local symbol."""
+        """A local value, parameter, class or object that no definition covers gets the next local symbol."""
         t, before = self.t, self.t.text(i - 1)
         if self.java:
             typed = i > 0 and (t.is_name(i - 1) and before not in ("return", "new", "throw", "else", "instanceof", "case") or before in (">", "]"))
             local = typed and t.text(i + 1) in ("=", ";", ":", ",", ")") and len(scopes) > 1
+            k = i + 1
+            while before in ("(", ",") and t.text(k) == "," and t.is_name(k + 1):
+                k += 2
+            local = local or t.text(i + 1) == "->" or before in ("(", ",") and t.text(k) == ")" and t.text(k + 1) == "->"
         else:
-            local = before in ("val", "var", "def") and len(scopes) > 1 or (t.text(i + 1) == "=>" and before in ("{", "(", ","))
+            local = before in ("val", "var", "def", "class", "object", "trait", "enum") and len(scopes) > 1
+            local = local or (t.text(i + 1) == "=>" and before in ("{", "(", ",")) or t.text(i + 1) == "<-"
         if local:
-            scopes[-1][bare(t.text(i))] = f"local{self.locals}"
-            self.locals += 1
+            self._local(i, scopes)
         return local
 
     def _use(self, i: int, end: int, owners: list[str], scopes: list[dict[str, str]]) -> int:
@@ -201,72 +319,135 @@ class Scan:
         t = self.t
         if t.text(i - 1) == ".":  # a member of an expression that is no chain of names
             return i + 1
-        before = [self._named(bare(t.text(i)), owners, scopes)]
-        self._emit(i, before[0])
-        k, path = i, [t.text(i)]
+        new, k, path = t.text(i - 1) == "new", i, [t.text(i)]
+        before = self._named(bare(t.text(i)), owners, scopes, self._order(i, new))
+        self._emit(i, before, self._kind(i, new))
         while t.text(k + 1) == "." and t.is_name(k + 2) and k + 2 < end:
             k += 2
-            owner_symbols = [s for s in before[-1] if s.endswith(("#", "."))]
-            found = [s for o in owner_symbols for s in _shapes(o if not o.endswith("().") else "", t.text(k)) if o]
-            for o in _owners(path):  # or the path so far is a package
-                found += [s for s in _shapes(o, t.text(k)) if s not in found]
-            self._emit(k, found)
-            before.append(found)
+            before = self._members(before, path, t.text(k), self._order(k, new), owners, scopes)
+            self._emit(k, before, self._kind(k, new))
             path.append(t.text(k))
+        if self.java and t.text(k + 1) == "::" and t.is_name(k + 2) and k + 2 < end:
+            if t.text(k + 2) != "new":  # a method reference stands for the whole expression
+                at = (*t.tokens[i].range[:2], *t.tokens[k + 2].range[2:])
+                self._emit(k + 2, self._members(before, path, t.text(k + 2), CALL, owners, scopes), "name", at)
+            k += 2
+        opening = t.after(k + 1) if t.text(k + 1) == "[" else k + 1
+        if t.text(opening) == "(" and not self.java:
+            self._arguments(opening, self.refs - 1)
         return k + 1
 
-    def _named(self, name: str, owners: list[str], scopes: list[dict[str, str]]) -> list[str]:
+    def _kind(self, i: int, new: bool) -> str:
+        after = self.t.after(i + 1) if self.t.text(i + 1) == "[" else i + 1
+        if new and self.t.text(i + 1) != ".":
+            return "new"
+        return "call" if self.t.text(after) == "(" else "name"
+
+    def _order(self, i: int, new: bool) -> tuple[str, ...]:
+        kind = self._kind(i, new)
+        if kind == "call":
+            return CALL
+        type_before = self.t.text(i - 1) in (":", "extends", "with", "[", "<:", ">:", "new")
+        return TYPE if self.java or kind == "new" or type_before else VALUE
+
+    def _arguments(self, opening: int, called: int) -> None:
+        """Named arguments of a call whose bracket is token `opening`."""
+        t = self.t
+        for a, _ in t.parts(opening + 1, t.close[opening]):
+            if t.is_name(a) and t.text(a + 1) == "=":
+                self.rows.append((self.refs, "argument", called, 0, escaped(t.text(a)), t.tokens[a].range))
+                self.bound.add(t.tokens[a].range[:2])
+                self.refs += 1
+
+    def _members(self, before: list[str], path: list[str], name: str, order: tuple[str, ...], owners: list[str], scopes: list[dict[str, str]]) -> list[str]:
+        """Candidates of a member of what `before` may be: of its declared type, of it as an owner, of the path as a package."""
+        found: list[str] = []
+        for s in before:
+            if s in self.types and self.types[s] != path:
+                head, *rest = self.types[s]
+                kinds = self._named(bare(head), owners, scopes, TYPE)
+                for part in rest:
+                    kinds = [x for o in kinds if o.endswith(("#", ".")) for x in _shapes(o, part)]
+                found += [x for o in kinds if o.endswith("#") for x in _shapes(o, name, order)]
+        found += [x for o in before if o.endswith(("#", ".")) and not o.endswith(").") for x in _shapes(o, name, order)]
+        return found + [x for o in _owners(path) for x in _shapes(o, name, order)]
+
+    def _named(self, name: str, owners: list[str], scopes: list[dict[str, str]], order: tuple[str, ...]) -> list[str]:
         for scope in reversed(scopes):
             if name in scope:
                 return [scope[name]]
         found: list[str] = []
         for owner in reversed(owners):
-            found += _shapes(owner, name)
+            found += _shapes(owner, name, order)
             if owner.endswith("#"):
-                found += _shapes(owner[:-1] + ".", name)
-        if name not in self.imports.hidden:
-            found += self.imports.explicit.get(name, [])
-        found += _shapes(self.package, name)
-        if name not in self.imports.hidden:
-            found += [s for o in self.imports.wildcards for s in _shapes(o, name)]
-        found += self.known.get(name, [])
+                found += _shapes(owner[:-1] + ".", name, order)
+        hidden = name in self.imports.hidden
+        if not hidden:
+            found += _ordered(self.imports.explicit.get(name, []), order)
+        found += _shapes(self.package, name, order)
+        if not hidden:
+            found += [s for o in (*self.imports.wildcards, *self.last_wildcards) for s in _shapes(o, name, order)]
+        found += _ordered(self.known.get(name, []), order)
         if self.package != "_empty_/":
-            found += _shapes("_empty_/", name)
+            found += _shapes("_empty_/", name, order)
         return found
 
-    def _emit(self, i: int, symbols: list[str]) -> None:
-        at = self.t.tokens[i].range
+    def _emit(self, i: int, symbols: list[str], kind: str, at: tuple | None = None) -> None:
         for rank, symbol in enumerate(dict.fromkeys(symbols)):
-            self.rows.append((self.refs, rank, symbol, at))
+            self.rows.append((self.refs, kind, None, rank, symbol, at or self.t.tokens[i].range))
         self.refs += 1
 
 
 def candidates(sources: DataFrame) -> DataFrame:
-    """Ranked candidates of all names in use in sources (path, content)."""
+    """Ranked candidates of all names in use in sources (path, content), their named arguments and local definitions."""
     names = [c.split()[0] for c in CANDIDATES.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"]):
                 if content is not None:
-                    rows = [(path, ref, rank, symbol, *at) for ref, rank, symbol, at in Scan(content, path.rpartition("/")[2]).run().rows]
-                    yield pd.DataFrame(rows, columns=names)
+                    rows = [(path, *row[:-1], *row[-1]) for row in Scan(content, path.rpartition("/")[2]).run().rows]
+                    yield pd.DataFrame(rows, columns=names).astype({"of": "Int32"})
 
     return sources.select("path", "content").mapInPandas(run, CANDIDATES)
 
 
+def local_definitions(found: DataFrame) -> DataFrame:
+    """The local definitions among the candidates, as rows of locals."""
+    return found.filter("kind = 'local'").select("path", "symbol", F.col("symbol").alias("short_name"), F.lit(False).alias("is_type"), *schemas.RANGE_COLUMNS)
+
+
+def known_names(definitions: DataFrame) -> DataFrame:
+    """key, symbol: what a candidate means. Methods go by their first overload; members of a file's wrapper also by their package."""
+    held = lookup.with_overload_columns(definitions.select("symbol").distinct())
+    methods = lookup.first_overload(held).select(F.concat("owner_name", F.lit(").")).alias("key"), "symbol", F.lit(0).alias("tier"))
+    others = held.filter("owner_name is null").select(F.col("symbol").alias("key"), "symbol", F.lit(0).alias("tier"))
+    own = methods.union(others)
+    wrapped = own.filter(F.col("key").rlike(r"\$package\.[^.#]+")).select(F.regexp_replace("key", r"[^/.#]*\$package\.", "").alias("key"), "symbol", F.lit(1).alias("tier"))
+    standing = own.sparkSession.createDataFrame([(s,) for s in sorted({s for _, _, _, s in defaults.symbols()})], "key string")
+    both = own.union(wrapped).union(standing.select("key", F.col("key").alias("symbol"), F.lit(2).alias("tier")))
+    return both.groupBy("key").agg(F.min_by("symbol", F.struct("tier", "symbol")).alias("symbol"))
+
+
 def occurrences(found: DataFrame, definitions: DataFrame) -> DataFrame:
-    """Each name in use with the first candidate that is a local, a default or defined; others are left out.
+    """Each name in use with the first candidate that is a local, a default or defined; null where none is.
 
-    Wrapper objects hold a file's top-level members: a candidate in a package also means the
-    member of that name in one of the package's wrappers.
+    A call of an object also means its `apply`, a `new` also the constructor, at the same place; a
+    named argument means the parameter of the method that is called, where that is defined.
     """
-    known = definitions.select("symbol").distinct()
-    wrapped = known.filter(F.col("symbol").rlike(r"\$package\.[^.#]+")).select(F.regexp_replace("symbol", r"[^/.#]*\$package\.", "").alias("symbol"), F.col("symbol").alias("real"))
-    wrapped = wrapped.groupBy("symbol").agg(F.min("real").alias("real"))
-    standing = [s for _, _, _, s in defaults.symbols()]
-    both = found.join(known.withColumn("is_known", F.lit(True)), "symbol", "left").join(wrapped, "symbol", "left")
-    real = F.when(F.col("is_known") | F.col("symbol").rlike(r"^local\d+$") | F.col("symbol").isin(*standing), F.col("symbol")).otherwise(F.col("real"))
-    hits = both.withColumn("symbol", real).filter("symbol is not null")
-    best = hits.groupBy("path", "ref").agg(F.min(F.struct("rank", "symbol", *schemas.RANGE_COLUMNS)).alias("m"))
-    return best.select("path", "m.symbol", *[f"m.{c}" for c in schemas.RANGE_COLUMNS])
+    names = known_names(definitions)
+    used = found.filter("kind not in ('argument', 'local')")
+    both = used.withColumnRenamed("symbol", "key").join(names, "key", "left")
+    real = F.coalesce("symbol", F.when(S.is_local("key"), F.col("key")))
+    places = [F.first(c).alias(c) for c in ("kind", *schemas.RANGE_COLUMNS)]
+    best = both.groupBy("path", "ref").agg(F.min(F.when(real.isNotNull(), F.struct("rank", real.alias("symbol")))).alias("m"), *places)
+    best = best.select("path", "ref", "kind", "m.symbol", *schemas.RANGE_COLUMNS).filter("symbol is not null or kind <> 'segment'")
+    implied = F.when((F.col("kind") == "call") & F.col("symbol").endswith(".") & ~F.col("symbol").endswith(")."), F.concat("symbol", F.lit("apply().")))
+    implied = implied.when((F.col("kind") == "new") & F.col("symbol").endswith("#"), F.concat("symbol", F.lit("`<init>`().")))
+    more = best.withColumn("key", implied).filter("key is not null").drop("symbol").join(names, "key")
+    called = best.filter(F.col("symbol").endswith(").")).select("path", F.col("ref").alias("of"), F.col("symbol").alias("method"))
+    called = called.union(more.select("path", F.col("ref").alias("of"), F.col("symbol").alias("method")))
+    arguments = found.filter("kind = 'argument'").join(called, ["path", "of"]).withColumn("key", F.concat("method", F.lit("("), "symbol", F.lit(")"))).drop("symbol")
+    arguments = arguments.join(definitions.select(F.col("symbol").alias("key"), "symbol").distinct(), "key")
+    columns = ["path", "symbol", *schemas.RANGE_COLUMNS]
+    return best.select(*columns).union(more.select(*columns)).union(arguments.select(*columns))

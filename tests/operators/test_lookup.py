@@ -99,3 +99,32 @@ def test_declarations_by_name_then_column(spark):
     declared = spark.createDataFrame([("p/A#", "A", True, 1, 6, 1, 7, "f"), ("p/A#b.", "b", False, 1, 10, 1, 11, "f"), ("p/C#", "C", True, 2, 0, 2, 1, "f")], schemas.DEFINITIONS)
     wanted = spark.createDataFrame([(1, "f", 1, 6, "b"), (2, "f", 1, 6, "x"), (3, "f", 1, 8, "x"), (4, "g", 1, 6, "A")], "query_id long, path string, line int, ch int, name string")
     assert rows(lookup.declaration_at(wanted, declared)) == [(1, "p/A#b."), (2, "p/A#")]
+
+
+def test_positions_over_cells(spark):
+    spans = [("f", "short", 63, 0, 64, 5), ("f", "line", 64, 0, 64, 9), ("f", "far", 0, 0, 9000, 0), ("f", "block", 100, 0, 400, 0), ("g", "line", 64, 0, 64, 9)]
+    ranges = spark.createDataFrame(spans, schemas.OCCURRENCES)
+    cursors = spark.createDataFrame([(i, "f", line, 3) for i, line in enumerate((63, 64, 399, 8999, 9000))], schemas.CURSORS)
+    assert rows(lookup.stab(cursors, ranges).select("query_id", "symbol")) == [(0, "far"), (0, "short"), (1, "far"), (1, "line"), (1, "short"), (2, "block"), (2, "far"), (3, "far")]
+
+
+def test_goto_leaves_out_itself_and_what_has_no_place(spark):
+    definitions = spark.createDataFrame([("p/A#", "A", True, 0, 6, 0, 7, "a"), ("p/w$package.", "w", False, 0, 0, 0, 0, "a"), ("p/rec().", "rec", False, 3, 4, 3, 7, "b"), ("local0", "l", False, 9, 9, 9, 10, "z")], schemas.DEFINITIONS)
+    local = spark.createDataFrame([("b", "local0", "l", False, 5, 4, 5, 5)], schemas.LOCALS)
+    uses = spark.createDataFrame([("b", "p/A#", 1, 0, 1, 1), ("b", "p/w$package.", 1, 2, 1, 3), ("b", "p/rec().", 3, 4, 3, 7), ("b", "local0", 6, 0, 6, 1), ("b", "p/A#", 6, 0, 6, 1), ("b", None, 7, 0, 7, 1)], schemas.OCCURRENCES)
+    cursors = spark.createDataFrame([(1, "b", 1, 0), (2, "b", 1, 2), (3, "b", 3, 5), (4, "b", 6, 0), (5, "b", 7, 0), (6, "a", 0, 6)], schemas.CURSORS)
+    assert rows(lookup.goto(cursors, uses, local, definitions)) == [(1, "a", 0, 6, 0, 7), (4, "b", 5, 4, 5, 5)]
+
+
+def test_prefixes_of_any_length(spark):
+    definitions = spark.createDataFrame([(s,) for s in ("a/B#", "a/Bc#", "ab/C.", "b/D#", "")], "symbol string")
+    prefixes = spark.createDataFrame([(1, "a/B"), (2, "a"), (3, ""), (4, "a/B#x"), (5, None), (6, "a/Bc#")], "query_id long, prefix string")
+    got = rows(lookup.prefix_scans(prefixes, definitions, 3, most=3).select("query_id", "symbol"))
+    assert got == [(1, "a/B#"), (1, "a/Bc#"), (2, "a/B#"), (2, "a/Bc#"), (2, "ab/C."), (3, ""), (3, "a/B#"), (3, "a/Bc#"), (6, "a/Bc#")]
+    assert lookup.prefix_scans(prefixes.limit(0), definitions, 3).collect() == []
+
+
+def test_fallback_keeps_other_shapes_apart(spark):
+    definitions = spark.createDataFrame([("p/F.f(+1).",), ("p/F.f(",), ("p/F.",)], "symbol string")
+    wanted = spark.createDataFrame([(1, "p/F.f(+2)."), (2, "p/F."), (3, "p/F.f("), (4, "p/G."), (5, None)], "query_id long, symbol string")
+    assert rows(lookup.with_overload_fallback(wanted, definitions).select("query_id", "found")) == [(1, "p/F.f(+1)."), (2, "p/F."), (3, "p/F.f("), (4, None), (5, None)]

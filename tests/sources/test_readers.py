@@ -2,6 +2,7 @@ import io
 import zipfile
 
 from factloom import schemas
+from factloom.operators import ignore, lookup
 from factloom.sources import facts, readers
 
 
@@ -82,6 +83,8 @@ def test_poms_and_json(spark):
     assert rows(readers.json_rows(files, "sourceSize bigint, packages array<string>")) == [("a", 5, ["p"]), ("d", None, None)]
     listed = spark.createDataFrame([(".bsp/b.json",), ("x/.bsp/a.json",), (".bsp/deep/no.json",), ("a/" * 10 + ".bsp/far.json",)], "path string")
     assert [r.path for r in readers.connection_files(listed).collect()] == [".bsp/b.json", "x/.bsp/a.json"]
+    hidden = spark.createDataFrame([(".bsp/b.json",), ("x/.bsp/a.json",), ("gen/.bsp/a.json",), ("node_modules/.bsp/a.json",)], "path string")
+    assert [r.path for r in readers.connection_files(hidden, ignore.parse([".*", "gen/"])).collect()] == [".bsp/b.json", "x/.bsp/a.json"]
 
 
 def test_trees_pairs_and_index(spark, tmp_path):
@@ -91,9 +94,12 @@ def test_trees_pairs_and_index(spark, tmp_path):
     (tmp_path / "src/notes.txt").write_text("class C")
     found = readers.extract_definitions(readers.source_files(spark, str(tmp_path / "src")))
     assert {r.symbol for r in found.collect()} == {"p/A#", "p/A#`<init>`().", "p/B#"}
-    sources = spark.createDataFrame([("/w/src/A.scala",), ("/w/src/B.scala",)], "path string")
-    held = spark.createDataFrame([("/f/META-INF/semanticdb/src/A.scala.semanticdb",)], "facts_path string")
-    assert rows(readers.pair_by_convention(sources, held, "/w", "/f").select("path")) == [("/w/src/A.scala",)]
+    sources = spark.createDataFrame([("/w/src/A.scala",), ("/w/src/B.scala",), ("/w/src/C.scala",)], "path string")
+    at = "/f/META-INF/semanticdb/src/{}.scala.semanticdb".format
+    held = spark.createDataFrame([(at("A"), "src/A.scala"), (at("B"), "src/C.scala"), (at("C"), "")], "facts_path string, uri string")
+    assert rows(readers.pair_by_convention(sources, held, "/w", "/f", "/")) == [("/w/src/A.scala", at("A"))]
+    seq = spark.createDataFrame([("a", "f1", 1), ("a", "f0", 2), ("b", "f9", 1)], "path string, facts_path string, seq long")
+    assert rows(readers.last_pairing(seq)) == [("a", "f0"), ("b", "f9")]
     index = str(tmp_path / "index")
     table = spark.createDataFrame([("f1", "p/B#"), ("f1", "p/A#"), ("f1", "local0"), ("f2", "q/C#")], "fingerprint string, symbol string")
     readers.save_index(table, index)
@@ -106,3 +112,27 @@ def test_texts_that_are_cut_short_are_told(spark):
     sources = spark.createDataFrame([("A.java", "class A { void m() {"), ("B.scala", "object B { }"), ("C.scala", None)], "path string, content string")
     assert rows(readers.extraction_errors(sources)) == [("A.java", "2 brackets stay open")]
     assert {r.symbol for r in readers.extract_definitions(sources).collect()} == {"_empty_/A#", "_empty_/A#`<init>`().", "_empty_/A#m().", "_empty_/B."}
+
+
+def test_walks_skip_ignored_folders_before_reading(spark, tmp_path):
+    for place in ("src/A.scala", "node_modules/B.java", "gen/C.scala", "with space+plus/D.sbt", ".state/E.scala", "src/skip.scala"):
+        (tmp_path / "w" / place).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "w" / place).write_text(place)
+    found = readers.source_files(spark, str(tmp_path / "w"), ignore.parse(["gen/", "skip.*"]), own=(".state",))
+    assert sorted(r.content for r in found.collect()) == ["src/A.scala", "with space+plus/D.sbt"]
+    files = found._jdf.queryExecution().executedPlan().collectLeaves().head()
+    assert files.metrics().apply("numFiles").value() <= 6
+
+
+def test_uris_resolve_from_the_root_then_upwards(spark):
+    files = spark.createDataFrame([("/w/a/src/X.scala",), ("/w/src/X.scala",), ("/w/a/m/Y.scala",), ("/other/Z.scala",)], "path string")
+    facts = spark.createDataFrame([("/w/a/out/META-INF/semanticdb/src/X.scala.semanticdb", "src/X.scala"), ("/w/a/m/f.semanticdb", "/Y.scala"), ("/w/n.semanticdb", "gone.scala"), ("/w/e.semanticdb", ""), ("/other/o.semanticdb", "Z.scala")], "facts_path string, uri string")
+    found = {r.facts_path.rpartition("/")[2]: r.path for r in lookup.resolve_uris(facts, files, "/w/a", "/w").collect()}
+    assert found == {"X.scala.semanticdb": "/w/a/src/X.scala", "f.semanticdb": "/w/a/m/Y.scala"}
+    climbed = {r.facts_path.rpartition("/")[2]: r.path for r in lookup.resolve_uris(facts, files, "/none", "/w").collect()}
+    assert climbed["X.scala.semanticdb"] == "/w/a/src/X.scala"
+
+
+def test_dumps_are_in_order(spark):
+    table = spark.createDataFrame([("p/B#", "B", True, 1, 2, 1, 3, "f"), ("p/A#", "A", True, 0, 6, 0, 7, "f")], schemas.DEFINITIONS)
+    assert [r.line for r in readers.dump_symbols(table).collect()] == ["p/A# 0:6-0:7 f", "p/B# 1:2-1:3 f"]
