@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from ..functions import symbols as S
 
 
+#: The greatest overload index that a name alone is looked up with.
+OVERLOADS = 9
 #: Lines of a position's cells, by level; beyond the last, a whole file is a cell.
 CELLS = (64, 8192)
 
@@ -141,7 +143,7 @@ def with_overload_fallback(wanted: DataFrame, definitions: DataFrame, documented
     return asked.join(held, ["_key", "_exact"], "left").select("query_id", "symbol", found.alias("found"))
 
 
-def first_overload(definitions: DataFrame, most: int = 9) -> DataFrame:
+def first_overload(definitions: DataFrame, most: int = OVERLOADS) -> DataFrame:
     """owner_name, index, symbol: the smallest overload index of each method, of those up to `most`."""
     keyed = with_overload_columns(definitions).filter((F.col("index") <= most) & F.col("owner_name").isNotNull())
     return keyed.groupBy("owner_name").agg(F.min(F.struct("index", "symbol")).alias("m")).select("owner_name", "m.*")

@@ -1 +1,3 @@
-"""See README.md."""
+"""Queries over the driver's tables."""
+
+from . import composed, registry  # noqa: F401

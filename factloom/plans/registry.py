@@ -6,32 +6,14 @@ symbols, `events` positions and changes, `pages` paths, `orders` and `lineitem`
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import symbols as S
 from ..functions import text as X
 from ..operators import ignore, lookup, merge
 from ..streaming import debounce
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str):
-    def add(f):
-        QUERIES[f.__name__] = f
-        ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+from .base import ORACLE_SQL, QUERIES, query, table  # noqa: F401
 
 # Composed keys ------------------------------------------------------------------------------
 
@@ -406,6 +388,11 @@ def throttle(spark, sf_dir):
     return debounce.throttled(clock(spark, sf_dir), "user_id", "sec", GAP)
 
 
+@query(f"{LEADING_SQL} SELECT user_id, sec FROM opened")
+def retry_cooldown(spark, sf_dir):
+    return debounce.retried(clock(spark, sf_dir), "user_id", "sec", GAP)
+
+
 # Texts ----------------------------------------------------------------------------------------------------------
 
 

@@ -419,14 +419,13 @@ def local_definitions(found: DataFrame) -> DataFrame:
 
 def known_names(definitions: DataFrame) -> DataFrame:
     """key, symbol: what a candidate means. Methods go by their first overload; members of a file's wrapper also by their package."""
-    held = lookup.with_overload_columns(definitions.select("symbol").distinct())
-    methods = lookup.first_overload(held).select(F.concat("owner_name", F.lit(").")).alias("key"), "symbol", F.lit(0).alias("tier"))
-    others = held.filter("owner_name is null").select(F.col("symbol").alias("key"), "symbol", F.lit(0).alias("tier"))
-    own = methods.union(others)
-    wrapped = own.filter(F.col("key").rlike(r"\$package\.[^.#]+")).select(F.regexp_replace("key", r"[^/.#]*\$package\.", "").alias("key"), "symbol", F.lit(1).alias("tier"))
-    standing = own.sparkSession.createDataFrame([(s,) for s in sorted({s for _, _, _, s in defaults.symbols()})], "key string")
-    both = own.union(wrapped).union(standing.select("key", F.col("key").alias("symbol"), F.lit(2).alias("tier")))
-    return both.groupBy("key").agg(F.min_by("symbol", F.struct("tier", "symbol")).alias("symbol"))
+    held = lookup.with_overload_columns(definitions.select("symbol").distinct()).filter(f"owner_name is null or index <= {lookup.OVERLOADS}")
+    own = F.coalesce(F.concat("owner_name", F.lit(").")), "symbol")
+    keys = [F.struct(own.alias("key"), F.lit(0).alias("tier"))]
+    keys.append(F.struct(F.when(own.rlike(r"\$package\.[^.#]+"), F.regexp_replace(own, r"[^/.#]*\$package\.", "")).alias("key"), F.lit(1).alias("tier")))
+    named = held.select("symbol", F.coalesce("index", F.lit(0)).alias("index"), F.inline(F.array(*keys))).filter("key is not null")
+    standing = held.sparkSession.createDataFrame([(s, 0, s, 2) for s in sorted({s for _, _, _, s in defaults.symbols()})], "symbol string, index int, key string, tier int")
+    return named.union(standing).groupBy("key").agg(F.min_by("symbol", F.struct("tier", "index", "symbol")).alias("symbol"))
 
 
 def occurrences(found: DataFrame, definitions: DataFrame) -> DataFrame:
