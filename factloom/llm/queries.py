@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import uuid
 
-import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -97,7 +96,5 @@ QUERIES = {
     "op10_simhash": op10_simhash,
 }
 
-QUERIES["pipeline"] = corpus_pipeline.run
-
 #: Where SQL can express the query; the others are tested against brute force in tests/llm.
 ORACLE_SQL: dict[str, str] = {"op2_mixing": oracles.OP2_MIXING}
