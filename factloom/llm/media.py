@@ -118,6 +118,7 @@ def store(docs: DataFrame) -> DataFrame:
     chunks = text.mapInArrow(_chunk_rows, "pack binary, seq int, digest binary")
     place = F.struct("pack", "seq")
     shared = chunks.groupBy("digest").agg(F.min(place).alias("owner"), F.max(place).alias("last")).filter("owner <> last").select("digest", "owner")
+    shared = materialize(shared, "media-shared")  # written, so that a chunk that very many payloads hold splits in the join
     found = chunks.join(shared, "digest").select("pack", "seq", (F.col("owner") == place).alias("own"))
     found = found.groupBy("pack").agg(F.collect_set(F.when(F.col("own"), F.col("seq"))).alias("lent"), F.collect_set(F.when(~F.col("own"), F.col("seq"))).alias("borrowed"))
     packs = text.mapInArrow(_pack_rows, "pack binary, n_bytes long, digests array<binary>, lengths array<int>, bodies array<binary>").dropDuplicates(["pack"])
