@@ -33,10 +33,25 @@ def _trim(text: Column) -> Column:
     return F.regexp_replace(text, r"^[\x00-\x20]+|[\x00-\x20]+$", "")
 
 
+def _bare_doc(raw) -> Column:
+    """A doc comment without its fences and leading stars."""
+    body = _trim(F.regexp_replace(F.regexp_replace(_trim(_col(raw)), r"^/\*\*", ""), r"\*/$", ""))
+    return F.regexp_replace(body, r"(?m)^[\x00-\x09\x0B-\x20]*\* ?(.*)$", "$1")
+
+
+def javadoc(raw) -> Column:
+    """A Java doc comment: the description as it stands, then a paragraph with a line for each block tag."""
+    body = _bare_doc(raw)
+    description = _trim(F.regexp_extract(body, r"(?sm)\A(.*?)(?:^[ \t]*@\w|\z)", 1))
+    tags = _trim(F.regexp_extract(body, r"(?sm)\A.*?(^[ \t]*@\w.*)\z", 1))
+    tags = F.regexp_replace(F.regexp_replace(tags, r"\s*\n\s*(?=@\w)", "\n"), r"(?m)^(@\w+)[ \t]+(\S+)[ \t]*", "$1 $2 ")
+    tags = F.regexp_replace(tags, r"(?m)[ \t]+$", "")
+    return F.concat_ws("\n\n", F.nullif(description, F.lit("")), F.nullif(tags, F.lit("")))
+
+
 def clean_doc(raw) -> Column:
     """A doc comment as plain text: no fences, no leading stars, no inline tags or HTML."""
-    body = _trim(F.regexp_replace(F.regexp_replace(_trim(_col(raw)), r"^/\*\*", ""), r"\*/$", ""))
-    body = F.regexp_replace(body, r"(?m)^[\x00-\x09\x0B-\x20]*\* ?(.*)$", "$1")
+    body = _bare_doc(raw)
     body = collapse_blank_lines(strip_html(unwrap_links(body)))
     return _trim(F.regexp_replace(body, r"(?m)[ \t\r\f]+$", ""))
 

@@ -410,6 +410,13 @@ def doc_links(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", X.unwrap_links(raw).alias("doc"))
 
 
+@query("SELECT p_partkey, 'Adds ' || p_size || '.' || CASE WHEN p_size % 2 = 0 THEN chr(10) || chr(10) || '@param by how' || chr(10) || 'much' || chr(10) || '@return it' ELSE '' END AS doc FROM part")
+def javadoc_tags(spark, sf_dir):
+    size = F.col("p_size")
+    raw = text("/**\n * Adds ", size, ".\n", F.when(size % 2 == 0, " *\n *  @param   by   how\n * much\n *\n * @return it\n").otherwise(""), " */")
+    return table(spark, sf_dir, "part").select("p_partkey", X.javadoc(raw).alias("doc"))
+
+
 @query("SELECT event_id, '[' || event_type || '] ok' AS message FROM events")
 def ansi_strip(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", X.strip_ansi(text("\x1b[31m[", F.col("event_type"), "]\x1b[0m\x1b[1;4m ok\x1b[K")).alias("message"))
@@ -438,6 +445,14 @@ def open_files(spark, sf_dir):
     return refresh.open_paths(table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("path"), kind.alias("kind"), "ts", F.col("event_id").alias("seq")))
 
 
+@query("""WITH open AS (SELECT user_id FROM events WHERE event_type IN ('click', 'purchase') GROUP BY user_id HAVING arg_max(event_type, {'t': ts, 'e': event_id}) = 'click')
+SELECT o_orderkey, CAST(o_custkey AS VARCHAR) AS path FROM orders WHERE o_custkey IN (SELECT user_id FROM open)""")
+def open_occurrences(spark, sf_dir):
+    kind = F.when(F.col("event_type") == "purchase", "close").when(F.col("event_type") == "click", "open").otherwise("change")
+    events = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("path"), kind.alias("kind"), "ts", F.col("event_id").alias("seq"))
+    return refresh.of_open_files(table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").cast("string").alias("path")), events).select("o_orderkey", "path")
+
+
 @query("""WITH last AS (SELECT user_id, arg_max(event_type, {'t': ts, 'e': event_id}) AS kind, max({'t': ts, 'e': event_id}).e AS e FROM events GROUP BY user_id), known AS (SELECT DISTINCT o_custkey AS u FROM orders)
 SELECT CAST(u AS VARCHAR) AS path, 'old' AS symbol FROM known WHERE u NOT IN (SELECT user_id FROM last) UNION ALL SELECT CAST(user_id AS VARCHAR), 'made' || e FROM last WHERE kind <> 'error'""")
 def changed_paths(spark, sf_dir):

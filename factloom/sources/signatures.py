@@ -97,7 +97,8 @@ def hovers(wanted: DataFrame, declared: DataFrame, commented: DataFrame, strict:
         between = F.coalesce(F.col("_last") >= F.col("_end"), F.lit(False)) & (F.col("_last") < F.col("line"))
         near = both.withColumn("comment", F.when(~between, F.col("comment"))).select("path", "symbol", "line", "comment").distinct()
     full = places.join(near.select("path", "symbol", F.col("line"), "comment"), ["path", "symbol", "line"], "left")
-    text = X.markdown(X.signature_text("signature"), X.clean_doc(F.coalesce("comment", F.lit(""))))
+    comment = F.coalesce("comment", F.lit(""))
+    text = X.markdown(X.signature_text("signature"), F.when(F.col("path").endswith(".java"), X.javadoc(comment)).otherwise(X.clean_doc(comment)))
     hits = wanted.join(full, "symbol").withColumn("markdown", text)
     best = hits.groupBy("query_id").agg(F.min(F.struct("ord", "path", "start_line", "symbol", "markdown")).alias("m"))
     return best.select("query_id", "m.symbol", "m.markdown", "m.path", "m.start_line")

@@ -16,6 +16,11 @@ def open_paths(events: DataFrame) -> DataFrame:
     return last_write(state, ["path"], ["ts", "seq"], ["kind"]).select("path", (F.col("kind") == "open").alias("is_open"))
 
 
+def of_open_files(rows: DataFrame, events: DataFrame) -> DataFrame:
+    """rows (with a path) of the files that are open after all events; of others nothing is held."""
+    return rows.join(open_paths(events).filter("is_open"), "path", "left_semi")
+
+
 def apply_changes(table: DataFrame, events: DataFrame, extract: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """table after the events: changed and created paths extracted anew, deleted ones gone.
 

@@ -87,3 +87,8 @@ def test_default_names(spark):
     assert len([r for r in rows if r[0] == "scala" and r[2]]) == 22 and len([r for r in rows if r[0] == "java"]) == 41
     assert ("scala", "???", False, "scala/Predef.`???`().") in rows
     assert defaults.table(spark).filter("language = 'java' and name = 'List'").first().symbol == "java/util/List#"
+
+
+def test_java_comments_keep_their_tags(spark):
+    raw = ["/** Adds {@code a}. */", "/**\n * Adds.\n * More <b>text</b>.\n *\n * @param  a  the\n *     first\n * @throws E\n * @return sum\n */", "/**\n * @see X\n */", "/** */"]
+    assert values(spark, text.javadoc, *raw) == ["Adds {@code a}.", "Adds.\nMore <b>text</b>.\n\n@param a the\n    first\n@throws E\n@return sum", "@see X", ""]
