@@ -34,6 +34,11 @@ def places(line: int, start: str, end: str) -> tuple[str, ...]:
     return str(line), f"CAST({start} AS INTEGER)", str(line), f"CAST({end} AS INTEGER)"
 
 
+def spread(sources: DataFrame) -> DataFrame:
+    """The texts over all cores: the driver's tables are single files, and what their rows give is costly to read."""
+    return sources.repartition(sources.sparkSession.sparkContext.defaultParallelism, "path")
+
+
 # Definitions --------------------------------------------------------------------------------
 
 DEFINED = ("symbol", "short_name", "is_type", *RANGE)
@@ -44,7 +49,7 @@ def part_sources(spark, sf_dir) -> DataFrame:
     """path, content: a class with overloads and its companion object."""
     name = F.concat(F.lit("T"), "p_partkey")
     content = text("package shop.b", F.col("p_size") % 5, "\nclass ", name, "(val size: Int) extends Base {\n  def run(n: Int): Int = n\n  def run(n: String): Int = size\n  val name = \"x\"\n}\nobject ", name, " {\n  def make(size: Int): ", name, " = new ", name, "(size)\n}\n")
-    return table(spark, sf_dir, "part").select(F.concat(F.lit("P"), "p_partkey", F.lit(".scala")).alias("path"), content.alias("content"))
+    return spread(table(spark, sf_dir, "part").select(F.concat(F.lit("P"), "p_partkey", F.lit(".scala")).alias("path"), content.alias("content")))
 
 
 @query(
@@ -96,14 +101,14 @@ SUPPLIERS = "(SELECT 'S' || s_suppkey || '.java' AS p, 'S' || s_suppkey AS t, 's
 def java_definitions(spark, sf_dir):
     name = F.concat(F.lit("S"), "s_suppkey")
     content = text("package shop.s", F.col("s_nationkey"), ";\nimport java.util.List;\npublic class ", name, " {\n  static int stock;\n  ", name, "(int first) {}\n  List<String> names(int n) { return null; }\n  enum Reach { NEAR, FAR }\n}\n")
-    return readers.extract_definitions(table(spark, sf_dir, "supplier").select(F.concat(name, F.lit(".java")).alias("path"), content.alias("content")))
+    return readers.extract_definitions(spread(table(spark, sf_dir, "supplier").select(F.concat(name, F.lit(".java")).alias("path"), content.alias("content"))))
 
 
 @query("SELECT 'P' || p_partkey || '.scala' AS path, CAST(1 AS INTEGER) AS brackets FROM part WHERE p_size % 10 = 3")
 def extraction_errors(spark, sf_dir):
     name = F.concat(F.lit("P"), "p_partkey", F.lit(".scala"))
     content = F.when(F.col("p_size") % 10 == 3, "object O { def f = (1, 2)").when(F.col("p_size") % 10 == 4, F.lit(None)).otherwise("object O { }")
-    found = readers.extraction_errors(table(spark, sf_dir, "part").select(name.alias("path"), content.alias("content")))
+    found = readers.extraction_errors(spread(table(spark, sf_dir, "part").select(name.alias("path"), content.alias("content"))))
     return found.select("path", F.regexp_extract("error", "^([0-9]+) brackets", 1).cast("int").alias("brackets"))
 
 
@@ -119,7 +124,7 @@ def shop_sources(spark, sf_dir) -> DataFrame:
     lib = text("package shop.n", n, "\nclass S", k, "(val size: Int) {\n  def run(n: Int): Int = n\n}\nobject S", k, " {\n  def apply(size: Int): S", k, " = new S", k, "(size)\n}\n")
     use = text("package app\nimport shop.n", n, ".S", k, "\nobject U", k, " {\n  val made = S", k, "(size = 3)\n  val other: S", k, " = new S", k, "(4)\n  def go(p: S", k, "): Int = p.run(p.size)\n  def lost = nowhere\n}\n")
     rows = table(spark, sf_dir, "supplier")
-    return rows.select(F.concat(F.lit("S"), k, F.lit(".scala")).alias("path"), lib.alias("content")).union(rows.select(F.concat(F.lit("U"), k, F.lit(".scala")), use))
+    return spread(rows.select(F.concat(F.lit("S"), k, F.lit(".scala")).alias("path"), lib.alias("content")).union(rows.select(F.concat(F.lit("U"), k, F.lit(".scala")), use)))
 
 
 OCCURRENCES_SQL = (
@@ -186,6 +191,7 @@ def java_references(spark, sf_dir):
     k = F.col("o_custkey")
     use = text("package q;\nimport p.One;\nclass U", k, " {\n  Object run(  One all) {\n    One own = new One(1);\n    own.act(all);\n    return  all::act;\n  }\n}\n")
     users = table(spark, sf_dir, "orders").select("o_custkey").distinct().select(F.concat(F.lit("U"), k, F.lit(".java")).alias("path"), use.alias("content"))
+    users = spread(users)
     one = spark.createDataFrame([("One.java", "package p;\npublic class One {\n  One(int a) {}\n  void act(int n) {}\n}\n")], schemas.SOURCES)
     sources = users.union(one)
     found = references.occurrences(references.candidates(users), readers.extract_definitions(sources))
@@ -195,7 +201,7 @@ def java_references(spark, sf_dir):
 @query("SELECT 'U' || s_suppkey || '.scala' AS path, 'local' || k AS symbol, CAST(2 + k AS INTEGER) AS start_line FROM supplier, unnest(range(0, 2)) AS t(k)")
 def local_numbers(spark, sf_dir):
     content = text("object U {\n  def f(n: Int) = {\n    val a = n\n    val b = a\n    b\n  }\n}\n")
-    sources = table(spark, sf_dir, "supplier").select(F.concat(F.lit("U"), "s_suppkey", F.lit(".scala")).alias("path"), content.alias("content"))
+    sources = spread(table(spark, sf_dir, "supplier").select(F.concat(F.lit("U"), "s_suppkey", F.lit(".scala")).alias("path"), content.alias("content")))
     return references.local_definitions(references.candidates(sources)).select("path", "symbol", "start_line")
 
 
@@ -203,7 +209,7 @@ def local_numbers(spark, sf_dir):
 def hover(spark, sf_dir):
     k, n = F.col("s_suppkey"), F.col("s_nationkey")
     content = text("package shop.n", n, "\nclass S", k, " {\n  /** Runs {@code ", F.col("s_name"), "}. */\n  def run(n: Int): Int = n\n}\n")
-    sources = table(spark, sf_dir, "supplier").select(F.concat(F.lit("S"), k, F.lit(".scala")).alias("path"), content.alias("content"))
+    sources = spread(table(spark, sf_dir, "supplier").select(F.concat(F.lit("S"), k, F.lit(".scala")).alias("path"), content.alias("content")))
     owner = F.concat(F.lit("shop/n"), n, F.lit("/S"), k, F.lit("#"))
     asked = table(spark, sf_dir, "supplier").select(k.alias("query_id"), F.explode(F.array(F.struct(F.lit(0).alias("ord"), F.concat(owner, F.lit("gone.")).alias("symbol")), F.struct(F.lit(1).alias("ord"), F.concat(owner, F.lit("run().")).alias("symbol")))).alias("a")).select("query_id", "a.*")
     return signatures.hovers(asked, signatures.declarations(sources), signatures.comments(sources)).select("query_id", "symbol", "markdown", "start_line")

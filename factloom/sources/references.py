@@ -18,6 +18,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -42,8 +43,8 @@ SCALA_WORDS = frozenset(
 )
 #: Words before the name of what has a body of members.
 OPENS = frozenset("class object trait enum interface record given".split())
-#: kind: name, call, new; segment (of an import, nothing if unknown); argument (symbol: its name, of: the called ref); local (a definition).
-CANDIDATES = f"path string, ref int, kind string, of int, rank int, symbol string, {schemas.RANGE}"
+#: kind: name, call, new; segment (of an import, nothing if unknown); argument (symbol: its name, ref: the called one); local (a definition).
+CANDIDATES = f"path string, ref int, kind string, rank int, symbol string, {schemas.RANGE}"
 # What build files see without an import, least of all.
 BUILD_WILDCARDS = ("sbt/Keys.", "sbt/")
 #: Shapes of symbols by what a name stands for, the likeliest first.
@@ -155,6 +156,15 @@ def java_imports(t: Tokens, i: int, end: int, found: Imports, use=lambda i, symb
     return i + 1
 
 
+@lru_cache(2)
+def _default_names(of_java: bool) -> dict[str, list[str]]:
+    known: dict[str, list[str]] = {}
+    for language, name, _, symbol in defaults.symbols():
+        if (language == "java") == of_java:
+            known.setdefault(name, []).append(symbol)
+    return known
+
+
 class Scan:
     """Candidates of one text."""
 
@@ -168,15 +178,12 @@ class Scan:
                 self.defined.setdefault(at[:2], symbol)
         self.parameters = {at[:2]: symbol for symbol, _, _, at in found.rows if symbol.endswith((")", "]"))}
         self.words = JAVA_WORDS if self.java else SCALA_WORDS
-        self.known = {}
-        for language, name, _, symbol in defaults.symbols():
-            if (language == "java") == self.java:
-                self.known.setdefault(name, []).append(symbol)
+        self.known = _default_names(self.java)
         self.imports = Imports()
         build = file_name.endswith(".sbt")
         self.last_wildcards = BUILD_WILDCARDS if build else ()
         self.owners = [f"_empty_/{escaped(file_name.removesuffix('.sbt'))}."] if build else []
-        self.rows: list[tuple[int, str, int | None, int, str, tuple]] = []
+        self.rows: list[tuple[int, str, int, str, tuple]] = []
         self.bound: set[tuple] = set()  # places of names that patterns bind
         self.types: dict[str, list[str]] = {}  # symbols of values with a declared type: its path
         self.locals = 0
@@ -270,7 +277,7 @@ class Scan:
     def _local(self, i: int, scopes: list[dict[str, str]]) -> None:
         symbol = f"local{self.locals}"
         scopes[-1][bare(self.t.text(i))] = symbol
-        self.rows.append((-1, "local", None, 0, symbol, self.t.tokens[i].range))
+        self.rows.append((-1, "local", 0, symbol, self.t.tokens[i].range))
         self.locals += 1
         self._typed(symbol, i)
 
@@ -355,9 +362,8 @@ class Scan:
         t = self.t
         for a, _ in t.parts(opening + 1, t.close[opening]):
             if t.is_name(a) and t.text(a + 1) == "=":
-                self.rows.append((self.refs, "argument", called, 0, escaped(t.text(a)), t.tokens[a].range))
+                self.rows.append((called, "argument", 0, escaped(t.text(a)), t.tokens[a].range))
                 self.bound.add(t.tokens[a].range[:2])
-                self.refs += 1
 
     def _members(self, before: list[str], path: list[str], name: str, order: tuple[str, ...], owners: list[str], scopes: list[dict[str, str]]) -> list[str]:
         """Candidates of a member of what `before` may be: of its declared type, of it as an owner, of the path as a package."""
@@ -394,7 +400,7 @@ class Scan:
 
     def _emit(self, i: int, symbols: list[str], kind: str, at: tuple | None = None) -> None:
         for rank, symbol in enumerate(dict.fromkeys(symbols)):
-            self.rows.append((self.refs, kind, None, rank, symbol, at or self.t.tokens[i].range))
+            self.rows.append((self.refs, kind, rank, symbol, at or self.t.tokens[i].range))
         self.refs += 1
 
 
@@ -407,7 +413,7 @@ def candidates(sources: DataFrame) -> DataFrame:
             for path, content in zip(batch["path"], batch["content"]):
                 if content is not None:
                     rows = [(path, *row[:-1], *row[-1]) for row in Scan(content, path.rpartition("/")[2]).run().rows]
-                    yield pd.DataFrame(rows, columns=names).astype({"of": "Int32"})
+                    yield pd.DataFrame(rows, columns=names)
 
     return sources.select("path", "content").mapInPandas(run, CANDIDATES)
 
@@ -435,18 +441,28 @@ def occurrences(found: DataFrame, definitions: DataFrame) -> DataFrame:
     named argument means the parameter of the method that is called, where that is defined.
     """
     names = known_names(definitions)
-    used = found.filter("kind not in ('argument', 'local')")
-    both = used.withColumnRenamed("symbol", "key").join(names, "key", "left")
-    real = F.coalesce("symbol", F.when(S.is_local("key"), F.col("key")))
-    places = [F.first(c).alias(c) for c in ("kind", *schemas.RANGE_COLUMNS)]
-    best = both.groupBy("path", "ref").agg(F.min(F.when(real.isNotNull(), F.struct("rank", real.alias("symbol")))).alias("m"), *places)
-    best = best.select("path", "ref", "kind", "m.symbol", *schemas.RANGE_COLUMNS).filter("symbol is not null or kind <> 'segment'")
+    both = found.filter("kind <> 'local'").withColumnRenamed("symbol", "key").join(names, "key", "left")
+    known, argument = F.coalesce("symbol", F.when(S.is_local("key"), F.col("key"))), F.col("kind") == "argument"
+    best = both.groupBy("path", "ref").agg(
+        F.min(F.when(~argument & known.isNotNull(), F.struct("rank", known.alias("symbol"))))["symbol"].alias("symbol"),
+        F.max(F.when(~argument, F.struct("kind", *schemas.RANGE_COLUMNS))).alias("at"),
+        F.collect_list(F.when(argument, F.struct(F.col("key").alias("name"), *schemas.RANGE_COLUMNS))).alias("arguments"),
+    )
+    best = best.select("path", "ref", "symbol", "at.*", "arguments").filter("symbol is not null or kind <> 'segment'")
     implied = F.when((F.col("kind") == "call") & F.col("symbol").endswith(".") & ~F.col("symbol").endswith(")."), F.concat("symbol", F.lit("apply().")))
     implied = implied.when((F.col("kind") == "new") & F.col("symbol").endswith("#"), F.concat("symbol", F.lit("`<init>`().")))
-    more = best.withColumn("key", implied).filter("key is not null").drop("symbol").join(names, "key")
-    called = best.filter(F.col("symbol").endswith(").")).select("path", F.col("ref").alias("of"), F.col("symbol").alias("method"))
-    called = called.union(more.select("path", F.col("ref").alias("of"), F.col("symbol").alias("method")))
-    arguments = found.filter("kind = 'argument'").join(called, ["path", "of"]).withColumn("key", F.concat("method", F.lit("("), "symbol", F.lit(")"))).drop("symbol")
-    arguments = arguments.join(definitions.select(F.col("symbol").alias("key"), "symbol").distinct(), "key")
-    columns = ["path", "symbol", *schemas.RANGE_COLUMNS]
-    return best.select(*columns).union(more.select(*columns)).union(arguments.select(*columns))
+    best = _looked_up(best.withColumn("key", implied), names, "implied")
+    method = F.coalesce("implied", F.when(F.col("symbol").endswith(")."), F.col("symbol")))
+    row = lambda symbol, at, check: F.struct(symbol.alias("symbol"), *[at(c).alias(c) for c in schemas.RANGE_COLUMNS], F.lit(check).alias("check"))
+    own, more = row(F.col("symbol"), F.col, False), row(F.col("implied"), F.col, False)
+    parameters = F.transform("arguments", lambda a: row(F.concat(method, F.lit("("), a["name"], F.lit(")")), lambda c: a[c], True))
+    rows = F.concat(F.array(own), F.filter(F.concat(F.array(more), parameters), lambda r: r["symbol"].isNotNull()))
+    out = best.select("path", "ref", F.inline(rows))
+    out = _looked_up(out.withColumn("key", F.when(F.col("check"), F.col("symbol"))), names, "known").filter("not check or known is not null")
+    return out.select("path", "symbol", *schemas.RANGE_COLUMNS)
+
+
+def _looked_up(rows: DataFrame, names: DataFrame, found: str) -> DataFrame:
+    """rows (path, ref, key, ...) with `found`: what the key means, if there is one. Rows without a key are spread, not gathered under null."""
+    spread = F.coalesce("key", F.concat_ws(" ", F.lit("?"), "path", "ref"))
+    return rows.withColumn("key", spread).join(names.withColumnRenamed("symbol", found), "key", "left").drop("key")
