@@ -1,7 +1,6 @@
 """DuckDB SQL for the queries that SQL can express."""
 
-#: Every quotient of every source and shard is ranked here; the operator ranks only those near the margin. Equal
-#: while a source has at most `mixing.BUNDLE` shards; beyond, the operator's bundles may move a block between shards.
+#: Every quotient of every source, bundle and shard is ranked here; the operator ranks only those near the margin.
 OP2_MIXING = r"""
 WITH sizes AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
   CAST('0x' || left(md5('42:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) || ':' || coalesce(text, '')), 8) AS BIGINT) AS place FROM documents),
@@ -16,9 +15,12 @@ placed AS (SELECT z.doc_id, z.size, z.place, t.s, t.source_size, t.target,
 dealt AS (SELECT *, place % shards AS shard FROM placed),
 seats AS (SELECT CAST(round(sum(target) / 16) AS BIGINT) AS n FROM targets),
 source_quota AS (SELECT s, count(*) AS quota FROM (SELECT s, row_number() OVER (ORDER BY target / (2 * k + 1) DESC, s, k) AS r FROM targets, seats, unnest(range(0, seats.n)) AS q(k) WHERE target > 0), seats WHERE r <= seats.n GROUP BY s),
-shard_sizes AS (SELECT s, shard, CAST(sum(size) AS BIGINT) AS words FROM dealt GROUP BY s, shard),
-shard_quota AS (SELECT s, shard, count(*) AS quota FROM (SELECT z.s, z.shard, g.quota, row_number() OVER (PARTITION BY z.s ORDER BY z.words / (2 * k + 1) DESC, z.shard, k) AS r
-  FROM shard_sizes z JOIN source_quota g ON z.s = g.s, unnest(range(0, g.quota)) AS q(k) WHERE z.words > 0) WHERE r <= quota GROUP BY s, shard),
+shard_sizes AS (SELECT s, shard, shard // 1024 AS bundle, CAST(sum(size) AS BIGINT) AS words FROM dealt GROUP BY s, shard),
+bundle_sizes AS (SELECT s, bundle, sum(words) AS words FROM shard_sizes GROUP BY s, bundle),
+bundle_quota AS (SELECT s, bundle, count(*) AS quota FROM (SELECT z.s, z.bundle, g.quota, row_number() OVER (PARTITION BY z.s ORDER BY z.words / (2 * k + 1) DESC, z.bundle, k) AS r
+  FROM bundle_sizes z JOIN source_quota g ON z.s = g.s, unnest(range(0, g.quota)) AS q(k) WHERE z.words > 0) WHERE r <= quota GROUP BY s, bundle),
+shard_quota AS (SELECT s, shard, count(*) AS quota FROM (SELECT z.s, z.shard, g.quota, row_number() OVER (PARTITION BY z.s, z.bundle ORDER BY z.words / (2 * k + 1) DESC, z.shard, k) AS r
+  FROM shard_sizes z JOIN bundle_quota g ON z.s = g.s AND z.bundle = g.bundle, unnest(range(0, g.quota)) AS q(k) WHERE z.words > 0) WHERE r <= quota GROUP BY s, shard),
 shard_plan AS (SELECT z.s, z.shard, z.words, least(coalesce(g.quota, 0) * 16, 3 * z.words) AS wanted FROM shard_sizes z LEFT JOIN shard_quota g ON z.s = g.s AND z.shard = g.shard),
 passes AS (SELECT *, CASE WHEN words > 0 THEN wanted // words ELSE 0 END AS passes FROM shard_plan),
 extras AS (SELECT *, CAST(round((wanted - passes * words) / 16) AS BIGINT) AS extra FROM passes),

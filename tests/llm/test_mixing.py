@@ -86,11 +86,12 @@ def test_empty_table(spark):
     assert plan(spark, cases.empty(spark)) == []
 
 
-@pytest.mark.parametrize("shards", [1 << 18, 1000])
-def test_query_equals_its_sql(spark, tmp_path, monkeypatch, shards):
+@pytest.mark.parametrize("shards,bundle", [(1 << 18, 1024), (1000, 1024), (500, 2)])
+def test_query_equals_its_sql(spark, tmp_path, monkeypatch, shards, bundle):
+    monkeypatch.setattr(mixing, "BUNDLE", bundle)
     data = [(i, *r[1:]) for i, r in enumerate(cases.rows())]
     cases.docs(spark, data).write.parquet(f"{tmp_path}/documents.parquet")
-    sql = queries.ORACLE_SQL["op2_mixing"].replace("262144", str(shards))
+    sql = queries.ORACLE_SQL["op2_mixing"].replace("262144", str(shards)).replace("shard // 1024", f"shard // {bundle}")
     query = lambda spark, sf_dir: mixing.plan(spark.read.parquet(f"{sf_dir}/documents.parquet"), shard_words=shards).select("doc_id", "size", "source_size", "target", mixing.taken_words().alias("taken"))
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
