@@ -104,6 +104,107 @@ def java_definitions(spark, sf_dir):
     return readers.extract_definitions(spread(table(spark, sf_dir, "supplier").select(F.concat(name, F.lit(".java")).alias("path"), content.alias("content"))))
 
 
+def filled(template: str, key: Column) -> Column:
+    return F.replace(F.lit(template), F.lit("{k}"), key.cast("string"))
+
+
+def symbols_sql(path: str, symbols: str) -> str:
+    """A row for each of the symbols (parted by blanks) of every supplier."""
+    return f"SELECT replace('{path}', '{{k}}', CAST(s_suppkey AS VARCHAR)) AS path, unnest(string_split(replace('{' '.join(symbols.split())}', '{{k}}', CAST(s_suppkey AS VARCHAR)), ' ')) AS symbol FROM supplier"
+
+
+SCALA_TEXT = """package shop
+trait Shape{k} {
+  def area: Int
+  val tag: String
+  var seen: Int
+}
+case class Box{k}[A](w: Int, items: List[A])
+class Owner{k}(name: String) {
+  def this() = this("")
+  private val a, b = 1
+  def pick[T](from: List[T]): T = { val hidden = from; hidden.head }
+}
+enum Size{k} {
+  case Small, Large
+  case Other(n: Int)
+}
+object Holder{k} {
+  type Id = Long
+  given ord: Ordering[Int] = null
+  object Inner { var x = 0 }
+}
+implicit class Rich{k}(n: Int) { def twice = n * 2 }
+extension (s: String) { def loud(by: Int): String = s }
+def top(n: Int): Int = n
+val (p, q) = (1, 2)
+opaque type Code = String
+"""
+JAVA_TEXT = """package shop;
+interface Shape{k}<T> { int area(); T tag(); int SIDES = 4; }
+@interface Mark{k} { String value(); int level() default 1; }
+record Box{k}(int w, String name) { Box{k} { } int twice() { return w * 2; } public String name() { return name; } }
+enum Size{k} { SMALL(1), LARGE(2) { int n() { return 2; } }; final int n; Size{k}(int n) { this.n = n; } }
+abstract class Owner{k}<K extends Comparable<K>> extends Base implements Other {
+  Owner{k}() {}
+  Owner{k}(K key, int... rest) {}
+  static { int hidden = 1; }
+  <R> R make(R from) throws Exception { class Local {} return from; }
+  abstract void none();
+  class Inner { long x, y; }
+}
+"""
+USE_TEXT = """package app
+import shop.{Box{k}, Owner{k} as Own}
+object Use{k} {
+  val box = new Box{k}(1)
+  def each(all: List[Box{k}], own: Own): Int = {
+    val sum = all.map(b => b.w)
+    for (one <- all) { own.pick(one) }
+    all match {
+      case first :: rest if first == box => first.w
+      case _ => if (sum.isEmpty) 0 else own.a
+    }
+    try { own.pick(box) } catch { case e: Exception => throw e }
+    s"$sum of ${box.w}"
+  }
+}
+"""
+
+
+@query(symbols_sql("k{k}.scala", """shop/Shape{k}# shop/Shape{k}. shop/Shape{k}#`<init>`(). shop/Shape{k}#area(). shop/Shape{k}#tag. shop/Shape{k}#seen.
+ shop/Box{k}# shop/Box{k}#[A] shop/Box{k}#`<init>`(). shop/Box{k}#`<init>`().(w) shop/Box{k}#`<init>`().(items) shop/Box{k}#w. shop/Box{k}#items. shop/Box{k}#copy(). shop/Box{k}#copy().(w) shop/Box{k}#copy().(items)
+ shop/Box{k}. shop/Box{k}.apply(). shop/Box{k}.apply().(w) shop/Box{k}.apply().(items) shop/Box{k}.unapply(). shop/Box{k}.unapply().(x$1) shop/Box{k}.toString().
+ shop/Owner{k}# shop/Owner{k}#`<init>`(). shop/Owner{k}#`<init>`().(name) shop/Owner{k}#name. shop/Owner{k}#`<init>`(+1). shop/Owner{k}#a. shop/Owner{k}#b. shop/Owner{k}#pick(). shop/Owner{k}#pick().(from)
+ shop/Size{k}# shop/Size{k}. shop/Size{k}#`<init>`(). shop/Size{k}.Small. shop/Size{k}.Large. shop/Size{k}.Other. shop/Holder{k}. shop/Holder{k}.Id# shop/Holder{k}.ord. shop/Holder{k}.Inner. shop/Holder{k}.Inner.x.
+ shop/Rich{k}# shop/Rich{k}#`<init>`(). shop/Rich{k}#`<init>`().(n) shop/Rich{k}#n. shop/Rich{k}#twice(). shop/k{k}$package. shop/k{k}$package.Rich{k}(). shop/k{k}$package.loud(). shop/k{k}$package.loud().(s) shop/k{k}$package.loud().(by)
+ shop/k{k}$package.top(). shop/k{k}$package.top().(n) shop/k{k}$package.Code#"""))
+def scala_constructs(spark, sf_dir):
+    rows = table(spark, sf_dir, "supplier").select(filled("k{k}.scala", F.col("s_suppkey")).alias("path"), filled(SCALA_TEXT, F.col("s_suppkey")).alias("content"))
+    return readers.extract_definitions(spread(rows)).select("path", "symbol")
+
+
+@query(symbols_sql("k{k}.java", """shop/Shape{k}# shop/Shape{k}#[T] shop/Shape{k}#area(). shop/Shape{k}#tag(). shop/Shape{k}#SIDES. shop/Mark{k}# shop/Mark{k}#value(). shop/Mark{k}#level().
+ shop/Box{k}# shop/Box{k}#`<init>`(). shop/Box{k}#`<init>`().(w) shop/Box{k}#`<init>`().(name) shop/Box{k}#`<init>`(+1). shop/Box{k}#twice(). shop/Box{k}#name(). shop/Box{k}#w().
+ shop/Size{k}# shop/Size{k}#SMALL. shop/Size{k}#LARGE. shop/Size{k}#n. shop/Size{k}#`<init>`(). shop/Size{k}#`<init>`().(n)
+ shop/Owner{k}# shop/Owner{k}#[K] shop/Owner{k}#`<init>`(). shop/Owner{k}#`<init>`(+1). shop/Owner{k}#`<init>`(+1).(key) shop/Owner{k}#`<init>`(+1).(rest) shop/Owner{k}#[R] shop/Owner{k}#make(). shop/Owner{k}#make().(from)
+ shop/Owner{k}#none(). shop/Owner{k}#Inner# shop/Owner{k}#Inner#x. shop/Owner{k}#Inner#y. shop/Owner{k}#Inner#`<init>`()."""))
+def java_constructs(spark, sf_dir):
+    rows = table(spark, sf_dir, "supplier").select(filled("k{k}.java", F.col("s_suppkey")).alias("path"), filled(JAVA_TEXT, F.col("s_suppkey")).alias("content"))
+    return readers.extract_definitions(spread(rows)).select("path", "symbol")
+
+
+@query(symbols_sql("u{k}.scala", """1:shop/Box{k}# 1:shop/Owner{k}# 3:shop/Box{k}# 3:shop/Box{k}#`<init>`(). 4:scala/collection/immutable/List# 4:shop/Box{k}# 4:shop/Owner{k}# 4:scala/Int#
+ 5:app/Use{k}.each().(all) 5:local1 6:app/Use{k}.each().(all) 6:app/Use{k}.each().(own) 6:shop/Owner{k}#pick(). 6:local2 7:app/Use{k}.each().(all) 8:local3 8:app/Use{k}.box. 8:local3
+ 9:local0 9:app/Use{k}.each().(own) 9:shop/Owner{k}#a. 11:app/Use{k}.each().(own) 11:shop/Owner{k}#pick(). 11:app/Use{k}.box. 11:local5 12:local0 12:app/Use{k}.box. 12:shop/Box{k}#w."""))
+def scala_uses(spark, sf_dir):
+    k, rows = F.col("s_suppkey"), table(spark, sf_dir, "supplier")
+    uses = rows.select(filled("u{k}.scala", k).alias("path"), filled(USE_TEXT, k).alias("content"))
+    both = spread(uses.union(rows.select(filled("k{k}.scala", k), filled(SCALA_TEXT, k))))
+    found = references.occurrences(references.candidates(spread(uses)), readers.extract_definitions(both))
+    return found.filter("symbol is not null").select("path", F.concat_ws(":", "start_line", "symbol").alias("symbol"))
+
+
 @query("SELECT 'P' || p_partkey || '.scala' AS path, CAST(1 AS INTEGER) AS brackets FROM part WHERE p_size % 10 = 3")
 def extraction_errors(spark, sf_dir):
     name = F.concat(F.lit("P"), "p_partkey", F.lit(".scala"))

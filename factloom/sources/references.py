@@ -223,7 +223,7 @@ class Scan:
                 self._pattern(i + 1, end, scopes)
             elif token.kind == "string" and not self.java and token.text[0] != '"':
                 self._interpolated(token, owners, scopes)
-            elif token.kind == "name" and not (token.text in self.words):
+            elif token.kind == "name" and token.text != "_" and token.text not in self.words:
                 place = token.range[:2]
                 if place in self.defined:
                     pending = self.defined[place] if t.text(i - 1) in OPENS else None
