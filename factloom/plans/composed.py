@@ -172,6 +172,30 @@ object Use{k} {
 """
 
 
+JAVA_USE_TEXT = """package app;
+import shop.Box{k};
+import shop.Owner{k};
+class Use{k}<T extends Owner{k}> extends Owner{k} {
+  Box{k} held;
+  int each(Box{k} given, List<Box{k}> all) throws Exception {
+    if (given == held) { return given.twice(); }
+    for (Box{k} one : all) { held = one; }
+    for (int i = 0; i < given.w(); i++) { go(i); }
+    while (held != null) { held = given; }
+    switch (given.w()) { case 1: held = given; break; default: go(2); }
+    try (Box{k} made = new Box{k}(1)) { made.twice(); } catch (Exception e) { throw e; } finally { go(3); }
+    Object cast = (Box{k}) given;
+    boolean is = cast instanceof Box{k};
+    all.forEach(x -> go(x.w()));
+    all.map(Box{k}::twice);
+    int[] sizes = { given.w() };
+    return is ? given.w() : -held.twice();
+  }
+  void go(int n) {}
+}
+"""
+
+
 @query(symbols_sql("k{k}.scala", """shop/Shape{k}# shop/Shape{k}. shop/Shape{k}#`<init>`(). shop/Shape{k}#area(). shop/Shape{k}#tag. shop/Shape{k}#seen.
  shop/Box{k}# shop/Box{k}#[A] shop/Box{k}#`<init>`(). shop/Box{k}#`<init>`().(w) shop/Box{k}#`<init>`().(items) shop/Box{k}#w. shop/Box{k}#items. shop/Box{k}#copy(). shop/Box{k}#copy().(w) shop/Box{k}#copy().(items)
  shop/Box{k}. shop/Box{k}.apply(). shop/Box{k}.apply().(w) shop/Box{k}.apply().(items) shop/Box{k}.unapply(). shop/Box{k}.unapply().(x$1) shop/Box{k}.toString().
@@ -205,6 +229,22 @@ def scala_uses(spark, sf_dir):
     return found.filter("symbol is not null").select("path", F.concat_ws(":", "start_line", "symbol").alias("symbol"))
 
 
+@query(symbols_sql("u{k}.java", """1:shop/Box{k}# 2:shop/Owner{k}# 3:shop/Owner{k}# 3:shop/Owner{k}# 4:shop/Box{k}# 5:shop/Box{k}# 5:java/util/List# 5:shop/Box{k}# 5:java/lang/Exception#
+ 6:app/Use{k}#each().(given) 6:app/Use{k}#held. 6:app/Use{k}#each().(given) 6:shop/Box{k}#twice(). 7:shop/Box{k}# 7:app/Use{k}#each().(all) 7:app/Use{k}#held. 7:local0
+ 8:local1 8:app/Use{k}#each().(given) 8:shop/Box{k}#w(). 8:local1 8:app/Use{k}#go(). 8:local1 9:app/Use{k}#held. 9:app/Use{k}#held. 9:app/Use{k}#each().(given)
+ 10:app/Use{k}#each().(given) 10:shop/Box{k}#w(). 10:app/Use{k}#held. 10:app/Use{k}#each().(given) 10:app/Use{k}#go().
+ 11:shop/Box{k}# 11:shop/Box{k}# 11:shop/Box{k}#`<init>`(). 11:local2 11:shop/Box{k}#twice(). 11:java/lang/Exception# 11:local3 11:app/Use{k}#go().
+ 12:java/lang/Object# 12:shop/Box{k}# 12:app/Use{k}#each().(given) 13:local4 13:shop/Box{k}# 14:app/Use{k}#each().(all) 14:app/Use{k}#go(). 14:local6
+ 15:app/Use{k}#each().(all) 15:shop/Box{k}# 15:shop/Box{k}#twice(). 16:app/Use{k}#each().(given) 16:shop/Box{k}#w().
+ 17:local5 17:app/Use{k}#each().(given) 17:shop/Box{k}#w(). 17:app/Use{k}#held. 17:shop/Box{k}#twice()."""))
+def java_uses(spark, sf_dir):
+    k, rows = F.col("s_suppkey"), table(spark, sf_dir, "supplier")
+    uses = rows.select(filled("u{k}.java", k).alias("path"), filled(JAVA_USE_TEXT, k).alias("content"))
+    both = spread(uses.union(rows.select(filled("k{k}.java", k), filled(JAVA_TEXT, k))))
+    found = references.occurrences(references.candidates(spread(uses)), readers.extract_definitions(both))
+    return found.filter("symbol is not null").select("path", F.concat_ws(":", "start_line", "symbol").alias("symbol"))
+
+
 @query("SELECT 'P' || p_partkey || '.scala' AS path, CAST(1 AS INTEGER) AS brackets FROM part WHERE p_size % 10 = 3")
 def extraction_errors(spark, sf_dir):
     name = F.concat(F.lit("P"), "p_partkey", F.lit(".scala"))
