@@ -9,13 +9,13 @@ def rows(frame):
 def test_a_cursor_finds_its_definition(spark):
     """Two files: an object with a documented method, and a call of it."""
     definitions = spark.createDataFrame(
-        [("_empty_/utils.", "utils", False, 0, 7, 0, 12, "Utils.scala"), ("_empty_/utils.getMsg().", "getMsg", False, 1, 6, 1, 12, "Utils.scala"), ("_empty_/u$package.", "u$package", False, 0, 0, 0, 0, "Utils.scala")], schemas.DEFINITIONS
+        [("sea/Tide.", "Tide", False, 0, 7, 0, 12, "Tide.scala"), ("sea/Tide.level().", "level", False, 1, 6, 1, 12, "Tide.scala"), ("sea/tides$package.", "tides$package", False, 0, 0, 0, 0, "Tide.scala")], schemas.DEFINITIONS
     )
-    occurrences = spark.createDataFrame([("Main.scala", "_empty_/utils.", 2, 12, 2, 15), ("Main.scala", "_empty_/utils.getMsg().", 2, 16, 2, 22), ("Main.scala", None, 3, 0, 3, 5)], schemas.OCCURRENCES)
-    cursors = spark.createDataFrame([(1, "Main.scala", 2, 16), (2, "Main.scala", 2, 15), (3, "Main.scala", 2, 14), (4, "Main.scala", 3, 1), (5, "Other.scala", 2, 16)], schemas.CURSORS)
+    occurrences = spark.createDataFrame([("Boat.scala", "sea/Tide.", 2, 12, 2, 15), ("Boat.scala", "sea/Tide.level().", 2, 16, 2, 22), ("Boat.scala", None, 3, 0, 3, 5)], schemas.OCCURRENCES)
+    cursors = spark.createDataFrame([(1, "Boat.scala", 2, 16), (2, "Boat.scala", 2, 15), (3, "Boat.scala", 2, 14), (4, "Boat.scala", 3, 1), (5, "Dock.scala", 2, 16)], schemas.CURSORS)
     hits = lookup.stab(cursors, occurrences).select("query_id", "symbol")
     found = hits.join(definitions.filter(~lookup.is_zero_range()), "symbol").select("query_id", "path", "start_line")
-    assert rows(found) == [(1, "Utils.scala", 1), (3, "Utils.scala", 0)]
+    assert rows(found) == [(1, "Tide.scala", 1), (3, "Tide.scala", 0)]
 
 
 def test_ranges_are_half_open_over_lines(spark):

@@ -35,15 +35,15 @@ def rows(frame):
 
 
 def test_facts(spark):
-    main = document("Main.scala", occurrence("_empty_/utils.", 1, 2, 12, 2, 15), occurrence("", 1, 3, 0, 3, 300), occurrence("local0", 2, 1, 4, 1, 5)) + document("X.scala", occurrence("_empty_/X#", 2, 0, 6, 0, 7), occurrence("skipped", 1, 9, 0, 9, 1))
+    main = document("Boat.scala", occurrence("sea/Tide.", 1, 2, 12, 2, 15), occurrence("", 1, 3, 0, 3, 300), occurrence("local0", 2, 1, 4, 1, 5)) + document("X.scala", occurrence("_empty_/X#", 2, 0, 6, 0, 7), occurrence("skipped", 1, 9, 0, 9, 1))
     files = spark.createDataFrame([("m.semanticdb", bytearray(main)), ("broken", bytearray(b"\x0a\xff\x01")), ("empty", bytearray(b""))], "path string, content binary")
-    pairs = spark.createDataFrame([("m.semanticdb", "Main.scala"), ("empty", "Empty.scala")], "facts_path string, path string")
+    pairs = spark.createDataFrame([("m.semanticdb", "Boat.scala"), ("empty", "Empty.scala")], "facts_path string, path string")
     found = facts.read(files)
     assert found.count() == 5 and found.schema.simpleString() == spark.createDataFrame([], schemas.FACTS).schema.simpleString()
-    assert rows(facts.definitions(found, pairs)) == [("_empty_/X#", "X", True, 0, 6, 0, 7, "Main.scala")]
-    assert rows(facts.occurrences(found, pairs)) == [("Main.scala", "_empty_/utils.", 2, 12, 2, 15), ("Main.scala", None, 3, 0, 3, 300)]
+    assert rows(facts.definitions(found, pairs)) == [("_empty_/X#", "X", True, 0, 6, 0, 7, "Boat.scala")]
+    assert rows(facts.occurrences(found, pairs)) == [("Boat.scala", "sea/Tide.", 2, 12, 2, 15), ("Boat.scala", None, 3, 0, 3, 300)]
     assert rows(facts.locals_of(found, pairs).select("symbol")) == [("local0",)]
-    assert rows(facts.completeness(found, pairs)) == [("Empty.scala", True), ("Main.scala", False)]
+    assert rows(facts.completeness(found, pairs)) == [("Empty.scala", True), ("Boat.scala", False)]
 
 
 def jar(entries):
