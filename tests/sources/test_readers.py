@@ -43,7 +43,7 @@ def test_facts(spark):
     assert rows(facts.definitions(found, pairs)) == [("_empty_/X#", "X", True, 0, 6, 0, 7, "Boat.scala")]
     assert rows(facts.occurrences(found, pairs)) == [("Boat.scala", "sea/Tide.", 2, 12, 2, 15), ("Boat.scala", None, 3, 0, 3, 300)]
     assert rows(facts.locals_of(found, pairs).select("symbol")) == [("local0",)]
-    assert rows(facts.completeness(found, pairs)) == [("Empty.scala", True), ("Boat.scala", False)]
+    assert rows(facts.completeness(found, pairs)) == [("Boat.scala", False), ("Empty.scala", True)]
 
 
 def jar(entries):
