@@ -463,6 +463,33 @@ def symbol_dump(spark, sf_dir):
 # Archives and configuration ------------------------------------------------------------------------
 
 
+def _little(n: Column, size: int) -> Column:
+    """A number as `size` little-endian bytes."""
+    digits = F.lpad(F.hex(n.cast("long")), 2 * size, "0")
+    return F.concat(*[F.unhex(F.substring(digits, 2 * k + 1, 2)) for k in reversed(range(size))])
+
+
+def zipped(name: Column, content: Column) -> Column:
+    """The bytes of a zip archive with one stored entry."""
+    body, raw = F.encode(content, "UTF-8"), F.encode(name, "UTF-8")
+    length, words = F.octet_length(body), lambda digits: F.unhex(F.lit(digits))
+    facts_of = F.concat(words("0A000000000000002100"), _little(F.crc32(body), 4), _little(length, 4), _little(length, 4), _little(F.octet_length(raw), 2))
+    entry = F.concat(words("504B0304"), facts_of, words("0000"), raw, body)
+    directory = F.concat(words("504B01020A00"), facts_of, words("000000000000000000000000" + "00000000"), raw)
+    return F.concat(entry, directory, words("504B05060000000001000100"), _little(F.octet_length(directory), 4), _little(F.octet_length(entry), 4), words("0000"))
+
+
+@query("SELECT '/c/S' || s_suppkey || '.jar' AS archive, CASE WHEN s_suppkey % 5 > 0 THEN 'p/S' || s_suppkey || '.java' END AS entry, CASE WHEN s_suppkey % 5 > 1 THEN 'package p; class S' || s_suppkey || ' {}' END AS content, s_suppkey % 5 < 2 AS failed FROM supplier WHERE s_suppkey % 7 > 0")
+def archive_scan(spark, sf_dir):
+    """Archives of a source each: of some the entry is damaged, of others the archive; every seventh holds no source."""
+    k = F.col("s_suppkey")
+    content = text("package p; class S", k, " {}")
+    whole = zipped(text("p/S", k, F.when(k % 7 == 0, ".txt").otherwise(".java")), content)
+    damaged = F.when((k % 5 == 0) & (k % 7 > 0), F.substring(whole, 1, 40)).when(k % 5 == 1, F.concat(F.substring(whole, 1, 48), F.unhex(F.lit("00")), F.substring(whole, 50, 1 << 20))).otherwise(whole)
+    found = readers.archive_entries(table(spark, sf_dir, "supplier").select(text("/c/S", k, ".jar").alias("path"), damaged.alias("content")))
+    return found.select("archive", "entry", "content", F.col("error").isNotNull().alias("failed"))
+
+
 def part_entries(spark, sf_dir, suffix: str) -> DataFrame:
     """archive, entry: an entry for each part in the archive of its brand, of some also one that counts for nothing."""
     brand = F.replace("p_brand", F.lit("#"), F.lit("_"))
