@@ -41,6 +41,8 @@ SCALA_WORDS = frozenset(
     "abstract case catch class def do else enum export extends extension false final finally for forSome given if implicit import lazy macro match new null object override package private "
     "protected return sealed super then this throw trait true try type using val var while with yield inline opaque open transparent infix derives end as".split()
 )
+#: Rows that a worker hands over at a time, about.
+ROWS = 50_000
 #: Words before the name of what has a body of members.
 OPENS = frozenset("class object trait enum interface record given".split())
 #: kind: name, call, new; segment (of an import, nothing if unknown); argument (symbol: its name, ref: the called one); local (a definition).
@@ -327,17 +329,18 @@ class Scan:
         if t.text(i - 1) == ".":  # a member of an expression that is no chain of names
             return i + 1
         new, k, path = t.text(i - 1) == "new", i, [t.text(i)]
+        value = any(bare(t.text(i)) in scope for scope in scopes)  # then the path is no package
         before = self._named(bare(t.text(i)), owners, scopes, self._order(i, new))
         self._emit(i, before, self._kind(i, new))
         while t.text(k + 1) == "." and t.is_name(k + 2) and k + 2 < end:
             k += 2
-            before = self._members(before, path, t.text(k), self._order(k, new), owners, scopes)
+            before = self._members(before, [] if value else path, t.text(k), self._order(k, new), owners, scopes)
             self._emit(k, before, self._kind(k, new))
             path.append(t.text(k))
         if self.java and t.text(k + 1) == "::" and t.is_name(k + 2) and k + 2 < end:
             if t.text(k + 2) != "new":  # a method reference stands for the whole expression
                 at = (*t.tokens[i].range[:2], *t.tokens[k + 2].range[2:])
-                self._emit(k + 2, self._members(before, path, t.text(k + 2), CALL, owners, scopes), "name", at)
+                self._emit(k + 2, self._members(before, [] if value else path, t.text(k + 2), CALL, owners, scopes), "name", at)
             k += 2
         opening = t.after(k + 1) if t.text(k + 1) == "[" else k + 1
         if t.text(opening) == "(" and not self.java:
@@ -376,7 +379,8 @@ class Scan:
                     kinds = [x for o in kinds if o.endswith(("#", ".")) for x in _shapes(o, part)]
                 found += [x for o in kinds if o.endswith("#") for x in _shapes(o, name, order)]
         found += [x for o in before if o.endswith(("#", ".")) and not o.endswith(").") for x in _shapes(o, name, order)]
-        return found + [x for o in _owners(path) for x in _shapes(o, name, order)]
+        found += [x for o in (_owners(path) if path else ()) for x in _shapes(o, name, order)]
+        return found or [escaped(name)]  # a member of a value of unknown type: a name that is no symbol
 
     def _named(self, name: str, owners: list[str], scopes: list[dict[str, str]], order: tuple[str, ...]) -> list[str]:
         for scope in reversed(scopes):
@@ -410,10 +414,14 @@ def candidates(sources: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            rows: list[tuple] = []
             for path, content in zip(batch["path"], batch["content"]):
                 if content is not None:
-                    rows = [(path, *row[:-1], *row[-1]) for row in Scan(content, path.rpartition("/")[2]).run().rows]
+                    rows += [(path, *row[:-1], *row[-1]) for row in Scan(content, path.rpartition("/")[2]).run().rows]
+                if len(rows) >= ROWS:
                     yield pd.DataFrame(rows, columns=names)
+                    rows = []
+            yield pd.DataFrame(rows, columns=names)
 
     return sources.select("path", "content").mapInPandas(run, CANDIDATES)
 

@@ -60,9 +60,11 @@ def declarations(sources: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            rows: list[tuple] = []
             for path, content in zip(batch["path"], batch["content"]):
                 if content is not None:
-                    yield pd.DataFrame(declarations_of(path, content), columns=names)
+                    rows += declarations_of(path, content)
+            yield pd.DataFrame(rows, columns=names)
 
     return sources.select("path", "content").mapInPandas(run, DECLARATIONS)
 
