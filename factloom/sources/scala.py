@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .lexer import Definitions, Tokens, bare, escaped
+from .lexer import Definitions, Tokens, escaped
 
 MODIFIERS = frozenset("private protected final sealed implicit lazy override abstract inline transparent opaque open infix erased tracked".split())
 PARAMETER_WORDS = frozenset("val var private protected override implicit using inline final erased".split())
