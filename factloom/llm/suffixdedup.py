@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import drop, materialize
-from .textarrays import Recent, mix, powers, prefix_sums, slices, span_hashes, texts
+from .textarrays import Recent, mix, powers, prefix_sums, slices, span_hashes
 
 WIDTH = 400
 #: Bytes of a window of passages, and words that a passage has at least one more of.
