@@ -32,3 +32,25 @@ pieces AS (SELECT l.n, CAST(sum(least((b + 1) * 16, upto) - greatest(b * 16, upt
 SELECT l.doc_id, l.size, l.source_size, l.target, CAST(e.passes * l.size + coalesce(p.words, 0) AS BIGINT) AS taken
 FROM laid l JOIN extras e ON e.s = l.s AND e.shard = l.shard LEFT JOIN pieces p ON p.n = l.n
 """
+
+#: Every phrase of two to five words of every piece is counted here, rare ones too.
+OP11_COLLOCATIONS = r"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+worded AS (SELECT lang, row_number() OVER () AS p, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+laid AS (SELECT lang, p, unnest(w) AS w1, unnest(range(len(w))) AS i FROM worded),
+ahead AS (SELECT lang, w1, lead(w1, 1) OVER o AS w2, lead(w1, 2) OVER o AS w3, lead(w1, 3) OVER o AS w4, lead(w1, 4) OVER o AS w5 FROM laid WINDOW o AS (PARTITION BY p ORDER BY i)),
+phrases AS (SELECT lang, 1 AS m, w1 AS phrase FROM ahead UNION ALL SELECT lang, 2, w1 || ' ' || w2 FROM ahead WHERE w2 IS NOT NULL
+  UNION ALL SELECT lang, 3, w1 || ' ' || w2 || ' ' || w3 FROM ahead WHERE w3 IS NOT NULL UNION ALL SELECT lang, 4, w1 || ' ' || w2 || ' ' || w3 || ' ' || w4 FROM ahead WHERE w4 IS NOT NULL
+  UNION ALL SELECT lang, 5, w1 || ' ' || w2 || ' ' || w3 || ' ' || w4 || ' ' || w5 FROM ahead WHERE w5 IS NOT NULL),
+counted AS MATERIALIZED (SELECT lang, m, phrase, CAST(count(*) AS HUGEINT) AS f FROM phrases GROUP BY ALL),
+sizes AS (SELECT lang, sum(f) AS n FROM counted WHERE m = 1 GROUP BY lang),
+found AS (SELECT * FROM counted WHERE m > 1 AND f >= 100),
+cuts AS (SELECT c.lang, c.m, c.phrase, c.f AS a, k, array_to_string(string_split(c.phrase, ' ')[:k], ' ') AS first, array_to_string(string_split(c.phrase, ' ')[k + 1:], ' ') AS rest FROM found c, unnest(range(1, c.m)) AS cut(k)),
+firsts AS MATERIALIZED (SELECT c.*, l.f AS l FROM cuts c JOIN counted l ON l.lang = c.lang AND l.phrase = c.first),
+rests AS MATERIALIZED (SELECT c.*, r.f AS r FROM firsts c JOIN counted r ON r.lang = c.lang AND r.phrase = c.rest),
+valued AS (SELECT c.lang, c.phrase, c.a, c.k, c.l, c.r, s.n, (1000 * c.a * CAST(s.n AS HUGEINT)) // (c.l * c.r) AS score FROM rests c JOIN sizes s ON s.lang = c.lang),
+best AS (SELECT * FROM valued QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+alone AS (SELECT b.* FROM best b WHERE NOT EXISTS (SELECT 1 FROM found g WHERE g.lang = b.lang AND len(g.phrase) > len(b.phrase) AND 100 * g.f >= 100 * b.a AND contains(' ' || g.phrase || ' ', ' ' || b.phrase || ' '))),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM alone)
+SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM ranked WHERE rank <= 2000
+"""

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, media, mixing, neighbours, oracles, periods, pieces, quality, scratch, secrets, simhash, suffixdedup, tokenfile
+from . import collocations, licenses, media, mixing, neighbours, oracles, periods, pieces, quality, scratch, secrets, simhash, suffixdedup, tokenfile
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -83,6 +83,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periods.periodic_runs(_table(spark, sf_dir, "documents"), plant=True)
 
@@ -98,8 +102,9 @@ QUERIES = {
     "op8_secrets": op8_secrets,
     "op9_neighbours": op9_neighbours,
     "op10_simhash": op10_simhash,
+    "op11_collocations": op11_collocations,
     "op13_periodic_runs": op13_periodic_runs,
 }
 
 #: Where SQL can express the query; the others are tested against brute force in tests/llm.
-ORACLE_SQL: dict[str, str] = {"op2_mixing": oracles.OP2_MIXING}
+ORACLE_SQL: dict[str, str] = {"op2_mixing": oracles.OP2_MIXING, "op11_collocations": oracles.OP11_COLLOCATIONS}
