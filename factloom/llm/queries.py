@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import collocations, licenses, media, mixing, neighbours, oracles, periods, pieces, quality, scratch, secrets, simhash, suffixdedup, tokenfile
+from . import collocations, licenses, media, mixing, neighbours, oracles, periods, pieces, quality, scoring, scratch, secrets, simhash, suffixdedup, tokenfile
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -87,6 +87,10 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(_table(spark, sf_dir, "documents"))
 
 
+def op12_lm_scores(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFrame:
+    return scoring.score(_table(spark, sf_dir, "documents"), model or _vocabulary("piece_bpe_32k.model"))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periods.periodic_runs(_table(spark, sf_dir, "documents"), plant=True)
 
@@ -103,6 +107,7 @@ QUERIES = {
     "op9_neighbours": op9_neighbours,
     "op10_simhash": op10_simhash,
     "op11_collocations": op11_collocations,
+    "op12_lm_scores": op12_lm_scores,
     "op13_periodic_runs": op13_periodic_runs,
 }
 
