@@ -225,7 +225,8 @@ def scala_uses(spark, sf_dir):
     k, rows = F.col("s_suppkey"), table(spark, sf_dir, "supplier")
     uses = rows.select(filled("u{k}.scala", k).alias("path"), filled(USE_TEXT, k).alias("content"))
     both = spread(uses.union(rows.select(filled("k{k}.scala", k), filled(SCALA_TEXT, k))))
-    found = references.occurrences(references.candidates(spread(uses)), readers.extract_definitions(both))
+    scanned = references.scan(both)
+    found = references.occurrences(scanned.filter("path like 'u%'"), references.definitions(scanned))
     return found.filter("symbol is not null").select("path", F.concat_ws(":", "start_line", "symbol").alias("symbol"))
 
 
@@ -241,7 +242,8 @@ def java_uses(spark, sf_dir):
     k, rows = F.col("s_suppkey"), table(spark, sf_dir, "supplier")
     uses = rows.select(filled("u{k}.java", k).alias("path"), filled(JAVA_USE_TEXT, k).alias("content"))
     both = spread(uses.union(rows.select(filled("k{k}.java", k), filled(JAVA_TEXT, k))))
-    found = references.occurrences(references.candidates(spread(uses)), readers.extract_definitions(both))
+    scanned = references.scan(both)
+    found = references.occurrences(scanned.filter("path like 'u%'"), references.definitions(scanned))
     return found.filter("symbol is not null").select("path", F.concat_ws(":", "start_line", "symbol").alias("symbol"))
 
 
@@ -312,8 +314,8 @@ OCCURRENCES_SQL = (
 
 @query(OCCURRENCES_SQL)
 def scala_references(spark, sf_dir):
-    sources = shop_sources(spark, sf_dir)
-    return references.occurrences(references.candidates(sources), readers.extract_definitions(sources))
+    scanned = references.scan(shop_sources(spark, sf_dir))
+    return references.occurrences(scanned, references.definitions(scanned))
 
 
 @query(rows_sql("(SELECT 'U' || o_custkey || '.java' AS p, 'q/U' || o_custkey AS u, length('class U' || o_custkey) AS n FROM (SELECT DISTINCT o_custkey FROM orders))", "p", [
@@ -334,11 +336,142 @@ def java_references(spark, sf_dir):
     users = table(spark, sf_dir, "orders").select("o_custkey").distinct().select(F.concat(F.lit("U"), k, F.lit(".java")).alias("path"), use.alias("content"))
     users = spread(users)
     one = spark.createDataFrame([("One.java", "package p;\npublic class One {\n  One(int a) {}\n  void act(int n) {}\n}\n")], schemas.SOURCES)
-    sources = users.union(one)
-    found = references.occurrences(references.candidates(users), readers.extract_definitions(sources))
+    scanned = references.scan(users.union(one))
+    found = references.occurrences(scanned.filter("path like 'U%'"), references.definitions(scanned))
     return found.filter("symbol not in ('java/lang/Object#')")
 
 
+#: One text in two forms, with the same names on the same lines.
+INDENTED = """package forms
+object Block{k}:
+  def first[A](x: A, n: Int): A =
+    val kept = x
+    if n > 0 then
+      val inner = other(n)
+      second(inner)
+    kept
+  def other(n: Int): Int = n
+  def second(q: Int): Unit =
+    val (left, right) = (q, q)
+    for
+      (a, b) <- List((left, right))
+      c = a
+    do third(a + b + c)
+    List(q).map: each =>
+      third(each)
+    q match
+      case small if small < 1 => third(small)
+      case more => third(more)
+  def third(v: Int): Unit = ()
+class Held{k}[F](val f: F) extends Base{k}[F](f):
+  def get: F = f plus f
+class Base{k}[F](g: F):
+  def plus(o: F): F = o
+"""
+BRACED = """package forms
+object Block{k} {
+  def first[A](x: A, n: Int): A = {
+    val kept = x
+    if (n > 0) {
+      val inner = other(n)
+      second(inner) }
+    kept }
+  def other(n: Int): Int = n
+  def second(q: Int): Unit = {
+    val (left, right) = (q, q)
+    for {
+      (a, b) <- List((left, right))
+      c = a
+    } third(a + b + c)
+    List(q).map { each =>
+      third(each) }
+    q match {
+      case small if small < 1 => third(small)
+      case more => third(more) } }
+  def third(v: Int): Unit = () }
+class Held{k}[F](val f: F) extends Base{k}[F](f) {
+  def get: F = f plus f }
+class Base{k}[F](g: F) {
+  def plus(o: F): F = o }
+"""
+
+
+@query(symbols_sql("b{k}.scala", """2:local0 2:scala/Int# 2:local0 3:forms/Block{k}.first().(x) 4:forms/Block{k}.first().(n) 5:forms/Block{k}.other(). 5:forms/Block{k}.first().(n) 6:forms/Block{k}.second(). 6:local2 7:local1
+ 8:scala/Int# 8:scala/Int# 8:forms/Block{k}.other().(n) 9:scala/Int# 9:scala/Unit# 10:forms/Block{k}.second().(q) 10:forms/Block{k}.second().(q) 12:scala/collection/immutable/List. 12:local3 12:local4 13:local5
+ 14:forms/Block{k}.third(). 14:local5 14:local6 14:local7 15:scala/collection/immutable/List. 15:forms/Block{k}.second().(q) 16:forms/Block{k}.third(). 16:local8 17:forms/Block{k}.second().(q) 18:local9 18:forms/Block{k}.third(). 18:local9
+ 19:forms/Block{k}.third(). 19:local10 20:scala/Int# 20:scala/Unit# 21:local11 21:forms/Base{k}# 21:local11 21:forms/Held{k}#f. 22:local11 22:forms/Held{k}#f. 22:forms/Held{k}#f. 23:local12 24:local12 24:local12 24:forms/Base{k}#plus().(o)"""))
+def scala_blocks(spark, sf_dir):
+    k = F.col("s_suppkey")
+    content = F.when(k % 2 == 0, filled(INDENTED, k)).otherwise(filled(BRACED, k))
+    scanned = references.scan(spread(table(spark, sf_dir, "supplier").select(filled("b{k}.scala", k).alias("path"), content.alias("content"))))
+    found = references.occurrences(scanned, references.definitions(scanned))
+    return found.filter("symbol is not null").select("path", F.concat_ws(":", "start_line", "symbol").alias("symbol"))
+
+
+def chain_sources(spark, sf_dir, java: bool) -> DataFrame:
+    """path, content: classes of suppliers, nations and regions, each with a method that gives the next, and uses of such chains."""
+    k, n, r = F.col("s_suppkey"), F.col("n_nationkey"), F.col("r_regionkey")
+    regions, nations, suppliers = (table(spark, sf_dir, t) for t in ("region", "nation", "supplier"))
+    suppliers = suppliers.withColumnRenamed("s_nationkey", "n_nationkey")
+    nations = nations.withColumnRenamed("n_regionkey", "r_regionkey")
+    if java:
+        texts = [
+            suppliers.select(text("S", k, ".java"), text("package lib;\npublic class S", k, " {\n  public N", n, " up() { return null; }\n}\n")),
+            nations.select(text("N", n, ".java"), text("package lib;\npublic class N", n, " {\n  public R", r, " home(int a) { return null; }\n}\n")),
+            regions.select(text("R", r, ".java"), text("package lib;\npublic class R", r, " {\n  public int size() { return 1; }\n}\n")),
+            suppliers.select(text("U", k, ".java"), text("package app;\nimport lib.S", k, ";\nclass U", k, " {\n  S", k, " held;\n  void run(S", k, " s) {\n    new S", k, "().up().home(1).size();\n    var y = new S", k, "();\n    y.up().home(2).size();\n    this.held.up().home(3).gone();\n  }\n}\n")),
+        ]
+    else:
+        texts = [
+            suppliers.select(text("S", k, ".scala"), text("package lib\nclass S", k, ":\n  def up: N", n, " = null\n")),
+            nations.select(text("N", n, ".scala"), text("package lib\nclass N", n, " { def home(a: Int): R", r, " = null }\n")),
+            regions.select(text("R", r, ".scala"), text("package lib\nclass R", r, ":\n  def size(): Int = 1\n")),
+            suppliers.select(text("U", k, ".scala"), text("package app\nimport lib.S", k, "\nobject U", k, ":\n  val held: S", k, " = null\n  def run(s: S", k, ") =\n    new S", k, "().up.home(1).size()\n    val y = new S", k, "()\n    y.up.home(2).size()\n    this.held.up.home(3).gone\n")),
+        ]
+    out = texts[0]
+    for other in texts[1:]:
+        out = out.union(other)
+    return spread(out.toDF("path", "content"))
+
+
+def chains_sql(suffix: str, line: int) -> str:
+    """path and line:symbol of the members in the uses; what no class has is not among them."""
+    rows = [(line, "'lib/S' || k || '#up().'"), (line, "'lib/N' || n || '#home().'"), (line, "'lib/R' || r || '#size().'")]
+    rows += [(line + 2, s) for _, s in rows[:3]] + [(line + 3, s) for _, s in rows[:2]]
+    held = "(SELECT s_suppkey AS k, n_nationkey AS n, n_regionkey AS r FROM supplier JOIN nation ON s_nationkey = n_nationkey)"
+    return " UNION ALL ".join(f"SELECT 'U' || k || '.{suffix}' AS path, '{at}:' || {symbol} AS symbol FROM {held}" for at, symbol in rows)
+
+
+def _chains(spark, sf_dir, java: bool) -> DataFrame:
+    scanned = references.scan(chain_sources(spark, sf_dir, java))
+    found = references.occurrences(scanned, references.definitions(scanned)).filter("path like 'U%' and symbol like 'lib/%().'  and symbol not like '%init%'")
+    return found.select("path", F.concat_ws(":", "start_line", "symbol").alias("symbol"))
+
+
+@query(chains_sql("scala", 5))
+def scala_chains(spark, sf_dir):
+    return _chains(spark, sf_dir, java=False)
+
+
+@query(chains_sql("java", 5))
+def java_chains(spark, sf_dir):
+    return _chains(spark, sf_dir, java=True)
+
+
+@query("""WITH k AS (SELECT s_suppkey AS k, 'shop/n' || s_nationkey || '/' AS p FROM supplier)
+SELECT 'i' || k || '.scala' AS path, 3 AS start_line, 'shop/' AS symbol FROM k UNION ALL SELECT 'i' || k || '.scala', 3, p FROM k UNION ALL SELECT 'i' || k || '.scala', 3, p || 'S' || k || '#' FROM k
+UNION ALL SELECT 'i' || k || '.scala', 4, p || 'S' || k || '#' FROM k UNION ALL SELECT 'i' || k || '.scala', 4, 'out/Near' || k || '#' FROM k UNION ALL SELECT 'i' || k || '.scala', 4, 'out/in/Own' || k || '#' FROM k""")
+def nested_packages(spark, sf_dir):
+    """Packages in packages, whose members are seen from inside, and the packages that imports name on the way."""
+    k, n = F.col("s_suppkey"), F.col("s_nationkey")
+    use = text("package out\npackage in\nclass Own", k, "\nimport shop.n", n, ".S", k, "\ntrait Use", k, " { def a(x: S", k, ", y: Near", k, ", z: Own", k, ") }\n")
+    rows = table(spark, sf_dir, "supplier")
+    near = rows.select(text("n", k, ".scala"), text("package out { class Near", k, " }\npackage shop { package n", n, " { class S", k, " } }\n"))
+    scanned = references.scan(spread(rows.select(text("i", k, ".scala").alias("path"), use.alias("content")).union(near)))
+    found = references.occurrences(scanned, references.definitions(scanned), packages=True)
+    return found.filter("path like 'i%'").select("path", "start_line", "symbol")
+
+
 @query("SELECT 'U' || s_suppkey || '.scala' AS path, 'local' || k AS symbol, CAST(2 + k AS INTEGER) AS start_line FROM supplier, unnest(range(0, 2)) AS t(k)")
 def local_numbers(spark, sf_dir):
     content = text("object U {\n  def f(n: Int) = {\n    val a = n\n    val b = a\n    b\n  }\n}\n")
@@ -363,8 +496,8 @@ SELECT DISTINCT CAST(substr(u.path, 2, length(u.path) - 7) AS BIGINT) AS query_i
 
 @query(GOTO_SQL)
 def goto_definition(spark, sf_dir):
-    sources = shop_sources(spark, sf_dir)
-    definitions, found = readers.extract_definitions(sources), references.candidates(sources)
+    found = references.scan(shop_sources(spark, sf_dir))
+    definitions = references.definitions(found)
     cursors = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("query_id"), F.concat(F.lit("U"), "s_suppkey", F.lit(".scala")).alias("path"), F.lit(3).alias("line"), F.lit(13).alias("ch"))
     return lookup.goto(cursors, references.occurrences(found, definitions), references.local_definitions(found), definitions)
 

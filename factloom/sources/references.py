@@ -15,7 +15,7 @@ superset).
 
 from __future__ import annotations
 
-import re
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -28,6 +28,7 @@ from .. import schemas
 from ..functions import defaults
 from ..functions import symbols as S
 from ..operators import lookup
+from ..tables import written
 from . import java, scala
 from .lexer import Tokens, bare, escaped
 
@@ -44,9 +45,11 @@ SCALA_WORDS = frozenset(
 #: Rows that a worker hands over at a time, about.
 ROWS = 50_000
 #: Words before the name of what has a body of members.
-OPENS = frozenset("class object trait enum interface record given".split())
-#: kind: name, call, new; segment (of an import, nothing if unknown); argument (symbol: its name, ref: the called one); local (a definition).
-CANDIDATES = f"path string, ref int, kind string, rank int, symbol string, {schemas.RANGE}"
+OPENS = frozenset("class enum interface record".split())
+#: kind: name, call, new; segment (of an import; name: its package) and infix (a name between two operands), which are nothing if
+#: unknown; argument (symbol: its name, ref: the called one); local (a definition); result (symbol: a type that the value in `name`
+#: may have); definition (name: its short name, rank: 1 for a type). of: the ref whose member a name is; name: that name in symbols.
+CANDIDATES = f"path string, ref int, kind string, rank int, symbol string, of int, name string, {schemas.RANGE}"
 # What build files see without an import, least of all.
 BUILD_WILDCARDS = ("sbt/Keys.", "sbt/")
 #: Shapes of symbols by what a name stands for, the likeliest first.
@@ -90,15 +93,18 @@ def _dotted(t: Tokens, i: int, end: int) -> tuple[list[str], int]:
     return names, i
 
 
-def scala_imports(t: Tokens, i: int, end: int, found: Imports, use=lambda i, symbols: None) -> int:
+def scala_imports(t: Tokens, i: int, end: int, found: Imports, use=lambda i, symbols, package=None: None) -> int:
     """An import's clauses from token i on; the index after them. Names, renames, unimports, wildcards, givens.
 
-    use: is told of each imported name's token and candidates.
+    use: is told of each imported name's token and candidates, and of those of the segments before
+    it, with the package that a segment may be.
     """
     while i < end:
+        begin = i
         path, i = _dotted(t, i, end)
         if not path:
             return i + 1
+        whole = list(path)
         selectors: list[tuple[str, str, int]] = []
         if t.text(i) == "{":
             for a, b in t.parts(i + 1, t.close[i]):
@@ -117,6 +123,9 @@ def scala_imports(t: Tokens, i: int, end: int, found: Imports, use=lambda i, sym
         else:
             selectors.append((path[-1], path.pop(), i - 1))
         owners = _owners(path) if path else [""]
+        for k in range(len(path)):
+            held = _owners(whole[: k + 1])
+            use(begin + 2 * k, held[1:], held[0])
         for name, seen, at in selectors:
             if name in ("_", "*", "given"):
                 found.wildcards += owners
@@ -145,7 +154,7 @@ def java_imports(t: Tokens, i: int, end: int, found: Imports, use=lambda i, symb
         last = k == len(path) - 1 and t.text(i) != "*"
         owners = [o for o in _owners(path[:k]) if o.endswith(("#", "/"))]
         use(begin + 2 * k, [s for o in owners for s in _shapes(o, path[k]) if static and last or s.endswith("#")], last)
-    wildcard = t.text(i) == "*"
+    wildcard = bool(path) and t.text(i) == "*"
     if wildcard:
         found.wildcards += [o for o in _owners(path) if o.endswith("#" if static else ("/", "#"))]
         i += 1
@@ -168,12 +177,22 @@ def _default_names(of_java: bool) -> dict[str, list[str]]:
 
 
 class Scan:
-    """Candidates of one text."""
+    """Candidates of one Java text, and what the scans of both languages share; for a Scala text, its scan."""
+
+    def __new__(cls, text: str, file_name: str) -> "Scan":
+        if cls is Scan and not file_name.endswith(".java"):
+            from .scalauses import ScalaScan as cls  # it builds on this class
+        return super().__new__(cls)
 
     def __init__(self, text: str, file_name: str):
         self.java = file_name.endswith(".java")
         self.t = Tokens(text, java=self.java)
-        found = java.definitions(text) if self.java else scala.definitions(text, file_name)
+        if self.java:
+            found = java.definitions(text)
+        else:
+            self.shape = scala.Scala(text, file_name)
+            found = self.shape.run()
+        self.definitions = found.rows
         self.defined: dict[tuple, str] = {}
         for symbol, _, _, at in found.rows:  # of several at a place, the first: the type itself
             if not symbol.endswith((")", "]")):
@@ -185,14 +204,16 @@ class Scan:
         build = file_name.endswith(".sbt")
         self.last_wildcards = BUILD_WILDCARDS if build else ()
         self.owners = [f"_empty_/{escaped(file_name.removesuffix('.sbt'))}."] if build else []
-        self.rows: list[tuple[int, str, int, str, tuple]] = []
-        self.bound: set[tuple] = set()  # places of names that patterns bind
+        #: (ref, kind, rank, symbol, of, name, range)
+        self.rows: list[tuple[int, str, int, str, int | None, str | None, tuple]] = []
+        self.bound: set[tuple] = set()  # places of names that patterns bind, and of named arguments
         self.types: dict[str, list[str]] = {}  # symbols of values with a declared type: its path
+        self.packages = ["_empty_/"]  # visible ones, the innermost last
         self.locals = 0
         self.refs = 0
 
     def run(self) -> "Scan":
-        self.package = "_empty_/"
+        sys.setrecursionlimit(max(sys.getrecursionlimit(), 8 * len(self.t) + 1000))  # brackets may nest as deep as a text is long
         for i, token in enumerate(self.t.tokens):
             symbol = self.defined.get(token.range[:2]) or self.parameters.get(token.range[:2])
             if symbol and token.kind == "name":
@@ -206,14 +227,12 @@ class Scan:
         pending: str | None = None  # the owner whose body the next brace opens
         while i < end:
             token = t.tokens[i]
-            if token.kind == "name" and token.text == "package" and t.is_name(i + 1) and t.text(i + 1) != "object":
+            if token.kind == "name" and token.text == "package" and t.is_name(i + 1):
                 path, i = _dotted(t, i + 1, end)
-                prefix = "" if self.package == "_empty_/" or self.java else self.package
-                self.package = prefix + "".join(escaped(p) + "/" for p in path)
+                self.packages = ["".join(escaped(p) + "/" for p in path)]
                 continue
             if token.kind == "name" and token.text == "import":
-                use = lambda k, symbols, last=True: self._emit(k, symbols, "name" if last else "segment")
-                i = (java_imports if self.java else scala_imports)(t, i + 1, end, self.imports, use)
+                i = java_imports(t, i + 1, end, self.imports, lambda k, symbols, last=True: self._emit(k, symbols, "name" if last else "segment"))
                 continue
             if token.text == "{" and token.kind == "mark":
                 inner = owners + [pending] if pending else owners
@@ -221,131 +240,148 @@ class Scan:
                 pending = None
                 i = t.after(i)
                 continue
-            if token.text == "case" and not self.java:
-                self._pattern(i + 1, end, scopes)
-            elif token.kind == "string" and not self.java and token.text[0] != '"':
-                self._interpolated(token, owners, scopes)
-            elif token.kind == "name" and token.text != "_" and token.text not in self.words:
+            if token.kind == "name" and token.text in ("this", "super") and t.text(i + 1) == "." and t.is_name(i + 2):
+                i = self._chain(i, end, owners, scopes, owners[-1:] if token.text == "this" else [])
+                continue
+            if token.kind == "name" and token.text != "_" and token.text not in self.words:
                 place = token.range[:2]
                 if place in self.defined:
                     pending = self.defined[place] if t.text(i - 1) in OPENS else None
+                    self._result(self.defined[place], owners, scopes)
                 elif place in self.parameters:  # a parameter hides others from here on
                     scopes[-1][bare(token.text)] = self.parameters[place]
-                elif place not in self.bound and not self._declares(i, scopes):
+                    self._result(self.parameters[place], owners, scopes)
+                elif place not in self.bound and not self._declares(i, owners, scopes):
                     i = self._use(i, end, owners, scopes)
                     continue
             elif token.text == ";":
                 pending = None
             i += 1
 
-    def _interpolated(self, token, owners: list[str], scopes: list[dict[str, str]]) -> None:
-        """Names in use in an interpolated string, at their own places in the text."""
-        whole = self.t
-        for m in re.finditer(r"\$\$|\$([^\W\d]\w*)|\$\{", token.text):
-            if m[0] == "$$":
-                continue
-            begin, end = m.end() - len(m[1] or ""), m.end()
-            if m[0] == "${":
-                depth = 1
-                while end < len(token.text) and depth:
-                    depth += {"{": 1, "}": -1}.get(token.text[end], 0)
-                    end += 1
-                end -= 1
-            before = token.text[:begin]
-            line = token.line + before.count("\n")
-            char = begin - before.rfind("\n") - 1 if "\n" in before else token.char + begin
-            self.t = Tokens("\n" * line + " " * char + token.text[begin:end])
-            self._walk(0, len(self.t), owners, [*scopes, {}])
-        self.t = whole
-
-    def _pattern(self, i: int, end: int, scopes: list[dict[str, str]]) -> None:
-        """The lower-case names of a pattern, up to its guard or arrow, are locals from here on."""
-        t, k, names, stack = self.t, i, [], []
-        while k < end and t.text(k) not in ("=>", "if"):
-            if not stack and t.text(k) in ("case", "}", ";", "{") or t.text(k) in ("class", "object"):
-                return  # a case of an enum, or a class
-            if t.text(k) in ("(", "["):
-                stack.append(k)
-            elif t.text(k) in (")", "]") and stack:
-                stack.pop()
-            elif t.is_name(k) and t.text(k)[0].islower() and t.text(k) not in self.words and t.text(k + 1) not in ("(", ".", "[") and t.text(k - 1) not in (".", ":"):
-                names.append(k)
-            k += 1
-        if k < end:
-            for n in names:
-                self.bound.add(t.tokens[n].range[:2])
-                self._local(n, scopes)
-
-    def _local(self, i: int, scopes: list[dict[str, str]]) -> None:
+    def _local(self, i: int, scopes: list[dict[str, str]]) -> str:
         symbol = f"local{self.locals}"
         scopes[-1][bare(self.t.text(i))] = symbol
-        self.rows.append((-1, "local", 0, symbol, self.t.tokens[i].range))
+        self.rows.append((-1, "local", 0, symbol, None, None, self.t.tokens[i].range))
         self.locals += 1
         self._typed(symbol, i)
+        return symbol
 
     def _typed(self, symbol: str, i: int) -> None:
-        """Remembers the declared type of the value that token i names, or what a `new` gives it."""
-        t = self.t
-        if self.java:
-            k = i - 1
-            while t.text(k) == "]" or t.text(k) == "[":
-                k -= 1
-            depth = 0
-            while t.text(k) == ">" or depth:
-                depth += {">": 1, "<": -1}.get(t.text(k), 0)
-                k -= 1
-            path = []
-            while t.is_name(k) and (t.text(k) not in self.words):
-                path.insert(0, t.text(k))
-                if t.text(k - 1) != ".":
-                    break
-                k -= 2
-        else:
-            at = i + 2 if t.text(i + 1) == ":" else i + 3 if t.text(i + 1) == "=" and t.text(i + 2) == "new" else None
-            path = _dotted(t, at, len(t))[0] if at else []
+        """Remembers the declared type of the value or method that token i names, or what a `new` gives it."""
+        t, path = self.t, []
+        k = i - 1
+        while t.text(k) == "]" or t.text(k) == "[":
+            k -= 1
+        depth = 0
+        while k >= 0 and (t.text(k) == ">" or depth):
+            depth += {">": 1, "<": -1}.get(t.text(k), 0)
+            k -= 1
+        if t.text(k) == "var" and t.text(i + 1) == "=" and t.text(i + 2) == "new":
+            path = self._whole(i + 3, True)
+        while t.is_name(k) and t.text(k) not in self.words:
+            path.insert(0, t.text(k))
+            if t.text(k - 1) != ".":
+                break
+            k -= 2
         if path:
             self.types[symbol] = path
 
-    def _declares(self, i: int, scopes: list) -> bool:
-        """A local value, parameter, class or object that no definition covers gets the next local symbol."""
+    def _whole(self, at: int, made: bool) -> list[str]:
+        """The dotted type from token `at` on; made: by a `new`, of which nothing may be selected."""
+        t = self.t
+        path, k = _dotted(t, at, len(t))
+        while made and t.text(k) in ("[", "("):
+            k = t.after(k)
+        return [] if made and t.text(k) == "." else path
+
+    def _result(self, symbol: str, owners: list[str], scopes: list[dict[str, str]]) -> None:
+        """What the type of a value or of a method's result may be, for members that other names have."""
+        if symbol in self.types and not symbol.endswith("#"):
+            for rank, kind in enumerate(dict.fromkeys(self._type(symbol, owners, scopes))):
+                if kind.endswith("#"):
+                    self.rows.append((-1, "result", rank, kind, None, symbol, (0, 0, 0, 0)))
+
+    def _type(self, symbol: str, owners: list[str], scopes: list[dict[str, str]]) -> list[str]:
+        """Candidates of the declared type of a symbol."""
+        head, *rest = self.types[symbol]
+        kinds = self._named(bare(head), owners, scopes, TYPE)
+        for k in kinds:
+            if k in self.types and k.startswith("local"):  # a type parameter stands for its bound
+                kinds = self._type(k, owners, scopes[:-1])
+                break
+        for part in rest:
+            kinds = [x for o in kinds if o.endswith(("#", ".")) for x in _shapes(o, part)]
+        return kinds
+
+    def _declares(self, i: int, owners: list[str], scopes: list) -> bool:
+        """A local value, parameter or class that no definition covers gets the next local symbol."""
         t, before = self.t, self.t.text(i - 1)
-        if self.java:
-            typed = i > 0 and (t.is_name(i - 1) and before not in ("return", "new", "throw", "else", "instanceof", "case") or before in (">", "]"))
-            local = typed and t.text(i + 1) in ("=", ";", ":", ",", ")") and len(scopes) > 1
-            k = i + 1
-            while before in ("(", ",") and t.text(k) == "," and t.is_name(k + 1):
-                k += 2
-            local = local or t.text(i + 1) == "->" or before in ("(", ",") and t.text(k) == ")" and t.text(k + 1) == "->"
-        else:
-            local = before in ("val", "var", "def", "class", "object", "trait", "enum") and len(scopes) > 1
-            local = local or (t.text(i + 1) == "=>" and before in ("{", "(", ",")) or t.text(i + 1) == "<-"
+        typed = i > 0 and (t.is_name(i - 1) and before not in ("return", "new", "throw", "else", "instanceof", "case") or before in (">", "]"))
+        local = typed and t.text(i + 1) in ("=", ";", ":", ",", ")") and len(scopes) > 1
+        k = i + 1
+        while before in ("(", ",") and t.text(k) == "," and t.is_name(k + 1):
+            k += 2
+        local = local or t.text(i + 1) == "->" or before in ("(", ",") and t.text(k) == ")" and t.text(k + 1) == "->"
         if local:
-            self._local(i, scopes)
+            self._result(self._local(i, scopes), owners, scopes)
         return local
 
     def _use(self, i: int, end: int, owners: list[str], scopes: list[dict[str, str]]) -> int:
-        """A name or a dotted chain of names; a candidate list for each part. The index after the chain."""
-        t = self.t
+        """A name and what is selected from it and from what its calls give; a candidate list for each. The index after all."""
+        t, new = self.t, self.t.text(i - 1) == "new"
         if t.text(i - 1) == ".":  # a member of an expression that is no chain of names
+            self._emit(i, [], self._kind(i, False))
             return i + 1
-        new, k, path = t.text(i - 1) == "new", i, [t.text(i)]
-        value = any(bare(t.text(i)) in scope for scope in scopes)  # then the path is no package
         before = self._named(bare(t.text(i)), owners, scopes, self._order(i, new))
-        self._emit(i, before, self._kind(i, new))
-        while t.text(k + 1) == "." and t.is_name(k + 2) and k + 2 < end:
-            k += 2
-            before = self._members(before, [] if value else path, t.text(k), self._order(k, new), owners, scopes)
-            self._emit(k, before, self._kind(k, new))
-            path.append(t.text(k))
-        if self.java and t.text(k + 1) == "::" and t.is_name(k + 2) and k + 2 < end:
-            if t.text(k + 2) != "new":  # a method reference stands for the whole expression
-                at = (*t.tokens[i].range[:2], *t.tokens[k + 2].range[2:])
-                self._emit(k + 2, self._members(before, [] if value else path, t.text(k + 2), CALL, owners, scopes), "name", at)
-            k += 2
-        opening = t.after(k + 1) if t.text(k + 1) == "[" else k + 1
-        if t.text(opening) == "(" and not self.java:
-            self._arguments(opening, self.refs - 1)
-        return k + 1
+        ref = self._emit(i, before, self._kind(i, new))
+        return self._chain(i, end, owners, scopes, before, ref, new)
+
+    def _chain(self, i: int, end: int, owners: list[str], scopes: list[dict[str, str]], before: list[str], ref: int | None = None, new: bool = False) -> int:
+        """What is selected after token i, of which `before` are the candidates."""
+        t = self.t
+        path = [t.text(i)] if ref is not None and not any(bare(t.text(i)) in scope for scope in scopes) else []  # a value is no package
+        k, kind = i, self._kind(i, new)
+        while True:
+            j, called = self._applied(k, end, owners, scopes, ref)
+            if called:
+                path = []
+                # a call of an object makes one of its type, if it is no method or value
+                before = [s if kind == "new" else f"{s[:-1]}#" if s.endswith(".") and not s.endswith(").") else s for s in before]
+            if t.text(j) != "." or not t.is_name(j + 1) or j + 1 >= end or t.text(j + 1) in self.words:
+                break
+            member, k = t.text(j + 1), j + 1
+            kind = self._kind(k, new and not called)
+            before = self._members(before, path, member, self._order(k, new and not called), owners, scopes)
+            ref = self._emit(k, before, kind, of=ref, name=escaped(member))
+            path = path + [member] if path else []
+            new = new and not called
+        if self.java and t.text(j) == "::" and t.is_name(j + 1) and j + 1 < end:
+            if t.text(j + 1) != "new":  # a method reference stands for the whole expression
+                at = (*t.tokens[i].range[:2], *t.tokens[j + 1].range[2:])
+                found = self._members(before, path, t.text(j + 1), CALL, owners, scopes)
+                self._emit(j + 1, found, "name", at, ref, escaped(t.text(j + 1)))
+            j += 2
+        self.tail = j, ref, before
+        return j
+
+    def _applied(self, k: int, end: int, owners: list[str], scopes: list[dict[str, str]], ref: int | None) -> tuple[int, bool]:
+        """Walks the arguments after token k; the index after them, and whether there are any."""
+        t, j = self.t, k + 1
+        if t.text(j) == "<":  # type arguments of a `new`, if they close before a call
+            depth, m = 0, j
+            while m < end and (t.text(m) in ("<", ">", ",", ".", "?", "[", "]", "&") or t.is_name(m)):
+                depth += {"<": 1, ">": -1}.get(t.text(m), 0)
+                m += 1
+                if not depth:
+                    break
+            if not depth and t.text(m) == "(":
+                self._walk(j, m, owners, scopes)
+                j = m
+        called = False
+        while t.text(j) == "(" and j < end:
+            self._walk(j + 1, min(t.close[j], end), owners, scopes)
+            j, called = t.after(j), True
+        return j, called
 
     def _kind(self, i: int, new: bool) -> str:
         after = self.t.after(i + 1) if self.t.text(i + 1) == "[" else i + 1
@@ -354,33 +390,17 @@ class Scan:
         return "call" if self.t.text(after) == "(" else "name"
 
     def _order(self, i: int, new: bool) -> tuple[str, ...]:
-        kind = self._kind(i, new)
-        if kind == "call":
-            return CALL
-        type_before = self.t.text(i - 1) in (":", "extends", "with", "[", "<:", ">:", "new")
-        return TYPE if self.java or kind == "new" or type_before else VALUE
-
-    def _arguments(self, opening: int, called: int) -> None:
-        """Named arguments of a call whose bracket is token `opening`."""
-        t = self.t
-        for a, _ in t.parts(opening + 1, t.close[opening]):
-            if t.is_name(a) and t.text(a + 1) == "=":
-                self.rows.append((called, "argument", 0, escaped(t.text(a)), t.tokens[a].range))
-                self.bound.add(t.tokens[a].range[:2])
+        return CALL if self._kind(i, new) == "call" else TYPE
 
     def _members(self, before: list[str], path: list[str], name: str, order: tuple[str, ...], owners: list[str], scopes: list[dict[str, str]]) -> list[str]:
         """Candidates of a member of what `before` may be: of its declared type, of it as an owner, of the path as a package."""
         found: list[str] = []
         for s in before:
             if s in self.types and self.types[s] != path:
-                head, *rest = self.types[s]
-                kinds = self._named(bare(head), owners, scopes, TYPE)
-                for part in rest:
-                    kinds = [x for o in kinds if o.endswith(("#", ".")) for x in _shapes(o, part)]
-                found += [x for o in kinds if o.endswith("#") for x in _shapes(o, name, order)]
+                found += [x for o in self._type(s, owners, scopes) if o.endswith("#") for x in _shapes(o, name, order)]
         found += [x for o in before if o.endswith(("#", ".")) and not o.endswith(").") for x in _shapes(o, name, order)]
         found += [x for o in (_owners(path) if path else ()) for x in _shapes(o, name, order)]
-        return found or [escaped(name)]  # a member of a value of unknown type: a name that is no symbol
+        return found
 
     def _named(self, name: str, owners: list[str], scopes: list[dict[str, str]], order: tuple[str, ...]) -> list[str]:
         for scope in reversed(scopes):
@@ -394,22 +414,25 @@ class Scan:
         hidden = name in self.imports.hidden
         if not hidden:
             found += _ordered(self.imports.explicit.get(name, []), order)
-        found += _shapes(self.package, name, order)
+        for package in reversed(self.packages):
+            found += _shapes(package, name, order)
         if not hidden:
             found += [s for o in (*self.imports.wildcards, *self.last_wildcards) for s in _shapes(o, name, order)]
         found += _ordered(self.known.get(name, []), order)
-        if self.package != "_empty_/":
+        if "_empty_/" not in self.packages:
             found += _shapes("_empty_/", name, order)
         return found
 
-    def _emit(self, i: int, symbols: list[str], kind: str, at: tuple | None = None) -> None:
-        for rank, symbol in enumerate(dict.fromkeys(symbols)):
-            self.rows.append((self.refs, kind, rank, symbol, at or self.t.tokens[i].range))
+    def _emit(self, i: int, symbols: list[str], kind: str, at: tuple | None = None, of: int | None = None, name: str | None = None) -> int:
+        """Rows of a name in use; without a candidate, one with the name itself, which is no symbol."""
+        for rank, symbol in enumerate(dict.fromkeys(symbols or [escaped(self.t.text(i))])):
+            self.rows.append((self.refs, kind, rank, symbol, of, name, at or self.t.tokens[i].range))
         self.refs += 1
+        return self.refs - 1
 
 
-def candidates(sources: DataFrame) -> DataFrame:
-    """Ranked candidates of all names in use in sources (path, content), their named arguments and local definitions."""
+def scan(sources: DataFrame) -> DataFrame:
+    """All that sources (path, content) define and use, as tagged rows of one scan, written once."""
     names = [c.split()[0] for c in CANDIDATES.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -417,13 +440,31 @@ def candidates(sources: DataFrame) -> DataFrame:
             rows: list[tuple] = []
             for path, content in zip(batch["path"], batch["content"]):
                 if content is not None:
-                    rows += [(path, *row[:-1], *row[-1]) for row in Scan(content, path.rpartition("/")[2]).run().rows]
+                    found = Scan(content, path.rpartition("/")[2]).run()
+                    rows += [(path, *row[:-1], *row[-1]) for row in found.rows]
+                    rows += [(path, -1, "definition", int(is_type), symbol, None, name, *at) for symbol, name, is_type, at in found.definitions]
                 if len(rows) >= ROWS:
-                    yield pd.DataFrame(rows, columns=names)
+                    yield _frame(rows, names)
                     rows = []
-            yield pd.DataFrame(rows, columns=names)
+            yield _frame(rows, names)
+
+    return written(sources.select("path", "content").mapInPandas(run, CANDIDATES), "uses")
+
 
-    return sources.select("path", "content").mapInPandas(run, CANDIDATES)
+def _frame(rows: list[tuple], names: list[str]) -> pd.DataFrame:
+    frame = pd.DataFrame(rows, columns=names)
+    frame["of"] = frame["of"].astype("Int32")
+    return frame
+
+
+def candidates(sources: DataFrame) -> DataFrame:
+    """Ranked candidates of all names in use in sources (path, content), their named arguments and local definitions."""
+    return scan(sources).filter("kind <> 'definition'")
+
+
+def definitions(scanned: DataFrame) -> DataFrame:
+    """The definitions among scanned rows."""
+    return scanned.filter("kind = 'definition'").select("symbol", F.col("name").alias("short_name"), (F.col("rank") == 1).alias("is_type"), *schemas.RANGE_COLUMNS, "path")
 
 
 def local_definitions(found: DataFrame) -> DataFrame:
@@ -442,35 +483,76 @@ def known_names(definitions: DataFrame) -> DataFrame:
     return named.union(standing).groupBy("key").agg(F.min_by("symbol", F.struct("tier", "index", "symbol")).alias("symbol"))
 
 
-def occurrences(found: DataFrame, definitions: DataFrame) -> DataFrame:
+def occurrences(found: DataFrame, definitions: DataFrame, packages: bool = False) -> DataFrame:
     """Each name in use with the first candidate that is a local, a default or defined; null where none is.
 
     A call of an object also means its `apply`, a `new` also the constructor, at the same place; a
-    named argument means the parameter of the method that is called, where that is defined.
+    named argument means the parameter of the method that is called, where that is defined. Members
+    of what calls and values give are found by the types of results, round by round, until no more
+    are. packages: segments of Scala's imports that are nothing else are their packages.
     """
-    names = known_names(definitions)
-    both = found.filter("kind <> 'local'").withColumnRenamed("symbol", "key").join(names, "key", "left")
-    known, argument = F.coalesce("symbol", F.when(S.is_local("key"), F.col("key"))), F.col("kind") == "argument"
+    names = written(known_names(definitions), "names")
+    refs = written(_first_known(found, names), "refs")
+    refs = _with_members(refs, found, names)
+    wanted = "symbol is not null or kind not in ('segment', 'infix')"
+    if packages:
+        refs = refs.withColumn("symbol", F.coalesce("symbol", F.when(F.col("kind") == "segment", F.col("name"))))
+    refs = refs.filter(wanted)
+    method = F.coalesce("implied", F.when(F.col("symbol").endswith(")."), F.col("symbol")))
+    own = F.array_compact(F.array(F.struct("symbol"), F.when(F.col("implied").isNotNull(), F.struct(F.col("implied").alias("symbol")))))
+    rows = refs.select("path", F.inline(own), *schemas.RANGE_COLUMNS)
+    arguments = found.filter("kind = 'argument'").select("path", "ref", F.col("symbol").alias("argument"), *[F.col(c).alias(f"own_{c}") for c in schemas.RANGE_COLUMNS])
+    arguments = arguments.join(refs.select("path", "ref", method.alias("method")).filter("method is not null"), ["path", "ref"])
+    arguments = arguments.withColumn("key", F.concat("method", F.lit("("), "argument", F.lit(")"))).join(names.select("key"), "key")
+    return rows.union(arguments.select("path", "key", *[f"own_{c}" for c in schemas.RANGE_COLUMNS]))
+
+
+def _first_known(found: DataFrame, names: DataFrame) -> DataFrame:
+    """path, ref, kind, of, name, range, symbol: the first candidate that is known; implied: the `apply` or constructor that it brings."""
+    brings = F.when((F.col("kind") == "call") & F.col("symbol").endswith(".") & ~F.col("symbol").endswith(")."), F.concat("symbol", F.lit("apply().")))
+    brings = brings.when((F.col("kind") == "new") & F.col("symbol").endswith("#"), F.concat("symbol", F.lit("`<init>`().")))
+    keys = F.array_compact(F.array(F.struct(F.col("symbol").alias("key"), F.lit(False).alias("more")), F.when(brings.isNotNull(), F.struct(brings.alias("key"), F.lit(True).alias("more")))))
+    given = found.filter("kind not in ('local', 'result', 'argument', 'definition')").select("path", "ref", "kind", "rank", "of", "name", *schemas.RANGE_COLUMNS, F.inline(keys))
+    both = given.join(names, "key", "left")
+    known = F.coalesce("symbol", F.when(S.is_local("key"), F.col("key")))
+    hit = F.struct("rank", known.alias("symbol"))
     best = both.groupBy("path", "ref").agg(
-        F.min(F.when(~argument & known.isNotNull(), F.struct("rank", known.alias("symbol"))))["symbol"].alias("symbol"),
-        F.max(F.when(~argument, F.struct("kind", *schemas.RANGE_COLUMNS))).alias("at"),
-        F.collect_list(F.when(argument, F.struct(F.col("key").alias("name"), *schemas.RANGE_COLUMNS))).alias("arguments"),
+        F.max(F.struct("kind", "of", "name", *schemas.RANGE_COLUMNS)).alias("at"),
+        F.min(F.when(~F.col("more") & known.isNotNull(), hit)).alias("best"),
+        F.collect_list(F.when(F.col("more") & known.isNotNull(), hit)).alias("brought"),  # at most one a candidate
     )
-    best = best.select("path", "ref", "symbol", "at.*", "arguments").filter("symbol is not null or kind <> 'segment'")
-    implied = F.when((F.col("kind") == "call") & F.col("symbol").endswith(".") & ~F.col("symbol").endswith(")."), F.concat("symbol", F.lit("apply().")))
-    implied = implied.when((F.col("kind") == "new") & F.col("symbol").endswith("#"), F.concat("symbol", F.lit("`<init>`().")))
-    best = _looked_up(best.withColumn("key", implied), names, "implied")
-    method = F.coalesce("implied", F.when(F.col("symbol").endswith(")."), F.col("symbol")))
-    row = lambda symbol, at, check: F.struct(symbol.alias("symbol"), *[at(c).alias(c) for c in schemas.RANGE_COLUMNS], F.lit(check).alias("check"))
-    own, more = row(F.col("symbol"), F.col, False), row(F.col("implied"), F.col, False)
-    parameters = F.transform("arguments", lambda a: row(F.concat(method, F.lit("("), a["name"], F.lit(")")), lambda c: a[c], True))
-    rows = F.concat(F.array(own), F.filter(F.concat(F.array(more), parameters), lambda r: r["symbol"].isNotNull()))
-    out = best.select("path", "ref", F.inline(rows))
-    out = _looked_up(out.withColumn("key", F.when(F.col("check"), F.col("symbol"))), names, "known").filter("not check or known is not null")
-    return out.select("path", "symbol", *schemas.RANGE_COLUMNS)
-
-
-def _looked_up(rows: DataFrame, names: DataFrame, found: str) -> DataFrame:
-    """rows (path, ref, key, ...) with `found`: what the key means, if there is one. Rows without a key are spread, not gathered under null."""
-    spread = F.coalesce("key", F.concat_ws(" ", F.lit("?"), "path", "ref"))
-    return rows.withColumn("key", spread).join(names.withColumnRenamed("symbol", found), "key", "left").drop("key")
+    implied = F.get(F.filter("brought", lambda x: x["rank"] == F.col("best.rank")), F.lit(0))["symbol"]
+    return best.select("path", "ref", "at.*", F.col("best.symbol").alias("symbol"), implied.alias("implied"))
+
+
+def _with_members(refs: DataFrame, found: DataFrame, names: DataFrame) -> DataFrame:
+    """refs, with members that only the types of results tell: each round finds those of names that the round before found."""
+    pending = refs.filter("symbol is null and of is not null").select("path", "ref", "of", "kind", "name")
+    if pending.isEmpty():
+        return refs
+    local = lambda symbol: F.when(S.is_local(symbol), F.concat("path", F.lit("\0"), symbol)).otherwise(F.col(symbol))
+    held = found.filter("kind = 'result'").withColumn("value", local("name")).select("value", "rank", F.col("symbol").alias("key")).join(names, "key")
+    results = written(held.groupBy("value").agg(F.min(F.struct("rank", F.col("symbol").alias("type")))["type"].alias("type")), "results")
+    fresh, rounds = refs.filter("symbol is not null"), []
+    while True:
+        source = fresh.select("path", F.col("ref").alias("of"), F.col("kind").alias("given"), F.col("symbol").alias("source"), "implied")
+        steps = pending.join(source, ["path", "of"])
+        # a `new` has its type; a call has what its method gives, and of an object else the object's class
+        value = F.when((F.col("given") == "call") & F.col("implied").isNotNull(), F.col("implied")).otherwise(F.col("source"))
+        own = F.when((F.col("given") == "new") & F.col("source").endswith("#"), F.col("source")).when((F.col("given") == "call") & F.col("source").endswith(".") & ~F.col("source").endswith(")."), F.concat(F.expr("left(source, length(source) - 1)"), F.lit("#")))
+        steps = steps.withColumn("value", value).withColumn("value", local("value")).withColumn("own", own).join(results, "value", "left").withColumn("type", F.coalesce("type", "own")).filter("type like '%#'")
+        shapes = F.when(F.col("kind").isin("call", "infix"), F.array(*map(F.lit, CALL))).otherwise(F.array(*map(F.lit, VALUE)))
+        keyed = steps.select("path", "ref", "kind", F.posexplode(F.transform(shapes, lambda end: F.concat("type", "name", end))).alias("rank", "key"))
+        hits = keyed.join(names, "key").groupBy("path", "ref").agg(F.min(F.struct("rank", "symbol", "kind")).alias("hit"))
+        fresh = written(hits.select("path", "ref", "hit.kind", "hit.symbol", F.lit(None).cast("string").alias("implied")), "members")
+        if fresh.isEmpty():
+            break
+        rounds.append(fresh)
+        pending = pending.join(fresh.select("path", "ref"), ["path", "ref"], "left_anti")
+    if not rounds:
+        return refs
+    more = rounds[0]
+    for other in rounds[1:]:
+        more = more.union(other)
+    more = more.select("path", "ref", F.col("symbol").alias("more"))
+    return refs.join(more, ["path", "ref"], "left").withColumn("symbol", F.coalesce("symbol", "more")).drop("more")

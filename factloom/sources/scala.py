@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from .blocks import Block
 from .lexer import Definitions, Tokens, escaped
 
 MODIFIERS = frozenset("private protected final sealed implicit lazy override abstract inline transparent opaque open infix erased tracked".split())
 PARAMETER_WORDS = frozenset("val var private protected override implicit using inline final erased".split())
 STARTS = frozenset("class trait object enum def val var type given extension package import export case".split())
+#: Those whose body has members of an owner.
+OWNS = frozenset("class trait object enum given".split())
 #: Words that carry on a statement at the start of a line.
 GOES_ON = frozenset("else catch finally yield then extends with derives do match".split())
 
@@ -17,6 +20,7 @@ class Scala:
         self.out = Definitions()
         self.file_name = file_name
         self.synthetic: list[tuple[str, str, str, list, tuple]] = []
+        self.blocks: dict[int, Block] = {}  # of statements, by the token of their word
 
     def run(self) -> Definitions:
         self._statements(0, len(self.t), "_empty_/", package=True)
@@ -111,11 +115,10 @@ class Scala:
                     i += 1
                 else:
                     break
-            word = t.text(i)
+            word, at = t.text(i), i
+            known = len(self.out.rows)
             if word == "package" and package:
-                i, owner, done = self._package(i, end, owner)
-                if done:
-                    return
+                i, owner, _ = self._package(i, end, owner)
             elif word in ("class", "trait") and t.is_name(i + 1):
                 i = self._class(i, end, start, owner, word, flags, package)
             elif word == "object" and (t.is_name(i + 1)):
@@ -139,11 +142,21 @@ class Scala:
             else:
                 i = self._end(i + 1 if i == start else i, end, start)
             i = max(i, start + 1)
+            if word in STARTS and word not in ("import", "export"):
+                named = [r[0] for r in self.out.rows[known:] if word in OWNS and r[3] == t.tokens[at + 1].range and r[0].endswith(("#", "."))]
+                self.blocks[at] = Block(start, min(i, end), (named[1] if word == "enum" else named[0]) if named else None)
+
+    def extent(self, i: int, end: int) -> Block:
+        """The block of the statement whose word is token i, where the definition scan does not go."""
+        start = i
+        while not self.t.tokens[start].first and (self.t.text(start - 1) in MODIFIERS or self.t.text(start - 1) == "case"):
+            start -= 1
+        return Block(start, self._end(i + 1, end, start))
 
     def _package(self, i: int, end: int, owner: str) -> tuple[int, str, bool]:
         t = self.t
         prefix = "" if owner == "_empty_/" else owner
-        if t.text(i + 1) == "object":
+        if t.text(i + 1) == "object" and t.is_name(i + 2):
             name = i + 2
             symbol = self.out.term(f"{prefix}{escaped(t.text(name))}/", "package", t.tokens[name].range)
             return self._template(name + 1, end, i, symbol), owner, False
