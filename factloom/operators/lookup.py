@@ -100,8 +100,8 @@ def first_candidate(wanted: DataFrame, bridge: DataFrame, definitions: DataFrame
     wanted: query_id, target_id, symbol, package; bridge: target_id, ord, fingerprint, packages
     (null: unknown, so never skipped); definitions: fingerprint, symbol, path.
     """
-    ahead = wanted.join(bridge, "target_id").filter(F.col("packages").isNull() | F.array_contains("packages", F.col("package")))
-    hits = ahead.join(definitions, ["fingerprint", "symbol"])
+    held = wanted.join(definitions.select("symbol", "fingerprint", "path"), "symbol")  # few archives define a symbol; a classpath has very many
+    hits = held.join(bridge, ["target_id", "fingerprint"]).filter(F.col("packages").isNull() | F.array_contains("packages", F.col("package")))
     return hits.groupBy("query_id").agg(F.min(F.struct("ord", "fingerprint", "path")).alias("hit")).select("query_id", "hit.ord", "hit.fingerprint", "hit.path")
 
 

@@ -13,7 +13,7 @@ from .. import schemas
 from ..functions import symbols as S
 from ..functions import text as X
 from ..operators import ignore, lookup, merge
-from ..sources import facts, readers, references, signatures
+from ..sources import dialects, facts, readers, references, signatures
 from ..streaming import debounce, refresh
 from .base import query, table
 
@@ -255,6 +255,35 @@ def extraction_errors(spark, sf_dir):
     return found.select("path", F.regexp_extract("error", "^([0-9]+) brackets", 1).cast("int").alias("brackets"))
 
 
+#: suffix, text with {k}, dialect, error: what a text of each kind is taken for.
+DIALECT_TEXTS = (
+    ("scala", "object P{k}:\n  def f(n: Int) =\n    n\n", "scala3", None),
+    ("scala", "class P{k} { def f() { g() } }\n", "scala2", None),
+    ("scala", "object P{k} { do { f() } while (g) }\n", "scala2", None),
+    ("sbt", "p{k} := {k}\n", "scala3", None),
+    ("sbt", "p{k} := { do { f() } while (g); {k} }\n", "sbt1", None),
+    ("scala", "\nclass P{k} {\n  def = {k}\n}\n", None, 'scala3: "3:7: identifier expected, = found"; scala2: "3:7: identifier expected, = found"'),
+    ("scala", "p{k}(1)\n", None, 'scala3: "1:1: expected a definition, p{k} found"; scala2: "1:1: expected a definition, p{k} found"'),
+    ("scala", "enum P{k} { case A }\nobject Q { def f() { } }\n", None, 'scala3: "2:20: = expected before the body of a method"; scala2: "1:1: enum is no statement of this dialect"'),
+)
+
+
+def _dialects_sql() -> str:
+    literal = lambda x: "NULL" if x is None else f"replace('{x}', '{{k}}', CAST(p_partkey AS VARCHAR))"
+    case = lambda column: "CASE p_size % 8 " + " ".join(f"WHEN {k} THEN {literal(row[column])}" for k, row in enumerate(DIALECT_TEXTS)) + " END"
+    return f"SELECT 'P' || p_partkey || '.' || {case(0)} AS path, {case(2)} AS dialect, {case(3)} AS error FROM part"
+
+
+@query(_dialects_sql())
+def dialect_cascade(spark, sf_dir):
+    k, kind = F.col("p_partkey"), F.col("p_size") % 8
+    path, content = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for at, (suffix, body, _, _) in enumerate(DIALECT_TEXTS):
+        path = F.when(kind == at, text("P", k, f".{suffix}")).otherwise(path)
+        content = F.when(kind == at, filled(body, k)).otherwise(content)
+    return dialects.dialects(spread(table(spark, sf_dir, "part").select(path.alias("path"), content.alias("content"))))
+
+
 # References ---------------------------------------------------------------------------------
 
 USED = ("symbol", *RANGE)
