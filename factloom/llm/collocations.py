@@ -10,8 +10,11 @@ their pairs of words are, so it goes in three rounds, each exact and over the wh
 2. pairs are counted; a shard puts breaks between words whose pair is rare in the corpus;
 3. phrases of three words and more are counted in what is left.
 
-What is frequent goes back to the shards that hold it by joins on shard and number, so no task and
-not the driver holds the corpus' words; a shard's own are bounded by its size.
+Most of what a shard counts is rare in the corpus. So before the phrases themselves, a shard sends
+their hashes with their counts, packed, to as many parts as the corpus asks for; a part sums its
+hashes and tells each shard which of them come to `least`. Phrases of equal hash only add to each
+other, so no frequent one is lost; the phrases that are left are then counted as they are, by name.
+No task and not the driver holds the corpus' words; a shard's own are bounded by its size.
 
 Defined results: null and empty texts have no words; a null language is `und`; repeated rows count
 each time; ties of scores go to the more frequent phrase, then by bytes; an empty table gives an
@@ -31,12 +34,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scratch import drop, materialize
-from .textarrays import slices
+from .textarrays import mix, prefix_sums, slices, span_hashes
 
 #: Words of a shard, about; words of a phrase at most; occurrences of one at least; phrases returned of a language.
 SHARD, MOST, LEAST, TOP = 1 << 21, 5, 100, 2000
-#: Rows of counts handed over at a time.
-ROWS = 1 << 16
+#: Bytes of text whose phrases' hashes make a part, about.
+PART = 1 << 24
 _BREAK = b"\xff"  # stands in no text
 
 # What a text's bytes become: lower case, a break where a piece ends, a space between words.
@@ -46,10 +49,11 @@ for _c in b".,;:!?\n\x0b\x0c\r":
     _TABLE[_c] = _BREAK[0]
 _TABLE = bytes(_TABLE)
 
-#: A row is a shard's sequence (ids, its words and their languages), or a count of phrase `no` in the shard.
-_FIELDS = [("shard", pa.int64()), ("no", pa.int32()), ("lang", pa.string()), ("phrase", pa.string()), ("size", pa.int32()), ("n", pa.int64()), ("ids", pa.binary()), ("numbers", pa.binary()), ("words", pa.list_(pa.string())), ("langs", pa.list_(pa.string()))]
+#: A row is a shard's sequence (ids, its words' bytes and lengths, the languages and which is whose), the hashes (keys) or names of its phrases that go to a part, with
+#: counts, or a count (n) of a language's words.
+_FIELDS = [("shard", pa.int64()), ("ids", pa.binary()), ("words", pa.binary()), ("lengths", pa.binary()), ("of", pa.binary()), ("langs", pa.list_(pa.string())), ("part", pa.int64()), ("keys", pa.binary()), ("names", pa.binary()), ("counts", pa.binary()), ("lang", pa.string()), ("n", pa.int64())]
 _ROW = pa.schema(_FIELDS)
-_ROW_SQL = "shard long, no int, lang string, phrase string, size int, n long, ids binary, numbers binary, words array<string>, langs array<string>"
+_ROW_SQL = "shard long, ids binary, words binary, lengths binary, of binary, langs array<string>, part long, keys binary, names binary, counts binary, lang string, n long"
 
 
 class _Numbers(dict):
@@ -75,25 +79,153 @@ def _columns(rows: int, **given: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([given.get(name, pa.nulls(rows, kind)) for name, kind in _FIELDS], schema=_ROW)
 
 
-def _count_rows(shard: int, langs: pa.Array, phrases: pa.Array, size: int, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Counts of phrases of `size` words, numbered as they come."""
-    for k in range(0, len(n), ROWS):
-        part = n[k : k + ROWS]
-        many = len(part)
-        given = {"shard": np.full(many, shard), "no": np.arange(k, k + many, dtype=np.int32), "size": np.full(many, size, np.int32), "n": part.astype(np.int64)}
-        yield _columns(many, lang=langs.slice(k, many), phrase=phrases.slice(k, many), **{c: pa.array(v) for c, v in given.items()})
+_CODEC = pa.Codec("zstd", 1)
+
+
+def pack(x: np.ndarray) -> bytes:
+    """The numbers byte by byte, least bytes first, compressed: what is moved and stored is mostly small."""
+    planes = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T) if len(x) else x.view(np.uint8)
+    return len(x).to_bytes(8, "little") + _CODEC.compress(planes.tobytes(), asbytes=True)
+
+
+def unpack(raw: bytes, kind: type) -> np.ndarray:
+    n, size = int.from_bytes(raw[:8], "little"), np.dtype(kind).itemsize
+    planes = np.frombuffer(_CODEC.decompress(raw[8:], n * size, asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(size, n).T).view(kind).reshape(-1)
+
+
+def _sequence_row(shard: int, ids: np.ndarray, words: pa.Array, langs: pa.Array) -> pa.RecordBatch:
+    words, known = words.slice(1).cast(pa.binary()), langs.dictionary_encode()
+    lengths = pc.binary_length(words).to_numpy().astype(np.int32)
+    given = {"ids": pack(ids.astype(np.int32)), "words": pack(np.frombuffer(b"".join(words.to_pylist()), np.uint8)), "lengths": pack(lengths), "of": pack(known.indices.to_numpy().astype(np.int32))}
+    return _columns(1, shard=pa.array([shard], pa.int64()), langs=pa.array([known.dictionary.to_pylist()], pa.list_(pa.string())), **{c: pa.array([v], pa.binary()) for c, v in given.items()})
+
+
+def _sequence(row: dict) -> tuple[np.ndarray, pa.Array, pa.Array]:
+    """(ids, words, languages) of a shard; the first word is the break."""
+    offsets = np.append(0, np.cumsum(unpack(row["lengths"], np.int32), dtype=np.int32)).astype(np.int32)
+    words = pa.Array.from_buffers(pa.string(), len(offsets) - 1, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(unpack(row["words"], np.uint8).tobytes())])
+    langs = pa.array(row["langs"], pa.string()).take(pa.array(unpack(row["of"], np.int32)))
+    return unpack(row["ids"], np.int32), pa.concat_arrays([pa.array([None], pa.string()), words]), langs
+
+
+class Packed:
+    """Hashes of a shard's phrases, cut to 24 bits, dealt to parts and sorted within each; `order` leads back to the phrases."""
+
+    def __init__(self, hashes: np.ndarray, parts: int):
+        self.part = (hashes % np.uint64(parts)).astype(np.int64)
+        self.key = (hashes >> np.uint64(40)).astype(np.uint32)
+        self.order = np.lexsort((self.key, self.part))
+        dealt = self.part[self.order]
+        self.begins = np.flatnonzero(np.append(True, dealt[1:] != dealt[:-1])) if len(dealt) else np.zeros(0, np.int64)
+        self.parts = dealt[self.begins]
+        self.ends = np.append(self.begins[1:], len(dealt))
+
+    def rows(self, shard: int, counts: np.ndarray, least: int) -> Iterator[pa.RecordBatch]:
+        """What goes to each part. More than `least` in a shard is no more than that in the corpus."""
+        kind = np.uint8 if least < 256 else np.uint32
+        keys, counts = self.key[self.order], np.minimum(counts, least).astype(kind)[self.order]
+        steps = np.diff(keys, prepend=keys[:1]).astype(np.uint32)
+        steps[self.begins] = keys[self.begins]
+        cut = lambda x: pa.array([pack(x[a:b]) for a, b in zip(self.begins, self.ends)], pa.binary())
+        if len(self.parts):
+            yield _columns(len(self.parts), shard=pa.array(np.full(len(self.parts), shard)), part=pa.array(self.parts), keys=cut(steps), counts=cut(counts))
+
+    def named(self, which: np.ndarray, names: pa.Array, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """The names of phrases `which`, with their counts, to each part; the lengths of names follow the counts."""
+        place = np.full(len(self.order), -1, np.int64)
+        place[which] = np.arange(len(which))
+        dealt = self.order[place[self.order] >= 0]
+        begins = np.flatnonzero(np.append(True, self.part[dealt][1:] != self.part[dealt][:-1])) if len(dealt) else np.zeros(0, np.int64)
+        names, n = names.take(pa.array(place[dealt])), counts[place[dealt]].astype(np.int64)
+        lengths = pc.binary_length(names).to_numpy().astype(np.int64)
+        raw, upto = b"".join(names.to_pylist()), np.append(0, np.cumsum(lengths))
+        rows = [(int(self.part[dealt[a]]), pack(np.frombuffer(raw[upto[a] : upto[b]], np.uint8)), pack(np.concatenate([n[a:b], lengths[a:b]]))) for a, b in zip(begins, np.append(begins[1:], len(dealt)))]
+        if rows:
+            part, blob, numbers = zip(*rows)
+            yield _columns(len(rows), part=pa.array(part, pa.int64()), names=pa.array(blob, pa.binary()), counts=pa.array(numbers, pa.binary()))
+
+    def frequent(self, told: pa.StructArray) -> np.ndarray:
+        """Whether each phrase may be frequent, by what the parts have told (part, bits)."""
+        out = np.zeros(len(self.order), bool)
+        for part, bits in zip(told.field("part").to_pylist(), told.field("bits").to_pylist()):
+            at = int(np.searchsorted(self.parts, part))
+            a, b = self.begins[at], self.ends[at]
+            out[self.order[a:b]] = np.unpackbits(np.frombuffer(bits, np.uint8), count=b - a).view(bool)
+        return out
+
+
+_TOLD = pa.schema([("shard", pa.int64()), ("part", pa.int64()), ("bits", pa.binary())])
+
+
+def _part_rows(least: int):
+    def run(rows: pa.Table) -> pa.Table:
+        keys = [np.cumsum(unpack(k, np.uint32), dtype=np.uint32) for k in rows.column("keys").to_pylist()]
+        counts = np.concatenate([unpack(x, np.uint8 if least < 256 else np.uint32) for x in rows.column("counts").to_pylist()])
+        which = np.unique(np.concatenate(keys), return_inverse=True)[1]
+        enough = (np.bincount(which, counts) >= least)[which]
+        out, at = [], 0
+        for shard, part, k in zip(rows.column("shard").to_pylist(), rows.column("part").to_pylist(), keys):
+            own = enough[at : at + len(k)]
+            at += len(k)
+            if own.any():
+                out.append((shard, part, np.packbits(own).tobytes()))
+        return pa.Table.from_arrays([pa.array([r[c] for r in out], f.type) for c, f in enumerate(_TOLD)], schema=_TOLD)
+
+    return run
+
+
+_NAMED = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("size", pa.int32()), ("n", pa.int64())])
+
+
+def _name_rows(least: int):
+    """The phrases of a part that come to `least`, by name."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        numbers = [unpack(x, np.int64).reshape(2, -1) for x in rows.column("counts").to_pylist()]
+        n, lengths = np.concatenate(numbers, axis=1)
+        offsets = np.append(0, np.cumsum(lengths))
+        names = pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(b"".join(unpack(x, np.uint8).tobytes() for x in rows.column("names").to_pylist()))]).dictionary_encode()
+        totals = np.zeros(len(names.dictionary), np.int64)
+        np.add.at(totals, names.indices.to_numpy(), n)
+        kept = np.flatnonzero(totals >= least)
+        found = [name.decode().split("\t", 1) for name in names.dictionary.take(pa.array(kept)).to_pylist()]
+        columns = [[x[1] for x in found], [x[0] for x in found], [x[0].count(" ") + 1 for x in found], totals[kept]]
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _NAMED)], schema=_NAMED)
+
+    return run
 
 
-def _sequence_row(shard: int, ids: np.ndarray, numbers: np.ndarray | None = None, words: pa.Array | None = None, langs: pa.Array | None = None) -> pa.RecordBatch:
-    given = {"shard": pa.array([shard], pa.int64()), "ids": pa.array([ids.astype(np.int32).tobytes()], pa.binary())}
-    if numbers is not None:
-        given["numbers"] = pa.array([numbers.astype(np.int32).tobytes()], pa.binary())
-        given["words"], given["langs"] = (pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (words, langs))
-    return _columns(1, **given)
+def word_hashes(words: list[bytes], langs: list[bytes]) -> np.ndarray:
+    """A 64-bit hash of each word with its language, the same in every shard; the break's comes first and is 0."""
 
+    def of(parts: list[bytes]) -> np.ndarray:
+        ends = np.cumsum([len(p) for p in parts])
+        data = np.frombuffer(b"".join(parts), np.uint8)
+        return span_hashes(prefix_sums(data), ends - [len(p) for p in parts], ends)
 
-def _shard_rows(most: int):
-    """Shards of the texts: their sequences and the counts of their words."""
+    out = np.zeros(len(words) + 1, np.uint64)
+    if words:
+        names = sorted(set(langs))
+        by_lang = dict(zip(names, mix(of(names) + np.uint64(1))))
+        out[1:] = mix(of(words) ^ np.array([by_lang[x] for x in langs], np.uint64))
+    return out
+
+
+def phrase_hashes(words: np.ndarray, ids: np.ndarray, starts: np.ndarray, m: int) -> np.ndarray:
+    out = np.full(len(starts), m, np.uint64)
+    for t in range(m):
+        out = mix(out * np.uint64(0x9E3779B97F4A7C15) + words[ids[starts + t]])
+    return out
+
+
+def _encoded(words: pa.Array) -> list[bytes]:
+    """The words but for the break."""
+    return words.slice(1).cast(pa.binary()).to_pylist()
+
+
+def _shard_rows(most: int, parts: int, least: int):
+    """Shards of the texts: their sequences, the hashes of their words, and counts of languages."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32
@@ -102,12 +234,15 @@ def _shard_rows(most: int):
             return [_BREAK], ["und"], {}, []
 
         def finished():
-            ids = np.concatenate(parts)
+            ids = np.concatenate(seen)
             counts = np.bincount(ids, minlength=len(words))[1:]
-            yield _sequence_row(shard, ids)
-            yield from _count_rows(shard, pa.array(langs[1:], pa.string()), pa.array(words[1:], pa.binary()).cast(pa.string()), 1, counts)
+            hashes = word_hashes(words[1:], [x.encode() for x in langs[1:]])[1:]
+            names, which = np.unique(np.array(langs[1:], object), return_inverse=True) if len(langs) > 1 else (np.zeros(0, object), np.zeros(0, np.int64))
+            yield _columns(len(names), lang=pa.array(names, pa.string()), n=pa.array(np.bincount(which, counts, len(names)).astype(np.int64)))
+            yield _sequence_row(shard, ids, pa.array([None, *words[1:]], pa.binary()).cast(pa.string()), pa.array(langs, pa.string()))
+            yield from Packed(hashes, parts).rows(shard, counts, least)
 
-        words, langs, numbers, parts = anew()
+        words, langs, numbers, seen = anew()
         held = 0
         for batch in slices(batches):
             for lang, raw in zip(batch.column("lang").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist()):
@@ -117,13 +252,13 @@ def _shard_rows(most: int):
                 known = numbers.get(lang)
                 if known is None:
                     known = numbers[lang] = _Numbers(words, langs, lang)
-                parts.append(np.fromiter(map(known.__getitem__, tokens(raw)), np.int32))
-                held += len(parts[-1])
+                seen.append(np.fromiter(map(known.__getitem__, tokens(raw)), np.int32))
+                held += len(seen[-1])
                 if held >= most:
                     yield from finished()
-                    words, langs, numbers, parts = anew()
+                    words, langs, numbers, seen = anew()
                     held, shard = 0, shard + 1
-        if parts:
+        if seen:
             yield from finished()
 
     return run
@@ -181,77 +316,121 @@ def _phrases(words: pa.Array, ids: np.ndarray, starts: np.ndarray, m: int) -> pa
     return pc.binary_join_element_wise(*(words.take(pa.array(ids[starts + t])) for t in range(m)), " ")
 
 
-def _pair_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sequences of frequent words alone, and the counts of their pairs. numbers: of the pair that begins at each place."""
-    for batch in batches:
-        for shard, ids, kept in zip(batch.column("shard").to_pylist(), batch.column("ids").to_pylist(), batch.column("kept")):
-            ids, kept = np.frombuffer(ids, np.int32), kept.values
-            old = kept.field("no").to_numpy() + 1
-            by_number = np.argsort(old)  # rows come in any order
-            # words get new numbers, rare ones become breaks, of which no two in a row are kept
-            new = np.zeros(max(int(ids.max(initial=0)), int(old.max(initial=0))) + 1, np.int32)
-            new[old[by_number]] = np.arange(1, len(old) + 1)
-            ids = new[ids]
-            ids = ids[np.append(True, (ids[1:] > 0) | (ids[:-1] > 0))]
-            words, langs = (pa.concat_arrays([pa.array([None], pa.string()), kept.field(c).take(pa.array(by_number))]) for c in ("phrase", "lang"))
-            numbers = np.full(len(ids), -1, np.int32)
-            for m, order, begins, counts in intervals(ids, 2, 2):
-                numbers[order] = np.repeat(np.arange(len(counts)), counts)
-                starts = order[begins]
-                yield from _count_rows(shard, langs.take(pa.array(ids[starts])), _phrases(words, ids, starts, m), m, counts)
-            yield _sequence_row(shard, ids, numbers, words, langs)
-
-
-def _phrase_rows(most: int):
-    """Counts of phrases of three words and more in sequences whose rare pairs are parted."""
+def _told_rows(step):
+    """step(shard, ids, words, langs, told) for each shard's row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for shard, ids, numbers, words, langs, kept in zip(batch.column("shard").to_pylist(), *(batch.column(c).to_pylist() for c in ("ids", "numbers")), *(batch.column(c) for c in ("words", "langs", "kept"))):
-                ids, numbers, words, langs = np.frombuffer(ids, np.int32), np.frombuffer(numbers, np.int32), words.values, langs.values
-                frequent = np.zeros(int(numbers.max(initial=-1)) + 2, bool)
-                frequent[kept.values.field("no").to_numpy()] = True
-                linked = frequent[numbers]  # number -1: the last place, which is no pair
-                inside = linked | np.append(False, linked[:-1])
-                # a break after each word that is not linked to the next
-                at = np.flatnonzero(inside)
-                parted = np.insert(ids[at], np.flatnonzero(~linked[at]) + 1, 0)
-                for m, order, begins, counts in intervals(parted, 3, most):
-                    starts = order[begins]
-                    yield from _count_rows(shard, langs.take(pa.array(parted[starts])), _phrases(words, parted, starts, m), m, counts)
+            for k, told in enumerate(batch.column("told")):
+                row = batch.select(["shard", "ids", "words", "lengths", "of", "langs"]).slice(k, 1).to_pylist()[0]
+                yield from step(row["shard"], *_sequence(row), told.values)
 
     return run
 
 
-# Rounds ------------------------------------------------------------------------------------
+def _found(words: pa.Array, langs: pa.Array, ids: np.ndarray, least: int, most: int) -> tuple[list[tuple], np.ndarray, np.ndarray]:
+    """The intervals of phrases of least to most words, with the hash and count of each phrase."""
+    by_word = word_hashes(_encoded(words), _encoded(langs))
+    found = list(intervals(ids, least, most))
+    closed = np.append(ids, np.zeros(most, ids.dtype))
+    none = np.zeros(0, np.uint64)
+    hashes = [phrase_hashes(by_word, closed, order[begins], m) for m, order, begins, _ in found]
+    return found, np.concatenate([none, *hashes]), np.concatenate([none.astype(np.int64), *(counts for *_, counts in found)])
+
 
+def _named(found: list[tuple], frequent: np.ndarray, words: pa.Array, langs: pa.Array, ids: np.ndarray) -> pa.Array:
+    """Names of the frequent phrases: their words, a tab (which stands in no word), and the language."""
+    out, at = [pa.array([], pa.binary())], 0
+    for m, order, begins, counts in found:
+        starts = order[begins[frequent[at : at + len(counts)]]]
+        at += len(counts)
+        out.append(_with_lang(_phrases(words, ids, starts, m), langs.take(pa.array(ids[starts]))))
+    return pa.concat_arrays(out)
 
-def _totals(counts: DataFrame, least: int) -> DataFrame:
-    return counts.groupBy("lang", "phrase", "size").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+
+def _with_lang(phrases: pa.Array, langs: pa.Array) -> pa.Array:
+    return pc.binary_join_element_wise(phrases, langs, "\t").cast(pa.binary())
+
+
+def _pair_step(parts: int, least: int):
+    """Sequences of frequent words alone, the words' counts, and the hashes of pairs."""
+
+    def step(shard, ids, words, langs, told):
+        packed = Packed(word_hashes(_encoded(words), _encoded(langs))[1:], parts)
+        which = np.flatnonzero(packed.frequent(told))
+        kept = which + 1
+        yield from packed.named(which, _with_lang(words.take(pa.array(kept)), langs.take(pa.array(kept))), np.bincount(ids, minlength=len(words))[kept])
+        # rare words become breaks, of which no two in a row are kept
+        new = np.zeros(len(words), np.int32)
+        new[kept] = np.arange(1, len(kept) + 1)
+        ids, kept = new[ids], pa.array(np.append(0, kept))
+        ids = ids[np.append(True, (ids[1:] > 0) | (ids[:-1] > 0))]
+        words, langs = words.take(kept), langs.take(kept)
+        _, hashes, counts = _found(words, langs, ids, 2, 2)
+        yield _sequence_row(shard, ids, words, langs)
+        yield from Packed(hashes, parts).rows(shard, counts, least)
+
+    return step
+
+
+def _longer_step(parts: int, least: int, most: int):
+    """Sequences whose rare pairs are parted, the pairs' counts, and the hashes of longer phrases."""
+
+    def step(shard, ids, words, langs, told):
+        found, hashes, counts = _found(words, langs, ids, 2, 2)
+        packed = Packed(hashes, parts)
+        frequent = packed.frequent(told)
+        yield from packed.named(np.flatnonzero(frequent), _named(found, frequent, words, langs, ids), counts[frequent])
+        linked = np.zeros(len(ids), bool)
+        for _, order, _, counts in found:
+            linked[order] = np.repeat(frequent, counts)
+        # a break after each word that is not linked to the next
+        at = np.flatnonzero(linked | np.append(False, linked[:-1]))
+        ids = np.insert(ids[at], np.flatnonzero(~linked[at]) + 1, 0)
+        _, hashes, counts = _found(words, langs, ids, 3, most)
+        yield _sequence_row(shard, ids, words, langs)
+        yield from Packed(hashes, parts).rows(shard, counts, least)
+
+    return step
+
+
+def _last_step(parts: int, most: int):
+    """The counts of longer phrases."""
+
+    def step(shard, ids, words, langs, told):
+        found, hashes, counts = _found(words, langs, ids, 3, most)
+        packed = Packed(hashes, parts)
+        frequent = packed.frequent(told)
+        yield from packed.named(np.flatnonzero(frequent), _named(found, frequent, words, langs, ids), counts[frequent])
+
+    return step
+
+
+# Rounds ------------------------------------------------------------------------------------
 
 
-def _back(rows: DataFrame, frequent: DataFrame, *more: str) -> DataFrame:
-    """A shard's sequence with its frequent phrases (kept), for shards that have one."""
-    held = rows.filter("no is not null").select("shard", "no", "lang", "phrase").join(frequent.select("lang", "phrase"), ["lang", "phrase"])
-    held = held.groupBy("shard").agg(F.collect_list(F.struct("no", "lang", "phrase")).alias("kept"))
-    return rows.filter("no is null").select("shard", "ids", *more).join(held.hint("shuffle_hash"), "shard")
+def _told(rows: DataFrame, least: int) -> DataFrame:
+    """Each shard's sequence with what the parts tell of its phrases; shards without a frequent one are left out."""
+    told = rows.filter("keys is not null").select("shard", "part", "keys", "counts").groupBy("part").applyInArrow(_part_rows(least), "shard long, part long, bits binary")
+    told = told.groupBy("shard").agg(F.collect_list(F.struct("part", "bits")).alias("told"))  # bits of a shard's own phrases
+    return rows.filter("ids is not null").select("shard", "ids", "words", "lengths", "of", "langs").join(told.hint("shuffle_hash"), "shard")
 
 
-def frequent_phrases(docs: DataFrame, most: int = MOST, least: int = LEAST, shard: int = SHARD) -> tuple[DataFrame, DataFrame]:
+def frequent_phrases(docs: DataFrame, most: int = MOST, least: int = LEAST, shard: int = SHARD, part: int = PART) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, size, n) of the phrases of up to `most` words that stand `least` times or more, and (lang, n) of all words."""
     if most < 3 or least < 1:
         raise ValueError("phrases have three words or more, and occur")
-    spark = docs.sparkSession
-    one = materialize(docs.select("lang", "text").mapInArrow(_shard_rows(shard), _ROW_SQL), "phrases-words")
-    words = materialize(_totals(one.filter("no is not null"), least), "phrases-one")
-    sizes = materialize(one.filter("no is not null").groupBy("lang").agg(F.sum("n").alias("n")), "phrases-sizes")
-    two = materialize(_back(one, words).mapInArrow(_pair_rows, _ROW_SQL), "phrases-pairs")
-    drop(spark, one)
-    pairs = materialize(_totals(two.filter("no is not null"), least), "phrases-two")
-    longer = _back(two, pairs, "numbers", "words", "langs").mapInArrow(_phrase_rows(most), _ROW_SQL)
-    longer = materialize(_totals(longer, least), "phrases-more")
-    drop(spark, two)
-    return words.unionByName(pairs).unionByName(longer), sizes
+    spark, named = docs.sparkSession, []
+    parts = 1 + (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // part
+    rows = materialize(docs.select("lang", "text").mapInArrow(_shard_rows(shard, parts, least), _ROW_SQL), "phrases-round")
+    sizes = materialize(rows.filter("lang is not null").groupBy("lang").agg(F.sum("n").alias("n")), "phrases-sizes")
+    for step in (_pair_step(parts, least), _longer_step(parts, least, most), _last_step(parts, most)):
+        before, rows = rows, materialize(_told(rows, least).mapInArrow(_told_rows(step), _ROW_SQL), "phrases-round")
+        drop(spark, before)
+        counted = rows.filter("names is not null").select("part", "names", "counts").groupBy("part").applyInArrow(_name_rows(least), "lang string, phrase string, size int, n long")
+        named.append(materialize(counted, "phrases"))
+    drop(spark, rows)
+    return named[0].unionByName(named[1]).unionByName(named[2]), sizes
 
 
 def collocations(docs: DataFrame, most: int = MOST, least: int = LEAST, top: int = TOP, shard: int = SHARD) -> DataFrame:
