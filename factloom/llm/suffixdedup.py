@@ -20,8 +20,9 @@ every string of `passage` bytes also stands in another document. Three steps:
    is sorted again in a merge.
 3. Repeats go back to all places of their segments and unite to the runs that documents lose.
 
-Anchors with more than HOT distinct segments (a passage in very many documents) would make one
-bucket large; their windows are instead counted by a 128-bit hash, with partial aggregation.
+Anchors whose distinct segments have more bytes than a bucket (a passage in very many documents)
+would make one bucket large; their windows are instead counted by a 128-bit hash, with partial
+aggregation. Buckets are bounded by bytes: those of one anchor, and about as many of others.
 
 Defined results: null and empty texts have no bytes; texts shorter than a window have no repeats
 of its length; repeated rows (of any doc_id) repeat each other; an empty table gives an empty
@@ -50,8 +51,6 @@ SYMBOL = 80
 MOST = 4096
 #: Bytes of segments in a bucket (about) and in a shard (at most, unless one segment is longer).
 BUCKET, SHARD = 1 << 20, 1 << 19
-#: Distinct segments of one anchor that share a bucket.
-HOT = 4096
 
 
 def leading(data: np.ndarray, offsets: np.ndarray, window: int, gram: int, most: int = MOST):
@@ -227,7 +226,7 @@ def repeated_windows(segments: list[bytes], windows: list[int], widths: tuple[in
     ids = np.unique(span_hashes(prefix_sums(raw), at, at + symbol), return_inverse=True)[1]
     lengths = np.diff(begins)
     bound = np.flatnonzero(np.diff(begins[:-1] // shard, prepend=-1))  # first segments of the shards
-    merged, shared, places = Transform(*(np.zeros(0, np.int64),) * 2, 0), np.ones(0, np.int16), []
+    built, places = [], []
     for a, b in zip(bound, np.append(bound[1:], len(segments))):
         # each segment is `symbol` strings, one a phase: every symbol-th place of it, and an end
         count = lengths[a:b] - symbol + 1
@@ -239,8 +238,15 @@ def repeated_windows(segments: list[bytes], windows: list[int], widths: tuple[in
         step = np.arange(done[-1]) - np.repeat(done - size, size)
         place = np.repeat(begins[owner] + phase, size) + step * symbol
         place[done - 1] = -1
-        merged, shared = merge(merged, build(np.where(place < 0, -1, ids[place]), depth), depth)
+        built.append(build(np.where(place < 0, -1, ids[place]), depth))
         places.append(place)
+    if len(built) == 1:  # common prefixes come from a merge
+        built.insert(0, Transform(*(np.zeros(0, np.int64),) * 2, 0))
+    while len(built) > 1:  # neighbours merge, so that each symbol is merged as often as the shards can be halved
+        pairs = [merge(*built[k : k + 2], depth) for k in range(0, len(built) - 1, 2)]
+        shared = pairs[0][1]
+        built = [t for t, _ in pairs] + built[len(built) - len(built) % 2 :]
+    merged = built[0]
     place = np.concatenate(places)[merged.origin]
     starts = np.zeros(len(raw) + 1, bool)
     for begin, n in zip(begins, windows):
@@ -320,8 +326,8 @@ def _hot_runs(hot: DataFrame, widths: tuple[int, int]) -> DataFrame:
     return again.select("anchor", "segment", F.transform("at", lambda x: F.struct(x["part"].alias("part"), x["at"].alias("from"), (x["at"] + 1).alias("to"))).alias("runs"))
 
 
-_CUT = pa.schema([("anchor", pa.int64()), ("segment", pa.int64()), ("n", pa.int64()), ("low", pa.int64()), ("high", pa.int64()), ("windows", pa.int32()), ("length", pa.int32()), ("body", pa.binary())])
-_CUT_SQL = "anchor long, segment long, n long, low long, high long, windows int, length int, body binary"
+_CUT = pa.schema([("anchor", pa.int64()), ("segment", pa.int64()), ("crowd", pa.int64()), ("low", pa.int64()), ("high", pa.int64()), ("windows", pa.int32()), ("length", pa.int32()), ("body", pa.binary())])
+_CUT_SQL = "anchor long, segment long, crowd long, low long, high long, windows int, length int, body binary"
 
 
 def _cut_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -389,10 +395,11 @@ def _texts(docs: DataFrame) -> DataFrame:
     return given.withColumn("text", F.substring(F.unhex("whole"), 1, 16))
 
 
-def repeated_runs(docs: DataFrame, width: int = WIDTH, passage: int = PASSAGE, gram: int = GRAM, symbol: int = SYMBOL, bucket: int = BUCKET, hot: int = HOT) -> DataFrame:
+def repeated_runs(docs: DataFrame, width: int = WIDTH, passage: int = PASSAGE, gram: int = GRAM, symbol: int = SYMBOL, bucket: int = BUCKET, hot: int | None = None) -> DataFrame:
     """text (a key of the whole text), runs: array of byte ranges (part, from, to), which may overlap.
 
     part 0: bytes that repeats of `width` bytes cover; part 1: bytes that repeats of `passage` bytes in other documents cover.
+    hot: bytes of distinct segments with which an anchor shares a bucket with others, a bucket's at most if not given.
     """
     if width % symbol or passage % symbol or not 0 < gram <= passage <= width:
         raise ValueError("width and passage must be multiples of symbol, and gram at most passage")
@@ -401,18 +408,19 @@ def repeated_runs(docs: DataFrame, width: int = WIDTH, passage: int = PASSAGE, g
     segments = materialize(segments, "suffix-segments")
     place, owner = F.struct("text", "first", "windows", "length"), F.xxhash64("text")
     distinct = segments.groupBy("anchor", "segment").agg(F.count(F.lit(1)).alias("places"), F.min(place).alias("place"), F.min(owner).alias("low"), F.max(owner).alias("high"), F.bool_or("inner").alias("inner"))
-    crowds = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    distinct = distinct.join(crowds, "anchor", "left").withColumn("n", F.coalesce("n", F.lit(1).cast("long"))).filter("n > 1 or places > 1 or inner")
-    distinct = materialize(distinct.select("anchor", "segment", "places", "n", "low", "high", "inner", "place.*"), "suffix-distinct")
+    crowds = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.sum("place.length").alias("crowd")).filter("n > 1")
+    distinct = distinct.join(crowds, "anchor", "left").withColumns({"n": F.coalesce("n", F.lit(1).cast("long")), "crowd": F.coalesce("crowd", F.lit(0).cast("long"))}).filter("n > 1 or places > 1 or inner")
+    distinct = materialize(distinct.select("anchor", "segment", "places", "n", "crowd", "low", "high", "inner", "place.*"), "suffix-distinct")
     shared = distinct.filter("n > 1 or inner")
     cuts = shared.groupBy("text").agg(F.collect_list(F.struct("first", *_CUT.names[:-1])).alias("cuts"))
     bodies = docs.select("text").mapInArrow(_distinct_rows, "text binary, body binary")
     cut = bodies.join(cuts.hint("shuffle_hash"), "text").mapInArrow(_cut_rows, _CUT_SQL).dropDuplicates(["anchor", "segment"])
     cut = materialize(cut, "suffix-cut")
     buckets = max(1, -(-(cut.agg(F.sum("length")).first()[0] or 0) // bucket))
-    dealt = cut.filter(F.col("n") <= hot).withColumn("bucket", F.pmod(F.xxhash64("anchor"), F.lit(buckets)))
+    hot = bucket if hot is None else hot
+    dealt = cut.filter(F.col("crowd") <= hot).withColumn("bucket", F.pmod(F.xxhash64("anchor"), F.lit(buckets)))
     runs = dealt.groupBy("bucket").applyInArrow(_bucket_rows(widths, symbol, max(width, bucket // 2)), _RUNS_SQL)
-    runs = runs.union(_hot_runs(cut.filter(F.col("n") > hot), widths))
+    runs = runs.union(_hot_runs(cut.filter(F.col("crowd") > hot), widths))
     zero = F.lit(0)
     whole = F.array(
         F.struct(zero.alias("part"), zero.alias("from"), F.least("windows", F.col("length") - (width - 1)).alias("to")),
