@@ -9,12 +9,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .. import schemas
+from .. import schemas, tables
 from ..functions import symbols as S
 from ..functions import text as X
 from ..operators import ignore, lookup, merge
-from ..sources import dialects, facts, readers, references, signatures
-from ..streaming import debounce, refresh
+from ..sources import dialects, facts, index, readers, references, signatures
+from ..streaming import bucketed, debounce, refresh
 from .base import query, table
 
 RANGE = ("start_line", "start_char", "end_line", "end_char")
@@ -557,6 +557,45 @@ def workspace_then_dependency(spark, sf_dir):
     return lookup.first_of(orders.select(F.col("o_orderkey").alias("query_id"), F.col("o_custkey").alias("symbol")), own, lib).select("query_id", "found")
 
 
+# Stored tables ------------------------------------------------------------------------------------
+
+
+def stored_parts(spark, sf_dir) -> index.Index:
+    """An index of a definition for each part, by brand and number, written and read again."""
+    symbol = text("shop/", F.col("p_brand"), "/P", F.col("p_partkey"), "#")
+    rows = table(spark, sf_dir, "part").select(symbol.alias("symbol"), text("P", F.col("p_partkey")).alias("short_name"), F.lit(True).alias("is_type"), *[F.lit(k).alias(c) for k, c in enumerate(RANGE)], F.col("p_name").alias("path"))
+    path = tables.new_folder(spark, "index")
+    index.store(rows, path, 16)
+    return index.Index(spark, path)
+
+
+@query("SELECT o_orderkey AS query_id, 'shop/' || p_brand || '/P' || p_partkey || '#' AS symbol, p_name AS path FROM orders JOIN part ON p_partkey = o_custkey WHERE o_orderkey % 7 < 3 AND p_brand = 'Brand#' || (11 + o_orderkey % 7)")
+def stored_lookup(spark, sf_dir):
+    k = F.col("o_orderkey") % 7
+    asked = table(spark, sf_dir, "orders").filter(k < 3).select(F.col("o_orderkey").alias("query_id"), text("shop/Brand#", 11 + k, "/P", F.col("o_custkey"), "#").alias("symbol"))
+    return stored_parts(spark, sf_dir).lookup(asked).select("query_id", "symbol", "path")
+
+
+@query("""WITH asked AS (SELECT DISTINCT p_brand || '/P' || (p_partkey % 40) AS query_id, 'shop/' || p_brand || '/P' || (p_partkey % 40) AS prefix FROM part), held AS (SELECT 'shop/' || p_brand || '/P' || p_partkey || '#' AS symbol FROM part)
+SELECT * FROM (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY symbol) AS INTEGER) AS rank, symbol FROM asked JOIN held ON starts_with(symbol, prefix)) WHERE rank <= 32""")
+def stored_prefixes(spark, sf_dir):
+    name = text(F.col("p_brand"), "/P", F.col("p_partkey") % 40)
+    asked = table(spark, sf_dir, "part").select(name.alias("query_id")).distinct().withColumn("prefix", F.concat(F.lit("shop/"), "query_id"))
+    return stored_parts(spark, sf_dir).prefix_scans(asked)
+
+
+@query("""WITH last AS (SELECT o_custkey AS k, arg_max(o_orderstatus, {'d': o_orderdate, 'o': o_orderkey}) AS status, arg_max(o_orderkey, {'d': o_orderdate, 'o': o_orderkey}) AS o FROM orders WHERE o_orderkey % 11 = 0 GROUP BY o_custkey)
+SELECT coalesce(c_custkey, k) AS k, CASE WHEN k IS NULL THEN 'shop/' || c_mktsegment || '#' ELSE 'shop/O' || o || '#' END AS symbol FROM customer FULL JOIN last ON k = c_custkey WHERE k IS NULL OR status <> 'F'""")
+def bucketed_changes(spark, sf_dir):
+    rows = table(spark, sf_dir, "customer").select(text("shop/", F.col("c_mktsegment"), "#").alias("symbol"), F.col("c_custkey").cast("string").alias("path"))
+    held = bucketed.Bucketed(spark, tables.new_folder(spark, "bucketed"), "symbol string, path string", 16)
+    held.fill(rows)
+    kind = F.when(F.col("o_orderstatus") == "F", "delete").otherwise("change")
+    events = table(spark, sf_dir, "orders").filter("o_orderkey % 11 = 0").select(F.col("o_custkey").cast("string").alias("path"), kind.alias("kind"), F.col("o_orderkey").cast("string").alias("content"), F.unix_micros(F.col("o_orderdate").cast("timestamp")).alias("ts"), F.col("o_orderkey").alias("seq"))
+    held.upsert(events, lambda sources: sources.select(text("shop/O", F.col("content"), "#").alias("symbol"), "path"), 0)
+    return held.read().select(F.col("path").cast("long").alias("k"), "symbol")
+
+
 # Facts ------------------------------------------------------------------------------------------
 
 

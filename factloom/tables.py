@@ -29,11 +29,17 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that goes when the process ends."""
+    path = f"{shared_folder(spark)}/factloom-{name}-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet to the shared folder; the table read back."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/factloom-{name}-{uuid.uuid4().hex}"
-    _written.append((spark, path))
+    path = new_folder(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
