@@ -531,6 +531,18 @@ def goto_definition(spark, sf_dir):
     return lookup.goto(cursors, references.occurrences(found, definitions), references.local_definitions(found), definitions)
 
 
+@query("""SELECT 2 * s_suppkey + u AS query_id, 'D' || s_suppkey AS path FROM supplier, unnest([1]) AS t(u) UNION ALL SELECT 2 * s_suppkey + u, 'E' || s_suppkey FROM supplier, unnest([0, 1]) AS t(u) WHERE s_nationkey % 5 < 2""")
+def goto_elsewhere(spark, sf_dir):
+    """Cursors on a definition and on a use: neither the definition stood on is found, nor one without a place."""
+    rows, k = table(spark, sf_dir, "supplier"), F.col("s_suppkey")
+    place = lambda line, end: [F.lit(x).alias(c) for x, c in zip((line, 0, line, end), RANGE)]
+    symbol = text("p/S", k, "#").alias("symbol")
+    declared = rows.select(symbol, text("D", k).alias("path"), *place(1, 5)).union(rows.filter("s_nationkey % 5 < 2").select(symbol, text("E", k), *place(3, 1))).union(rows.filter("s_nationkey % 3 = 0").select(symbol, text("Z", k), *place(0, 0)))
+    uses = rows.select(text("D", k).alias("path"), symbol, *place(1, 5)).union(rows.select(text("U", k), symbol, *place(2, 5)))
+    cursors = rows.select((2 * k).alias("query_id"), text("D", k).alias("path"), F.lit(1).alias("line"), F.lit(2).alias("ch")).union(rows.select(2 * k + 1, text("U", k), F.lit(2), F.lit(3)))
+    return lookup.goto(cursors, uses, uses.filter("false"), declared).select("query_id", "path")
+
+
 @query("SELECT p_partkey AS query_id, 'shop/b' || (p_size % 5) || '/T' || p_partkey || CASE WHEN p_size % 2 = 0 THEN '#' ELSE '#size.' END AS symbol FROM part WHERE p_size % 4 <> 3")
 def declaration_at_range(spark, sf_dir):
     name = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("T"), "p_partkey")).otherwise("size")
@@ -710,6 +722,15 @@ def archive_packages(spark, sf_dir):
     return found.select("archive", F.array_join("packages", ",").alias("packages"))
 
 
+@query("""WITH brands AS (SELECT replace(p_brand, '#', '_') AS b, replace(p_type, ' ', '_') AS t FROM part)
+SELECT '/c/' || b || '-1.0-sources.jar' AS archive, array_to_string(list_sort(list_distinct(list(CASE WHEN CAST(right(b, 1) AS INTEGER) % 2 = 1 THEN 'made.' ELSE 'shop.' END || t))), ',') AS packages FROM brands GROUP BY b""")
+def sibling_packages(spark, sf_dir):
+    """Archives whose classes stand in other packages than their sources."""
+    sources, made = part_entries(spark, sf_dir, ".java"), part_entries(spark, sf_dir, ".class").withColumn("entry", F.replace("entry", F.lit("shop/"), F.lit("made/")))
+    found = readers.archive_packages(sources.select("archive").distinct(), readers.class_packages(made), readers.source_packages(sources))
+    return found.select("archive", F.array_join("packages", ",").alias("packages"))
+
+
 @query("SELECT 'S' || s_suppkey AS path, CASE s_nationkey % 3 WHEN 0 THEN 'com.n' || s_nationkey WHEN 1 THEN NULL ELSE 'own' END AS \"group\" FROM supplier")
 def pom_groups(spark, sf_dir):
     n = F.col("s_nationkey")
