@@ -608,6 +608,18 @@ def bucketed_changes(spark, sf_dir):
     return held.read().select(F.col("path").cast("long").alias("k"), "symbol")
 
 
+@query("""WITH e AS (SELECT o_custkey AS k, o_orderkey % 5 AS kind, CASE WHEN o_orderkey % 3 > 0 THEN o_orderkey END AS content, o_orderkey AS o FROM orders),
+ ends AS (SELECT k, max(o) AS o, arg_max(kind, o) AS kind FROM e WHERE kind > 2 GROUP BY k), opens AS (SELECT e.k, min(e.o) AS o FROM e LEFT JOIN ends USING (k) WHERE e.kind = 0 AND (ends.o IS NULL OR e.o > ends.o) GROUP BY e.k),
+ typed AS (SELECT e.k, arg_max(e.content, e.o) AS content FROM e JOIN opens p ON p.k = e.k AND e.o >= p.o WHERE e.kind < 3 AND e.content IS NOT NULL GROUP BY e.k), kept AS (SELECT c_custkey AS k, c_mktsegment AS content FROM customer WHERE c_custkey NOT IN (SELECT k FROM ends WHERE kind = 4))
+SELECT k, coalesce(CAST(typed.content AS VARCHAR), kept.content) AS content, opens.o IS NOT NULL AS is_open FROM (SELECT k FROM kept UNION SELECT k FROM opens) LEFT JOIN kept USING (k) LEFT JOIN opens USING (k) LEFT JOIN typed USING (k)""")
+def unsaved_buffers(spark, sf_dir):
+    o = F.col("o_orderkey")
+    kind = F.element_at(F.array(*map(F.lit, ("open", "change", "change", "close", "delete"))), (o % 5 + 1).cast("int"))
+    events = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("path"), kind.alias("kind"), F.when(o % 3 > 0, o.cast("string")).alias("content"), F.lit(0).alias("ts"), o.alias("seq"))
+    stored = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("path"), F.col("c_mktsegment").alias("content"))
+    return refresh.with_buffers(stored, events).withColumnRenamed("path", "k")
+
+
 # Facts ------------------------------------------------------------------------------------------
 
 

@@ -145,6 +145,25 @@ class _Pending(Keyed):
         return [] if event[self.failed] else [(int(event[self.at]), asked, at) for asked, at in first.items()]
 
 
+class _Buffers(Keyed):
+    """What a file shows after each event: its typed text while it is open."""
+
+    state = "is_open boolean, typed string, gone boolean"
+
+    def __init__(self):
+        super().__init__("path", "ts", ["ts", "seq", "is_open", "typed", "gone"], "seq")
+
+    def step(self, event):
+        is_open, typed, gone = self.held.get() if self.held.exists() else (False, None, False)
+        kind, content = event["kind"], event["content"]
+        if kind in ("close", "delete"):
+            is_open, typed, gone = False, None, kind == "delete"
+        elif kind == "open" or is_open:
+            is_open, typed = True, typed if content is None else content
+        self.held.update((is_open, typed, gone))
+        return [(int(event["ts"]), int(event["seq"]), is_open, typed, gone)]
+
+
 def _run(events: DataFrame, key: str, processor: Keyed, fields: str, timers: str = "None") -> DataFrame:
     kind = dict(events.dtypes)[key]
     return events.groupBy(key).transformWithStateInPandas(processor, f"`{key}` {kind}, {fields}", "Append", timers)
@@ -175,3 +194,17 @@ def pending(requests: DataFrame, drains: DataFrame, connection: str, key: str, a
     asked = requests.select(connection, F.col(key).cast("string").alias(key), F.col(at).cast("long").alias(at), F.lit(False).alias("is_drain"), F.lit(False).alias(failed))
     done = drains.select(connection, F.lit(None).cast("string").alias(key), F.col(at).cast("long").alias(at), F.lit(True).alias("is_drain"), failed)
     return _run(asked.union(done), connection, _Pending(connection, key, at, failed), f"drained_at long, `{key}` string, first_at long")
+
+
+def buffers(events: DataFrame) -> DataFrame:
+    """What `refresh.with_buffers` knows of each path after each event of a stream: is_open, typed (null: nothing yet), gone."""
+    return _run(events, "path", _Buffers(), "ts long, seq long, is_open boolean, typed string, gone boolean")
+
+
+def shown(stored: DataFrame, states: DataFrame) -> DataFrame:
+    """path, content, is_open: stored texts (path, content) under the last states that `buffers` gave."""
+    last = states.groupBy("path").agg(F.max(F.struct("ts", "seq", "is_open", "typed", "gone")).alias("s")).select("path", "s.*")
+    both = stored.select("path", F.col("content").alias("_stored"), F.lit(True).alias("_there")).join(last, "path", "full")
+    kept = F.coalesce("_there", F.lit(False)) & ~F.coalesce("gone", F.lit(False))
+    is_open = F.coalesce("is_open", F.lit(False))
+    return both.filter(is_open | kept).select("path", F.coalesce("typed", F.when(kept, F.col("_stored"))).alias("content"), is_open.alias("is_open"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.merge import last_write, replace_paths
@@ -21,6 +21,28 @@ def of_open_files(rows: DataFrame, events: DataFrame) -> DataFrame:
     return rows.join(open_paths(events).filter("is_open"), "path", "left_semi")
 
 
+def with_buffers(stored: DataFrame, events: DataFrame) -> DataFrame:
+    """path, content, is_open after all events: of an open file what was typed last since it was opened, else what is stored.
+
+    stored: path, content; events: path, kind (open, change, close, delete), content, ts, seq. Changes
+    count while a file is open; one opened without a text shows the stored one; a deleted one is gone.
+    """
+    at, path = F.struct("ts", "seq"), Window.partitionBy("path")
+    ended = events.withColumn("_at", at).withColumn("_end", F.max(F.when(F.col("kind").isin("close", "delete"), at)).over(path))
+    since = F.col("_end").isNull() | (F.col("_at") > F.col("_end"))
+    opened = ended.withColumn("_open", F.min(F.when((F.col("kind") == "open") & since, F.col("_at"))).over(path))
+    typed = F.col("kind").isin("open", "change") & F.col("content").isNotNull() & (F.col("_at") >= F.col("_open"))
+    state = opened.groupBy("path").agg(
+        F.max(F.when(typed, F.struct("_at", "content")))["content"].alias("_typed"),
+        F.max("_open").isNotNull().alias("_is_open"),
+        (F.max(F.when(F.col("kind").isin("close", "delete"), F.struct("_at", "kind")))["kind"] == "delete").alias("_gone"),
+    )
+    both = stored.select("path", F.col("content").alias("_stored"), F.lit(True).alias("_there")).join(state, "path", "full")
+    is_open = F.coalesce("_is_open", F.lit(False))
+    kept = F.coalesce("_there", F.lit(False)) & ~F.coalesce("_gone", F.lit(False))
+    return both.filter(is_open | kept).select("path", F.coalesce("_typed", F.when(kept, F.col("_stored"))).alias("content"), is_open.alias("is_open"))
+
+
 def apply_changes(table: DataFrame, events: DataFrame, extract: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """table after the events: changed and created paths extracted anew, deleted ones gone.
 

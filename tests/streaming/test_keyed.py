@@ -5,7 +5,7 @@ import time
 
 import pytest
 
-from factloom.streaming import debounce, keyed
+from factloom.streaming import debounce, keyed, refresh
 
 
 @pytest.fixture(autouse=True)
@@ -94,3 +94,28 @@ def test_pending(spark, tmp_path):
     want = rows(debounce.pending(*split(spark.createDataFrame(data, schema)), "conn", "target", "at", "failed"))
     got = streamed(spark, tmp_path, data, schema, lambda s: keyed.pending(*split(s), "conn", "target", "at", "failed").select("conn", "drained_at", "target", "first_at"))
     assert got == want and len(want) > 5
+
+
+def test_buffers(spark, tmp_path):
+    rng = random.Random(6)
+    data = [(rng.choice("abcdefgh"), rng.choice(["open", "change", "change", "close", "delete"]), rng.choice([None, f"text {t}"]), t // 3, t) for t in range(90)]
+    schema = "path string, kind string, content string, ts long, seq long"
+    stored = spark.createDataFrame([(p, f"stored {p}") for p in "abcdxy"], "path string, content string")
+    states = streamed(spark, tmp_path, data, schema, keyed.buffers)
+    for n in (10, 50, 90):  # after some events, and after all
+        events = spark.createDataFrame(data[:n], schema)
+        some = spark.createDataFrame([s for s in states if s[2] < n], "path string, ts long, seq long, is_open boolean, typed string, gone boolean")
+        want = {}
+        for path, kind, content, _, _ in data[:n]:
+            is_open, typed, gone = want.get(path, (False, None, False))
+            if kind in ("close", "delete"):
+                want[path] = (False, None, kind == "delete")
+            elif kind == "open" or is_open:
+                want[path] = (True, typed if content is None else content, gone)
+        plain = []
+        for path in "abcdefghxy":
+            is_open, typed, gone = want.get(path, (False, None, False))
+            there = path in "abcdxy" and not gone
+            if is_open or there:
+                plain.append((path, typed if typed is not None else f"stored {path}" if there else None, is_open))
+        assert rows(refresh.with_buffers(stored, events)) == sorted(plain, key=str) == rows(keyed.shown(stored, some))
