@@ -31,9 +31,10 @@ def streamed(spark, tmp_path, data, schema, form, wait=()):
             query = form(stream).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/check").start()
             try:
                 if wait:  # with timers, a query is never done
-                    end = time.time() + (15 if k == 3 else 4)
-                    while time.time() < end and not (k == 3 and reached(spark, tmp_path, wait)):
+                    end, read = time.time() + 90, 0
+                    while time.time() < end and not (read and (k < 3 or reached(spark, tmp_path, wait))):
                         time.sleep(0.5)
+                        read = sum(p.numInputRows for p in query.recentProgress)
                 else:
                     query.processAllAvailable()
             finally:
