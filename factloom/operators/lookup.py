@@ -19,6 +19,15 @@ OVERLOADS = 9
 CELLS = (64, 8192)
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """df for a join that moves both sides by key.
+
+    Spark guesses the size of composed columns by that of the file they come from, which is far too
+    small: a table as long as the input would be broadcast through the driver.
+    """
+    return df.hint("merge")
+
+
 def contains(line, ch) -> Column:
     """Whether (line, ch) lies in the row's half-open range."""
     after = (F.col("start_line") < line) | ((F.col("start_line") == line) & (F.col("start_char") <= ch))
@@ -234,7 +243,7 @@ def resolve_uris(facts: DataFrame, files: DataFrame, root: str, stop: str) -> Da
     climb = F.transform(folders, lambda a: F.struct((-a["depth"]).alias("rank"), a["prefix"].alias("folder")))
     nowhere = F.struct(F.lit(-1_000_000).alias("rank"), F.lit(root).alias("folder"))
     tried = facts.filter("uri <> ''").select("facts_path", F.regexp_replace("uri", "^/", "").alias("_uri"), F.inline(F.array_append(climb, nowhere)))
-    hits = tried.select("facts_path", "rank", F.concat_ws("/", "folder", "_uri").alias("path")).join(files.select("path").distinct(), "path")
+    hits = tried.select("facts_path", "rank", F.concat_ws("/", "folder", "_uri").alias("path")).join(shuffled(files.select("path")), "path", "left_semi")
     return hits.groupBy("facts_path").agg(F.min_by("path", "rank").alias("path"))
 
 
