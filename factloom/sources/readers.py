@@ -157,7 +157,7 @@ def pair_by_convention(sources: DataFrame, facts: DataFrame, source_root: str, f
     relative = F.substring(F.col("path"), len(source_root) + 2, 1 << 30)
     wanted = sources.filter(F.col("path").startswith(source_root + "/")).select("path", F.concat(F.lit(f"{facts_root}/META-INF/semanticdb/"), relative, F.lit(".semanticdb")).alias("facts_path"))
     named = lookup.resolve_uris(facts, sources, source_root, stop).select("facts_path", F.col("path").alias("_named"))
-    return wanted.join(named, "facts_path").filter("path = _named").select("path", "facts_path")
+    return wanted.join(lookup.shuffled(named), "facts_path").filter("path = _named").select("path", "facts_path")
 
 
 def last_pairing(pairs: DataFrame) -> DataFrame:

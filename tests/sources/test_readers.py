@@ -136,3 +136,11 @@ def test_uris_resolve_from_the_root_then_upwards(spark):
 def test_dumps_are_in_order(spark):
     table = spark.createDataFrame([("p/B#", "B", True, 1, 2, 1, 3, "f"), ("p/A#", "A", True, 0, 6, 0, 7, "f")], schemas.DEFINITIONS)
     assert [r.line for r in readers.dump_symbols(table).collect()] == ["p/A# 0:6-0:7 f", "p/B# 1:2-1:3 f"]
+
+
+def test_pairs_by_convention_broadcast_nothing(spark):
+    sources = spark.range(9).selectExpr("concat('/w/F', id) as path")
+    facts = spark.range(9).selectExpr("concat('/f/META-INF/semanticdb/F', id, '.semanticdb') as facts_path", "concat('F', id) as uri")
+    found = readers.pair_by_convention(sources, facts, "/w", "/f", "/f")
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.count() == 9
