@@ -323,7 +323,17 @@ def _hot_runs(hot: DataFrame, widths: tuple[int, int]) -> DataFrame:
     twice = windows.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
     twice = materialize(twice.filter("if(part = 0, n > 1, low <> high)").select(*key), "suffix-hot")  # written, so that a window in very many segments splits in the join
     again = windows.select("anchor", "segment", *key, "at").join(twice, key).groupBy("anchor", "segment").agg(F.collect_set(F.struct("part", "at")).alias("at"))  # at most a segment's windows
-    return again.select("anchor", "segment", F.transform("at", lambda x: F.struct(x["part"].alias("part"), x["at"].alias("from"), (x["at"] + 1).alias("to"))).alias("runs"))
+    return again.mapInArrow(_window_runs, _RUNS_SQL)
+
+
+def _window_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Windows of segments as runs of consecutive ones."""
+    for batch in batches:
+        rows = []
+        for windows in batch.column("at").to_pylist():
+            starts = [sorted(w["at"] for w in windows if w["part"] == part) for part in (0, 1)]
+            rows.append([{"part": part, "from": a, "to": b} for part, s in enumerate(starts) for a, b in united([(x, x + 1) for x in s])])
+        yield pa.RecordBatch.from_arrays([batch.column("anchor"), batch.column("segment"), pa.array(rows, _RUNS.field("runs").type)], schema=_RUNS)
 
 
 _CUT = pa.schema([("anchor", pa.int64()), ("segment", pa.int64()), ("crowd", pa.int64()), ("low", pa.int64()), ("high", pa.int64()), ("windows", pa.int32()), ("length", pa.int32()), ("body", pa.binary())])
@@ -432,14 +442,14 @@ def repeated_runs(docs: DataFrame, width: int = WIDTH, passage: int = PASSAGE, g
     drop(spark, cut)
     # both sides are plain exchanges here, so a segment that stands very often is split as a skewed join
     placed = segments.join(runs, ["anchor", "segment"])
-    reach = F.when(F.col("run.part") == 0, width - 1).otherwise(passage - 1)
-    placed = placed.select("text", "first", F.explode("runs").alias("run"))
-    placed = placed.select("text", F.struct("run.part", (F.col("first") + F.col("run.from")).alias("from"), (F.col("first") + F.col("run.to") + reach).alias("to")).alias("run"))
+    reach = lambda run: F.when(run["part"] == 0, width - 1).otherwise(passage - 1)
+    moved = F.transform("runs", lambda r: F.struct(r["part"].alias("part"), (F.col("first") + r["from"]).alias("from"), (F.col("first") + r["to"] + reach(r)).alias("to")))
+    placed = placed.select("text", moved.alias("runs"))  # a segment's runs stay one row
     # texts that stand on several rows are repeats from end to end
     copies = _texts(docs).groupBy("text").agg(F.count(F.lit(1)).alias("n"), F.max("n_bytes").cast("int").alias("to")).filter("n > 1 and to > 0")
-    copied = copies.select("text", F.explode(F.array(*[F.struct(F.lit(p).alias("part"), F.lit(0).alias("from"), "to") for p in (0, 1)])).alias("run"))
-    copied = copied.filter(f"run.part = 1 or run.to >= {width}")
-    found = materialize(placed.union(copied).groupBy("text").agg(F.collect_set("run").alias("runs")), "suffix-texts")
+    both = F.array(*[F.struct(F.lit(p).alias("part"), F.lit(0).alias("from"), "to") for p in (0, 1)])
+    copied = copies.select("text", F.filter(both, lambda r: (r["part"] == 1) | (r["to"] >= width)).alias("runs"))
+    found = materialize(placed.union(copied).groupBy("text").agg(F.array_distinct(F.flatten(F.collect_set("runs"))).alias("runs")), "suffix-texts")
     drop(spark, segments)
     drop(spark, runs)
     return found

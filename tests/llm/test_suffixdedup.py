@@ -153,3 +153,15 @@ def test_words_that_lie_whole_in_a_range():
         a, b = sorted((rng.randint(0, len(body)), rng.randint(0, len(body))))
         want = sum(a <= m.start() and m.end() <= b for m in re.finditer(rb"[^\x20\x09-\x0D]+", body))
         assert S.whole_words(body, a, b) == want, (body, a, b)
+
+
+def test_a_crowded_passage_is_one_run_of_each_text(spark):
+    """Windows of anchors that take the exact path stay runs: rows do not grow with what a group's windows number."""
+    passage = "".join(chr(97 + (k * k * 7 + k // 3) % 26) for k in range(900))
+    docs = spark.createDataFrame([(k, f"{k} begins {passage} and {k} ends") for k in range(4)], "doc_id long, text string")
+    runs = [r.runs for r in S.repeated_runs(docs, hot=0).collect()]
+    assert len(runs) == 4
+    for part in (0, 1):
+        own = [sorted((x["from"], x["to"]) for x in r if x["part"] == part) for r in runs]
+        assert all(S.united(r) == [(1, 1 + len(" begins ") + len(passage) + len(" and "))] for r in own)
+    assert max(len(r) for r in runs) < 200  # a run for each window would be over 1,000
