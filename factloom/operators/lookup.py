@@ -161,7 +161,7 @@ def first_overload(definitions: DataFrame, most: int = OVERLOADS) -> DataFrame:
 def by_owner_and_name(wanted: DataFrame, definitions: DataFrame) -> DataFrame:
     """wanted (query_id, owner, short_name) with the symbols of that owner and name."""
     keyed = definitions.select(S.owner_prefix("symbol").alias("owner"), "short_name", "symbol")
-    return wanted.join(keyed, ["owner", "short_name"])
+    return wanted.join(shuffled(keyed), ["owner", "short_name"])
 
 
 def wrapped_member(wanted: DataFrame, definitions: DataFrame) -> DataFrame:
