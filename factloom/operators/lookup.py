@@ -109,8 +109,15 @@ def first_candidate(wanted: DataFrame, bridge: DataFrame, definitions: DataFrame
     wanted: query_id, target_id, symbol, package; bridge: target_id, ord, fingerprint, packages
     (null: unknown, so never skipped); definitions: fingerprint, symbol, path.
     """
-    held = wanted.join(definitions.select("symbol", "fingerprint", "path"), "symbol")  # few archives define a symbol; a classpath has very many
-    hits = held.join(bridge, ["target_id", "fingerprint"]).filter(F.col("packages").isNull() | F.array_contains("packages", F.col("package")))
+    held = definitions.select("symbol", "fingerprint", "path")
+    open_to = F.col("packages").isNull() | F.array_contains("packages", F.col("package"))
+    place = ["query_id", "ord", "fingerprint", "path"]
+    # a symbol may be defined in many archives, a classpath may have many: each question takes the shorter list
+    sized = wanted.join(held.groupBy("symbol").agg(F.count(F.lit(1)).alias("_archives")), "symbol")
+    sized = sized.join(bridge.groupBy("target_id").agg(F.count(F.lit(1)).alias("_length")), "target_id")
+    rare = sized.filter("_archives <= _length").join(held, "symbol").join(bridge, ["target_id", "fingerprint"]).filter(open_to).select(place)
+    common = sized.filter("_archives > _length").join(bridge, "target_id").filter(open_to).select("query_id", "symbol", "ord", "fingerprint")
+    hits = rare.union(common.join(held, ["symbol", "fingerprint"]).select(place))
     return hits.groupBy("query_id").agg(F.min(F.struct("ord", "fingerprint", "path")).alias("hit")).select("query_id", "hit.ord", "hit.fingerprint", "hit.path")
 
 

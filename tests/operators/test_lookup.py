@@ -161,3 +161,14 @@ def test_questions_of_many_candidates_meet_each_candidate_once(spark, tmp_path):
     listed = plan(found)
     assert "HashAggregate(keys=[p_brand" in listed
     assert rows(found.select("query_id", "symbol")) == rows(parts.filter("p_size >= 0").selectExpr("p_partkey", "concat(p_brand, '/', p_type)"))
+
+
+def test_the_first_candidate_takes_the_shorter_list(spark):
+    """A symbol of very many archives is asked from short classpaths, and one of few from a long one."""
+    held = spark.range(300).selectExpr("concat('f', id) as fingerprint", "'common' as symbol", "concat('p', id) as path").union(spark.createDataFrame([("f7", "rare", "r7"), ("f9", "rare", "r9")], "fingerprint string, symbol string, path string"))
+    bridge = spark.range(300).selectExpr("'long' as target_id", "cast(300 - id as int) as ord", "concat('f', id) as fingerprint", "cast(null as array<string>) as packages")
+    bridge = bridge.union(spark.createDataFrame([("short", 2, "f5", ["a"]), ("short", 1, "f6", ["b"])], bridge.schema))
+    wanted = spark.createDataFrame([(1, "long", "rare", "a"), (2, "short", "common", "a"), (3, "short", "rare", "a"), (4, "short", "common", "c"), (5, "long", "common", "z")], "query_id long, target_id string, symbol string, package string")
+    found = lookup.first_candidate(wanted, bridge, held)
+    assert rows(found) == [(1, 291, "f9", "r9"), (2, 2, "f5", "p5"), (5, 1, "f299", "p299")]
+    assert "_archives" in plan(found) and "_length" in plan(found)
