@@ -16,6 +16,8 @@ from ..operators.ignore import SOURCE_SUFFIXES
 from . import java, scala
 from .lexer import Tokens
 
+#: Definitions that a worker gathers before it hands them on.
+ROWS = 4096
 #: Bytes of an archive that one task may unpack; entries stream, so this bounds the archive alone.
 ENTRY = "archive string, entry string, content string, error string"
 
@@ -37,20 +39,24 @@ def source_files(spark: SparkSession, root: str, rules: Sequence[ignore.Rule] =
 
 def extract_definitions(sources: DataFrame) -> DataFrame:
     """Definitions of all sources (path, content); texts that are null define nothing."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in schemas.DEFINITIONS.split(", ")]
-        for batch in batches:
-            rows = []
-            for path, content in zip(batch["path"], batch["content"]):
-                file_name = path.rpartition("/")[2]
-                if content is None:
-                    continue
-                found = java.definitions(content) if file_name.endswith(".java") else scala.definitions(content, file_name)
-                rows += [(symbol, name, is_type, *at, path) for symbol, name, is_type, at in found.rows]
-            yield pd.DataFrame(rows, columns=names)
-
-    return sources.select("path", "content").mapInPandas(run, schemas.DEFINITIONS)
+    return sources.select("path", "content").mapInPandas(definition_frames, schemas.DEFINITIONS)
+
+
+def definition_frames(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Definitions of the texts, in frames of about ROWS: a batch may hold many thousand texts."""
+    names = [c.split()[0] for c in schemas.DEFINITIONS.split(", ")]
+    for batch in batches:
+        rows: list[tuple] = []
+        for path, content in zip(batch["path"], batch["content"]):
+            file_name = path.rpartition("/")[2]
+            if content is None:
+                continue
+            found = java.definitions(content) if file_name.endswith(".java") else scala.definitions(content, file_name)
+            rows += [(symbol, name, is_type, *at, path) for symbol, name, is_type, at in found.rows]
+            if len(rows) >= ROWS:
+                yield pd.DataFrame(rows, columns=names)
+                rows = []
+        yield pd.DataFrame(rows, columns=names)
 
 
 def extraction_errors(sources: DataFrame) -> DataFrame:

@@ -1,6 +1,8 @@
 import io
 import zipfile
 
+import pandas as pd
+
 from factloom import schemas
 from factloom.operators import ignore, lookup
 from factloom.sources import facts, readers
@@ -144,3 +146,9 @@ def test_pairs_by_convention_broadcast_nothing(spark):
     found = readers.pair_by_convention(sources, facts, "/w", "/f", "/f")
     assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
     assert found.count() == 9
+
+
+def test_definitions_leave_a_worker_in_small_frames():
+    texts = pd.DataFrame({"path": [f"F{k}.scala" for k in range(3000)], "content": [f"object F{k} {{ def a = 1; def b = 2; def c = 3 }}" for k in range(3000)]})
+    frames = list(readers.definition_frames(iter([texts])))
+    assert sum(map(len, frames)) == 12000 and max(map(len, frames)) <= readers.ROWS + 4
