@@ -15,6 +15,7 @@ superset).
 
 from __future__ import annotations
 
+import re
 import sys
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -47,9 +48,14 @@ ROWS = 50_000
 #: Words before the name of what has a body of members.
 OPENS = frozenset("class enum interface record".split())
 #: kind: name, call, new; segment (of an import; name: its package) and infix (a name between two operands), which are nothing if
-#: unknown; argument (symbol: its name, ref: the called one); local (a definition); result (symbol: a type that the value in `name`
+#: unknown; asked (symbol: what symbols have before their shape, uses: the candidates of the text that begin so, as `_use` packs
+#: them); argument (symbol: its name, ref: the called one); local (a definition); result (symbol: a type that the value in `name`
 #: may have); definition (name: its short name, rank: 1 for a type). of: the ref whose member a name is; name: that name in symbols.
-CANDIDATES = f"path string, ref int, kind string, rank int, symbol string, of int, name string, {schemas.RANGE}"
+#: A name in use has a rank and a symbol only where a candidate is a local.
+CANDIDATES = f"path string, ref int, kind string, rank int, symbol string, of int, name string, {schemas.RANGE}, uses array<bigint>"
+LOCAL = re.compile(r"local\d+(\+\d+)?$")
+#: What a symbol ends in, by number; the last two stand for the `apply` of an object and the constructor of a type.
+SHAPES = ("", "#", ".", "().", ".apply().", "#`<init>`().")
 # What build files see without an import, least of all.
 BUILD_WILDCARDS = ("sbt/Keys.", "sbt/")
 #: Shapes of symbols by what a name stands for, the likeliest first.
@@ -441,8 +447,8 @@ def scan(sources: DataFrame) -> DataFrame:
             for path, content in zip(batch["path"], batch["content"]):
                 if content is not None:
                     found = Scan(content, path.rpartition("/")[2]).run()
-                    rows += [(path, *row[:-1], *row[-1]) for row in found.rows]
-                    rows += [(path, -1, "definition", int(is_type), symbol, None, name, *at) for symbol, name, is_type, at in found.definitions]
+                    rows += [(path, *row) for row in _grouped(found.rows)]
+                    rows += [(path, -1, "definition", int(is_type), symbol, None, name, *at, None) for symbol, name, is_type, at in found.definitions]
                 if len(rows) >= ROWS:
                     yield _frame(rows, names)
                     rows = []
@@ -453,8 +459,49 @@ def scan(sources: DataFrame) -> DataFrame:
 
 def _frame(rows: list[tuple], names: list[str]) -> pd.DataFrame:
     frame = pd.DataFrame(rows, columns=names)
-    frame["of"] = frame["of"].astype("Int32")
-    return frame
+    return frame.astype({c: "Int32" for c in ("ref", "rank", "of", *schemas.RANGE_COLUMNS)})  # all may be null
+
+
+@lru_cache(1)
+def _standing() -> frozenset[str]:
+    return frozenset(s for _, _, _, s in defaults.symbols())
+
+
+def _use(ref: int, rank: int, shape: int) -> int:
+    return ref << 32 | rank << 3 | shape
+
+
+def _grouped(rows: list[tuple]) -> Iterator[tuple]:
+    """Rows of a scan with those of names in use as one each, and one for each beginning that their candidates have.
+
+    What follows a local or a name that stands by default is never reached, so it is left out.
+    """
+    names: dict[int, list] = {}
+    asked: dict[str, list[int]] = {}
+    closed: set[int] = set()
+    for ref, kind, rank, symbol, of, name, at in rows:
+        if kind in ("local", "result", "argument"):
+            yield (ref, kind, rank, symbol, of, name, *at, None)
+            continue
+        row = names.setdefault(ref, [ref, kind, None, None, of, name, *at, None])
+        if ref in closed:
+            continue
+        if LOCAL.match(symbol):
+            row[2:4] = rank, symbol
+            closed.add(ref)
+            continue
+        shape = 3 if symbol.endswith("().") else 2 if symbol.endswith(".") else 1 if symbol.endswith("#") else 0
+        uses = asked.setdefault(symbol[: len(symbol) - len(SHAPES[shape])], [])
+        uses.append(_use(ref, rank, shape))
+        if kind == "call" and shape == 2 and not symbol.endswith(")."):
+            uses.append(_use(ref, rank, 4))
+        elif kind == "new" and shape == 1:
+            uses.append(_use(ref, rank, 5))
+        if symbol in _standing():
+            closed.add(ref)
+    yield from map(tuple, names.values())
+    for base, uses in asked.items():
+        yield (None, "asked", None, base, None, None, None, None, None, None, uses)
 
 
 def candidates(sources: DataFrame) -> DataFrame:
@@ -508,18 +555,26 @@ def occurrences(found: DataFrame, definitions: DataFrame, packages: bool = False
 
 
 def _first_known(found: DataFrame, names: DataFrame) -> DataFrame:
-    """path, ref, kind, of, name, range, symbol: the first candidate that is known; implied: the `apply` or constructor that it brings."""
-    brings = F.when((F.col("kind") == "call") & F.col("symbol").endswith(".") & ~F.col("symbol").endswith(")."), F.concat("symbol", F.lit("apply().")))
-    brings = brings.when((F.col("kind") == "new") & F.col("symbol").endswith("#"), F.concat("symbol", F.lit("`<init>`().")))
-    keys = F.array_compact(F.array(F.struct(F.col("symbol").alias("key"), F.lit(False).alias("more")), F.when(brings.isNotNull(), F.struct(brings.alias("key"), F.lit(True).alias("more")))))
-    given = found.filter("kind not in ('local', 'result', 'argument', 'definition')").select("path", "ref", "kind", "rank", "of", "name", *schemas.RANGE_COLUMNS, F.inline(keys))
-    both = given.join(names, "key", "left")
-    known = F.coalesce("symbol", F.when(S.is_local("key"), F.col("key")))
-    hit = F.struct("rank", known.alias("symbol"))
-    best = both.groupBy("path", "ref").agg(
-        F.max(F.struct("kind", "of", "name", *schemas.RANGE_COLUMNS)).alias("at"),
-        F.min(F.when(~F.col("more") & known.isNotNull(), hit)).alias("best"),
-        F.collect_list(F.when(F.col("more") & known.isNotNull(), hit)).alias("brought"),  # at most one a candidate
+    """path, ref, kind, of, name, range, symbol: the first candidate that is known; implied: the `apply` or constructor that it brings.
+
+    Each text asks once for a beginning of symbols, and only what is known of it goes back to the names in use.
+    """
+    ends = [F.struct(F.expr(f"left(key, length(key) - {len(end)})").alias("base"), F.lit(k).alias("shape")) for k, end in enumerate(SHAPES)]
+    key = F.col("key")
+    own = F.when(key.endswith(SHAPES[3]), ends[3]).when(key.endswith(SHAPES[2]), ends[2]).when(key.endswith(SHAPES[1]), ends[1]).otherwise(ends[0])
+    brought = [F.when(key.endswith(SHAPES[k]), ends[k]) for k in (4, 5)]
+    shaped = names.select(F.col("symbol").alias("known"), F.inline(F.array_compact(F.array(own, *brought))))
+    asked = found.filter("kind = 'asked'").select("path", F.col("symbol").alias("base"), "uses")
+    alike = F.filter("uses", lambda use: use.bitwiseAND(7) == F.col("shape"))
+    hits = asked.join(lookup.shuffled(shaped), "base").select("path", F.explode(alike).alias("use"), "shape", "known")
+    place = ("kind", "of", "name", *schemas.RANGE_COLUMNS)
+    given = found.filter("kind not in ('asked', 'local', 'result', 'argument', 'definition')").select("path", "ref", "rank", F.col("symbol").alias("known"), F.lit(False).alias("more"), F.struct(*place).alias("at"))
+    hits = hits.select("path", F.shiftright("use", 32).cast("int").alias("ref"), F.shiftright("use", 3).bitwiseAND((1 << 29) - 1).cast("int").alias("rank"), "known", (F.col("shape") > 3).alias("more"), F.lit(None).cast(given.schema["at"].dataType).alias("at"))
+    hit = F.struct("rank", F.col("known").alias("symbol"))
+    best = given.union(hits).groupBy("path", "ref").agg(
+        F.max("at").alias("at"),
+        F.min(F.when(~F.col("more") & F.col("known").isNotNull(), hit)).alias("best"),
+        F.collect_list(F.when(F.col("more"), hit)).alias("brought"),  # at most one a candidate
     )
     implied = F.get(F.filter("brought", lambda x: x["rank"] == F.col("best.rank")), F.lit(0))["symbol"]
     return best.select("path", "ref", "at.*", F.col("best.symbol").alias("symbol"), implied.alias("implied"))

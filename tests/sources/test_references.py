@@ -93,3 +93,14 @@ def test_imports(spark):
     scan = references.Scan("import p.q.R;\nimport s.t.*;\nimport static u.V.w;\nimport static x.Y.*;", "X.java").run()
     assert set(scan.imports.explicit) == {"R", "w"} and "u/V#w()." in scan.imports.explicit["w"]
     assert {"s/t/", "x/Y#"} <= set(scan.imports.wildcards)
+
+
+def test_a_text_asks_once_for_a_beginning_of_symbols(spark):
+    body = "".join(f"    One v{k} = new One({k});\n    v{k}.act(one);\n" for k in range(40))
+    use = ("Use.java", "package q;\nimport p.One;\nclass Use {\n  void run(One one) {\n" + body + "  }\n}")
+    one = ("One.java", "package p;\npublic class One {\n  One(int a) {}\n  void act(One n) {}\n}")
+    frame = spark.createDataFrame([use, one], "path string, content string")
+    asked = [r.symbol for r in references.scan(frame).filter("path = 'Use.java' and kind = 'asked'").collect()]
+    assert len(asked) == len(set(asked)) and {"p/One", "p/One#act"} <= set(asked) and len(asked) < 20
+    got = [(t, s) for p, t, s in resolved(spark, use, one) if p == "Use.java"]
+    assert got.count(("One", "p/One#")) == 82 and got.count(("One", "p/One#`<init>`().")) == 40 and got.count(("act", "p/One#act().")) == 40
