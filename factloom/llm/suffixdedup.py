@@ -167,10 +167,18 @@ def build(symbols: np.ndarray, depth: int) -> Transform:
         second = np.zeros(n, np.int64)  # a prefix with an end in it is alone whatever follows
         second[: n - step] = rank[step:]
         # ranks are refined within their present order, by the rank of what follows
-        by_second = stable_order(second)
-        order = by_second[stable_order(rank[by_second])]
-        left, right = rank[order], second[order]
-        fresh = np.append(False, (left[1:] != left[:-1]) | (right[1:] != right[:-1]))
+        bits, values = n.bit_length(), int(rank.max()).bit_length()
+        if bits + 2 * values < 64:  # both ranks and the place in one plain sort
+            packed = (rank << values | second) << bits | np.arange(n)
+            packed.sort()
+            order = packed & ((1 << bits) - 1)
+            both = packed >> bits
+            fresh = np.append(False, both[1:] != both[:-1])
+        else:
+            by_second = stable_order(second)
+            order = by_second[stable_order(rank[by_second])]
+            left, right = rank[order], second[order]
+            fresh = np.append(False, (left[1:] != left[:-1]) | (right[1:] != right[:-1]))
         rank = np.empty(n, np.int64)
         rank[order] = np.cumsum(fresh)
         known += step
@@ -193,17 +201,20 @@ def merge(a: Transform, b: Transform, depth: int) -> tuple[Transform, np.ndarray
     block = np.zeros(n, np.int64)
     shared = np.full(n, depth, np.int16)
     shared[0] = 0
+    mine, other, place = (a.last + 1) << 32, (b.last + 1) << 32, np.arange(n)
     for deep in range(depth):
-        column = np.empty(n, np.int64)
-        column[~side], column[side] = a.last, b.last
-        inner = np.flatnonzero(column >= 0)
-        order = inner[stable_order(column[inner])]
-        symbol, before = column[order], block[order]
+        column = np.empty(n, np.int64)  # the symbol, ends first, and the place: one plain sort is stable
+        column[~side], column[side] = mine, other
+        column |= place
+        column.sort()
+        order = column[strings:] & 0xFFFFFFFF
+        symbol, held = column[strings:] >> 32, (block << 1 | side)[order]
+        before = held >> 1
         parts = np.ones(n, bool)
         parts[strings + 1 :] = (symbol[1:] != symbol[:-1]) | (before[1:] != before[:-1])
-        moved, new = np.concatenate([ends, side[order]]), np.cumsum(parts)
+        moved, new = np.concatenate([ends, (held & 1).astype(bool)]), np.cumsum(parts)
         shared[parts & (shared == depth)] = deep
-        settled = deep > 0 and bool((moved == side).all()) and bool((new == block).all())
+        settled = deep > 0 and new[-1] == block[-1] and bool((moved == side).all()) and bool((new == block).all())
         side, block = moved, new
         if settled:
             break
@@ -213,6 +224,19 @@ def merge(a: Transform, b: Transform, depth: int) -> tuple[Transform, np.ndarray
     return Transform(last, origin, strings), shared
 
 
+def repeated_symbols(hashes: np.ndarray, inside: np.ndarray, bits: int = 21) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, again): for places `inside`, whether their symbol stands at another such place, and for those a number of the symbol.
+
+    Few of the places that stand alone share the first bits of a hash, so only the others are sorted.
+    """
+    coarse = (hashes >> np.uint64(64 - bits)).astype(np.int64)
+    maybe = np.flatnonzero(inside & (np.bincount(coarse[inside], minlength=1 << bits) > 1)[coarse])
+    _, which, count = np.unique(hashes[maybe], return_inverse=True, return_counts=True)
+    ids, again = np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
+    ids[maybe], again[maybe] = which, count[which] > 1
+    return ids, again
+
+
 def repeated_windows(segments: list[bytes], windows: list[int], widths: tuple[int, ...] = (WIDTH, PASSAGE), symbol: int = SYMBOL, shard: int = SHARD, owners: np.ndarray | None = None) -> list[list[np.ndarray]]:
     """For each width, for each segment, which of its first `windows` places start a string of so many bytes that another place starts, too.
 
@@ -223,12 +247,26 @@ def repeated_windows(segments: list[bytes], windows: list[int], widths: tuple[in
     raw = np.frombuffer(b"".join(segments), np.uint8)
     begins = np.concatenate([[0], np.cumsum([len(s) for s in segments])]).astype(np.int64)
     at = np.arange(len(raw) - symbol + 1)
-    ids = np.unique(span_hashes(prefix_sums(raw), at, at + symbol), return_inverse=True)[1]
-    lengths = np.diff(begins)
-    bound = np.flatnonzero(np.diff(begins[:-1] // shard, prepend=-1))  # first segments of the shards
+    inside = np.ones(len(at), bool)  # places whose symbol ends in their segment
+    for end in begins[1:-1]:
+        inside[max(0, end - symbol + 1) : end] = False
+    ids, again = repeated_symbols(span_hashes(prefix_sums(raw), at, at + symbol), inside)
+    # a repeat has only repeated symbols: stretches of those, as long as the least width, are what is transformed
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], again.view(np.int8), [0]])))
+    first, lengths = edge[0::2], edge[1::2] - edge[0::2] + symbol - 1
+    first, lengths = first[lengths >= min(widths)], lengths[lengths >= min(widths)]
+    several = np.flatnonzero(owners[:, 0] != owners[:, 1]) if owners is not None else ()  # each of their windows stands in two texts
+    marks = [np.zeros(len(raw) + 1, bool) for _ in widths]
+    for k in several:
+        for width, found in zip(widths[1:], marks[1:]):
+            found[begins[k] : max(begins[k], begins[k + 1] - width + 1)] = True
+    cut = lambda: [[found[begin : begin + n] for begin, n in zip(begins, windows)] for found in marks]
+    if not len(first):
+        return cut()
+    bound = np.flatnonzero(np.diff((np.cumsum(lengths) - lengths) // shard, prepend=-1))  # first stretches of the shards
     built, places = [], []
-    for a, b in zip(bound, np.append(bound[1:], len(segments))):
-        # each segment is `symbol` strings, one a phase: every symbol-th place of it, and an end
+    for a, b in zip(bound, np.append(bound[1:], len(first))):
+        # each stretch is `symbol` strings, one a phase: every symbol-th place of it, and an end
         count = lengths[a:b] - symbol + 1
         phases = np.minimum(symbol, count)
         owner = np.repeat(np.arange(a, b), phases)
@@ -236,7 +274,7 @@ def repeated_windows(segments: list[bytes], windows: list[int], widths: tuple[in
         size = (lengths[owner] - symbol - phase) // symbol + 2
         done = np.cumsum(size)
         step = np.arange(done[-1]) - np.repeat(done - size, size)
-        place = np.repeat(begins[owner] + phase, size) + step * symbol
+        place = np.repeat(first[owner] + phase, size) + step * symbol
         place[done - 1] = -1
         built.append(build(np.where(place < 0, -1, ids[place]), depth))
         places.append(place)
@@ -254,18 +292,15 @@ def repeated_windows(segments: list[bytes], windows: list[int], widths: tuple[in
     wanted = np.flatnonzero((place >= 0) & starts[place])
     place = place[wanted]
     segment = np.searchsorted(begins, place, "right") - 1
-    out = []
     for k, width in enumerate(widths):
         interval = np.cumsum(shared < width // symbol)[wanted]
-        first = np.flatnonzero(np.append(True, interval[1:] != interval[:-1]))
-        size = np.diff(np.append(first, len(interval)))
+        opens = np.flatnonzero(np.append(True, interval[1:] != interval[:-1]))
+        size = np.diff(np.append(opens, len(interval)))
         alike = size > 1
-        if k and owners is not None:
-            alike = np.minimum.reduceat(owners[segment, 0], first) != np.maximum.reduceat(owners[segment, 1], first)
-        again = np.zeros(len(raw) + 1, bool)
-        again[place[np.repeat(alike, size)]] = True
-        out.append([again[begin : begin + n] for begin, n in zip(begins, windows)])
-    return out
+        if k and owners is not None and len(interval):
+            alike = np.minimum.reduceat(owners[segment, 0], opens) != np.maximum.reduceat(owners[segment, 1], opens)
+        marks[k][place[np.repeat(alike, size)]] = True
+    return cut()
 
 
 def spans_of(marks: np.ndarray) -> list[tuple[int, int]]:

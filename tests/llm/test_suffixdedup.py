@@ -98,6 +98,21 @@ def test_merged_transforms_find_every_repeated_window(seed):
         assert [m.tolist() for m in found[1]] == [[len(texts[s[k : k + 24]]) > 1 for k in range(w)] for s, w in zip(segments, windows)]
 
 
+def test_only_stretches_of_repeated_symbols_are_transformed(monkeypatch):
+    rng = random.Random(5)
+    word = lambda n: bytes(rng.randrange(97, 123) for _ in range(n))
+    passage = word(90)
+    segments = [word(500) + passage + word(500), word(300) + passage, word(900)]
+    windows, sizes = [len(s) - 39 for s in segments], []
+    build = S.build
+    monkeypatch.setattr(S, "build", lambda symbols, depth: sizes.append(len(symbols)) or build(symbols, depth))
+    owners = np.array([[1, 1], [2, 2], [3, 4]])  # the last segment stands in two texts
+    found = S.repeated_windows(segments, windows, (40, 24), 8, 1 << 20, owners)
+    assert [np.flatnonzero(m).tolist() for m in found[0]] == [[*range(500, 551)], [*range(300, 351)], []]
+    assert [np.flatnonzero(m).tolist() for m in found[1]] == [[*range(500, 551)], [*range(300, 351)], [*range(861)]]
+    assert sum(sizes) < 300
+
+
 def test_merge_equals_a_sort_and_gives_common_prefixes():
     rng = random.Random(1)
     strings = [[rng.randrange(3) for _ in range(rng.randint(0, 12))] for _ in range(30)]
