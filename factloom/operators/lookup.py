@@ -17,6 +17,8 @@ from ..functions import symbols as S
 OVERLOADS = 9
 #: Lines of a position's cells, by level; beyond the last, a whole file is a cell.
 CELLS = (64, 8192)
+#: Rows of a bridge, about, whose pairs a task makes.
+PART = 1 << 18
 
 
 def shuffled(df: DataFrame) -> DataFrame:
@@ -229,14 +231,19 @@ def archive_classpath(archives: DataFrame, bridge: DataFrame) -> DataFrame:
     """For each archive, itself and all archives of its targets: owning first, then by (target, ord), each once.
 
     archives: fingerprint; bridge: target_id, ord, fingerprint. Result: fingerprint, pos, member.
-    A target's archives are gathered once, with their first places, so the bridge is shuffled once.
+    A target's archives are gathered once, with their first places, so the bridge is shuffled once, in
+    parts so small that the pairs of each are united in memory. Rows without a target belong to none.
     """
-    first = bridge.groupBy("target_id", "fingerprint").agg(F.min("ord").alias("ord"))
-    per_target = first.groupBy("target_id").agg(F.collect_list(F.struct("fingerprint", "ord")).alias("members"))  # as long as a classpath
-    owners = per_target.select("target_id", "members", F.explode("members.fingerprint").alias("fingerprint")).join(archives.select("fingerprint").distinct(), "fingerprint")
-    pairs = owners.select("fingerprint", "target_id", F.explode("members").alias("m")).select("fingerprint", F.col("m.fingerprint").alias("member"), F.struct("target_id", "m.ord").alias("at"))
-    first = pairs.groupBy("fingerprint", "member").agg(F.min("at").alias("at"))
-    order = Window.partitionBy("fingerprint").orderBy((F.col("member") != F.col("fingerprint")).cast("int"), "at", "member")
+    own = archives.select("fingerprint").distinct().withColumn("own", F.lit(True))
+    parts = max(bridge.sparkSession.sparkContext.defaultParallelism, -(-bridge.count() // PART))
+    held = bridge.filter("target_id is not null").select("target_id", "ord", "fingerprint").join(own, "fingerprint", "left").repartition(parts, "target_id")
+    first = held.groupBy("target_id", "fingerprint").agg(F.min("ord").alias("ord"), F.max("own").alias("own"))
+    per_target = first.groupBy("target_id").agg(F.collect_list(F.struct("fingerprint", "ord", "own")).alias("members"))  # as long as a classpath
+    owners = per_target.select("target_id", "members", F.explode(F.filter("members", lambda m: m["own"])["fingerprint"]).alias("fingerprint"))
+    pairs = owners.select("fingerprint", "target_id", F.explode("members").alias("m")).select("fingerprint", F.col("m.fingerprint").alias("member"), "target_id", "m.ord")
+    # numbers, no struct: so the least place is kept in a table of hashes, and nothing is sorted for it
+    first = pairs.groupBy("fingerprint", "member").agg(F.min("target_id").alias("target_id"), F.min_by("ord", "target_id").alias("ord"))
+    order = Window.partitionBy("fingerprint").orderBy((F.col("member") != F.col("fingerprint")).cast("int"), "target_id", "ord", "member")
     return first.withColumn("pos", F.row_number().over(order)).select("fingerprint", "pos", "member")
 
 

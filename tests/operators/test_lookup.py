@@ -172,3 +172,12 @@ def test_the_first_candidate_takes_the_shorter_list(spark):
     found = lookup.first_candidate(wanted, bridge, held)
     assert rows(found) == [(1, 291, "f9", "r9"), (2, 2, "f5", "p5"), (5, 1, "f299", "p299")]
     assert "_archives" in plan(found) and "_length" in plan(found)
+
+
+def test_classpaths_keep_least_places_without_a_sort(spark):
+    rows = [(None, 0, 1), (None, 1, 2), (1, 0, 2), (1, 1, 1), (1, 2, 3), (1, 3, 3), (2, 0, 3), (2, 1, 4), (3, 0, 5)]
+    bridge = spark.createDataFrame(rows, "target_id long, ord int, fingerprint long")
+    found = lookup.archive_classpath(spark.createDataFrame([(1,), (1,), (3,)], "fingerprint long"), bridge)
+    assert sorted(map(tuple, found.collect())) == [(1, 1, 1), (1, 2, 2), (1, 3, 3), (3, 1, 3), (3, 2, 2), (3, 3, 1), (3, 4, 4)]
+    found = lookup.archive_classpath(spark.createDataFrame([(6,)], "fingerprint long"), spark.createDataFrame([(None, 0, 6)], "target_id long, ord int, fingerprint long"))
+    assert found.collect() == [] and "SortAggregate" not in found._jdf.queryExecution().toString()
