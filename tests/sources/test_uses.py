@@ -90,3 +90,14 @@ def test_overlong_and_broken_texts_end(spark):
             references.Scan(text, name).run()
     got = uses(spark, *[(f"{k}.scala", t) for k, t in enumerate(texts)])
     assert len(got) == len(texts)
+
+
+def test_what_an_object_or_new_brings_comes_with_the_candidate_that_is_known(spark):
+    lib = ("Lib.scala", "package lib\nclass Box(n: Int)\nobject Box { def apply(n: Int, m: Int): Box = new Box(n) }\nobject Bare")
+    use = ("Use.scala", "package app\nimport lib.{Box, Bare}\nobject Use {\n  val a = Box(1, 2)\n  val b = new Box(1)\n  val c = Bare(1)\n  def f(Box: Int) = Box\n}\n")
+    scanned = references.scan(spark.createDataFrame([lib, use], "path string, content string"))
+    asked = scanned.filter("path = 'Use.scala' and kind = 'asked' and symbol = 'lib/Box'").collect()
+    assert len(asked) == 1 and {u & 7 for u in asked[0].uses} >= {1, 2, 3, 4, 5}
+    got = uses(spark, lib, use)["Use.scala"]
+    on = lambda line: [s for i, t, s in got if i == line and t in ("Box", "Bare")]
+    assert on(3) == ["lib/Box.", "lib/Box.apply()."] and on(4) == ["lib/Box#", "lib/Box#`<init>`()."] and on(5) == ["lib/Bare."]
