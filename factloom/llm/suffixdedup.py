@@ -11,8 +11,9 @@ every string of `passage` bytes also stands in another document. Three steps:
    are repeats at once; counts of anchors and segments are pre-aggregated, so copies, however
    many, are one row.
 2. Distinct segments that share an anchor are dealt to buckets by the anchor. A bucket forms
-   shards of bounded size; each shard's Burrows-Wheeler transform is built over symbols of
-   SYMBOL bytes (all phases of the segments), to the depth of `width` bytes. Two transforms are
+   shards of bounded size, of the stretches whose every symbol of SYMBOL bytes stands twice in the
+   bucket (a repeat has no other); each shard's Burrows-Wheeler transform is built over symbols
+   (all phases of the stretches), to the depth of `width` bytes. Two transforms are
    merged by refining their interleave: each round sorts the merged column stably by the symbol
    before, which orders suffixes one symbol deeper, and the round in which two neighbours part
    is their common prefix. Neighbours that have not parted after width / SYMBOL rounds are
