@@ -19,6 +19,8 @@ OVERLOADS = 9
 CELLS = (64, 8192)
 #: Rows of a bridge, about, whose pairs a task makes.
 PART = 1 << 18
+#: Archives of a classpath, at most, that travel as one row.
+CARRIED = 32
 
 
 def shuffled(df: DataFrame) -> DataFrame:
@@ -105,22 +107,50 @@ def first_of(wanted: DataFrame, *tiers: DataFrame, key: str = "symbol") -> DataF
     return out.withColumn("found", F.coalesce(*found)).drop(*found)
 
 
-def first_candidate(wanted: DataFrame, bridge: DataFrame, definitions: DataFrame) -> DataFrame:
+def parts_of(*tables: DataFrame) -> int:
+    """Into how many parts tables are dealt, so that what a task sorts of them is bounded."""
+    spark = tables[0].sparkSession
+    least = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return max(least, *[-(-t.count() // PART) for t in tables])
+
+
+def first_candidate(wanted: DataFrame, bridge: DataFrame, definitions: DataFrame, key: tuple[str, ...] = ("query_id",), parts: int | None = None) -> DataFrame:
     """The hit in the first archive, in bridge order, of the query's target that defines the symbol.
 
-    wanted: query_id, target_id, symbol, package; bridge: target_id, ord, fingerprint, packages
-    (null: unknown, so never skipped); definitions: fingerprint, symbol, path.
+    wanted: target_id, symbol, package and the columns of `key`, which tell queries apart; bridge:
+    target_id, ord, fingerprint, packages (null: unknown, so never skipped); definitions: fingerprint,
+    symbol, path, dealt by symbol into `parts`, if given.
+
+    Questions go to their target, and a short classpath travels with them to their symbol, as one row.
+    There they stay: pairs and definitions meet by a sort in each part, and are moved no more.
     """
-    held = definitions.select("symbol", "fingerprint", "path")
-    open_to = F.col("packages").isNull() | F.array_contains("packages", F.col("package"))
-    place = ["query_id", "ord", "fingerprint", "path"]
-    # a symbol may be defined in many archives, a classpath may have many: each question takes the shorter list
-    sized = wanted.join(held.groupBy("symbol").agg(F.count(F.lit(1)).alias("_archives")), "symbol")
-    sized = sized.join(bridge.groupBy("target_id").agg(F.count(F.lit(1)).alias("_length")), "target_id")
-    rare = sized.filter("_archives <= _length").join(held, "symbol").join(bridge, ["target_id", "fingerprint"]).filter(open_to).select(place)
-    common = sized.filter("_archives > _length").join(bridge, "target_id").filter(open_to).select("query_id", "symbol", "ord", "fingerprint")
-    hits = rare.union(common.join(held, ["symbol", "fingerprint"]).select(place))
-    return hits.groupBy("query_id").agg(F.min(F.struct("ord", "fingerprint", "path")).alias("hit")).select("query_id", "hit.ord", "hit.fingerprint", "hit.path")
+    n = parts or parts_of(wanted, bridge)
+    named = list(dict.fromkeys([*key, "symbol"]))
+    held = definitions.select("symbol", "fingerprint", "path").filter("symbol is not null and fingerprint is not null")
+    held = held if parts else held.repartition(n, "symbol")
+    asked = wanted.select(*dict.fromkeys([*named, "target_id", "package"])).filter("target_id is not null and symbol is not null").repartition(n, "target_id")
+    listed = bridge.select("target_id", "ord", "fingerprint", "packages").filter("target_id is not null and fingerprint is not null").repartition(n, "target_id")
+    open_to = lambda packages: packages.isNull() | F.array_contains(packages, F.col("package"))
+
+    counted = listed.withColumn("_length", F.count(F.lit(1)).over(Window.partitionBy("target_id")))
+    short = counted.filter(F.col("_length") <= CARRIED).groupBy("target_id").agg(F.collect_list(F.struct("ord", "fingerprint", "packages")).alias("_classpath"))
+    members = F.transform(F.filter("_classpath", lambda m: open_to(m["packages"])), lambda m: F.struct(m["ord"].alias("ord"), m["fingerprint"].alias("fingerprint")))
+    carried = asked.join(short.hint("shuffle_hash"), "target_id").select(*named, members.alias("_open")).repartition(n, "symbol")
+    pairs = carried.select(*named, F.inline("_open"))
+
+    # of the rest, a symbol may be defined in many archives, a classpath may have many: each question takes the shorter list
+    long = bridge.filter("fingerprint is not null").groupBy("target_id").agg(F.count(F.lit(1)).alias("_length")).filter(F.col("_length") > CARRIED).repartition(n, "target_id")
+    sized = asked.join(shuffled(long), "target_id").repartition(n, "symbol").join(shuffled(held.groupBy("symbol").agg(F.count(F.lit(1)).alias("_archives"))), "symbol")
+    listed = listed.join(shuffled(long.select("target_id")), "target_id")
+    rare = sized.filter("_archives <= _length").join(shuffled(held), "symbol").join(listed, ["target_id", "fingerprint"]).filter(open_to(F.col("packages")))
+    common = sized.filter("_archives > _length").join(listed, "target_id").filter(open_to(F.col("packages")))
+
+    hit = F.struct("ord", "fingerprint", "path").alias("_hit")
+    met = pairs.union(common.select(pairs.columns).repartition(n, "symbol")).withColumn("_asked", F.lit(True))
+    met = met.unionByName(held.select("symbol", "fingerprint", F.struct("path").alias("_held")), allowMissingColumns=True)
+    met = met.withColumn("_held", F.min("_held").over(Window.partitionBy("symbol", "fingerprint"))).filter("_asked and _held is not null")
+    hits = met.select(*named, "ord", "fingerprint", "_held.path").select(*named, hit).union(rare.select(*named, hit).repartition(n, "symbol"))
+    return hits.groupBy(*key).agg(F.min("_hit").alias("hit")).select(*key, "hit.ord", "hit.fingerprint", "hit.path")
 
 
 def prefix_scan(definitions: DataFrame, prefix: str, most: int = 32) -> DataFrame:

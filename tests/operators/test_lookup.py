@@ -1,3 +1,5 @@
+import re
+
 from factloom import schemas
 from factloom.operators import lookup, merge
 
@@ -174,6 +176,45 @@ def test_the_first_candidate_takes_the_shorter_list(spark):
     assert "_archives" in plan(found) and "_length" in plan(found)
 
 
+def test_classpaths_of_any_length_give_the_same_first_candidates(spark, monkeypatch):
+    """Short classpaths travel with questions, of long ones and a symbol's archives the shorter list is taken: against plain loops."""
+    import random
+
+    dice = random.Random(7)
+    bridge = [(t, dice.choice([None, 0, 1, 2, 3]), dice.choice([None, "f1", "f2", "f3", "f4", ""]), dice.choice([None, [], ["a"], ["a", None, "b"]])) for t in ["t1", "t2", "t3", "t4", None] for _ in range(dice.randrange(1, 7))]
+    held = [(dice.choice([None, "", "f1", "f2", "f3", "f4"]), dice.choice([None, "x", "y", "z"]), dice.choice([None, "p", "q"])) for _ in range(14)]
+    wanted = [(q, dice.choice([None, "t1", "t2", "t3", "t4", "t5"]), dice.choice([None, "x", "y", "z", "w"]), dice.choice([None, "a", "b", "c"])) for q in range(60)] * 2
+    least = lambda hit: tuple((v is not None, v if v is not None else 0) for v in hit)
+    want = {}
+    for q, target, symbol, package in wanted:
+        for t, ord_, fingerprint, packages in bridge:
+            for f, s, path in held:
+                if None not in (target, symbol, fingerprint) and (t, f, s) == (target, fingerprint, symbol) and (packages is None or package is not None and package in packages):
+                    want[q] = min(want.get(q, (ord_, fingerprint, path)), (ord_, fingerprint, path), key=least)
+    tables = [spark.createDataFrame(wanted, "query_id long, target_id string, symbol string, package string"), spark.createDataFrame(bridge, "target_id string, ord int, fingerprint string, packages array<string>"), spark.createDataFrame(held, "fingerprint string, symbol string, path string")]
+    for carried in (0, 2, 32):
+        monkeypatch.setattr(lookup, "CARRIED", carried, raising=False)
+        assert {r.query_id: tuple(r)[1:] for r in lookup.first_candidate(*tables).collect()} == want and len(want) > 9
+
+
+def test_first_hits_move_neither_pairs_nor_hits(spark, tmp_path):
+    """What is moved by key is a question or a definition, never each pair of a question and an archive."""
+    from factloom.plans import registry
+
+    spark.range(900).selectExpr("id div 5 as l_orderkey", "id * 7 % 40 as l_partkey", "id * 11 % 23 as l_suppkey", "cast(id % 4 as int) as l_linenumber").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(40).selectExpr("id as p_partkey", "concat('n', id) as p_name", "900d + id as p_retailprice").write.parquet(f"{tmp_path}/part.parquet")
+    spark.range(23).selectExpr("id as s_suppkey", "800d + 10 * id as s_acctbal").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        listed = plan(registry.first_hit(spark, str(tmp_path)))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    moved = re.findall(r"Exchange hashpartitioning\(([^\n]*), \d+\)", listed)
+    keys = {re.sub(r"#\d+L?", "", m) for m in moved}
+    assert "symbol" in keys and "target_id" in keys
+    assert not keys & {"symbol, fingerprint", "query_id", "target_id, symbol"}
+
+
 def test_classpaths_keep_least_places_without_a_sort(spark):
     rows = [(None, 0, 1), (None, 1, 2), (1, 0, 2), (1, 1, 1), (1, 2, 3), (1, 3, 3), (2, 0, 3), (2, 1, 4), (3, 0, 5)]
     bridge = spark.createDataFrame(rows, "target_id long, ord int, fingerprint long")
